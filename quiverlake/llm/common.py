@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Whitespace of the word contract: 0x20 and 0x09-0x0D.
@@ -165,7 +166,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20)
         if b.num_rows == 0:
             continue
         col = b.column(b.schema.get_field_index(column))
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)).astype(np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64)
         part = np.cumsum(size) // limit
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [b.num_rows]])
         for i, j in zip(cuts[:-1], cuts[1:]):
@@ -190,3 +191,10 @@ def fs_of(uri: str):
 
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def public_vocabulary(name: str) -> str:
+    """The path of an installed public tokenizer file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))

@@ -94,6 +94,16 @@ def host_rates(measured: DataFrame, host: str, max_strength: float = 100.0) -> D
     return out.select(host, "n_host_docs", *[f"rate_{k}" for k in SOFT_RULES])
 
 
+def verdict(host_limit: float) -> tuple[Column, Column, Column]:
+    """base_failed, host_rejected, and whether the document is rejected."""
+    base = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
+    gross, by_host = F.lit(False), F.lit(False)
+    for k, (mild, much) in SOFT_RULES.items():
+        gross = gross | F.expr(much)
+        by_host = by_host | (F.expr(mild) & (F.col(f"rate_{k}") > host_limit))
+    return base, by_host, base | gross | by_host
+
+
 def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", keys: tuple[str, ...] = ("doc_id",), host_limit: float = 0.3) -> DataFrame:
     """keys, the measures, base_failed, host_rejected and kept for each row of docs."""
     took = measures(docs.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(host).alias("_host"), F.col(text).alias("_text")), "_text")
@@ -101,21 +111,26 @@ def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", key
     flat = stage(flat, "quality")  # a few numbers a row; else texts are read and measured for the hosts and again for the join
     rates = host_rates(flat, "_host").select(F.col("_host").alias("_h"), *[f"rate_{k}" for k in SOFT_RULES])
     joined = flat.join(rates, flat["_host"].eqNullSafe(rates["_h"]), "left")
-    base = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    gross = F.lit(False)
-    by_host = F.lit(False)
-    for k, (mild, much) in SOFT_RULES.items():
-        gross = gross | F.expr(much)
-        by_host = by_host | (F.expr(mild) & (F.col(f"rate_{k}") > host_limit))
+    base, by_host, rejected = verdict(host_limit)
     return joined.select(
         *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)],
         *MEASURES,
         base.alias("base_failed"),
         by_host.alias("host_rejected"),
-        (~(base | gross | by_host)).alias("kept"),
+        (~rejected).alias("kept"),
     )
 
 
+def keep_documents(docs: DataFrame, host: str = "source", text: str = "text", host_limit: float = 0.3) -> DataFrame:
+    """The rows of docs that the rules keep, with docs' columns; texts are measured once and nothing is joined by a key of theirs."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"))
+    took = measures(rows.select("_d", F.col(f"_d.{host}").alias("_host"), F.col(f"_d.{text}").alias("_text")), "_text")
+    flat = stage(took.select("_d", "_host", *[F.col(f"{'_w.' if k in ('n_words', 'n_repeat_words') else '_l.' if k in ('n_lines', 'n_dup_lines') else ''}{k}").alias(k) for k in MEASURES]), "quality")
+    rates = host_rates(flat.drop("_d"), "_host").select(F.col("_host").alias("_h"), *[f"rate_{k}" for k in SOFT_RULES])
+    kept = flat.join(rates, flat["_host"].eqNullSafe(rates["_h"]), "left").where(~verdict(host_limit)[2])
+    return kept.select("_d.*")
+
+
 def oracle(table: str = "documents", columns: str = "") -> str:
     """The same in DuckDB SQL; columns: what to return, by default the query's."""
     ws = r"[\x20\x09-\x0D]+"

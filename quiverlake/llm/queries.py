@@ -5,9 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
-from .common import documents
+from . import decontam, jaccard_join, mixing, quality, token_output
+from .common import documents, load, public_vocabulary
+
+#: Target weights of the sources in op9 and the pipeline; any other source shares weight 1.
+MIX_WEIGHTS = {f"src{i}": 1 + i % 4 for i in range(20)}
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(documents(spark, sf_dir))
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_output(documents(spark, sf_dir), public_vocabulary("byte_bpe_50k.json"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item: doc_id, item_ids, max_similarity."""
+    links = decontam.find_contamination(documents(spark, sf_dir), load(spark, sf_dir, "benchmark"))
+    return links.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("similarity").alias("max_similarity"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "source")
+    return mixing.mix_sources(docs, MIX_WEIGHTS).select("doc_id", "source", F.col("_mix_source").alias("mix_source"), F.col("_mix_block").alias("mix_block"), F.col("_mix_slot").alias("mix_slot"), F.col("_mix_position").alias("mix_position"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +38,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_jaccard_join": op5_jaccard_join,
+    "op6_token_output": op6_token_output,
+    "op8_decontamination": op8_decontamination,
+    "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_mixing": mixing.oracle(MIX_WEIGHTS),
     "op10_quality_rules": quality.oracle(),
 }
