@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,36 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """Collects the paths of the scratch tables made inside."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        _scopes.pop()
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for p in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables of which everything has been read into later ones."""
+    for t in tables:
+        delete(t.sparkSession, t._scratch)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +191,34 @@ class Words:
         return mix(s), d, at
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+BATCH_ROWS = 2000
+
+
+def tidy() -> None:
+    """Give memory back to the system: Spark keeps a task's Python worker for later tasks."""
+    _powers[:] = [np.ones(1, U64), np.ones(1, U64)]
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """mapInArrow with batches of at most BATCH_ROWS rows (texts can be long) and workers that end up small."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from function(batches)
+        finally:
+            tidy()
+
+    return df.mapInArrow(run, schema)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of one hold about ``limit`` bytes (one document at least)."""
     for b in batches:
         if b.num_rows == 0:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -19,12 +19,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     e = stage(e.union(e.select("d", "s")).distinct(), "edges")
     lab = stage(e.groupBy("s").agg(F.min("d").alias("m")).select(F.col("s").alias("v"), F.least("s", "m").alias("comp")), "labels")
     for _ in range(rounds):
-        near = e.join(lab, e["s"] == lab["v"]).groupBy("d").agg(F.min("comp").alias("m"))
-        new = lab.join(near, lab["v"] == near["d"], "left").select("v", F.least("comp", F.coalesce("m", "comp")).alias("c1"), F.col("comp").alias("old"))
+        near = e.join(lab.select("v", "comp"), F.col("s") == F.col("v")).groupBy("d").agg(F.min("comp").alias("m"))
+        new = lab.select("v", "comp").join(near, F.col("v") == near["d"], "left").select("v", F.least("comp", F.coalesce("m", "comp")).alias("c1"), F.col("comp").alias("old"))
         hop = lab.select(F.col("v").alias("hv"), F.col("comp").alias("hc"))
         new = new.join(hop, new["c1"] == hop["hv"], "left").select("v", F.least("c1", F.coalesce("hc", "c1")).alias("comp"), "old")
         new = stage(new, "labels")
+        discard(lab)
         if new.where("comp <> old").limit(1).count() == 0:
+            discard(e)
             return new.select("v", "comp")
-        lab = new.select("v", "comp")
+        lab = new
     raise RuntimeError("components did not converge")

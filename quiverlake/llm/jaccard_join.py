@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, mix, n_parts, pieces, stage, text_bytes
+from .common import discard, U64, Words, arrow_map, mix, n_parts, pieces, stage, text_bytes
 from .graph import components
 
 LEADERS = 6
@@ -103,7 +103,7 @@ def batch_table(docs: DataFrame, name: str, t: int, k: int, whole: bool) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seq = TaskContext.get().partitionId() << 32, 0
-        for b in pieces(batches, "_text", 3 << 20):
+        for b in pieces(batches, "_text"):
             s, first = sets_of(b.column(1), k)
             n = np.diff(first)
             ids = b.column(0)
@@ -114,7 +114,7 @@ def batch_table(docs: DataFrame, name: str, t: int, k: int, whole: bool) -> Data
             seq += 1
             yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]]], [f.split()[0] for f in BATCH.split(", ")])
 
-    return stage(docs.mapInArrow(run, BATCH), name)
+    return stage(arrow_map(docs, run, BATCH), name)
 
 
 def each_batch(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -136,7 +136,7 @@ def classes_of(table: DataFrame) -> DataFrame:
                     [pa.array(r["ids"], pa.int64(), mask=r["nulls"] > 0), pa.array(r["sizes"].astype(np.int64)), pa.array(r["sig_a"], pa.int64(), mask=off), pa.array(r["sig_b"], pa.int64(), mask=off)], ["doc_id", "n", "sig_a", "sig_b"]
                 )
 
-    return table.select("ids", "nulls", "sizes", "sig_a", "sig_b").mapInArrow(run, "doc_id bigint, n bigint, sig_a bigint, sig_b bigint")
+    return arrow_map(table.select("ids", "nulls", "sizes", "sig_a", "sig_b"), run, "doc_id bigint, n bigint, sig_a bigint, sig_b bigint")
 
 
 def by_bucket(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -185,8 +185,8 @@ def counted(table: DataFrame, bits: int, name: str, apply: Callable, schema: str
         if held:
             yield done(held)
 
-    sent = table.select("batch", "tokens").mapInArrow(emit, "tb bigint, batch bigint, tokens binary, n binary")
-    df = sent.repartition(parts, "tb").sortWithinPartitions("tb").mapInArrow(count, "batch bigint, tb bigint, df binary")
+    sent = arrow_map(table.select("batch", "tokens"), emit, "tb bigint, batch bigint, tokens binary, n binary")
+    df = arrow_map(sent.repartition(parts, "tb").sortWithinPartitions("tb"), count, "batch bigint, tb bigint, df binary")
     df = df.groupBy(F.col("batch").alias("_b")).agg(F.array_sort(F.collect_list(F.struct("tb", "df"))).alias("_df"))
     joined = table.select(*columns).join(df, table["batch"] == df["_b"])
 
@@ -198,7 +198,7 @@ def counted(table: DataFrame, bits: int, name: str, apply: Callable, schema: str
                 df = np.frombuffer(b"".join(x["df"] for x in r["_df"]), "<u2")
                 yield apply(r, tokens, df[inverse])
 
-    return stage(joined.drop("_b").mapInArrow(back, schema), name)
+    return stage(arrow_map(joined.drop("_b"), back, schema), name)
 
 
 def link(a: np.ndarray, b: np.ndarray, t: int) -> bool:
@@ -266,6 +266,9 @@ def cluster_links(sets: DataFrame, t: int) -> DataFrame:
     ties = rare.join(least, "tok").where("doc_id <> m").select(F.col("doc_id").alias("a"), F.col("m").alias("b")).distinct()
     cluster = components(ties).select(F.col("v").alias("_v"), F.col("comp").alias("cluster"))
     rows = stage(sets.drop("rare").join(cluster, sets["doc_id"] == cluster["_v"]).drop("_v"), "clusters")
+    discard(sets)
+
+    clusters = rows
 
     # leaders: the most central documents, by several orders so that they differ
     orders = [F.struct((-F.col("centre")).alias("c"), F.col("doc_id").alias("d")), *[F.struct((-F.round("centre", 1)).alias("c"), F.xxhash64("doc_id", F.lit(i)).alias("h"), F.col("doc_id").alias("d")) for i in range(1, LEADERS)]]
@@ -286,7 +289,7 @@ def cluster_links(sets: DataFrame, t: int) -> DataFrame:
                 out += [(r["doc_id"], x["leader"]) for x in r["led"] if x["leader"] != r["doc_id"] and link(q, np.frombuffer(x["_t"], U64), t)]
             yield _edges(out)
 
-    found = stage(both.mapInArrow(lead, EDGES), "led")
+    found = stage(arrow_map(both, lead, EDGES), "led")
 
     # components so far; clusters of more than one go on
     comp = components(found).select(F.col("v").alias("_v"), F.col("comp").alias("_comp"))
@@ -314,7 +317,9 @@ def cluster_links(sets: DataFrame, t: int) -> DataFrame:
         return pa.Table.from_batches([_edges(pairs_)])
 
     met = cells.groupBy("cluster", "qg", "tg").applyInArrow(cell, EDGES)
-    return found.unionAll(stage(met, "met"))
+    out = found.unionAll(stage(met, "met"))
+    discard(rest, clusters)
+    return out
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75, k: int = 5) -> DataFrame:
@@ -333,9 +338,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         ok = (r["nulls"] == 0) & (n > 0) & (shared >= 1 + ceil_part(n, t) * BETA // 100)
         return pa.RecordBatch.from_arrays([pa.array(r["ids"][ok], pa.int64())], ["_d"])
 
-    maybe = counted(table, 48, "maybe", prefix, "_d bigint", ["batch", "ids", "nulls", "sizes", "sent", "tokens"]).distinct()
-    maybe = maybe.join(reps.select(F.col("rep").alias("_d")), "_d", "left_semi")
-    left = batch_table(rows.join(maybe, rows["_id"] == maybe["_d"], "left_semi"), "wholes", t, k, whole=True)
+    maybe_table = counted(table, 48, "maybe", prefix, "_d bigint", ["batch", "ids", "nulls", "sizes", "sent", "tokens"])
+    maybe = maybe_table.distinct().join(reps.select(F.col("rep").alias("_d")), "_d", "left_semi")
+    # merge: the ids grow with the documents, so the plan is that of a large input at any size
+    discard(table)
+    left = batch_table(rows.join(maybe.hint("merge"), rows["_id"] == maybe["_d"], "left_semi"), "wholes", t, k, whole=True)
 
     def whole(r: dict, tokens: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
         ids, out = r["ids"], []
@@ -350,6 +357,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary()), pa.array(list(c[3]), pa.list_(pa.int64())), pa.array(c[4], pa.float64())], ["doc_id", "n", "tokens", "rare", "centre"])
 
     sets = counted(left, 64, "candidates", whole, "doc_id bigint, n bigint, tokens binary, rare array<bigint>, centre double", ["batch", "ids", "nulls", "sizes", "sent", "tokens"])
+    discard(maybe_table, left)
     comp = components(cluster_links(sets, t)).select(F.col("v").alias("_v"), "comp")
     named = reps.join(comp, reps["rep"] == comp["_v"], "left").select(F.col("sig_a").alias("_a"), F.col("sig_b").alias("_b"), F.coalesce("comp", "rep").alias("_comp"))
     out = classes.join(named, (classes["sig_a"] == named["_a"]) & (classes["sig_b"] == named["_b"]), "left")
