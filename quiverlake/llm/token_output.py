@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import fs_of, pieces, scratch_path, stage
+from .common import SPACES, arrow_map, fs_of, pieces, scratch_path, stage
 
 MAGIC = b"QLT1"
 
@@ -138,36 +138,90 @@ class ShardReader:
 
 # ----------------------------------------------------------------- encoding
 
-#: A run of ASCII white space and the run of other characters after it. The tokenizer's
-#: own pre-tokens never cross the start of such a unit, so units can be encoded alone.
-UNIT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+#: A run of ASCII white space and the letters after it, if an ASCII character that is
+#: no letter comes next, else all up to the next white space. The tokenizer's own
+#: pre-tokens never cross the start of such a unit, so units can be encoded alone.
+UNIT = re.compile(r"[ \t-\r]*[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\x00-\x7f])|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: White space beyond that; a document that has any is encoded in one piece.
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　]")
 
 
-class Encoder:
-    """The tokenizers library over distinct units, with a bounded cache of them."""
+class Places(dict):
+    """unit -> place; an unknown unit gets the next place, and is listed in ``new``."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self)
+        self.new.append(unit)
+        return n
 
-    def __init__(self, path: str, cache: int = 300_000):
+
+_tokenizers: dict[str, tuple] = {}
+
+
+def tokenizer_of(path: str) -> tuple:
+    """A tokenizer and the number of bytes of each id, loaded once a Python worker (each load costs time and some memory that doesn't come back)."""
+    if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), cache
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab()
+        n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            n_bytes[i] = len(token)
+        _tokenizers[path] = tokenizer, n_bytes
+    return _tokenizers[path]
+
+
+class Encoder:
+    """The tokenizers library over distinct units, with a bounded cache of them."""
+
+    def __init__(self, path: str, cache: int = 500_000):
+        (self.tokenizer, self.n_bytes), self.limit = tokenizer_of(path), cache
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = Places()
         self.flat = np.zeros(0, "<u4")
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, new: list[str]) -> None:
+    def one_by_one(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         size = np.fromiter(map(len, got), np.int64, len(got))
-        base = len(self.place)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter((x for g in got for x in g), "<u4", int(size.sum()))])
-        self.place.update(zip(new, range(base, base + len(new))))
+        return np.fromiter((x for g in got for x in g), "<u4", int(size.sum())), size
+
+    def joined(self, new: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The units' ids from texts of many units each: a byte-level id stands for a known number of bytes, which tells where units end. None where they end within an id."""
+        texts = ["".join(new[i : i + 100]) for i in range(0, len(new), 100)]  # longer texts take the library longer a unit
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.cumsum(self.n_bytes[ids])
+        raw = np.frombuffer("".join(texts).encode(), np.uint8)
+        char = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where characters begin
+        want = char[np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))]
+        at = np.searchsorted(ends, want)
+        if len(ends) == 0 or ends[-1] != want[-1] or (ends[at] != want).any():
+            return None
+        return ids, np.diff(at, prepend=-1)
+
+    def learn(self, new: list[str]) -> None:
+        # a unit that starts with white space and doesn't end with any can stand after another
+        inner = [u for u in new if u[:1] in SPACES and u[-1:] not in SPACES]
+        got = self.joined(inner) if inner else None
+        if got is None:
+            inner, got = [], (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        known = set(inner)
+        alone = [u for u in new if u not in known] if len(known) < len(new) else []
+        flat, size = (np.concatenate(x) for x in zip(got, self.one_by_one(alone)))
+        start = len(self.flat) + np.cumsum(size) - size
+        if alone:  # back to the order of the places
+            at = {u: k for k, u in enumerate(inner + alone)}
+            order = np.fromiter(map(at.__getitem__, new), np.int64, len(new))
+            start, size = start[order], size[order]
+        self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, flat])
 
     def encode(self, texts: list[str], end: int | None = 0) -> tuple[np.ndarray, list[int]]:
         """All ids, document by document with the end id, and the documents' lengths."""
@@ -179,9 +233,10 @@ class Encoder:
             counts.append(len(own))
         if len(self.place) > self.limit:
             self.clear()
-        if new := list(set(units).difference(self.place)):
-            self.learn(new)
         at = np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
+        if self.place.new:
+            self.learn(self.place.new)
+            self.place.new = []
         size = self.size[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
@@ -224,7 +279,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, order:
             sink.close()
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([path]), pa.array([len(writer.lengths)], pa.int64()), pa.array([writer.n_ids], pa.int64())], ["shard", "path", "n_docs", "n_ids"])
 
-    listed = rows.mapInArrow(run, SHARDS).withColumn("path", F.concat(F.lit(f"{out}/"), F.element_at(F.split("path", "/"), -1)))
+    listed = arrow_map(rows, run, SHARDS).withColumn("path", F.concat(F.lit(f"{out}/"), F.element_at(F.split("path", "/"), -1)))
     return stage(listed, "shards")
 
 
@@ -262,7 +317,7 @@ def read_tokens(shards: DataFrame, each: Callable, schema: T.StructType) -> Data
                             out = []
                     yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return listed.mapInArrow(run, schema)
+    return arrow_map(listed, run, schema)
 
 
 DIGEST = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
