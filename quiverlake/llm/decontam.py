@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Words, mix, pieces, text_bytes
+from .common import U64, Words, arrow_map, mix, pieces, text_bytes
 
 MAX_ITEMS, MAX_ITEM_BYTES = 4096, 16 << 20
 BITS, BLOCKS = 128, 16
@@ -169,7 +169,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.7
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*got), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32()))], LINKS.fieldNames())
 
-        part = rows.mapInArrow(run, LINKS)
+        part = arrow_map(rows, run, LINKS)
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -186,5 +186,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75
                 keep[[row for row, _ in index.value.scan(b.column(b.schema.get_field_index(text)))]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = arrow_map(docs, run, docs.schema)
     return docs

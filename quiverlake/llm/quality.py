@@ -94,6 +94,17 @@ def host_rates(measured: DataFrame, host: str, max_strength: float = 100.0) -> D
     return out.select(host, "n_host_docs", *[f"rate_{k}" for k in SOFT_RULES])
 
 
+MAX_BROADCAST_HOSTS = 500_000
+
+
+def with_rates(rows: DataFrame, measured: DataFrame, host: str) -> DataFrame:
+    """rows with their hosts' rates. Hosts up to MAX_BROADCAST_HOSTS (some 20 MB) are broadcast; more are joined by shuffle, where adaptive execution splits a hot host."""
+    rates = stage(host_rates(measured, host), "hosts").select(F.col(host).alias("_h"), *[f"rate_{k}" for k in SOFT_RULES])
+    if rates.count() <= MAX_BROADCAST_HOSTS:
+        rates = F.broadcast(rates)
+    return rows.join(rates, rows[host].eqNullSafe(rates["_h"]), "left")
+
+
 def verdict(host_limit: float) -> tuple[Column, Column, Column]:
     """base_failed, host_rejected, and whether the document is rejected."""
     base = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
@@ -109,8 +120,7 @@ def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", key
     took = measures(docs.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(host).alias("_host"), F.col(text).alias("_text")), "_text")
     flat = took.select(*[f"_k{i}" for i in range(len(keys))], "_host", *[F.col(f"{'_w.' if k in ('n_words', 'n_repeat_words') else '_l.' if k in ('n_lines', 'n_dup_lines') else ''}{k}").alias(k) for k in MEASURES])
     flat = stage(flat, "quality")  # a few numbers a row; else texts are read and measured for the hosts and again for the join
-    rates = host_rates(flat, "_host").select(F.col("_host").alias("_h"), *[f"rate_{k}" for k in SOFT_RULES])
-    joined = flat.join(rates, flat["_host"].eqNullSafe(rates["_h"]), "left")
+    joined = with_rates(flat, flat, "_host")
     base, by_host, rejected = verdict(host_limit)
     return joined.select(
         *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)],
@@ -126,9 +136,7 @@ def keep_documents(docs: DataFrame, host: str = "source", text: str = "text", ho
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"))
     took = measures(rows.select("_d", F.col(f"_d.{host}").alias("_host"), F.col(f"_d.{text}").alias("_text")), "_text")
     flat = stage(took.select("_d", "_host", *[F.col(f"{'_w.' if k in ('n_words', 'n_repeat_words') else '_l.' if k in ('n_lines', 'n_dup_lines') else ''}{k}").alias(k) for k in MEASURES]), "quality")
-    rates = host_rates(flat.drop("_d"), "_host").select(F.col("_host").alias("_h"), *[f"rate_{k}" for k in SOFT_RULES])
-    kept = flat.join(rates, flat["_host"].eqNullSafe(rates["_h"]), "left").where(~verdict(host_limit)[2])
-    return kept.select("_d.*")
+    return with_rates(flat, flat.drop("_d"), "_host").where(~verdict(host_limit)[2]).select("_d.*")
 
 
 def oracle(table: str = "documents", columns: str = "") -> str:
