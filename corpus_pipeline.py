@@ -9,29 +9,50 @@ n_tokens, ids_crc32.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quiverlake.llm import decontam, jaccard_join, mixing, quality, queries, token_output
-from quiverlake.llm.common import documents, load, public_vocabulary, stage
+from quiverlake.llm.common import delete, documents, load, public_vocabulary, scratch_path, scratch_scope
+
+#: Scratch tables of the stage before: its result has been written when the next one begins.
+_left: list[str] = []
+
+
+def tidy(function: Callable) -> Callable:
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete(spark, *_left)
+        with scratch_scope() as paths:
+            out = function(spark, docs, sf_dir)
+        _left[:] = paths
+        return out
+
+    return run
 
 
+@tidy
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_documents(docs)
 
 
+@tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard_join.keep_one(docs)
 
 
+@tidy
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontam.drop_contaminated(docs, load(spark, sf_dir, "benchmark"))
 
 
+@tidy
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(docs, queries.MIX_WEIGHTS)
     return mixed.repartitionByRange("_mix_position").sortWithinPartitions("_mix_position").select(*docs.columns)
 
 
+@tidy
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     placed, order = token_output.in_file_order(docs)
     return token_output.token_output(placed, public_vocabulary("byte_bpe_50k.json"), order=order)
@@ -52,5 +73,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-").replace("/", ""))
+        path = scratch_path(spark, name.replace(" ", "-").replace("/", ""))
+        function(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
