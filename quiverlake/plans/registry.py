@@ -1,10 +1,484 @@
-"""The registered queries over the driver's tables and their DuckDB SQL."""
+"""The registered queries over the driver's tables and their DuckDB SQL.
+
+Vectors are the ``embeddings`` table, scaled by 1 + vec_id % 5 so that the metrics
+rank differently; label sets are made of its label and vec_id. Searches take the
+rows whose id is divisible by 50 as queries, against all rows.
+"""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import labels as L
+from ..functions import vectors as V
+from ..operators import graph, kmeans, knn, pq, profile, quantize
+from ..sources import results, vecfiles
+from ..streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+K = 10
+RADIUS = 1.5
+PQ = pq.Params(64, 8, 4)
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+# --------------------------------------------------------------------- inputs
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, vec (array<double>), labels, label."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    s = 1.0 + F.col("vec_id") % 5
+    return e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double") * s).alias("vec"), L.label_set(F.array("label", F.col("vec_id") % 7 + 1)).alias("labels"), "label")
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, vec as stored."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+
+
+def asked(rows: DataFrame) -> DataFrame:
+    return rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vec")
+
+
+def r6(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double"), places) for c in columns})
+
+
+def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations of events: inserts and deletes of user_id, labels of others."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    op = F.when(F.col("event_id") % 5 == 0, "delete").when(F.col("event_id") % 11 == 0, "set_labels").otherwise("insert")
+    return e.select(F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").alias("id"), F.array(F.col("value").cast("float")).alias("vec"), F.array(F.col("event_id") % 3, F.lit(5).cast("bigint")).cast("array<bigint>").alias("labels"))
+
+
+# -------------------------------------------------------------------- SQL parts
+
+E = "e as (select vec_id as id, list_transform(embedding::double[], lambda x: x * (1.0 + vec_id % 5)) as vec, list_sort(list_distinct([label::bigint, (vec_id % 7 + 1)::bigint])) as labels, label from embeddings)"
+R = "e as (select vec_id as id, embedding::double[] as vec, label from embeddings)"
+Q = "q as (select id as query_id, vec as qv from e where id % 50 = 0)"
+
+
+def s_sum(x: str) -> str:
+    return f"list_reduce({x}, lambda a, b: a + b, 0.0::double)"
+
+
+def s_zip(a: str, b: str, f: str) -> str:
+    return f"list_transform(range(1, len({a}) + 1), lambda i: {f.replace('x', f'{a}[i]').replace('y', f'{b}[i]')})"
+
+
+def s_l2sq(a: str, b: str) -> str:
+    return s_sum(s_zip(a, b, "(x - y) * (x - y)"))
+
+
+def s_dot(a: str, b: str) -> str:
+    return s_sum(s_zip(a, b, "x * y"))
+
+
+def s_l2(a: str, b: str) -> str:
+    return f"sqrt({s_l2sq(a, b)})"
+
+
+def s_norm(a: str) -> str:
+    return f"sqrt({s_dot(a, a)})"
+
+
+def s_cos(a: str, b: str) -> str:
+    return f"(case when {s_norm(a)} * {s_norm(b)} = 0 then 1.0 else 1.0 - greatest(-1.0, least(1.0, {s_dot(a, b)} / ({s_norm(a)} * {s_norm(b)}))) end)"
+
+
+S_METRIC = {"l2": s_l2, "cosine": s_cos, "inner_product": lambda a, b: f"(-({s_dot(a, b)}))"}
+
+
+def s_pairs(metric: str, where: str = "true", base: str = "e") -> str:
+    return f"p as (select query_id, e.id, {S_METRIC[metric]('qv', 'e.vec')} as d, e.labels from q, {base} as e where {where})"
+
+
+def s_top(k: str, columns: str = "query_id, id, rank, round(distance, 6) as distance") -> str:
+    return f"t as (select query_id, id, labels, d as distance, row_number() over (partition by query_id order by d, id)::int as rank from p) select {columns} from t where {k}"
+
+
+def s_knn(metric: str, k: int = K, where: str = "true", **kw) -> str:
+    return f"with {E}, {Q}, {s_pairs(metric, where)}, {s_top(f'rank <= {k}', **kw)}"
+
+
+# ------------------------------------------------------- vector functions (2.2)
+
+
+@query(
+    "vector_distances",
+    f"with {E} select e.id, round({s_l2('e.vec', 'z.vec')}, 6) as l2, round({s_l2sq('e.vec', 'z.vec')}, 6) as l2_squared, round({s_dot('e.vec', 'z.vec')}, 6) as dot, round(-({s_dot('e.vec', 'z.vec')}), 6) as inner_product, round({s_norm('e.vec')}, 6) as norm, round({s_cos('e.vec', 'z.vec')}, 6) as cosine, round({s_cos('e.vec', 'z.vec')} * {s_cos('e.vec', 'z.vec')}, 6) as cosine_squared from e, (select vec from e where id = 0) z",
+)
+def vector_distances(spark, sf_dir):
+    e = vectors(spark, sf_dir)
+    z = e.where("id = 0").select(F.col("vec").alias("z"))
+    out = e.crossJoin(F.broadcast(z))  # one row
+    cols = {"l2": V.l2("vec", "z"), "l2_squared": V.l2_squared("vec", "z"), "dot": V.dot("vec", "z"), "inner_product": V.inner_product("vec", "z"), "norm": V.norm("vec"), "cosine": V.cosine("vec", "z"), "cosine_squared": V.distance_squared("cosine", "vec", "z")}
+    return out.select("id", *[F.round(c, 6).alias(k) for k, c in cols.items()])
+
+
+@query("batch_distance", f"with {E}, {Q}, {s_pairs('l2')} select query_id, count(*) as n, round(sum(d), 4) as total, round(min(d), 6) as nearest, round(max(d), 6) as farthest from p group by 1")
+def batch_distance(spark, sf_dir):
+    """Every query against every row, summed up by query."""
+    e = vectors(spark, sf_dir)
+    found = knn.range_join(asked(e), e, 1e18)
+    return r6(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("distance"), 4).alias("total"), F.min("distance").alias("nearest"), F.max("distance").alias("farthest")), "nearest", "farthest")
+
+
+@query("element_casts", f"with {E} select id, list_transform(vec, lambda x: greatest(-128.0, least(127.0, round(x * 100)))::bigint) as int8, list_transform(vec, lambda x: greatest(0.0, least(255.0, round(x * 300)))::bigint) as uint8 from e")
+def element_casts(spark, sf_dir):
+    e = vectors(spark, sf_dir)
+    return e.select("id", V.to_int8(V.scale("vec", 100.0, 0.0)).cast("array<bigint>").alias("int8"), V.to_uint8(V.scale("vec", 300.0, 0.0)).cast("array<bigint>").alias("uint8"))
+
+
+S_PARAM = "case when list_max(vec) > list_min(vec) then ({hi} - {lo}) / (list_max(vec) - list_min(vec)) else 1.0 end"
+
+
+def s_quant(lo: float, hi: float) -> str:
+    return f"with {E}, s as (select id, vec, {S_PARAM.format(lo=lo, hi=hi)} as s from e), o as (select *, {lo} - list_min(vec) * s as o from s), c as (select *, list_transform(vec, lambda x: greatest({lo}, least({hi}, round(x * s + o)))::bigint) as codes from o) select id, round(s, 6) as scale, round(o, 6) as \"offset\", codes, round(list_max(list_transform(range(1, len(vec) + 1), lambda i: abs((codes[i] - o) / s - vec[i]))), 6) as max_error from c"
+
+
+def quantized(spark, sf_dir, low, high, f):
+    e = vectors(spark, sf_dir).withColumn("p", V.scale_params("vec", low, high))
+    e = e.withColumn("codes", f("vec", F.col("p")))
+    error = F.array_max(F.zip_with(V.invert_params("codes", F.col("p")), "vec", lambda a, b: F.abs(a - b)))
+    return e.select("id", F.round("p.scale", 6).alias("scale"), F.round("p.offset", 6).alias("offset"), F.col("codes").cast("array<bigint>").alias("codes"), F.round(error, 6).alias("max_error"))
+
+
+query("quantize_int8", s_quant(-127.0, 127.0))(lambda spark, sf_dir: quantized(spark, sf_dir, -127, 127, V.quantize_int8))
+query("quantize_uint8", s_quant(0.0, 255.0))(lambda spark, sf_dir: quantized(spark, sf_dir, 0, 255, V.quantize_uint8))
+
+
+def s_global(low: str, high: str, base: float, a: float, b: float) -> str:
+    return f"with {R}, g as (select {low} as lo, {high} as hi from (select unnest(vec) as x from e)) select id, list_transform(vec, lambda x: trunc(greatest({a}, least({b}, (x - lo) / (hi - lo) * 255.0 + {base})))::bigint) as codes from e, g"
+
+
+query("global_quantize_minmax", s_global("min(x)", "max(x)", -128.0, -128.0, 127.0))(lambda spark, sf_dir: quantize.quantize(raw(spark, sf_dir), "minmax", True).select("id", F.col("vec").cast("array<bigint>").alias("codes")))
+query("global_quantize_standard")(lambda spark, sf_dir: quantize.quantize(raw(spark, sf_dir), "standard", False).select("id", F.col("vec").cast("array<bigint>").alias("codes")))
+
+
+@query("center", f"with {E}, m as (select i, avg(x) as m from (select unnest(vec) as x, generate_subscripts(vec, 1) as i from e) group by 1), a as (select list(m order by i) as m from m) select id, list_transform(range(1, len(vec) + 1), lambda i: round(vec[i] - a.m[i], 6)) as vec from e, a")
+def center(spark, sf_dir):
+    return quantize.center(vectors(spark, sf_dir)).select("id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
+@query("normalize", f"with {E} select id, list_transform(vec, lambda x: round(x / {s_norm('vec')}, 6)) as vec from e")
+def normalize(spark, sf_dir):
+    return quantize.normalize(vectors(spark, sf_dir)).select("id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
+query("skip_limit", f"with {R} select id, label from e order by id limit 50 offset 20")(lambda spark, sf_dir: quantize.skip_limit(raw(spark, sf_dir), 20, 50).select("id", "label"))
+query("vector_preview", f"with {R} select id, list_transform(vec[1:8], lambda x: round(x, 6)) as first from e order by id limit 5")(lambda spark, sf_dir: quantize.skip_limit(raw(spark, sf_dir), 0, 5).select("id", F.transform(V.preview("vec"), lambda x: F.round(x.cast("double"), 6)).alias("first")))
+
+# --------------------------------------------------------------- filters (2.3)
+
+for _name, _filter, _sql in (
+    ("labels_any_of", lambda c: L.any_of(c, [3, 5]), "list_has_any(labels, [3, 5]) or list_contains(labels, 0)"),
+    ("labels_any_of_nothing", lambda c: L.any_of(c, []), "list_contains(labels, 0)"),
+    ("labels_all_of", lambda c: L.all_of(c, [2, 3]), "list_has_all(labels, [2, 3]) or list_contains(labels, 0)"),
+    ("labels_exact", lambda c: L.exactly(c, [3, 1, 3]), "labels = [1, 3]"),
+    ("labels_any", L.anything, "true"),
+    ("labels_match_nothing", lambda c: L.matches(c, []), "true"),
+):
+    query(_name, f"with {E} select id, labels from e where {_sql}")(lambda spark, sf_dir, f=_filter: vectors(spark, sf_dir).where(f(F.col("labels"))).select("id", "labels"))
+
+
+@query("label_set_operations", f"with {E} select id, list_sort(list_distinct(list_concat(labels, [9::bigint]))) as added, list_filter(labels, lambda x: x <> 3) as removed, list_contains(labels, 3) as has, len(labels)::int as n from e")
+def label_set_operations(spark, sf_dir):
+    return vectors(spark, sf_dir).select("id", L.add("labels", 9).alias("added"), L.remove("labels", 3).alias("removed"), L.contains("labels", 3).alias("has"), F.size("labels").alias("n"))
+
+
+query("label_postings", f"with {E} select distinct unnest(labels) as label, id from e")(lambda spark, sf_dir: L.postings(vectors(spark, sf_dir)))
+query("inverted_lookup", f"with {E} select id from e where list_contains(labels, 4)")(lambda spark, sf_dir: L.postings(vectors(spark, sf_dir)).where("label = 4").select("id"))
+for _kind, _sql in (("any_of", "list_has_any(labels, [2, 3]) or list_contains(labels, 0)"), ("all_of", "list_has_all(labels, [2, 3]) or list_contains(labels, 0)"), ("exact", "labels = [2, 3]")):
+    query(f"label_candidates_{_kind}", f"with {E} select id from e where {_sql}")(lambda spark, sf_dir, kind=_kind: L.candidates(vectors(spark, sf_dir), kind, [2, 3]))
+query("label_stats", f"with {E} select count(*) as n_rows, max(len(labels)) as max_labels, avg(len(labels)) as avg_labels, (select count(distinct l) from (select unnest(labels) as l from e)) as n_labels from e")(lambda spark, sf_dir: L.label_stats(vectors(spark, sf_dir)))
+query("label_counts", f"with {E} select label, count(*) as n from (select unnest(labels) as label from e) group by 1")(lambda spark, sf_dir: L.label_counts(vectors(spark, sf_dir)))
+query("tombstone_filter", f"with {E} select id from e where id % 9 <> 4")(lambda spark, sf_dir: (lambda e: e.join(e.where("id % 9 = 4").select("id"), "id", "left_anti").select("id"))(vectors(spark, sf_dir)))
+
+S_BROKEN = "b as (select id, case when id % 83 = 5 then vec[1:63] when id % 89 = 6 then list_concat(['nan'::double], vec[2:64]) when id % 97 = 7 then list_concat(['inf'::double], vec[2:64]) when id % 101 = 8 then list_transform(vec, lambda x: 0.0::double) else vec end as vec from e)"
+
+
+def broken(spark, sf_dir):
+    one = lambda x: F.concat(F.array(F.lit(float(x))), F.slice("vec", 2, 63))
+    v = F.when(F.expr("id % 83 = 5"), F.slice("vec", 1, 63)).when(F.expr("id % 89 = 6"), one("nan")).when(F.expr("id % 97 = 7"), one("inf")).when(F.expr("id % 101 = 8"), F.transform("vec", lambda x: F.lit(0.0))).otherwise(F.col("vec"))
+    return vectors(spark, sf_dir).select("id", v.alias("vec"))
+
+
+@query(
+    "validate_vectors",
+    f"with {E}, {S_BROKEN}, f as (select id, len(vec) <> 64 as d, len(list_filter(vec, lambda x: isnan(x))) as a, len(list_filter(vec, lambda x: isinf(x))) as i, len(list_filter(vec, lambda x: x <> 0)) = 0 as z from b) select count(*) as n_rows, count(*) filter (d) as n_dimension, sum(a)::bigint as n_nan, sum(i)::bigint as n_infinite, count(*) filter (z) as n_zero, coalesce((select list(id order by id) from (select id from f where d order by id limit 5)), []) as dimension_ids, coalesce((select list(id order by id) from (select id from f where a > 0 order by id limit 5)), []) as nan_ids, coalesce((select list(id order by id) from (select id from f where i > 0 order by id limit 5)), []) as infinite_ids, coalesce((select list(id order by id) from (select id from f where z order by id limit 5)), []) as zero_ids from f",
+)
+def validate_vectors(spark, sf_dir):
+    return profile.validate(broken(spark, sf_dir), 64)
+
+
+# ------------------------------------------------------------------ joins (2.4)
+
+query("knn_exact", f"with {E} select id, row_number() over (order by d, id)::int as rank, round(d, 6) as distance from (select e.id, {s_l2('z.vec', 'e.vec')} as d from e, (select vec from e where id = 0) z) order by d, id limit {K}")(
+    lambda spark, sf_dir: (lambda e: r6(knn.knn(e, e.where("id = 0").first()["vec"], K), "distance").select("id", "rank", "distance"))(vectors(spark, sf_dir))
+)
+for _metric in V.METRICS:
+    query("knn_batch" if _metric == "l2" else f"knn_batch_{_metric}", s_knn(_metric))(lambda spark, sf_dir, m=_metric: (lambda e: r6(knn.topk_join(asked(e), e, K, m), "distance"))(vectors(spark, sf_dir)))
+query("knn_self", s_knn("l2", where="e.id <> query_id"))(lambda spark, sf_dir: (lambda e: r6(knn.topk_join(asked(e), e, K, self_join=True), "distance"))(vectors(spark, sf_dir)))
+query("range_join", f"with {E}, {Q}, {s_pairs('l2')}, {s_top(f'distance <= {RADIUS}')}")(lambda spark, sf_dir: (lambda e: r6(knn.range_join(asked(e), e, RADIUS), "distance"))(vectors(spark, sf_dir)))
+query("range_join_capped", f"with {E}, {Q}, {s_pairs('l2')}, {s_top(f'distance <= {RADIUS} and rank <= 3')}")(lambda spark, sf_dir: (lambda e: r6(knn.range_join(asked(e), e, RADIUS, max_results=3), "distance"))(vectors(spark, sf_dir)))
+query("range_by_topk", f"with {E}, {Q}, {s_pairs('l2')}, {s_top(f'distance <= {RADIUS} and rank <= 20')}")(lambda spark, sf_dir: (lambda e: r6(knn.range_by_topk(asked(e), e, RADIUS, 20), "distance"))(vectors(spark, sf_dir)))
+query("knn_more_than_rows", s_knn("l2", 100_000, "list_contains(e.labels, 0) and e.id % 3 = 0"))(lambda spark, sf_dir: (lambda e: r6(knn.topk_join(asked(e), e.where("array_contains(labels, 0) and id % 3 = 0"), 100_000), "distance"))(vectors(spark, sf_dir)))
+for _name, _filter, _sql in (("any_of", lambda c: L.any_of(c, [3]), "(list_contains(e.labels, 3) or list_contains(e.labels, 0))"), ("all_of", lambda c: L.all_of(c, [2, 3]), "(list_has_all(e.labels, [2, 3]) or list_contains(e.labels, 0))"), ("exact", lambda c: L.exactly(c, [1, 3]), "e.labels = [1, 3]")):
+    query(f"filtered_knn_{_name}", s_knn("l2", where=_sql, columns="query_id, id, rank, round(distance, 6) as distance, labels"))(lambda spark, sf_dir, f=_filter: (lambda e: r6(knn.filtered_topk(asked(e), e, K, f(F.col("labels")), labels="labels"), "distance"))(vectors(spark, sf_dir)))
+query("filtered_entry_point", f"with {E} select arg_min(id, (d, id)) as id from (select e.id, {s_l2('z.vec', 'e.vec')} as d from e, (select vec from e where id = 1) z where list_contains(labels, 6))")(
+    lambda spark, sf_dir: (lambda e: knn.entry_point(e, e.where("id = 1").first()["vec"], L.contains("labels", 6), 1))(vectors(spark, sf_dir))
+)
+query("overfetch_filter", s_knn("l2", where="e.id % 7 <> 0"))(lambda spark, sf_dir: (lambda e: r6(knn.overfetch(asked(e), e, e.where("id % 7 = 0").select("id"), K), "distance"))(vectors(spark, sf_dir)))
+
+
+def two_results(spark, sf_dir):
+    """A result over two thirds of the rows, and the truth."""
+    e = vectors(spark, sf_dir)
+    return knn.topk_join(asked(e), e.where("id % 3 <> 1"), K), knn.topk_join(asked(e), e, K)
+
+
+S_TWO = f"{E}, {Q}, {s_pairs('l2')}, b as (select query_id, id, d, row_number() over (partition by query_id order by d, id) as rank from p), t as (select * from b where rank <= {K}), r as (select query_id, id, d, row_number() over (partition by query_id order by d, id) as rank from p where id % 3 <> 1 qualify rank <= {K})"
+query(
+    "recall_at_k",
+    f"with {S_TWO}, h as (select t.query_id, count(r.id) / {K}.0 as recall, max(case when t.rank = 1 and r.rank = 1 then 1.0 else 0.0 end) as first, max(case when r.rank = 1 then 1.0 else 0.0 end) as top_in from t left join r on t.query_id = r.query_id and t.id = r.id group by 1) select count(*) as n_queries, round(avg(recall), 6) as recall_at_k, round(avg(first), 6)::double as recall_at_1, round(avg(top_in), 6)::double as top1_in_truth_k from h",
+)(lambda spark, sf_dir: r6(knn.recall(*two_results(spark, sf_dir), K), "recall_at_k", "recall_at_1", "top1_in_truth_k"))
+query("result_comparison", f"with {S_TWO} select count(*) as n_ranks, count(*) filter (t.id is distinct from r.id) as n_different, round(max(abs(t.d - r.d)), 6) as max_distance_difference from t full join r on t.query_id = r.query_id and t.rank = r.rank")(lambda spark, sf_dir: r6(knn.compare(*two_results(spark, sf_dir)), "max_distance_difference"))
+
+# ----------------------------------------------------------- aggregations (2.5)
+
+query(
+    "medoid",
+    f"with {E}, n as (select count(*) as n from e), s as (select id, vec from e, n where id % greatest(1, n // greatest(1, sqrt(n)::int - case when sqrt(n)::int > sqrt(n) then 1 else 0 end)) = 0), t as (select a.id, sum({s_l2('a.vec', 'b.vec')}) as total from s a, s b group by 1) select arg_min(id, (total, id)) as id, round(min(total), 4) as total from t",
+)(lambda spark, sf_dir: r6(kmeans.medoid(vectors(spark, sf_dir)), "total", places=4))
+S_CENTROIDS = "c as (select id as code, vec as cv from e where id < 8)"
+
+
+def first_rows(spark, sf_dir, k=8):
+    return [r["vec"] for r in vectors(spark, sf_dir).where(f"id < {k}").orderBy("id").collect()]  # k rows
+
+
+query("nearest_centroid", f"with {E}, {S_CENTROIDS} select e.id, arg_min(code, (d, code))::int as code, round(min(d), 6) as d2 from (select e.id, code, {s_l2sq('e.vec', 'cv')} as d from e, c) e group by 1")(lambda spark, sf_dir: r6(kmeans.assign(vectors(spark, sf_dir), first_rows(spark, sf_dir)), "d2").select("id", "code", "d2"))
+query("inertia", f"with {E}, {S_CENTROIDS} select round(sum(d), 4) as inertia, count(*) as n from (select e.id, min({s_l2sq('e.vec', 'cv')}) as d from e, c group by 1)")(lambda spark, sf_dir: r6(kmeans.inertia(vectors(spark, sf_dir), first_rows(spark, sf_dir)), "inertia", places=4))
+
+
+@query("centroid_update", f"with {E}, {S_CENTROIDS}, a as (select e.id, arg_min(code, ({s_l2sq('e.vec', 'cv')}, code)) as code from e, c group by 1), x as (select code, unnest(vec) as x, generate_subscripts(vec, 1) as i from a join e using (id)) select code::int as code, (i - 1)::int as pos, round(avg(x), 6) as mean from x group by 1, 2")
+def centroid_update(spark, sf_dir):
+    a = kmeans.assign(vectors(spark, sf_dir), first_rows(spark, sf_dir))
+    return a.select("code", F.posexplode("vec").alias("pos", "x")).groupBy("code", "pos").agg(F.round(F.avg("x"), 6).alias("mean"))
+
+
+@query("kmeans_fit")
+def kmeans_fit(spark, sf_dir):
+    c, inertia, done = kmeans.fit(vectors(spark, sf_dir), 8, rounds=10)
+    return spark.createDataFrame([(i, v, inertia, done) for i, v in enumerate(c)], "code int, centroid array<double>, inertia double, converged boolean")
+
+
+query("kmeans_elbow")(lambda spark, sf_dir: kmeans.elbow(vectors(spark, sf_dir), range(2, 5), trials=1, rounds=4))
+S_VALUES = "x as (select unnest(vec) as x from e), o as (select x, row_number() over (order by x) - 1 as i, count(*) over () as n from x)"
+S_NORMS = f"select min(v) as norm_min, max(v) as norm_max, avg(v) as norm_mean, stddev_pop(v) as norm_std from (select {s_norm('vec')} as v from e)"
+
+
+def s_round(*c: str) -> str:
+    return ", ".join(f"round({x}, 6) as {x}" for x in c)
+
+
+query("vector_stats", f"with {E}, {S_VALUES}, n as ({S_NORMS}), a as (select min(x) as min, max(x) as max, avg(x) as mean, max(case when i = n // 2 then x end) as median from o) select {s_round('min', 'max', 'mean', 'median', 'norm_min', 'norm_max', 'norm_mean')} from a, n")(lambda spark, sf_dir: r6(profile.vector_stats(vectors(spark, sf_dir)), "min", "max", "mean", "median", "norm_min", "norm_max", "norm_mean"))
+query(
+    "detailed_stats",
+    f"with {E}, {S_VALUES}, n as ({S_NORMS}), a as (select count(*) as n_values, min(x) as min, max(x) as max, avg(x) as mean, stddev_pop(x) as std, {', '.join(f'max(case when i = n * {p} // 100 then x end) as p{p}' for p in (25, 50, 75, 95, 99))} from o) select n_values, {s_round('min', 'max', 'mean', 'std', 'p25', 'p50', 'p75', 'p95', 'p99', 'norm_min', 'norm_max', 'norm_mean', 'norm_std')} from a, n",
+)(lambda spark, sf_dir: r6(profile.detailed_stats(vectors(spark, sf_dir)), "min", "max", "mean", "std", "p25", "p50", "p75", "p95", "p99", "norm_min", "norm_max", "norm_mean", "norm_std"))
+query("histogram", f"with {E}, x as (select unnest(vec) as x from e), a as (select min(x) as lo, max(x) as hi, (max(x) - min(x)) / 20 as w from x), b as (select least(19, floor((x - lo) / w))::int as bin, count(*) as n from x, a group by 1) select s.bin::int as bin, round(lo + s.bin * w, 6) as low, round(lo + (s.bin + 1) * w, 6) as high, coalesce(n, 0) as n from (select unnest(range(20)) as bin) s cross join a left join b on b.bin = s.bin")(
+    lambda spark, sf_dir: r6(profile.histogram(vectors(spark, sf_dir)), "low", "high")
+)
+
+
+def doubled(spark, sf_dir):
+    """Some vectors twice under other ids."""
+    e = vectors(spark, sf_dir).select("id", "vec")
+    return e.unionAll(e.where("id % 3 = 0").select((F.col("id") + 1_000_000).alias("id"), "vec"))
+
+
+S_DOUBLED = "d as (select id, vec from e union all select id + 1000000, vec from e where id % 3 = 0), g as (select min(id) as first_id, count(*) as n from (select id, list_transform(vec, lambda x: trunc(x * 1000000.0)::bigint) as k from d) group by k)"
+query("duplicate_groups", f"with {E}, {S_DOUBLED} select * from g")(lambda spark, sf_dir: profile.duplicate_groups(doubled(spark, sf_dir)))
+query("duplicate_counts", f"with {E}, {S_DOUBLED} select count(*) as n_unique, count(*) filter (n > 1) as n_groups, sum(n - 1)::bigint as n_extra from g")(lambda spark, sf_dir: profile.duplicates(doubled(spark, sf_dir)))
+query("memory_estimates", f"with {E}, s as (select count(*) as n, max(len(vec)) as d from e) select n, d, n * d * 4 as raw_bytes, n * 512 as graph_bytes, n * d * 4 + n * 512 + 1048576 as index_bytes, {', '.join(f'n * d * 4 // {k} as pq_bytes_{k}x' for k in (4, 8, 16, 32, 64))} from s")(lambda spark, sf_dir: profile.memory_estimates(vectors(spark, sf_dir)))
+
+S_STATS = "count(*) as n, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as std, round(min(value), 6) as min, round(max(value), 6) as max, " + ", ".join(f"round(quantile_cont(value, {p / 100}), 6) as p{p}" for p in (50, 90, 95, 99))
+EVENTS = ("mean", "std", "min", "max", "p50", "p90", "p95", "p99")
+
+
+def events(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "value", "ts")
+
+
+query("percentile_stats", f"select event_type, {S_STATS} from events group by 1")(lambda spark, sf_dir: r6(profile.percentile_stats(events(spark, sf_dir), "event_type", "value", "event_id"), *EVENTS))
+query("percentile_stats_window", f"select event_type, {S_STATS} from (select * from events qualify row_number() over (partition by event_type order by event_id desc) <= 100) group by 1")(lambda spark, sf_dir: r6(profile.percentile_stats(events(spark, sf_dir), "event_type", "value", "event_id", 100), *EVENTS))
+query("sliding_mean", "select event_type, event_id, round(sum(value) over w, 4) as total, count(*) over w as n from events window w as (partition by event_type order by event_id rows between 99 preceding and current row)")(lambda spark, sf_dir: profile.sliding_mean(events(spark, sf_dir), "event_type", "value", "event_id", 100).select("event_type", "event_id", F.round(F.col("mean") * F.col("n"), 4).alias("total"), "n"))
+query("latency_report", "with o as (select event_type, value, row_number() over (partition by event_type order by value) - 1 as i, count(*) over (partition by event_type) as n from events) select event_type, max(n) as n, round(avg(value), 6) as mean, round(max(case when i = n // 2 then value end), 6) as p50, round(max(case when i = n * 95 // 100 then value end), 6) as p95, round(max(case when i = n * 99 // 100 then value end), 6) as p99, round(count(*) * 1e6 / sum(value), 4) as per_second from o group by 1")(
+    lambda spark, sf_dir: r6(r6(profile.latency_report(events(spark, sf_dir), "event_type", "value"), "mean", "p50", "p95", "p99"), "per_second", places=4)
+)
+query("throughput", "select event_type, (floor(epoch(ts) / 3600) * 3600)::bigint as start, count(*) as n, round(count(*) / 3600.0, 6) as per_second from events group by 1, 2")(lambda spark, sf_dir: r6(profile.throughput(events(spark, sf_dir), "event_type", "ts", 3600), "per_second"))
+
+# --------------------------------------------------------- quantized search (2.8)
+
+
+def book_of(spark, sf_dir):
+    """A codebook of the first rows' subvectors."""
+    return pq.from_rows(vectors(spark, sf_dir), PQ)
+
+
+def coded(spark, sf_dir):
+    return pq.encode(vectors(spark, sf_dir).select("id", "vec"), book_of(spark, sf_dir))
+
+
+S_BOOK = f"m as (select unnest(range({PQ.m})) as m), b as (select m, id as code, vec[m * {PQ.width} + 1 : (m + 1) * {PQ.width}] as c from e, m where id < {PQ.k}), u as (select id, m, vec[m * {PQ.width} + 1 : (m + 1) * {PQ.width}] as s from e, m), n as (select u.id, u.m, arg_min(code, ({s_l2sq('s', 'c')}, code)) as code from u join b using (m) group by 1, 2)"
+query("pq_encode", f"with {E}, {S_BOOK} select id, list(code::bigint order by m) as codes from n group by 1")(lambda spark, sf_dir: coded(spark, sf_dir).select("id", F.col("codes").cast("array<bigint>").alias("codes")))
+query("pq_decode", f"with {E}, {S_BOOK} select id, list_transform(flatten(list(c order by m)), lambda x: round(x, 6)) as decoded from n join b using (m, code) group by 1")(lambda spark, sf_dir: pq.decode(coded(spark, sf_dir), pq.table(spark, book_of(spark, sf_dir))).select("id", F.transform("decoded", lambda x: F.round(x, 6)).alias("decoded")))
+query("pq_reconstruction_error", f"with {E}, {S_BOOK}, d as (select id, flatten(list(c order by m)) as decoded from n join b using (m, code) group by 1) select round(avg({s_l2('vec', 'decoded')}), 6) as mean_error, count(*) as n from e join d using (id)")(lambda spark, sf_dir: r6(pq.reconstruction_error(coded(spark, sf_dir), pq.table(spark, book_of(spark, sf_dir))), "mean_error"))
+query("pq_adc", f"with {E}, {S_BOOK}, l as (select u.id as query_id, u.m, code, {s_l2sq('s', 'c')} as d from u join b using (m) where u.id % 50 = 0), p as (select query_id, n.id, sqrt(list_sum(list(d order by m))) as d from n join l using (m, code) group by 1, 2) select query_id, count(*) as n, round(sum(d), 4) as total, round(min(d), 6) as nearest from p group by 1")(
+    lambda spark, sf_dir: r6(pq.adc_topk(asked(vectors(spark, sf_dir)), coded(spark, sf_dir), book_of(spark, sf_dir), 1 << 40).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("distance"), 4).alias("total"), F.min("distance").alias("nearest")), "nearest")
+)
+query("pq_sdc_table", f"with {E}, {S_BOOK} select a.m::int as subspace, a.code::int as c1, b.code::int as c2, round({s_l2sq('a.c', 'b.c')}, 6) as d from b a join b using (m)")(lambda spark, sf_dir: r6(pq.sdc_table(pq.table(spark, book_of(spark, sf_dir))), "d"))
+
+
+@query("pq_sdc_distance", f"with {E}, {S_BOOK}, z as (select m, code as zc from n where id = 0) select n.id, round(sqrt(sum({s_l2sq('x.c', 'y.c')})), 6) as distance from n join z using (m) join b x on x.m = n.m and x.code = n.code join b y on y.m = n.m and y.code = z.zc group by 1")
+def pq_sdc_distance(spark, sf_dir):
+    c = coded(spark, sf_dir)
+    zero = c.where("id = 0").select(F.col("codes").alias("b"))
+    table = pq.sdc_table(pq.table(spark, book_of(spark, sf_dir)))
+    return r6(pq.sdc(c.select("id", F.col("codes").alias("a")).crossJoin(F.broadcast(zero)), table, keys=("id",)), "distance")
+
+
+query("codebook_validate", f"with {E}, {S_BOOK} select count(*) as n, count(*) filter (len(c) = {PQ.width}) as n_good, count(*) = {PQ.m * PQ.k} as valid from b")(lambda spark, sf_dir: pq.validate(pq.table(spark, book_of(spark, sf_dir)), PQ.m, PQ.k, PQ.width))
+
+
+@query("pq_train")
+def pq_train(spark, sf_dir):
+    return pq.train(vectors(spark, sf_dir), pq.Params(64, 8, 5, rounds=10))[1]
+
+
+@query("pq_search_rerank")
+def pq_search_rerank(spark, sf_dir):
+    """Recall of two-stage search with a trained codebook against exact search."""
+    e = vectors(spark, sf_dir)
+    book, _ = pq.train(e, pq.Params(64, 16, 6, rounds=10))
+    found = pq.search(asked(e), pq.encode(e.select("id", "vec"), book), book, K, factor=20)
+    return knn.recall(found, knn.topk_join(asked(e), e, K), K)
+
+
+# ----------------------------------------------------------------- graphs (2.8)
+
+S_EDGES = f"{E}, k as (select a.id as src, b.id as dst, row_number() over (partition by a.id order by {s_l2('a.vec', 'b.vec')}, b.id) as r from e a, e b where a.id <> b.id and a.id % 50 = 0), g as (select src, dst from k where r <= 5)"
+
+
+def neighbour_graph(spark, sf_dir, k=5):
+    """src, dst of the nearest neighbours of the queries."""
+    e = vectors(spark, sf_dir)
+    return knn.topk_join(asked(e), e, k, self_join=True).select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
+
+
+query("graph_stats", f"with {S_EDGES}, d as (select src, count(*) as n from g group by 1) select count(*) as n_vertices, sum(n)::bigint as n_edges, avg(n) as avg_degree, min(n)::int as min_degree, max(n)::int as max_degree from d")(lambda spark, sf_dir: graph.graph_stats(neighbour_graph(spark, sf_dir).groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("neighbors"))))
+query("graph_reachable", f"with recursive {S_EDGES}, r as (select 0::bigint as v union select dst from r join g on g.src = r.v) select v from r")(lambda spark, sf_dir: graph.reachable(neighbour_graph(spark, sf_dir), 0))
+query("topology_similarity", f"with {S_EDGES}, h as (select src, dst from k where r <= 3) select count(h.src) as n_both, count(*) as n_either, count(h.src) / count(*)::double as similarity from g full join h using (src, dst)")(lambda spark, sf_dir: graph.topology_similarity(neighbour_graph(spark, sf_dir), neighbour_graph(spark, sf_dir, 3)))
+
+PARAMS = graph.IndexParams(degree=32, beam=64)
+
+
+def built(spark, sf_dir):
+    return graph.build(vectors(spark, sf_dir), PARAMS, shard_rows=1000)
+
+
+query("graph_build")(lambda spark, sf_dir: built(spark, sf_dir).select("shard", "id", "entry", "neighbors"))
+
+
+@query("graph_search")
+def graph_search(spark, sf_dir):
+    """Recall of the graph search against exact search."""
+    e = vectors(spark, sf_dir)
+    return knn.recall(graph.search(asked(e), built(spark, sf_dir), K, PARAMS), knn.topk_join(asked(e), e, K), K)
+
+
+# ------------------------------------------------------------- set operations (2.9)
+
+S_AB = f"{E}, a as (select unnest(labels) as x from e where id % 2 = 0), b as (select unnest(labels) as x from e where id % 5 = 1)"
+for _name, _how, _sql in (("set_union", lambda a, b: a.unionAll(b).distinct(), "union"), ("set_intersection", lambda a, b: a.intersect(b), "intersect"), ("set_difference", lambda a, b: a.exceptAll(b).distinct().join(b, "x", "left_anti"), "except")):
+    query(_name, f"with {S_AB} select x from a {_sql} select x from b")(lambda spark, sf_dir, how=_how: (lambda e: how(e.where("id % 2 = 0").select(F.explode("labels").alias("x")), e.where("id % 5 = 1").select(F.explode("labels").alias("x"))))(vectors(spark, sf_dir)))
+
+# ----------------------------------------------------------- changing tables (2.11)
+
+S_OPS = "ops as (select event_id as seq, case when event_id % 5 = 0 then 'delete' when event_id % 11 = 0 then 'set_labels' else 'insert' end as op, user_id as id, value::float as value, [(event_id % 3)::bigint, 5::bigint] as labels from events), st as (select id, arg_max(op, seq) as op, arg_max(value, seq) as value, arg_max(labels, seq) as labels, max(seq) as seq from ops where op <> 'set_labels' group by 1), rl as (select id, arg_max(labels, seq) as labels, max(seq) as seq from ops where op = 'set_labels' group by 1), s as (select st.id, st.op, st.value, case when rl.seq > st.seq then rl.labels else st.labels end as labels from st left join rl using (id)), l as (select id, round(value::double, 4) as value, labels from s where op = 'insert')"
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("value", F.round(F.get("vec", F.lit(0)).cast("double"), 4)).drop("vec")
+
+
+query("live_view", f"with {S_OPS} select * from l")(lambda spark, sf_dir: shown(live.live(operations(spark, sf_dir))))
+query("live_tombstones", f"with {S_OPS} select id from s where op = 'delete'")(lambda spark, sf_dir: live.tombstones(operations(spark, sf_dir)))
+query("live_stats", f"with {S_OPS} select count(*) filter (op = 'insert') as n_live, count(*) filter (op = 'delete') as n_deleted, count(*) filter (op = 'delete') / count(*)::double as fragmentation from s")(lambda spark, sf_dir: live.stats(operations(spark, sf_dir)))
+query("consolidate", f"with {S_OPS} select *, row_number() over (order by id) - 1 as new_id from l")(lambda spark, sf_dir: shown(live.consolidate(operations(spark, sf_dir))))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that all executors share; a temporary one where none is named (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    import uuid
+
+    return f"{where.rstrip('/')}/ql-{uuid.uuid4().hex}" if where else "file://" + tempfile.mkdtemp(prefix="quiverlake-")
+
+
+@query("live_stream", f"with {S_OPS} select * from l")
+def live_stream(spark, sf_dir):
+    """The operations written as files and followed as a stream of micro-batches; the last version's live rows."""
+    at = scratch(spark)
+    operations(spark, sf_dir).repartitionByRange(4, "seq").write.parquet(f"{at}/ops")
+    table = live.LiveTable(spark, f"{at}/table", max_fragmentation=1.0)
+    stream = spark.readStream.schema(live.OPS).option("maxFilesPerTrigger", 2).parquet(f"{at}/ops")
+    table.follow(stream, f"{at}/checkpoint").awaitTermination()
+    return shown(table.read())
+
+
+# ------------------------------------------------------------ sources and sinks (2.1)
+
+
+def round_trip(spark, sf_dir, form, layout="", dtype="float32", scale=1.0):
+    """The vectors written in a format and read back, with the id as one more element."""
+    spark.dataSource.register(vecfiles.VectorFiles)
+    at = scratch(spark)
+    rows = raw(spark, sf_dir)
+    v = F.transform("vec", lambda x: x * F.lit(scale).cast("float"))
+    rows = rows.select(F.concat(F.array(F.col("id") % 100).cast("array<float>"), v).alias("vec"))
+    options = {"format": form, "layout": layout, "dtype": dtype, "dimension": "65"}
+    rows.write.format("vectors").mode("append").options(**options).save(at)
+    back = spark.read.format("vectors").options(**options).load(at)
+    return back.select(F.get("vec", F.lit(0)).cast("bigint").alias("id"), F.aggregate(F.slice(F.col("vec").cast("array<double>"), 2, 64), F.lit(0.0), lambda s, x: s + x).alias("total")).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("total"), 3).alias("total"))
+
+
+def s_trip(element: str) -> str:
+    return f"with {R} select (id % 100)::bigint as id, count(*) as n, round(sum({s_sum(f'list_transform(vec, lambda x: {element})')}), 3) as total from e group by 1"
+
+
+query("fvecs_round_trip", s_trip("x"))(lambda spark, sf_dir: round_trip(spark, sf_dir, "fvecs"))
+query("bvecs_round_trip", s_trip("greatest(0.0, least(255.0, round((x::float * 500.0::float)::double)))"))(lambda spark, sf_dir: round_trip(spark, sf_dir, "bvecs", scale=500.0))
+query("ivecs_round_trip", s_trip("round((x::float * 10000.0::float)::double)"))(lambda spark, sf_dir: round_trip(spark, sf_dir, "ivecs", scale=10000.0))
+query("bin_header8_round_trip", s_trip("x"))(lambda spark, sf_dir: round_trip(spark, sf_dir, "bin", "header8"))
+query("bin_raw_round_trip", s_trip("x"))(lambda spark, sf_dir: round_trip(spark, sf_dir, "bin", "raw"))
+query("bin_int8_round_trip", s_trip("greatest(-128.0, least(127.0, round((x::float * 300.0::float)::double)))"))(lambda spark, sf_dir: round_trip(spark, sf_dir, "bin", "header32", "int8", 300.0))
+query("result_text", f"with {E}, {Q}, {s_pairs('l2')}, t as (select query_id, id, d, row_number() over (partition by query_id order by d, id) as rank from p qualify rank <= {K}) select query_id, query_id || ' ' || string_agg(id || ':' || printf('%.6f', d), ' ' order by rank) as line from t group by 1")(lambda spark, sf_dir: (lambda e: results.result_lines(knn.topk_join(asked(e), e, K)))(vectors(spark, sf_dir)))
