@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quiverlake.llm import decontam, jaccard_join, mixing, quality, queries, token_output
 from quiverlake.llm.common import delete, documents, load, public_vocabulary, scratch_path, scratch_scope
@@ -48,8 +49,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @tidy
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(docs, queries.MIX_WEIGHTS)
-    return mixed.repartitionByRange("_mix_position").sortWithinPartitions("_mix_position").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"), "doc_id", "source")
+    mixed = mixing.mix_sources(rows, queries.MIX_WEIGHTS)
+    return mixed.repartitionByRange("_mix_position").sortWithinPartitions("_mix_position").select("_d.*")
 
 
 @tidy
