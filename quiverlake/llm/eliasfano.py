@@ -93,7 +93,7 @@ class Sequence:
         return ((self.select(i, 1) - i).astype(U64) << U64(self.l)) | self.low_of(i)
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """The index of the (first) value equal to each x, or -1."""
+        """The index of a value equal to each x, or -1."""
         x = np.asarray(x, U64)
         out = np.full(len(x), -1, np.int64)
         if self.n == 0 or not len(x):
@@ -102,19 +102,20 @@ class Sequence:
             out[inside] = self.find(x[inside])
             return out
         high, low = (x >> U64(self.l)).astype(np.int64), x & U64((1 << self.l) - 1)
-        pos = np.zeros(len(x), np.int64)
+        begin = np.zeros(len(x), np.int64)
         later = np.flatnonzero(high > 0)
-        pos[later] = self.select(high[later] - 1, 0) + 1
-        i = pos - high
-        todo = np.arange(len(x))
-        while len(todo):
-            on = (self.high[pos >> 3] >> (pos & 7).astype(U64)) & U64(1) == 1
-            todo, pos, i = todo[on], pos[on], i[on]
-            got = self.low_of(i)
-            same = got == low[todo]
-            out[todo[same]] = i[same]
-            on = got < low[todo]
-            todo, pos, i = todo[on], pos[on] + 1, i[on] + 1
+        begin[later] = self.select(high[later] - 1, 0) + 1 - high[later]
+        end = self.select(high, 0) - high  # values of one high part lie in [begin, end)
+        todo = np.flatnonzero(begin < end)
+        a, b, want = begin[todo], end[todo], low[todo]
+        while (wide := b - a > 1).any():
+            k = np.flatnonzero(wide)
+            middle = (a[k] + b[k]) >> 1
+            right = self.low_of(middle) <= want[k]
+            a[k] = np.where(right, middle, a[k])
+            b[k] = np.where(right, b[k], middle)
+        same = self.low_of(a) == want
+        out[todo[same]] = a[same]
         return out
 
 

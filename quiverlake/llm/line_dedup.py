@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, stage
+from .common import SPACES, discard, stage
 from .graph import components
 from .quality import let
 
@@ -147,17 +147,20 @@ def pair_links(members: Column, others: Column, tau: int, same: bool) -> Column:
     return F.flatten(F.transform(members, of))
 
 
-def line_links(lines: DataFrame, tau: int, group: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes: id, ha, hb; links: a, b) of distinct lines (ha, hb, line)."""
-    sized = lines.withColumn("n", F.length("line"))
-    keyed = sized.select("ha", "hb", F.explode(keys(F.col("line"), F.col("n"), tau)).alias("x")).select("ha", "hb", "x.k", "x.probe").distinct()
+def line_links(hashed: DataFrame, texts: DataFrame, tau: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes: id, ha, hb; links: a, b) of lines. hashed: ha, hb, keys; texts: ha, hb, line.
+
+    Tables that grow with the input are joined by merging at every size.
+    """
+    keyed = hashed.select("ha", "hb", F.explode("keys").alias("x")).select("ha", "hb", "x.k", "x.probe").distinct()
     keyed = stage(keyed, "line-keys")
     # keys that different lines have, an indexed one among them
     met = keyed.groupBy("k").agg(F.min("ha").alias("lo"), F.max("ha").alias("hi"), F.min("hb").alias("lo2"), F.max("hb").alias("hi2"), F.min("probe").alias("all_probe"), F.count(F.lit(1)).alias("size"))
     met = met.where("(lo <> hi or lo2 <> hi2) and not all_probe").select(F.col("k").alias("_k"), "size")
-    cand = stage(keyed.join(met, keyed["k"] == met["_k"]).drop("_k"), "line-candidates")
+    cand = stage(keyed.join(met.hint("merge"), keyed["k"] == met["_k"]).drop("_k"), "line-candidates")
+    discard(keyed)
     ids = cand.select(F.col("ha").alias("_a"), F.col("hb").alias("_b")).distinct()
-    nodes = lines.join(ids, (lines["ha"] == ids["_a"]) & (lines["hb"] == ids["_b"]), "left_semi").groupBy("ha", "hb").agg(F.min("line").alias("line"))
+    nodes = texts.join(ids.hint("merge"), (texts["ha"] == ids["_a"]) & (texts["hb"] == ids["_b"]), "left_semi").groupBy("ha", "hb").agg(F.min("line").alias("line"))
     nodes = stage(nodes.withColumn("id", F.monotonically_increasing_id()), "line-nodes")
     held = cand.join(nodes.withColumnsRenamed({"ha": "_a", "hb": "_b"}), (cand["ha"] == F.col("_a")) & (cand["hb"] == F.col("_b"))).select("k", "size", "id", "line", (~F.col("probe")).alias("index"))
     held = stage(held.groupBy("k", "size", "id").agg(F.max("index").alias("index"), F.first("line").alias("line")), "line-members")
@@ -187,8 +190,11 @@ def line_links(lines: DataFrame, tau: int, group: int) -> tuple[DataFrame, DataF
 
 def line_dedup(docs: DataFrame, tau: int = 1, min_length: int = 20, group: int = 128, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_exact (lines equal to an earlier one), n_near (others whose class has an earlier line) and n_kept, of each document."""
-    hashed = lines_of(docs, doc_id, text).withColumns({"ha": F.xxhash64("line"), "hb": F.xxhash64("line", F.lit(7))})
-    nodes, links = line_links(hashed.where(F.length("line") >= min_length).select("ha", "hb", "line"), tau, group)
+    full = lines_of(docs, doc_id, text).withColumns({"ha": F.xxhash64("line"), "hb": F.xxhash64("line", F.lit(7))})
+    n = F.length("line")
+    # without the texts: a few numbers a line, read several times
+    hashed = stage(full.select("doc_id", "no", "ha", "hb", F.when(n >= min_length, keys(F.col("line"), n, tau)).alias("keys")), "lines")
+    nodes, links = line_links(hashed, full.where(n >= min_length).select("ha", "hb", "line"), tau, group)
     comp = components(links).select(F.col("v").alias("_v"), F.col("comp").alias("cls"))
     classed = nodes.join(comp, nodes["id"] == comp["_v"]).select(F.col("ha").alias("_a"), F.col("hb").alias("_b"), "cls")
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("no").alias("l"))
@@ -197,15 +203,10 @@ def line_dedup(docs: DataFrame, tau: int = 1, min_length: int = 20, group: int =
     by_line = stage(by_line, "line-classes")
     earliest = by_line.where("cls is not null").groupBy(F.col("cls").alias("_c")).agg(F.min("first").alias("earliest"))
     later = by_line.join(earliest, F.col("cls") == F.col("_c"), "left").withColumn("near", F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)))
-    later = later.select(F.col("ha").alias("_a"), F.col("hb").alias("_b"), "first", "near")
-    # each document's lines: all of a line's places but its first are exact repeats
-    own = hashed.groupBy("doc_id", "ha", "hb").agg(F.count(F.lit(1)).alias("n"))
-    own = own.join(later, (own["ha"] == later["_a"]) & (own["hb"] == later["_b"]))
-    is_first = F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("first.d")
-    exact = F.col("n") - F.when(is_first, 1).otherwise(0)
-    near = F.when(is_first & F.col("near"), 1).otherwise(0)
-    found = own.groupBy(F.col("doc_id").alias("_d")).agg(F.sum("n").alias("n_lines"), F.sum(exact).alias("n_exact"), F.sum(near).alias("n_near"))
-    every = docs.select(F.col(doc_id).cast("bigint").alias("doc_id")).distinct()
-    out = every.join(found, every["doc_id"].eqNullSafe(found["_d"]), "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return out.select("doc_id", zero("n_lines"), zero("n_exact"), zero("n_near"), (F.coalesce("n_lines", F.lit(0)) - F.coalesce("n_exact", F.lit(0)) - F.coalesce("n_near", F.lit(0))).cast("bigint").alias("n_kept"))
+    # counts by document need no join with the lines: a line counts where its first place is
+    firsts = later.groupBy(F.col("first.d").alias("d")).agg(F.count(F.lit(1)).alias("n_first"), F.count_if("near").alias("n_near"), F.lit(0).cast("bigint").alias("n_lines"))
+    counts = hashed.groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d")).agg(F.lit(0).cast("bigint").alias("n_first"), F.lit(0).cast("bigint").alias("n_near"), F.count(F.lit(1)).alias("n_lines"))
+    zero = F.lit(0).cast("bigint")
+    every = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63))).alias("d"), zero.alias("n_first"), zero.alias("n_near"), zero.alias("n_lines"))
+    out = firsts.unionAll(counts).unionAll(every).groupBy("d").agg(*[F.sum(c).alias(c) for c in ("n_first", "n_near", "n_lines")])
+    return out.select(F.when(F.col("d") != -(1 << 63), F.col("d")).alias("doc_id"), "n_lines", (F.col("n_lines") - F.col("n_first")).alias("n_exact"), "n_near", (F.col("n_first") - F.col("n_near")).alias("n_kept"))

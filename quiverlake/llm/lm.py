@@ -46,6 +46,7 @@ END = mix(np.array([0x5EED], U64))[0]
 DISCOUNT = 0.75
 LEAST = 2  # n-grams of two words and more that are kept
 SHARD_BYTES = 32 << 20  # of text a shard
+PIECE = 3 << 20  # of text at a time
 
 # ----------------------------------------------------------------- sequences
 
@@ -92,7 +93,11 @@ class Counter:
         if not self.held:
             return (*[np.zeros(0, U64)] * self.width, np.zeros(0, np.int64))
         cols = [np.concatenate([h[k] for h in self.held]) for k in range(self.width + 1)]
-        order = np.lexsort(cols[: self.width][::-1]) if self.width > 1 else np.argsort(cols[0], kind="stable")
+        key = cols[0]
+        if self.width > 1:
+            shift = int(cols[1].max(initial=0)).bit_length()
+            key = (cols[0] << U64(shift)) | cols[1] if int(cols[0].max(initial=0)).bit_length() + shift <= 64 else None
+        order = np.lexsort(cols[: self.width][::-1]) if key is None else np.argsort(key)
         cols = [c[order] for c in cols]
         new = np.ones(len(order), bool)
         new[1:] = np.any([c[1:] != c[:-1] for c in cols[: self.width]], axis=0)
@@ -272,50 +277,82 @@ class Trie:
         return out
 
     def value(self, n: int, ids: np.ndarray, what: str, out) -> np.ndarray:
-        """Counts, log_p or log_weight of ids (any order; -1 keeps out's value)."""
+        """Counts, log_p or log_weight of ascending ids (-1: out; it may stand anywhere)."""
         got = np.full(len(ids), out, np.int64 if what == "counts" else np.float64)
-        u, inverse = np.unique(ids, return_inverse=True)
-        v = np.full(len(u), out, got.dtype)
-        a = int(np.searchsorted(u, 0))
-        keys = u[a:]
+        if len(self.levels) < n:
+            return got
+        at = np.flatnonzero(ids >= 0)
+        keys = ids[at]
         for level, s in self.each(n, keys, "context" if what == "log_weight" else "node"):
             k = keys[s]
-            v[a:][s] = level.counts[k - level.first] if what == "counts" else level.log_p(k) if what == "log_p" else level.log_weight(k)
-        return v[inverse]
+            got[at[s]] = level.counts[k - level.first] if what == "counts" else level.log_p(k) if what == "log_p" else level.log_weight(k)
+        return got
+
+    def any_order(self, n: int, ids: np.ndarray, what: str, out) -> np.ndarray:
+        u, inverse = np.unique(ids, return_inverse=True)
+        return self.value(n, u, what, out)[inverse]
 
     def children(self, n: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Level-n nodes of contexts (level n - 1) and word ids; -1 where either is or where there is none."""
+        """Level-n nodes of (context, word) pairs in ascending order; -1 where there is none."""
+        node = np.full(len(word), -1, np.int64)
+        if len(self.levels) >= n:
+            for level, s in self.each(n, context, "context"):
+                node[s] = level.find(context[s], word[s])
+        return node
+
+    def children_any_order(self, n: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         out = np.full(len(word), -1, np.int64)
         ok = np.flatnonzero((context >= 0) & (word >= 0))
-        if not len(ok) or len(self.levels) < n:
-            return out
-        c, w = context[ok], word[ok]
-        order = np.lexsort((w, c))
-        c, w = c[order], w[order]
-        new = np.ones(len(c), bool)
-        new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-        at = np.flatnonzero(new)
-        cu, wu = c[at], w[at]
-        node = np.full(len(at), -1, np.int64)
-        for level, s in self.each(n, cu, "context"):
-            node[s] = level.find(cu[s], wu[s])
-        back = np.empty(len(c), np.int64)
-        back[order] = node[np.cumsum(new) - 1]
-        out[ok] = back
+        p = Pairs(context[ok], word[ok])
+        out[ok] = self.children(n, p.a, p.b)[p.inverse]
         return out
 
-    def read(self, t: Tokens) -> np.ndarray:
-        u, inverse = np.unique(t.hashes, return_inverse=True)
-        return self.words(u)[inverse]
-
-    def nodes(self, ids: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
-        """Level-n nodes of the n-grams that end at each token (-1: none)."""
-        node = ids
-        for k in range(2, n + 1):
-            before = np.concatenate([[-1], node[:-1]])
-            before[start] = -1
-            node = self.children(k, before, ids)
-        return node
+
+class Pairs:
+    """Distinct pairs of numbers in ascending order, and each pair's place."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        shift = int(b.max(initial=0)).bit_length()
+        if int(a.max(initial=0)).bit_length() + shift < 63:
+            u, self.inverse, self.count = np.unique((a << shift) | b, return_inverse=True, return_counts=True)
+            self.a, self.b = u >> shift, u & ((1 << shift) - 1)
+        else:
+            order = np.lexsort((b, a))
+            x, y = a[order], b[order]
+            new = np.ones(len(x), bool)
+            new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            at = np.flatnonzero(new)
+            self.a, self.b, self.count = x[at], y[at], np.diff(np.append(at, len(x)))
+            self.inverse = np.empty(len(x), np.int64)
+            self.inverse[order] = np.cumsum(new) - 1
+
+
+class Read:
+    """A batch's tokens as places in its distinct words, which have ids and counts."""
+
+    def __init__(self, trie: Trie, t: Tokens):
+        self.trie, self.start = trie, t.is_start
+        u, self.at = np.unique(t.hashes, return_inverse=True)
+        self.ids = trie.words(u)
+        self.counts = trie.value(1, self.ids, "counts", 0)
+
+    def before(self, node: np.ndarray) -> np.ndarray:
+        """The value at the token before; -1 at a document's start."""
+        out = np.concatenate([[-1], node[:-1]])
+        out[self.start] = -1
+        return out
+
+    def grams(self, context: np.ndarray) -> tuple[np.ndarray, Pairs]:
+        """Tokens that have a context and a known word, and their distinct (context, word place) pairs."""
+        ok = np.flatnonzero((context >= 0) & (self.counts[self.at] > 0))
+        return ok, Pairs(context[ok], self.at[ok])
+
+    def nodes(self, n: int, context: np.ndarray) -> np.ndarray:
+        """Level-n nodes of each token after its context."""
+        out = np.full(len(self.at), -1, np.int64)
+        ok, p = self.grams(context)
+        out[ok] = self.trie.children(n, p.a, self.ids[p.b])[p.inverse]
+        return out
 
 
 def write_shard(folder: str, level: int, shard: int, arrays: dict[str, np.ndarray]) -> str:
@@ -340,7 +377,7 @@ def build_words(train: DataFrame, shards: int, folder: str) -> Trie:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(1)
-        for b in pieces(batches, "_text"):
+        for b in pieces(batches, "_text", PIECE):
             t = Tokens(b.column(1))
             h = t.hashes[~t.is_start]
             u, n = np.unique(h, return_counts=True)
@@ -374,23 +411,17 @@ def build_level(train: DataFrame, trie: Trie, n: int, shards: int, folder: str)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(2)
-        for b in pieces(batches, "_text"):
-            t = Tokens(b.column(1))
-            ids = trie.read(t)
-            context = np.concatenate([[-1], trie.nodes(ids, t.is_start, n - 1)[:-1]])
-            context[t.is_start] = -1
-            if n == 2:  # an n-gram is seen twice only if its words are
-                often = trie.value(1, ids, "counts", 0) >= LEAST
-                ok = (context >= 0) & often & np.concatenate([[False], often[:-1]])
-            else:
-                ok = (context >= 0) & (trie.nodes(ids, t.is_start, 2) >= 0)
-            c, w = context[ok].astype(U64), ids[ok].astype(U64)
-            order = np.lexsort((w, c))
-            c, w = c[order], w[order]
-            new = np.ones(len(c), bool)
-            new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-            at = np.flatnonzero(new)
-            counter.add((c[at], w[at]), np.diff(np.append(at, len(c))))
+        for b in pieces(batches, "_text", PIECE):
+            r = Read(trie, Tokens(b.column(1)))
+            word = r.ids[r.at]
+            # an n-gram is seen twice only if its words and its first n - 1 are
+            word[r.counts[r.at] < LEAST] = -1
+            context = r.before(word)
+            for k in range(2, n):
+                context = r.before(r.nodes(k, context))
+            ok = np.flatnonzero((context >= 0) & (word >= 0))
+            p = Pairs(context[ok], word[ok])
+            counter.add((p.a.astype(U64), p.b.astype(U64)), p.count)
         c, w, m = counter.merge()
         to = (mix(c * U64(0x9E3779B97F4A7C15) + w) % U64(parts)).astype(np.int64)
         order = np.argsort(to, kind="stable")
@@ -430,8 +461,8 @@ def build_level(train: DataFrame, trie: Trie, n: int, shards: int, folder: str)
                 lower = word_log_p(trie, word)
             else:
                 last = above.words()[at]
-                node = trie.children(2, last, word)
-                lower = np.where(node >= 0, trie.value(2, node, "log_p", 0.0), trie.value(2, last, "log_weight", 0.0) + word_log_p(trie, word))
+                node = trie.children_any_order(2, last, word)
+                lower = np.where(node >= 0, trie.any_order(2, node, "log_p", 0.0), trie.any_order(2, last, "log_weight", 0.0) + word_log_p(trie, word))
             p = (m - DISCOUNT) / total[at] + weight[at] * 10.0**lower
             code, book = quantise(np.log10(p))
             weight_code, weight_book = quantise(np.log10(weight))
@@ -450,8 +481,11 @@ def build_level(train: DataFrame, trie: Trie, n: int, shards: int, folder: str)
 
 
 def word_log_p(trie: Trie, ids: np.ndarray) -> np.ndarray:
-    """log10 p of words by count; -1: unseen."""
-    count = trie.value(1, ids, "counts", 0)
+    """log10 p of words (ids in any order) by count; -1: unseen."""
+    return count_log_p(trie, trie.any_order(1, ids, "counts", 0))
+
+
+def count_log_p(trie: Trie, count: np.ndarray) -> np.ndarray:
     return np.log10(np.where(count > 0, (1 - trie.unseen) * count / max(trie.total, 1), trie.unseen))
 
 
@@ -475,23 +509,23 @@ def build_trie(train: DataFrame, order: int = 3, shards: int | None = None) -> T
 def score(trie: Trie, column: pa.Array) -> tuple[np.ndarray, ...]:
     """n_tokens, n_known, base_score and score of each text."""
     t = Tokens(column)
-    ids = trie.read(t)
-    count = trie.value(1, ids, "counts", 0)
-    base = np.log10((count + 0.1) / (trie.total + 0.1 * (trie.types + 1)))
-    before = np.concatenate([[-1], ids[:-1]])
-    before[t.is_start] = -1
-    log_p = word_log_p(trie, ids)
-    node, context = ids, before
+    r = Read(trie, t)
+    base = np.log10((r.counts + 0.1) / (trie.total + 0.1 * (trie.types + 1)))[r.at]
+    log_p = count_log_p(trie, r.counts)[r.at]
+    context = r.before(r.ids[r.at])
     for n in range(2, len(trie.levels) + 1):
-        # context: level n - 1 node of the words before
-        next_node = trie.children(n, context, ids)
-        log_p = np.where(next_node >= 0, trie.value(n, next_node, "log_p", 0.0), trie.value(n, context, "log_weight", 0.0) + log_p)
-        node = next_node
-        context = np.concatenate([[-1], node[:-1]])
-        context[t.is_start] = -1
-        context[np.concatenate([[False], t.is_start[:-1]])] = -1
+        # kept n-grams have their probability; else the context's weight, which also words without an id get
+        u, inverse = np.unique(context, return_inverse=True)
+        log_p += trie.value(n, u, "log_weight", 0.0)[inverse]
+        ok, p = r.grams(context)
+        node_of = trie.children(n, p.a, r.ids[p.b])
+        node = np.full(len(r.at), -1, np.int64)
+        node[ok] = node_of[p.inverse]
+        kept = np.flatnonzero(node_of[p.inverse] >= 0)
+        log_p[ok[kept]] = trie.value(n, node_of, "log_p", 0.0)[p.inverse[kept]]
+        context = r.before(node)
     use = ~t.is_start
-    sums = [np.bincount(t.doc[use], x[use], t.n_docs) for x in (np.ones(len(ids)), count > 0, base, log_p)]
+    sums = [np.bincount(t.doc[use], x[use], t.n_docs) for x in (np.ones(len(r.at)), r.counts[r.at] > 0, base, log_p)]
     return sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], sums[3]
 
 
@@ -502,7 +536,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order
     rows = docs.select(*cols, held_out(doc_id).alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "_text", 4 << 20):
+        for b in pieces(batches, "_text", PIECE):
             n, known, base, log_p = score(trie, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), pa.array(known), pa.array(np.full(len(n), trie.total)), pa.array(base), pa.array(log_p)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

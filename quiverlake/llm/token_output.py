@@ -341,8 +341,8 @@ def in_file_order(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
     try:
         name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
         part = F.regexp_extract(name, r"part-(\d+)", 1).try_cast("bigint")
-        placed = docs.select("*", part.alias("_part"), name.alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        placed = docs.select("*", part.alias("_ql_part"), name.alias("_ql_file"), F.col("_metadata.row_index").alias("_ql_row"))
         placed.schema  # noqa: B018  analysed now
-        return placed, ("_part", "_file", "_at")
+        return placed, ("_ql_part", "_ql_file", "_ql_row")
     except AnalysisException:
         return docs, ("doc_id",)

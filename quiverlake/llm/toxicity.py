@@ -178,18 +178,20 @@ class LabelModel:
     def fit(votes: np.ndarray, start: np.ndarray, rounds: int = 30, apart: int = 1) -> LabelModel:
         """start: the first posterior of each row. The last ``apart`` voters don't read the text, so nothing is discounted for them."""
         n, m = votes.shape
-        one_hot = np.stack([votes == v for v in (-1, 0, 1)]).astype(np.float32)
+        seen = np.stack([(votes == v).any(axis=0) for v in (-1, 0, 1)])  # outcomes that a voter has at all
+        outcome = lambda q: np.stack([q.astype(np.float32) @ (votes == v).astype(np.float32) for v in (-1, 0, 1)])
         p = np.clip(start, 0.02, 0.98)
         model = LabelModel()
         for _ in range(rounds):
             model.prior = float(np.clip(p.mean(), 1e-3, 0.5))
-            seen = one_hot.any(axis=1)  # outcomes that a voter has at all
-            toxic = (np.tensordot(p, one_hot, (0, 1)) + 0.5) / (p.sum() + 1.5)
-            clean = (np.tensordot(1 - p, one_hot, (0, 1)) + 0.5) / ((1 - p).sum() + 1.5)
+            toxic = (outcome(p) + 0.5) / (p.sum() + 1.5)
+            clean = (outcome(1 - p) + 0.5) / ((1 - p).sum() + 1.5)
             odds = np.where(seen, np.log(toxic) - np.log(clean), 0.0)
-            expected = p[:, None] * (toxic[2] - toxic[0]) + (1 - p[:, None]) * (clean[2] - clean[0])
-            rest = votes - expected
-            cov = rest.T @ rest / max(1, n)
+            cov = np.zeros((m, m))
+            for i in range(0, n, 2048):  # residuals in blocks
+                q = p[i : i + 2048, None]
+                rest = votes[i : i + 2048] - q * (toxic[2] - toxic[0]) - (1 - q) * (clean[2] - clean[0])
+                cov += rest.T @ rest / max(1, n)
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             corr = np.clip(cov / np.outer(sd, sd), -1, 1)
             np.fill_diagonal(corr, 1.0)
@@ -203,7 +205,7 @@ class LabelModel:
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         z = np.full(len(votes), np.log(self.prior / (1 - self.prior)))
         for k, v in enumerate((-1, 0, 1)):
-            z += (votes == v) @ self.weights[k]
+            z += (votes == v).astype(np.float32) @ self.weights[k].astype(np.float32)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -217,14 +219,14 @@ def fit_linear(rows: np.ndarray, cols: np.ndarray, votes: np.ndarray, target: np
     """Logistic regression on hashed words (weight 1/sqrt of their number in a document) and votes, by full-batch Adam."""
     n, m = votes.shape
     size = np.bincount(rows, minlength=n)
-    x = 1 / np.sqrt(np.maximum(size, 1))[rows]
+    x = (1 / np.sqrt(np.maximum(size, 1))).astype(np.float32)[rows]
     w = np.zeros(SIZE + m + 1)
     v1, v2 = np.zeros_like(w), np.zeros_like(w)
-    vf = votes.astype(float)
+    vf = votes.astype(np.float32)
     for i in range(1, rounds + 1):
-        z = np.bincount(rows, w[cols] * x, n) + vf @ w[SIZE:-1] + w[-1]
+        z = np.bincount(rows, w.astype(np.float32)[cols] * x, n) + vf @ w[SIZE:-1].astype(np.float32) + w[-1]
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / n
-        g = np.concatenate([np.bincount(cols, err[rows] * x, SIZE), vf.T @ err, [err.sum()]])
+        g = np.concatenate([np.bincount(cols, err.astype(np.float32)[rows] * x, SIZE), vf.T @ err.astype(np.float32), [err.sum()]])
         g[:-1] += l2 * w[:-1]
         v1, v2 = 0.9 * v1 + 0.1 * g, 0.999 * v2 + 0.001 * g * g
         w -= rate * (v1 / (1 - 0.9**i)) / (np.sqrt(v2 / (1 - 0.999**i)) + 1e-8)
@@ -262,7 +264,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), votes
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_mined: int = 256, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 10_000, max_mined: int = 256, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     sample = sample_rows(docs, labels, max_labelled, doc_id, text, label)
 
     def counted(u: np.ndarray, a: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
@@ -313,9 +315,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_mine
     votes = np.concatenate([np.frombuffer(p["v"], np.int8).reshape(-1, m) for p in parts])
     y = np.concatenate([np.frombuffer(p["y"], np.int8) for p in parts])
     at = np.cumsum([0, *(len(p["y"]) for p in parts)])
-    rows = np.concatenate([np.frombuffer(p["r"], "<u4").astype(np.int64) + a for p, a in zip(parts, at)])
-    cols = np.concatenate([np.frombuffer(p["c"], "<u4").astype(np.int64) for p in parts])
+    rows = np.concatenate([np.frombuffer(p["r"], "<u4").astype(np.int32) + np.int32(a) for p, a in zip(parts, at)])
+    cols = np.concatenate([np.frombuffer(p["c"], "<i4") for p in parts])
     annotated = np.column_stack([votes, np.where(y == 1, 1, -1).astype(np.int8)])
+    del parts
     model = LabelModel.fit(annotated, np.where(y == 1, 0.95, 0.05))
     words, vote_weights, bias = fit_linear(rows, cols, votes, model.posterior(annotated))
     return Model(voters, words, vote_weights, bias)
