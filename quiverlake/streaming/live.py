@@ -54,7 +54,9 @@ class LiveTable:
     """Versions of the live table in a folder; a batch of operations makes the next version.
 
     Each version holds every id's last operation, deletions too until they are
-    over ``max_fragmentation`` of all; then they are left out.
+    over ``max_fragmentation`` of all; then they are left out. Operations may come
+    late as long as their deletions are held; a stream whose files come out of
+    order needs ``max_fragmentation=1``.
     """
 
     def __init__(self, spark: SparkSession, path: str, max_fragmentation: float = 0.2):
