@@ -328,7 +328,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text"))
     table = batch_table(rows, "prefixes", t, k, whole=False)
     classes = stage(classes_of(table), "sets")
-    reps = classes.where("sig_a is not null").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"))
+    reps = classes.where("sig_a is not null").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
 
     def prefix(r: dict, tokens: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
         run = np.concatenate([[0], np.cumsum(df >= 2)])
@@ -359,9 +359,24 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sets = counted(left, 64, "candidates", whole, "doc_id bigint, n bigint, tokens binary, rare array<bigint>, centre double", ["batch", "ids", "nulls", "sizes", "sent", "tokens"])
     discard(maybe_table, left)
     comp = components(cluster_links(sets, t)).select(F.col("v").alias("_v"), "comp")
-    named = reps.join(comp, reps["rep"] == comp["_v"], "left").select(F.col("sig_a").alias("_a"), F.col("sig_b").alias("_b"), F.coalesce("comp", "rep").alias("_comp"))
-    out = classes.join(named, (classes["sig_a"] == named["_a"]) & (classes["sig_b"] == named["_b"]), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_comp", "doc_id").alias("component_id"))
+    named = reps.join(comp, reps["rep"] == comp["_v"], "left").select(F.col("sig_a").alias("_a"), F.col("sig_b").alias("_b"), F.coalesce("comp", "rep").alias("_comp"), "size")
+    return with_components(classes, stage(named, "named"))
+
+
+#: A class of equal sets with more than one in so many rows is hot; there are at most so many of them.
+HOT_CLASSES = 2000
+
+
+def with_components(classes: DataFrame, named: DataFrame) -> DataFrame:
+    """classes with the components of their signatures. The few hot classes are broadcast, so their rows aren't dealt by signature."""
+    limit = max(100, classes.count() // HOT_CLASSES)
+    hot = classes.join(F.broadcast(named.where(F.col("size") > limit).drop("size")), (classes["sig_a"] == F.col("_a")) & (classes["sig_b"] == F.col("_b")), "left").drop("_a", "_b")
+    hot = hot.withColumnRenamed("_comp", "_hot")
+    rest = named.where(F.col("size") <= limit).drop("size")
+    cold = hot.where(F.col("_hot").isNull() & F.col("sig_a").isNotNull()).join(rest, (F.col("sig_a") == F.col("_a")) & (F.col("sig_b") == F.col("_b")), "left")
+    done = hot.where(F.col("_hot").isNotNull() | F.col("sig_a").isNull())
+    out = cold.select("doc_id", "n", F.coalesce("_comp", "doc_id").alias("c")).unionAll(done.select("doc_id", "n", F.coalesce("_hot", "doc_id").alias("c")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:

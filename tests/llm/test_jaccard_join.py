@@ -81,6 +81,12 @@ def test_token_group_bound_never_closes_a_linking_group():
         assert all(find(i) == find(j) for i, js in true.items() for j in js)
 
 
+def test_hot_classes(spark):
+    t = [cases.words(60, 1)] * 230 + [cases.words(60, 2)] * 3 + [None, ""] + [cases.words(60, 1) + " end"]
+    got = J.jaccard_components(cases.docs(spark, t)).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == [0] * 230 + [230] * 3 + [233, 234, 0]
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)]
     got = {r.v: r.comp for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
