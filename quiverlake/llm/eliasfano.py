@@ -2,7 +2,7 @@
 
 A sequence of n values below u keeps the low l = log2(u / n) bits of each value
 packed, and the high parts as a bit vector (a one for each value, a zero for each
-step of the high part). The place of every eighth one and zero is sampled, so a
+step of the high part). The place of every fourth one and zero is sampled, so a
 select reads one or two 64-bit windows. All arrays can be slices of a mapped file.
 """
 
@@ -14,7 +14,7 @@ import struct
 import numpy as np
 
 U64 = np.uint64
-STEP = 8
+STEP = 4
 
 
 def pack_low(v: np.ndarray, l: int) -> np.ndarray:
@@ -105,9 +105,16 @@ class Sequence:
         begin = np.zeros(len(x), np.int64)
         later = np.flatnonzero(high > 0)
         begin[later] = self.select(high[later] - 1, 0) + 1 - high[later]
-        end = self.select(high, 0) - high  # values of one high part lie in [begin, end)
-        todo = np.flatnonzero(begin < end)
-        a, b, want = begin[todo], end[todo], low[todo]
+        # values of one high part are a run of ones
+        at = begin + high
+        shift = (at & 7).astype(U64)
+        w = ~(self.high[at >> 3] >> shift)
+        run = np.bitwise_count((w & (~w + U64(1))) - U64(1)).astype(np.int64)
+        beyond = np.flatnonzero(run >= 64 - shift.astype(np.int64))
+        if len(beyond):
+            run[beyond] = self.select(high[beyond], 0) - at[beyond]
+        todo = np.flatnonzero(run > 0)
+        a, b, want = begin[todo], begin[todo] + run[todo], low[todo]
         while (wide := b - a > 1).any():
             k = np.flatnonzero(wide)
             middle = (a[k] + b[k]) >> 1
@@ -119,6 +126,28 @@ class Sequence:
         return out
 
 
+# ---------------------------------------------------------- membership filter
+
+
+def pair_bits(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """A bit place of each pair; size: a power of two."""
+    h = (a.astype(U64) * U64(0x9E3779B97F4A7C15) + b.astype(U64)) * U64(0xD6E8FEB86659FD93)
+    return ((h ^ (h >> U64(32))) & U64(size - 1)).astype(np.int64)
+
+
+def pair_filter(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Eight bits or more a pair, one set for each: tells most pairs that aren't there without a search."""
+    size = 1 << max(6, (8 * len(a) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[pair_bits(a, b, size)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def maybe(filter_: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    at = pair_bits(a, b, 8 * len(filter_))
+    return (filter_[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 # ------------------------------------------------------- arrays in one file
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Words, arrow_map, fs_of, mix, n_parts, pieces, scratch_path, stage, text_bytes
-from .eliasfano import Sequence, build, named, part, read_arrays, write_arrays
+from .eliasfano import Sequence, build, maybe, named, pair_filter, part, read_arrays, write_arrays
 
 END = mix(np.array([0x5EED], U64))[0]
 DISCOUNT = 0.75
@@ -190,20 +190,25 @@ class Level:
         if "pointers.meta" in a:
             self.pointers = Sequence(part(a, "pointers"))
             self.weight_code, self.weight_book = a["weight_code"], a["weight_book"]
+            self.filter = a["filter"]
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Node ids of (context, word), or -1; contexts are ids of this shard, sorted."""
-        c, inverse = np.unique(context - self.context_first, return_inverse=True)
+        out = np.full(len(word), -1, np.int64)
+        own = np.flatnonzero(maybe(self.filter, context, word))
+        if not len(own):
+            return out
+        context, word = context[own] - self.context_first, word[own]
+        new = np.ones(len(own), bool)
+        new[1:] = context[1:] != context[:-1]
+        c, inverse = context[new], np.cumsum(new) - 1
         begin, end = self.pointers.get(c).astype(np.int64), self.pointers.get(c + 1).astype(np.int64)
         base = np.zeros(len(c), U64)
         later = begin > 0
         base[later] = self.values.get(begin[later] - 1) + U64(1)
-        out = np.full(len(word), -1, np.int64)
-        full = (end > begin)[inverse]
-        k = inverse[full]
         # a value beyond the context's last one belongs to another context
-        at = self.values.find(base[k] + word[full].astype(U64))
-        out[full] = np.where((at >= begin[k]) & (at < end[k]), at + self.first, -1)
+        at = self.values.find(base[inverse] + word.astype(U64))
+        out[own] = np.where((at >= begin[inverse]) & (at < end[inverse]), at + self.first, -1)
         return out
 
     def words(self) -> np.ndarray:
@@ -344,7 +349,7 @@ class Read:
 
     def grams(self, context: np.ndarray) -> tuple[np.ndarray, Pairs]:
         """Tokens that have a context and a known word, and their distinct (context, word place) pairs."""
-        ok = np.flatnonzero((context >= 0) & (self.counts[self.at] > 0))
+        ok = np.flatnonzero((context >= 0) & (self.counts >= LEAST)[self.at])  # kept n-grams have no rarer words
         return ok, Pairs(context[ok], self.at[ok])
 
     def nodes(self, n: int, context: np.ndarray) -> np.ndarray:
@@ -466,7 +471,7 @@ def build_level(train: DataFrame, trie: Trie, n: int, shards: int, folder: str)
             p = (m - DISCOUNT) / total[at] + weight[at] * 10.0**lower
             code, book = quantise(np.log10(p))
             weight_code, weight_book = quantise(np.log10(weight))
-            arrays = {"meta": np.array([0, len(w), low, size], np.int64), "counts": m.astype("<u4" if m.max() < 1 << 32 else "<u8"), "code": code, "book": book, "weight_code": weight_code, "weight_book": weight_book}
+            arrays = {"meta": np.array([0, len(w), low, size], np.int64), "counts": m.astype("<u4" if m.max() < 1 << 32 else "<u8"), "code": code, "book": book, "weight_code": weight_code, "weight_book": weight_book, "filter": pair_filter(c, w)}
             arrays |= named(build(begin.astype(U64), len(w) + 1), "pointers") | named(build(values, int(values[-1]) + 1), "values")
             yield listed_row(shard, write_shard(folder, n, shard, arrays), m)
 
