@@ -147,12 +147,13 @@ def pair_links(members: Column, others: Column, tau: int, same: bool) -> Column:
     return F.flatten(F.transform(members, of))
 
 
-def line_links(hashed: DataFrame, texts: DataFrame, tau: int, group: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes: id, ha, hb; links: a, b) of lines. hashed: ha, hb, keys; texts: ha, hb, line.
+def line_links(texts: DataFrame, tau: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes: id, ha, hb; links: a, b) of lines (ha, hb, line).
 
     Tables that grow with the input are joined by merging at every size.
     """
-    keyed = hashed.select("ha", "hb", F.explode("keys").alias("x")).select("ha", "hb", "x.k", "x.probe").distinct()
+    # exploded at once: as an array in a projection, each reference would trim the line anew
+    keyed = texts.withColumn("n", F.length("line")).select("ha", "hb", F.explode(keys(F.col("line"), F.col("n"), tau)).alias("x")).select("ha", "hb", "x.k", "x.probe").distinct()
     keyed = stage(keyed, "line-keys")
     # keys that different lines have, an indexed one among them
     met = keyed.groupBy("k").agg(F.min("ha").alias("lo"), F.max("ha").alias("hi"), F.min("hb").alias("lo2"), F.max("hb").alias("hi2"), F.min("probe").alias("all_probe"), F.count(F.lit(1)).alias("size"))
@@ -193,8 +194,8 @@ def line_dedup(docs: DataFrame, tau: int = 1, min_length: int = 20, group: int =
     full = lines_of(docs, doc_id, text).withColumns({"ha": F.xxhash64("line"), "hb": F.xxhash64("line", F.lit(7))})
     n = F.length("line")
     # without the texts: a few numbers a line, read several times
-    hashed = stage(full.select("doc_id", "no", "ha", "hb", F.when(n >= min_length, keys(F.col("line"), n, tau)).alias("keys")), "lines")
-    nodes, links = line_links(hashed, full.where(n >= min_length).select("ha", "hb", "line"), tau, group)
+    hashed = stage(full.select("doc_id", "no", "ha", "hb"), "lines")
+    nodes, links = line_links(full.where(n >= min_length).select("ha", "hb", "line"), tau, group)
     comp = components(links).select(F.col("v").alias("_v"), F.col("comp").alias("cls"))
     classed = nodes.join(comp, nodes["id"] == comp["_v"]).select(F.col("ha").alias("_a"), F.col("hb").alias("_b"), "cls")
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("no").alias("l"))
