@@ -2,8 +2,9 @@
 
 A sequence of n values below u keeps the low l = log2(u / n) bits of each value
 packed, and the high parts as a bit vector (a one for each value, a zero for each
-step of the high part). The place of every fourth one and zero is sampled, so a
-select reads one or two 64-bit windows. All arrays can be slices of a mapped file.
+step of the high part). The place of every fourth one and zero is sampled; where
+four of them don't lie within one 64-bit window, all four places are stored, so a
+select reads one window or one place. All arrays can be slices of a mapped file.
 """
 
 from __future__ import annotations
@@ -28,6 +29,16 @@ def pack_low(v: np.ndarray, l: int) -> np.ndarray:
     return np.concatenate([*parts, np.zeros(16, np.uint8)])
 
 
+def places(at: np.ndarray, name: str, kind: str) -> dict[str, np.ndarray]:
+    """Samples of ascending places, flags of the blocks that are too wide for a window, and those blocks with all their places."""
+    first = at[::STEP]
+    last = at[np.minimum(np.arange(len(first)) * STEP + STEP - 1, len(at) - 1)] if len(at) else at
+    wide = last - first > 56
+    block = np.flatnonzero(wide)
+    k = np.minimum(block[:, None] * STEP + np.arange(STEP), max(0, len(at) - 1)).ravel()
+    return {name: first.astype(kind), f"{name}_wide": wide.astype(np.uint8), f"{name}_block": block.astype("<u8"), f"{name}_all": at[k].astype(kind) if len(at) else at.astype(kind)}
+
+
 def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     """Arrays of the coded sequence; values: ascending uint64 below universe."""
     n = len(values)
@@ -42,8 +53,8 @@ def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
         "meta": np.array([n, l], np.int64),
         "low": pack_low(v & U64((1 << l) - 1), l),
         "high": np.concatenate([np.packbits(bits, bitorder="little"), np.zeros(16, np.uint8)]),
-        "one": ones[::STEP].astype("<u4" if size < 1 << 32 else "<u8"),
-        "zero": zeros[::STEP].astype("<u4" if size < 1 << 32 else "<u8"),
+        **places(ones, "one", "<u4" if size < 1 << 32 else "<u8"),
+        **places(zeros, "zero", "<u4" if size < 1 << 32 else "<u8"),
     }
 
 
@@ -55,31 +66,23 @@ def windows(b: np.ndarray) -> np.ndarray:
 class Sequence:
     def __init__(self, a: dict[str, np.ndarray]):
         self.n, self.l = (int(x) for x in a["meta"])
-        self.one, self.zero = a["one"], a["zero"]
+        self.one, self.zero = ([a[f"{k}{x}"] for x in ("", "_wide", "_block", "_all")] for k in ("one", "zero"))
         self.low, self.high = windows(a["low"]), windows(a["high"])
         self.last = self.get(np.array([self.n - 1]))[0] if self.n else U64(0)
 
     def select(self, k: np.ndarray, bit: int) -> np.ndarray:
         """The place of the k-th (from 0) one or zero of the high bits."""
-        pos = (self.one if bit else self.zero)[k // STEP].astype(np.int64)
-        left = (k % STEP).astype(np.int64)
-        out = np.empty(len(k), np.int64)
-        todo = np.arange(len(k))
-        while len(todo):
-            shift = (pos & 7).astype(U64)
-            w = self.high[pos >> 3]
-            w = (w if bit else ~w) >> shift
-            count = np.bitwise_count(w).astype(np.int64)
-            has = count > left
-            x, r = w[has], left[has]
-            for i in range(STEP - 1):
-                more = r > i
-                if not more.any():
-                    break
-                x = np.where(more, x & (x - U64(1)), x)
-            out[todo[has]] = pos[has] + np.bitwise_count((x & (~x + U64(1))) - U64(1))
-            rest = ~has
-            todo, left, pos = todo[rest], left[rest] - count[rest], pos[rest] + 64 - shift[rest].astype(np.int64)
+        sample, wide, block, every = self.one if bit else self.zero
+        b, r = k // STEP, k % STEP
+        out = sample[b].astype(np.int64)
+        w = self.high[out >> 3]
+        w = (w if bit else ~w) >> (out & 7).astype(U64)
+        for i in range(STEP - 1):
+            w = np.where(r > i, w & (w - U64(1)), w)
+        out += np.bitwise_count((w & (~w + U64(1))) - U64(1))
+        far = np.flatnonzero(wide[b])
+        if len(far):
+            out[far] = every[np.searchsorted(block, b[far].astype(U64)) * STEP + r[far]]
         return out
 
     def low_of(self, i: np.ndarray) -> np.ndarray:
