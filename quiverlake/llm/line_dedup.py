@@ -10,8 +10,8 @@ limits from the left and from the right). Keys are (length, segment, hash).
 
 Keys that only one line has are dropped by a count with partial aggregation. A
 group of lines of one key is verified in one row, without emitting its pairs: a
-window filter (for tau = 1: outside one of eight windows both lines must agree),
-then the banded bit-parallel distance, its 2 tau + 3 diagonals in one long.
+filter (for tau = 1: outside one of eight windows both lines must agree; for a
+larger tau: at most 4 tau parities of character pairs differ), then the banded bit-parallel distance, its 2 tau + 3 diagonals in one long.
 
 A key with more than ``group`` lines isn't put into one row. With tau = 1 its lines
 are dealt by deletion keys (the line without one of its characters), which only
@@ -129,6 +129,13 @@ def windows_agree(x: Column, y: Column, windows: int = 8) -> Column:
     return out & (m - n <= 1)
 
 
+def signature(line: Column) -> Column:
+    """Parities of a line's character pairs by hash, 64 bits: an edit changes at most four of them."""
+    one = F.lit(1).cast("bigint")
+    chars = lambda c: F.aggregate(F.sequence(F.lit(1), F.size(c) - 1), F.lit(0).cast("bigint"), lambda s, i: s.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(F.hash(F.get(c, i - 1), F.get(c, i)), F.lit(64)))))
+    return F.when(F.length(line) < 2, F.lit(0).cast("bigint")).otherwise(let(F.split(line, ""), chars))
+
+
 def pair_links(members: Column, others: Column, tau: int, same: bool) -> Column:
     """Array of (a, b) node ids of linked lines among members (same) or between members and others."""
 
@@ -138,6 +145,8 @@ def pair_links(members: Column, others: Column, tau: int, same: bool) -> Column:
         ok = F.length(b) - F.length(a) <= tau
         if tau == 1:
             ok = ok & windows_agree(a, b)
+        else:
+            ok = ok & (F.bit_count(x["sig"].bitwiseXOR(y["sig"])) <= 4 * tau)
         return ok & F.coalesce(banded_distance(a, b, tau) <= tau, F.lit(False))
 
     def of(x: Column) -> Column:
@@ -162,10 +171,11 @@ def line_links(texts: DataFrame, tau: int, group: int) -> tuple[DataFrame, DataF
     discard(keyed)
     ids = cand.select(F.col("ha").alias("_a"), F.col("hb").alias("_b")).distinct()
     nodes = texts.join(ids.hint("merge"), (texts["ha"] == ids["_a"]) & (texts["hb"] == ids["_b"]), "left_semi").groupBy("ha", "hb").agg(F.min("line").alias("line"))
+    nodes = nodes.withColumn("sig", signature(F.col("line")) if tau > 1 else F.lit(0).cast("bigint"))
     nodes = stage(nodes.withColumn("id", F.monotonically_increasing_id()), "line-nodes")
-    held = cand.join(nodes.withColumnsRenamed({"ha": "_a", "hb": "_b"}), (cand["ha"] == F.col("_a")) & (cand["hb"] == F.col("_b"))).select("k", "size", "id", "line", (~F.col("probe")).alias("index"))
-    held = stage(held.groupBy("k", "size", "id").agg(F.max("index").alias("index"), F.first("line").alias("line")), "line-members")
-    member = F.struct("id", "line", "index")
+    held = cand.join(nodes.withColumnsRenamed({"ha": "_a", "hb": "_b"}), (cand["ha"] == F.col("_a")) & (cand["hb"] == F.col("_b"))).select("k", "size", "id", "line", "sig", (~F.col("probe")).alias("index"))
+    held = stage(held.groupBy("k", "size", "id").agg(F.max("index").alias("index"), F.first("line").alias("line"), F.first("sig").alias("sig")), "line-members")
+    member = F.struct("id", "line", "index", "sig")
     small = held.where(F.col("size") <= group).groupBy("k").agg(F.collect_list(member).alias("m"))
     links = small.select(F.explode(let(F.col("m"), lambda m: pair_links(m, m, tau, True))).alias("l")).select("l.a", "l.b")
     hot = held.where(F.col("size") > group)

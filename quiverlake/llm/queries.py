@@ -13,6 +13,9 @@ from .common import documents, load, public_vocabulary
 #: Target weights of the sources in op9 and the pipeline; any other source shares weight 1.
 MIX_WEIGHTS = {f"src{i}": 1 + i % 4 for i in range(20)}
 
+#: Edits by which near lines differ at most in op4: a swapped word is two or three.
+LINE_EDITS = 3
+
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(documents(spark, sf_dir)))
@@ -28,7 +31,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near and n_kept of each document."""
-    return line_dedup.line_dedup(documents(spark, sf_dir))
+    return line_dedup.line_dedup(documents(spark, sf_dir), LINE_EDITS)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

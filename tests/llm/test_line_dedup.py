@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quiverlake.llm import line_dedup as D
+from quiverlake.llm import queries
 
 from . import cases
 
@@ -86,3 +87,23 @@ def test_awkward_rows(spark):
     assert set(got) == {r[0] for r in cases.awkward()}
     assert got[0].n_lines == 0 and got[5].n_lines == 2 and got[10].n_exact == 19
     assert not D.line_dedup(cases.frame(spark, [])).collect()
+
+
+def test_signature_changes_by_four_an_edit(spark):
+    r = random.Random(8)
+    pairs = []
+    for _ in range(300):
+        a = "".join(r.choice("abcé ") for _ in range(r.randrange(40)))
+        pairs.append((a, edited(a, r.randrange(5), r, "abxé")))
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.bit_count(D.signature(F.col("a")).bitwiseXOR(D.signature(F.col("b")))).alias("n")).collect()
+    assert all(x.n <= 4 * distance(x.a, x.b) for x in got)
+
+
+def test_query_finds_swapped_words(spark, tmp_path):
+    stem = "the committee of the town met on a cold day"
+    lines = [stem, stem.replace("cold", "mild"), stem.replace("day", "night") + " again", "something else in a line of its own"]
+    docs = [(i, x) for i, x in enumerate(lines)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: [x.n_lines, x.n_exact, x.n_near, x.n_kept] for x in queries.op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == brute(docs, 3, 20)
+    assert got[1] == [1, 0, 1, 0] and got[2] == [1, 0, 0, 1]
