@@ -2,7 +2,8 @@
 
 Counting takes one pass over the training documents an order. Level 1 has every
 word (by 64-bit hash, sorted, its place is its id) with its exact count; level n
-has the n-grams seen at least twice, as children of their first n-1 words. A
+has the n-grams seen at least ``least`` times (1: all of them), as children of their
+first n-1 words. A
 level's file holds, for its shard of contexts: monotone pointers from contexts to
 children (Elias-Fano), the children's word ids made monotone by adding the last
 value of the context before (Elias-Fano), 8-bit quantised log10 probabilities of
@@ -13,12 +14,13 @@ driver but a row a shard.
 
 Probabilities: unseen words have the mass (n1 + 1) / (N + 2) (n1: words seen once)
 as one class; seen ones share the rest by count. Order n interpolates absolute
-discounting with order n - 1, with all mass that its kept n-grams don't take as
-weight, so that each context's distribution sums to one before quantisation, which
+discounting with order n - 1 (discount n1 / (n1 + 2 n2) of the order's n-grams seen
+once and twice where all are kept, else 0.75), with all mass that its kept n-grams
+don't take as weight, so that each context's distribution sums to one before quantisation, which
 rounds down. A text's first word has the end token as context.
 
 A frequent word's context lies in one shard, which takes its share of the kept
-n-grams (partial counts are made, and n-grams seen once are dropped, before they
+n-grams (partial counts are made, and those under ``least`` are dropped, before they
 get there).
 
 Defined cases: a null or empty text is the end token alone; without training
@@ -39,13 +41,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, arrow_map, fs_of, mix, n_parts, pieces, scratch_path, stage, text_bytes
+from .common import U64, Words, arrow_map, discard, fs_of, mix, n_parts, pieces, scratch_path, stage, text_bytes
 from .eliasfano import Sequence, build, maybe, named, pair_filter, part, read_arrays, write_arrays
 
 END = mix(np.array([0x5EED], U64))[0]
 DISCOUNT = 0.75
-LEAST = 2  # n-grams of two words and more that are kept
+LEAST = 2  # count from which n-grams of two words and more are kept, unless asked otherwise
 SHARD_BYTES = 32 << 20  # of text a shard
+SHARD_BYTES_ALL = 8 << 20  # where n-grams seen once are kept
 PIECE = 3 << 20  # of text at a time
 
 # ----------------------------------------------------------------- sequences
@@ -132,6 +135,7 @@ def unsqueeze(b: bytes) -> np.ndarray:
 
 
 PAYLOAD = "to bigint, a binary, b binary, n binary"
+KEPT = PAYLOAD + ", once bigint, twice bigint"
 
 
 def payload(to: int, cols: tuple[np.ndarray, ...]) -> pa.RecordBatch:
@@ -250,6 +254,7 @@ class Trie:
     once: int
     shard_bits: int
     levels: list[tuple[list[str], np.ndarray, np.ndarray]]
+    least: int = LEAST
 
     @property
     def unseen(self) -> float:
@@ -349,7 +354,7 @@ class Read:
 
     def grams(self, context: np.ndarray) -> tuple[np.ndarray, Pairs]:
         """Tokens that have a context and a known word, and their distinct (context, word place) pairs."""
-        ok = np.flatnonzero((context >= 0) & (self.counts >= LEAST)[self.at])  # kept n-grams have no rarer words
+        ok = np.flatnonzero((context >= 0) & (self.counts >= self.trie.least)[self.at])  # kept n-grams have no rarer words
         return ok, Pairs(context[ok], self.at[ok])
 
     def nodes(self, n: int, context: np.ndarray) -> np.ndarray:
@@ -376,7 +381,7 @@ def listed_row(shard: int, path: str, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((shard, pa.int64()), (path, pa.string()), (len(counts), pa.int64()), (int(counts.sum()), pa.int64()), (int((counts == 1).sum()), pa.int64()))], ["shard", "path", "nodes", "total", "once"])
 
 
-def build_words(train: DataFrame, shards: int, folder: str) -> Trie:
+def build_words(train: DataFrame, shards: int, folder: str, least: int = LEAST) -> Trie:
     """Level 1: words by range of hash, with exact counts; their probabilities follow from those and the totals."""
     bits = shards.bit_length() - 1
 
@@ -394,18 +399,18 @@ def build_words(train: DataFrame, shards: int, folder: str) -> Trie:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, (u, n) in by_target(batches, 1):
-            least = shard << (64 - bits) if bits else 0
-            arrays = {"meta": np.array([0, len(u), 0, 0], np.int64), "least": np.array([least], U64), "counts": n.astype("<u4" if n.max() < 1 << 32 else "<u8"), "code": np.zeros(0, np.uint8), "book": np.zeros(1)}
-            path = write_shard(folder, 1, shard, arrays | named(build(u - U64(least), 1 << (64 - bits)), "values"))
+            low = shard << (64 - bits) if bits else 0
+            arrays = {"meta": np.array([0, len(u), 0, 0], np.int64), "least": np.array([low], U64), "counts": n.astype("<u4" if n.max() < 1 << 32 else "<u8"), "code": np.zeros(0, np.uint8), "book": np.zeros(1)}
+            path = write_shard(folder, 1, shard, arrays | named(build(u - U64(low), 1 << (64 - bits)), "values"))
             yield listed_row(shard, path, n)
 
     sent = arrow_map(train, emit, PAYLOAD)
     rows = stage(arrow_map(sent.repartition(min(n_parts(train.sparkSession), shards), "to").sortWithinPartitions("to"), make, LISTED), "lm1").orderBy("shard").collect()
     if not rows:
-        return Trie(0, 0, 0, bits, [])
+        return Trie(0, 0, 0, bits, [], least)
     first = np.cumsum([0, *(r["nodes"] for r in rows)])[:-1]
     low = np.array([r["shard"] << (64 - bits) if bits else 0 for r in rows], U64)
-    return Trie(sum(r["total"] for r in rows), int(sum(r["nodes"] for r in rows)), sum(r["once"] for r in rows), bits, [([r["path"] for r in rows], first, low)])
+    return Trie(sum(r["total"] for r in rows), int(sum(r["nodes"] for r in rows)), sum(r["once"] for r in rows), bits, [([r["path"] for r in rows], first, low)], least)
 
 
 def build_level(train: DataFrame, trie: Trie, n: int, shards: int, folder: str) -> Trie:
@@ -419,8 +424,8 @@ def build_level(train: DataFrame, trie: Trie, n: int, shards: int, folder: str)
         for b in pieces(batches, "_text", PIECE):
             r = Read(trie, Tokens(b.column(1)))
             word = r.ids[r.at]
-            # an n-gram is seen twice only if its words and its first n - 1 are
-            word[r.counts[r.at] < LEAST] = -1
+            # an n-gram is seen so often only if its words and its first n - 1 are
+            word[r.counts[r.at] < trie.least] = -1
             context = r.before(word)
             for k in range(2, n):
                 context = r.before(r.nodes(k, context))
@@ -437,13 +442,15 @@ def build_level(train: DataFrame, trie: Trie, n: int, shards: int, folder: str)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (c, w, m) in by_target(batches, 2):
-            ok = m >= LEAST
+            ok = m >= trie.least
             c, w, m = c[ok], w[ok], m[ok]
             cut = np.searchsorted(c, np.append(first[1:], np.iinfo(np.int64).max).astype(U64))
             a = 0
             for k, b in enumerate(cut):
                 if b > a:
-                    yield payload(k, (c[a:b], w[a:b], m[a:b]))
+                    row = payload(k, (c[a:b], w[a:b], m[a:b]))
+                    seen = [pa.array([int((m[a:b] == x).sum())], pa.int64()) for x in (1, 2)]
+                    yield pa.RecordBatch.from_arrays([*row.columns, *seen], [*row.schema.names, "once", "twice"])
                 a = b
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,7 +465,7 @@ def build_level(train: DataFrame, trie: Trie, n: int, shards: int, folder: str)
             base[1:] = np.cumsum(w[begin[full + 1][:-1] - 1] + U64(1), dtype=U64)
             values = w + np.repeat(base, np.diff(begin)[full])
             total = np.asarray(above.counts).astype(np.float64)
-            run = np.concatenate([[0.0], np.cumsum(m - DISCOUNT)])
+            run = np.concatenate([[0.0], np.cumsum(m - discount)])
             weight = np.maximum(1 - (run[begin[1:]] - run[begin[:-1]]) / total, 1e-9)
             # order n - 1's probability: after the context's last word
             word = w.astype(np.int64)
@@ -468,21 +475,28 @@ def build_level(train: DataFrame, trie: Trie, n: int, shards: int, folder: str)
                 last = above.words()[at]
                 node = trie.children_any_order(2, last, word)
                 lower = np.where(node >= 0, trie.any_order(2, node, "log_p", 0.0), trie.any_order(2, last, "log_weight", 0.0) + word_log_p(trie, word))
-            p = (m - DISCOUNT) / total[at] + weight[at] * 10.0**lower
+            p = (m - discount) / total[at] + weight[at] * 10.0**lower
             code, book = quantise(np.log10(p))
             weight_code, weight_book = quantise(np.log10(weight))
-            arrays = {"meta": np.array([0, len(w), low, size], np.int64), "counts": m.astype("<u4" if m.max() < 1 << 32 else "<u8"), "code": code, "book": book, "weight_code": weight_code, "weight_book": weight_book, "filter": pair_filter(c, w)}
+            arrays = {"meta": np.array([0, len(w), low, size], np.int64), "counts": m.astype(np.min_scalar_type(m.max())), "code": code, "book": book, "weight_code": weight_code, "weight_book": weight_book, "filter": pair_filter(c, w)}
             arrays |= named(build(begin.astype(U64), len(w) + 1), "pointers") | named(build(values, int(values[-1]) + 1), "values")
             yield listed_row(shard, write_shard(folder, n, shard, arrays), m)
 
     sent = arrow_map(train, emit, PAYLOAD)
-    kept = arrow_map(sent.repartition(parts, "to").sortWithinPartitions("to"), keep, PAYLOAD)
+    kept = arrow_map(sent.repartition(parts, "to").sortWithinPartitions("to"), keep, KEPT)
+    discount = DISCOUNT
+    if trie.least == 1:
+        kept = stage(kept, f"lm{n}-kept")
+        once, twice = kept.agg(F.sum("once"), F.sum("twice")).first()
+        discount = once / (once + 2 * twice) if once and twice else DISCOUNT
     made = arrow_map(kept.repartition(min(parts, shards), "to").sortWithinPartitions("to"), make, LISTED)
     rows = stage(made, f"lm{n}").orderBy("shard").collect()
+    if trie.least == 1:
+        discard(kept)
     if not rows:
         return trie
     start = np.cumsum([0, *(r["nodes"] for r in rows)])[:-1]
-    return Trie(trie.total, trie.types, trie.once, trie.shard_bits, [*trie.levels, ([r["path"] for r in rows], start, first[[r["shard"] for r in rows]])])
+    return Trie(trie.total, trie.types, trie.once, trie.shard_bits, [*trie.levels, ([r["path"] for r in rows], start, first[[r["shard"] for r in rows]])], trie.least)
 
 
 def word_log_p(trie: Trie, ids: np.ndarray) -> np.ndarray:
@@ -494,17 +508,17 @@ def count_log_p(trie: Trie, count: np.ndarray) -> np.ndarray:
     return np.log10(np.where(count > 0, (1 - trie.unseen) * count / max(trie.total, 1), trie.unseen))
 
 
-def build_trie(train: DataFrame, order: int = 3, shards: int | None = None) -> Trie:
-    """train: (_, _text)."""
-    if not 1 <= order <= 3:
-        raise ValueError("order is 1, 2 or 3")
+def build_trie(train: DataFrame, order: int = 3, shards: int | None = None, least: int = LEAST) -> Trie:
+    """train: (_, _text); least: the count from which n-grams are kept."""
+    if not 1 <= order <= 3 or least < 1:
+        raise ValueError("order is 1, 2 or 3, least is 1 or more")
     spark = train.sparkSession
     if shards is None:
         total = train.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-        shards = max(8, total // SHARD_BYTES)
+        shards = max(8, total // (SHARD_BYTES if least > 1 else SHARD_BYTES_ALL))
     shards = 1 << (int(shards) - 1).bit_length()
     folder = scratch_path(spark, "trie")
-    trie = build_words(train, shards, folder)
+    trie = build_words(train, shards, folder, least)
     for n in range(2, order + 1):
         if len(trie.levels) == n - 1:
             trie = build_level(train, trie, n, shards, folder)
@@ -534,10 +548,10 @@ def score(trie: Trie, column: pa.Array) -> tuple[np.ndarray, ...]:
     return sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], sums[3]
 
 
-def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 3) -> DataFrame:
+def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 3, least: int = LEAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
     cols = [F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("_text")]
-    trie = build_trie(docs.where(training(doc_id)).select(*cols), order)
+    trie = build_trie(docs.where(training(doc_id)).select(*cols), order, least=least)
     rows = docs.select(*cols, held_out(doc_id).alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,7 +43,8 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.lm_scores(documents(spark, sf_dir))
+    """All n-grams are kept, those seen once too."""
+    return lm.lm_scores(documents(spark, sf_dir), least=1)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

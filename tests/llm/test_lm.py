@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quiverlake.llm import eliasfano, lm
+from quiverlake.llm import eliasfano, lm, queries
 
 from . import cases
 
@@ -81,3 +81,38 @@ def test_awkward_rows(spark):
     untrained = spark.createDataFrame([(None, "a b")], "doc_id bigint, text string")
     r = lm.lm_scores(untrained).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0)
+
+
+def test_query_keeps_ngrams_seen_once(spark, tmp_path):
+    texts = [cases.words(30, i % 40, 90) for i in range(60)] + ["once seen words stand here", None, "w1 w2"]
+    cases.docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op7_lm_scoring(spark, str(tmp_path)).orderBy("doc_id").collect()
+    all_ = [tokens(t) for t in texts]
+    train = [t for i, t in enumerate(all_) if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(w for t in train for w in t)
+    n = sum(c.values())
+    two, three = Counter(), Counter()
+    for t in train:
+        e = ["\0end", *t]
+        two.update(zip(e, e[1:]))
+        three.update(zip(e, e[1:], e[2:]))
+    fitted = lambda x: (a := sum(m == 1 for m in x.values())) / (a + 2 * sum(m == 2 for m in x.values()))
+    d2, d3 = fitted(two), fitted(three)
+    assert 0 < d3 < 1 and 0 < d2 < 1
+    f2, f3 = Counter(k[0] for k in two), Counter(k[:2] for k in three)
+    unseen = (sum(m == 1 for m in c.values()) + 1) / (n + 2)
+    p1 = lambda w: (1 - unseen) * c[w] / n if c[w] else unseen
+
+    def p2(a, w):
+        return max(two[a, w] - d2, 0) / c[a] + d2 * f2[a] / c[a] * p1(w) if c[a] else p1(w)
+
+    def p3(a, b, w):
+        if not two[a, b]:
+            return p2(b, w)
+        rest = 1 - (sum(m for k, m in three.items() if k[:2] == (a, b)) - d3 * f3[a, b]) / two[a, b]
+        return max(three[a, b, w] - d3, 0) / two[a, b] + rest * p2(b, w)
+
+    for r, t in zip(got, all_):
+        e = ["\0end", *t]
+        true = sum(math.log10(p2(e[0], e[1]) if k == 0 else p3(e[k - 1], e[k], e[k + 1])) for k in range(len(t)))
+        assert true - 0.1 * len(t) <= r.score <= true + 1e-6
