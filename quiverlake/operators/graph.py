@@ -225,9 +225,9 @@ def reachable(edges_: DataFrame, start: int, rounds: int = 1000) -> DataFrame:
         seen = seen.unionAll(front)
         more = front.count()
         if not more:
-            break
+            return seen
         n += more
-    return seen
+    raise RuntimeError(f"paths of more than {rounds} steps")
 
 
 def topology_similarity(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -398,6 +398,21 @@ query("graph_stats", f"with {S_EDGES}, d as (select src, count(*) as n from g gr
 query("graph_reachable", f"with recursive {S_EDGES}, r as (select 0::bigint as v union select dst from r join g on g.src = r.v) select v from r")(lambda spark, sf_dir: graph.reachable(neighbour_graph(spark, sf_dir), 0))
 query("topology_similarity", f"with {S_EDGES}, h as (select src, dst from k where r <= 3) select count(h.src) as n_both, count(*) as n_either, count(h.src) / count(*)::double as similarity from g full join h using (src, dst)")(lambda spark, sf_dir: graph.topology_similarity(neighbour_graph(spark, sf_dir), neighbour_graph(spark, sf_dir, 3)))
 
+# the same over the graph of all rows
+
+S_ALL_EDGES = S_EDGES.replace(" and a.id % 50 = 0", "")
+
+
+def whole_graph(spark, sf_dir, k=5):
+    """src, dst of the nearest neighbours of all rows."""
+    e = vectors(spark, sf_dir)
+    return knn.topk_join(e.select(F.col("id").alias("query_id"), "vec"), e, k, self_join=True).select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
+
+
+query("graph_stats_all", f"with {S_ALL_EDGES}, d as (select src, count(*) as n from g group by 1) select count(*) as n_vertices, sum(n)::bigint as n_edges, avg(n) as avg_degree, min(n)::int as min_degree, max(n)::int as max_degree from d")(lambda spark, sf_dir: graph.graph_stats(whole_graph(spark, sf_dir).groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("neighbors"))))
+query("graph_reachable_all", f"with recursive {S_ALL_EDGES}, r as (select 0::bigint as v union select dst from r join g on g.src = r.v) select v from r")(lambda spark, sf_dir: graph.reachable(whole_graph(spark, sf_dir), 0))
+query("topology_similarity_all", f"with {S_ALL_EDGES}, h as (select src, dst from k where r <= 3) select count(h.src) as n_both, count(*) as n_either, count(h.src) / count(*)::double as similarity from g full join h using (src, dst)")(lambda spark, sf_dir: graph.topology_similarity(whole_graph(spark, sf_dir), whole_graph(spark, sf_dir, 3)))
+
 PARAMS = graph.IndexParams(degree=32, beam=64)
 
 

@@ -5,6 +5,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
+from quiverlake.operators import graph
 from quiverlake.plans import registry
 
 SF = Path("/root/testdata/sf0.001")
@@ -50,3 +51,18 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_graph_of_all_rows(spark):
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    s = registry.QUERIES["graph_stats_all"](spark, str(SF)).first()
+    assert (s.n_vertices, s.n_edges) == (n, 5 * n)
+    assert registry.QUERIES["graph_reachable_all"](spark, str(SF)).count() > registry.QUERIES["graph_reachable"](spark, str(SF)).count()
+    assert registry.QUERIES["topology_similarity_all"](spark, str(SF)).first().n_either == 5 * n
+
+
+def test_reachable_does_not_stop_silently(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(5)], "src long, dst long")
+    assert graph.reachable(chain, 0, 6).count() == 6
+    with pytest.raises(RuntimeError):
+        graph.reachable(chain, 0, 3)
