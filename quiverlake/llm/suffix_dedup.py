@@ -36,7 +36,6 @@ doc_id passes through; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 from collections.abc import Iterator
 
@@ -407,24 +406,32 @@ def removed_mask(row: dict, buckets: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return buf, offsets, np.cumsum(step[:-1]) > 0
 
 
-DIGEST = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+KEPT = "doc_id bigint, spans array<struct<start: int, end: int>>, kept binary"
 
 
-def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs."""
+def suffix_kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """doc_id, spans (removed bytes, from start up to end) and kept (the other bytes) of each row of docs."""
     table, buckets = repeats(docs, doc_id, text, max_windows)
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 buf, offsets, gone = removed_mask(r, buckets)
                 ids, nulls = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["nulls"], np.uint8)
-                out = []
+                spans, kept = [], []
                 for a, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                     g = gone[a:e]
-                    kept = buf[a:e][~g] if g.any() else buf[a:e]
-                    out.append((e - a, int(g.sum()), int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()), hashlib.sha256(kept.tobytes()).hexdigest()))
-                c = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=nulls > 0), *[pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]], [f.split()[0] for f in DIGEST.split(", ")])
+                    turn = np.flatnonzero(np.diff(g.astype(np.int8), prepend=0, append=0)).tolist()
+                    spans.append([{"start": x, "end": y} for x, y in zip(turn[::2], turn[1::2])])
+                    kept.append((buf[a:e][~g] if turn else buf[a:e]).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=nulls > 0), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], ["doc_id", "spans", "kept"])
+
+    return arrow_map(table, run, KEPT)
 
-    return arrow_map(table, run, DIGEST)
+
+def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs, from its spans and kept bytes."""
+    rows = suffix_kept(docs, doc_id, text, max_windows)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + (x["end"] - x["start"]))
+    return rows.select("doc_id", (F.octet_length("kept") + removed).alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

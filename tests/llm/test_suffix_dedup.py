@@ -79,3 +79,15 @@ def test_awkward_rows(spark):
     assert len(got) == len(cases.awkward())
     assert {r.n_removed for r in got if r.doc_id == 8} == {0}
     assert not D.suffix_dedup(cases.frame(spark, [])).collect()
+
+
+def test_spans_and_kept_bytes(spark):
+    t = texts()
+    got = D.suffix_kept(cases.docs(spark, t)).orderBy("doc_id").collect()
+    for r, x, (_, removed, spans, sha) in zip(got, t, brute(t)):
+        raw, at = (x or "").encode(), 0
+        kept = b""
+        for s in r.spans:
+            kept, at = kept + raw[at : s.start], s.end
+        assert bytes(r.kept) == kept + raw[at:] and hashlib.sha256(r.kept).hexdigest() == sha
+        assert (len(r.spans), sum(s.end - s.start for s in r.spans)) == (spans, removed)
