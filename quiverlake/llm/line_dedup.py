@@ -199,25 +199,32 @@ def line_links(texts: DataFrame, tau: int, group: int) -> tuple[DataFrame, DataF
     return nodes.select("id", "ha", "hb"), links.unionAll(more).distinct()
 
 
-def line_dedup(docs: DataFrame, tau: int = 1, min_length: int = 20, group: int = 128, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_exact (lines equal to an earlier one), n_near (others whose class has an earlier line) and n_kept, of each document."""
-    full = lines_of(docs, doc_id, text).withColumns({"ha": F.xxhash64("line"), "hb": F.xxhash64("line", F.lit(7))})
-    n = F.length("line")
-    # without the texts: a few numbers a line, read several times
-    hashed = stage(full.select("doc_id", "no", "ha", "hb"), "lines")
-    nodes, links = line_links(full.where(n >= min_length).select("ha", "hb", "line"), tau, group)
+NO_ID = -(1 << 63)
+
+
+def line_verdicts(docs: DataFrame, tau: int = 1, min_length: int = 20, group: int = 128, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, no, line and verdict of each line that isn't blank: exact (equal to an earlier one), near (its class has an earlier line) or kept."""
+    full = lines_of(docs, doc_id, text).withColumns({"ha": F.xxhash64("line"), "hb": F.xxhash64("line", F.lit(7)), "row": F.monotonically_increasing_id()})
+    full = stage(full, "lines")
+    nodes, links = line_links(full.where(F.length("line") >= min_length).select("ha", "hb", "line"), tau, group)
     comp = components(links).select(F.col("v").alias("_v"), F.col("comp").alias("cls"))
     classed = nodes.join(comp, nodes["id"] == comp["_v"]).select(F.col("ha").alias("_a"), F.col("hb").alias("_b"), "cls")
-    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("no").alias("l"))
-    by_line = hashed.groupBy("ha", "hb").agg(F.min(place).alias("first"))
+    # rows with equal doc_id have equal places but for the last field
+    place = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.col("no").alias("l"), F.col("row").alias("r"))
+    by_line = full.groupBy("ha", "hb").agg(F.min(place).alias("first"))
     by_line = by_line.join(classed, (by_line["ha"] == classed["_a"]) & (by_line["hb"] == classed["_b"]), "left").drop("_a", "_b")
     by_line = stage(by_line, "line-classes")
     earliest = by_line.where("cls is not null").groupBy(F.col("cls").alias("_c")).agg(F.min("first").alias("earliest"))
-    later = by_line.join(earliest, F.col("cls") == F.col("_c"), "left").withColumn("near", F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)))
-    # counts by document need no join with the lines: a line counts where its first place is
-    firsts = later.groupBy(F.col("first.d").alias("d")).agg(F.count(F.lit(1)).alias("n_first"), F.count_if("near").alias("n_near"), F.lit(0).cast("bigint").alias("n_lines"))
-    counts = hashed.groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d")).agg(F.lit(0).cast("bigint").alias("n_first"), F.lit(0).cast("bigint").alias("n_near"), F.count(F.lit(1)).alias("n_lines"))
-    zero = F.lit(0).cast("bigint")
-    every = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63))).alias("d"), zero.alias("n_first"), zero.alias("n_near"), zero.alias("n_lines"))
-    out = firsts.unionAll(counts).unionAll(every).groupBy("d").agg(*[F.sum(c).alias(c) for c in ("n_first", "n_near", "n_lines")])
-    return out.select(F.when(F.col("d") != -(1 << 63), F.col("d")).alias("doc_id"), "n_lines", (F.col("n_lines") - F.col("n_first")).alias("n_exact"), "n_near", (F.col("n_first") - F.col("n_near")).alias("n_kept"))
+    later = by_line.join(earliest, F.col("cls") == F.col("_c"), "left").select(F.col("ha").alias("_a"), F.col("hb").alias("_b"), "first", F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)).alias("near"))
+    out = full.join(later.hint("merge"), (full["ha"] == F.col("_a")) & (full["hb"] == F.col("_b")))
+    return out.select("doc_id", "no", "line", F.when(F.col("row") != F.col("first.r"), "exact").when(F.col("near"), "near").otherwise("kept").alias("verdict"))
+
+
+def line_dedup(docs: DataFrame, tau: int = 1, min_length: int = 20, group: int = 128, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_lines, n_exact (lines equal to an earlier one), n_near (others whose class has an earlier line) and n_kept, of each document, from its lines' verdicts."""
+    d = lambda c: F.coalesce(c.cast("bigint"), F.lit(NO_ID)).alias("d")
+    lines = line_verdicts(docs, tau, min_length, group, doc_id, text).select(d(F.col("doc_id")), "verdict")
+    every = docs.select(d(F.col(doc_id)), F.lit(None).cast("string").alias("verdict"))
+    counts = [F.count_if(F.coalesce(F.col("verdict") == v, F.lit(False))).alias(f"n_{v}") for v in ("exact", "near", "kept")]
+    out = lines.unionAll(every).groupBy("d").agg(F.count("verdict").alias("n_lines"), *counts)
+    return out.select(F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), "n_lines", "n_exact", "n_near", "n_kept")

@@ -107,3 +107,10 @@ def test_query_finds_swapped_words(spark, tmp_path):
     got = {x.doc_id: [x.n_lines, x.n_exact, x.n_near, x.n_kept] for x in queries.op4_line_dedup(spark, str(tmp_path)).collect()}
     assert got == brute(docs, 3, 20)
     assert got[1] == [1, 0, 1, 0] and got[2] == [1, 0, 0, 1]
+
+
+def test_verdicts_of_lines(spark):
+    docs = [(0, "the first of all the lines\n\nshort"), (1, "the first of all the lines\nthe first of all the linez\nshort\nown")]
+    got = D.line_verdicts(spark.createDataFrame(docs, "doc_id bigint, text string")).orderBy("doc_id", "no").collect()
+    assert [(r.doc_id, r.no, r.verdict) for r in got] == [(0, 0, "kept"), (0, 2, "kept"), (1, 0, "exact"), (1, 1, "near"), (1, 2, "exact"), (1, 3, "kept")]
+    assert got[3].line == "the first of all the linez"
