@@ -1,31 +1,41 @@
 """Line deduplication by a segment-partition edit join, DataFrame functions only.
 
 Two lines (trimmed of white space, of ``min_length`` characters or more) link when
-their edit distance is at most ``tau``; equal lines are one from the start. A line
-of length l is cut into tau + 1 segments; of two linked lines, tau edits leave one
-segment of the shorter untouched, so the longer has it as a substring, near the
-same place. For each length from l - tau to l a line therefore probes the
-segments' index with the substrings that multi-match-aware selection leaves (shift
-limits from the left and from the right). Keys are (length, segment, hash).
-
-Keys that only one line has are dropped by a count with partial aggregation. A
-group of lines of one key is verified in one row, without emitting its pairs: a
-filter (for tau = 1: outside one of eight windows both lines must agree; for a
-larger tau: at most 4 tau parities of character pairs differ), then the banded bit-parallel distance, its 2 tau + 3 diagonals in one long.
-
-A key with more than ``group`` lines isn't put into one row. With tau = 1 its lines
-are dealt by deletion keys (the line without one of its characters), which only
-lines at distance 1 or of one substitution share, so each such group is a chain of
-links; with a larger tau its lines are cut into blocks and pairs of blocks are
-verified.
+their edit distance is at most ``tau``; equal lines are one from the start.
+
+1. *Lines.* Split and trimmed once, into a table on the shared folder. Two
+   independently salted 64-bit hashes tell lines apart.
+2. *Segments and probes.* A line is cut into tau + 1 segments. Of two linked lines,
+   some segment i of the shorter stands whole in the longer, with exactly i - 1 edits
+   before it and at most tau + 1 - i after it. Cuts depend on the class of a line's
+   length alone (four classes between powers of two); the first segments are counted
+   from the line's start, the others from its end, so that segment i can only have
+   moved by min(i - 1, tau + 1 - i) characters. A line has a key for each place where
+   a segment may have gone, in its own class and in those of lines up to tau shorter:
+   for tau = 3 eight keys, mostly.
+3. *Candidates.* Keys that only one line has are dropped by a count with partial
+   aggregation. Of the lines that are left, pairs with a key in common, a difference
+   of lengths up to tau and of letter counts up to 2 tau are verified by the banded
+   bit-parallel distance (its 2 tau + 3 diagonals in one long) of what is left of them
+   without common beginning and end. Each pair is verified once, whatever keys it
+   shares.
+4. *Large groups.* All lines of a key are first compared with a few leaders, which is
+   linear and finds most links of a line's many variants. Only pairs in different
+   components after that are compared with each other, in pairs of blocks of
+   ``group`` / 2 lines, so no group is in one row or task and links inside a component
+   aren't listed pair by pair.
 
 Links are united into classes; a class's first line (by doc_id, then line number)
-stays. Nothing is capped.
+stays. Nothing is capped. Hashes stand for lines (128 bits) and, in the search for
+candidates, for keys and lines (64 bits: of two near lines whose 64 bits are equal,
+the link isn't found).
 
 Defined cases: a null or empty text has no lines; blank lines aren't counted; lines
-under ``min_length`` are only matched exactly; repeated rows repeat each other's
-lines; rows with equal doc_id are counted together, rows without doc_id as one
-more document; an empty table gives an empty result; extra columns are ignored.
+under ``min_length``, which must be more than tau, are only matched exactly; a very
+long text or line is taken whole, a line's cost being in proportion to its length;
+repeated rows repeat each other's lines; rows with equal doc_id are counted together,
+rows without doc_id as one more document; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,29 +95,58 @@ def banded_distance(a: Column, b: Column, tau: int) -> Column:
     return let(chars(a), lambda p: let(chars(b), lambda t: run(p, t)))
 
 
-def segments(length: int | Column, tau: int, i: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of segment i (from 1) of a line: the first are the shorter ones."""
-    base = F.floor(length / (tau + 1)).cast("int")
-    longer = (length % (tau + 1)).cast("int")
-    short = tau + 1 - longer
-    start = F.when(i - 1 <= short, base * (i - 1)).otherwise(base * short + (base + 1) * (F.lit(i - 1) - short))
-    return start, F.when(i <= short, base).otherwise(base + 1)
+def trimmed(a: Column, b: Column) -> Column:
+    """struct(a, b) of two strings without their common beginning and end, which leave the edit distance as it is."""
 
+    def common(part, x: Column, y: Column) -> Column:
+        # by bisection: from the largest power of two down
+        n = F.least(F.length(x), F.length(y))
+        steps = F.transform(F.reverse(F.sequence(F.lit(0), F.length(F.bin(n.cast("bigint"))) - 1)), lambda e: F.call_function("shiftleft", F.lit(1), e))
+        grow = lambda m, step: F.when((m + step <= n) & (part(x, m + step) == part(y, m + step)), m + step).otherwise(m)
+        return F.aggregate(steps, F.lit(0), grow)
 
-def keys(line: Column, n: Column, tau: int) -> Column:
-    """Keys of a line: (k: hash of length, segment and substring, probe: whether it is a probe for a shorter or shifted one)."""
-    out = []
-    for d in range(tau + 1):
-        l = n - d
+    def without_end(s: Column) -> Column:
+        cut = lambda m: F.struct(F.left(s["a"], F.length(s["a"]) - m).alias("a"), F.left(s["b"], F.length(s["b"]) - m).alias("b"))
+        return let(common(F.right, s["a"], s["b"]), cut)
+
+    without_start = let(common(F.left, a, b), lambda m: F.struct(F.substr(a, m + 1, F.length(a)).alias("a"), F.substr(b, m + 1, F.length(b)).alias("b")))
+    return let(without_start, without_end)
+
+
+def within(a: Column, b: Column, tau: int) -> Column:
+    """Whether two strings' edit distance is at most tau."""
+
+    def near(s: Column) -> Column:
+        short = F.length(s["a"]) <= F.length(s["b"])
+        return F.coalesce(banded_distance(F.when(short, s["a"]).otherwise(s["b"]), F.when(short, s["b"]).otherwise(s["a"]), tau) <= tau, F.lit(False))
+
+    return F.when(F.abs(F.length(a) - F.length(b)) <= tau, let(trimmed(a, b), near)).otherwise(False)
+
+
+def class_floor(n: Column) -> Column:
+    """The least length in the class of length n: four classes between powers of two."""
+    width = F.call_function("shiftleft", F.lit(1), F.length(F.bin(n.cast("bigint"))) - 3)
+    return F.when(n < 8, n).otherwise(n - n % width)
+
+
+def keys(line: Column, n: Column, floors: list[Column], tau: int) -> Column:
+    """Keys of a line of n > tau characters: hashes of (length class, segment, substring). floors: class_floor of n, n - 1, ... n - tau."""
+
+    def of(floor: Column, there: Column | None) -> list[Column]:
+        size = F.floor(floor / (tau + 1)).cast("int")
+        out = []
         for i in range(1, tau + 2):
-            start, size = segments(l, tau, i)
-            for shift in range(-tau, tau + 1):
-                # errors before the segment: at most i - 1; after it: at most tau + 1 - i
-                if abs(shift) <= i - 1 and abs(shift - d) <= tau + 1 - i:
-                    at = start + shift
-                    key = F.struct(F.xxhash64(l, F.lit(i), F.substr(line, at + 1, size)).alias("k"), F.lit(d != 0 or shift != 0).alias("probe"))
-                    out.append(F.when((l > tau) & (at >= 0) & (at + size <= n), key))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+            left = i - 1 <= tau + 1 - i
+            slack = min(i - 1, tau + 1 - i)
+            for shift in range(-slack, slack + 1):
+                start = size * (i - 1) + shift if left else n - size * (tau + 2 - i) + shift
+                key = F.xxhash64(floor, F.lit(i), F.substr(line, start + 1, size))
+                out.append(key if there is None else F.when(there, key))
+        return out
+
+    own = of(floors[0], None)
+    more = [k for d in range(1, tau + 1) for k in of(floors[d], (floors[d] > tau) & (floors[d] != floors[d - 1]))]
+    return F.when(floors[tau] == floors[0], F.array(*own)).otherwise(F.array_compact(F.array(*own, *more)))
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -116,115 +155,108 @@ def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.withColumn("line", F.btrim("line", F.lit(SPACES))).where(F.length("line") > 0)
 
 
-def windows_agree(x: Column, y: Column, windows: int = 8) -> Column:
-    """For tau = 1: outside one of the windows that x (the shorter) is cut into, both lines are equal."""
-    n, m = F.length(x), F.length(y)
-    size = F.ceil(n / windows).cast("int")
-    out = F.lit(False)
-    for j in range(windows):
-        left = F.least(n, size * j)
-        right = F.greatest(F.lit(0), n - size * (j + 1))
-        # an insertion may stand at either edge of a window
-        out = out | ((F.left(x, left) == F.left(y, left)) & (F.right(x, right) == F.right(y, right)))
-    return out & (m - n <= 1)
-
-
-def signature(line: Column) -> Column:
-    """Parities of a line's character pairs by hash, 64 bits: an edit changes at most four of them."""
-    one = F.lit(1).cast("bigint")
-    chars = lambda c: F.aggregate(F.sequence(F.lit(1), F.size(c) - 1), F.lit(0).cast("bigint"), lambda s, i: s.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(F.hash(F.get(c, i - 1), F.get(c, i)), F.lit(64)))))
-    return F.when(F.length(line) < 2, F.lit(0).cast("bigint")).otherwise(let(F.split(line, ""), chars))
-
-
-def pair_links(members: Column, others: Column, tau: int, same: bool) -> Column:
-    """Array of (a, b) node ids of linked lines among members (same) or between members and others."""
-
-    def near(x: Column, y: Column) -> Column:
-        short = F.length(x["line"]) <= F.length(y["line"])
-        a, b = F.when(short, x["line"]).otherwise(y["line"]), F.when(short, y["line"]).otherwise(x["line"])
-        ok = F.length(b) - F.length(a) <= tau
-        if tau == 1:
-            ok = ok & windows_agree(a, b)
-        else:
-            ok = ok & (F.bit_count(x["sig"].bitwiseXOR(y["sig"])) <= 4 * tau)
-        return ok & F.coalesce(banded_distance(a, b, tau) <= tau, F.lit(False))
-
-    def of(x: Column) -> Column:
-        mates = F.filter(others, lambda y: (F.lit(not same) | (y["id"] > x["id"])) & (y["id"] != x["id"]) & (x["index"] | y["index"]) & near(x, y))
-        return F.transform(mates, lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))
-
-    return F.flatten(F.transform(members, of))
-
-
-def line_links(texts: DataFrame, tau: int, group: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes: id, ha, hb; links: a, b) of lines (ha, hb, line).
-
-    Tables that grow with the input are joined by merging at every size.
-    """
-    # exploded at once: as an array in a projection, each reference would trim the line anew
-    keyed = texts.withColumn("n", F.length("line")).select("ha", "hb", F.explode(keys(F.col("line"), F.col("n"), tau)).alias("x")).select("ha", "hb", "x.k", "x.probe").distinct()
-    keyed = stage(keyed, "line-keys")
-    # keys that different lines have, an indexed one among them
-    met = keyed.groupBy("k").agg(F.min("ha").alias("lo"), F.max("ha").alias("hi"), F.min("hb").alias("lo2"), F.max("hb").alias("hi2"), F.min("probe").alias("all_probe"), F.count(F.lit(1)).alias("size"))
-    met = met.where("(lo <> hi or lo2 <> hi2) and not all_probe").select(F.col("k").alias("_k"), "size")
-    cand = stage(keyed.join(met.hint("merge"), keyed["k"] == met["_k"]).drop("_k"), "line-candidates")
-    discard(keyed)
-    ids = cand.select(F.col("ha").alias("_a"), F.col("hb").alias("_b")).distinct()
-    nodes = texts.join(ids.hint("merge"), (texts["ha"] == ids["_a"]) & (texts["hb"] == ids["_b"]), "left_semi").groupBy("ha", "hb").agg(F.min("line").alias("line"))
-    nodes = nodes.withColumn("sig", signature(F.col("line")) if tau > 1 else F.lit(0).cast("bigint"))
-    nodes = stage(nodes.withColumn("id", F.monotonically_increasing_id()), "line-nodes")
-    held = cand.join(nodes.withColumnsRenamed({"ha": "_a", "hb": "_b"}), (cand["ha"] == F.col("_a")) & (cand["hb"] == F.col("_b"))).select("k", "size", "id", "line", "sig", (~F.col("probe")).alias("index"))
-    held = stage(held.groupBy("k", "size", "id").agg(F.max("index").alias("index"), F.first("line").alias("line"), F.first("sig").alias("sig")), "line-members")
-    member = F.struct("id", "line", "index", "sig")
-    small = held.where(F.col("size") <= group).groupBy("k").agg(F.collect_list(member).alias("m"))
-    links = small.select(F.explode(let(F.col("m"), lambda m: pair_links(m, m, tau, True))).alias("l")).select("l.a", "l.b")
-    hot = held.where(F.col("size") > group)
-    if tau == 1:
-        one = hot.select("id", "line").distinct()
-        n = F.length("line")
-        # a line and its forms without one character; lines that share one are linked, or both lack one character of it
-        forms = one.select("id", F.explode(F.sequence(F.lit(0), n)).alias("p"), "line").select("id", F.when(F.col("p") == 0, F.col("line")).otherwise(F.concat(F.left("line", F.col("p") - 1), F.substr("line", F.col("p") + 1, n))).alias("form"), F.when(F.col("p") == 0, -1).otherwise(F.col("p")).alias("p"))
-        forms = forms.select("id", F.xxhash64("form").alias("f1"), F.xxhash64("form", F.lit(1)).alias("f2"), "p").distinct()
-        # substitution: the same form at the same place; insertion: the form is a whole line
-        cell = forms.groupBy("f1", "f2", "p").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub <> far or p = -1")
-        sub = forms.join(cell.where("p <> -1").drop("far"), ["f1", "f2", "p"]).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        ins = forms.where("p <> -1").join(cell.where("p = -1").select("f1", "f2", "hub"), ["f1", "f2"]).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        more = sub.unionAll(ins)
-    else:
-        blocks = F.ceil(F.col("size") / (group // 2))
-        own = hot.withColumn("g", F.pmod(F.xxhash64("id"), blocks)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-        own = own.withColumn("x", F.least("g", "o")).withColumn("y", F.greatest("g", "o"))
-        cells = own.groupBy("k", "x", "y").agg(F.collect_list(member).alias("m"))
-        more = cells.select(F.explode(let(F.col("m"), lambda m: pair_links(m, m, tau, True))).alias("l")).select("l.a", "l.b")
-    return nodes.select("id", "ha", "hb"), links.unionAll(more).distinct()
-
-
-NO_ID = -(1 << 63)
+#: Letters that are counted before two lines are compared.
+COUNTED = " etaoinsr"
+
+
+def letter_counts(line: Column) -> Column:
+    """How often each of a few letters occurs: an edit changes at most two of the counts, by one."""
+    return F.array(*[F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c))) for c in COUNTED])
+
+
+def alike(x: Column, y: Column, tau: int) -> Column:
+    """Whether lengths (len) and counts leave it open that two lines link."""
+    apart = sum((F.abs(F.get(x["counts"], i) - F.get(y["counts"], i)) for i in range(len(COUNTED))), F.lit(0))
+    return (F.abs(x["len"] - y["len"]) <= tau) & (apart <= 2 * tau)
+
+
+#: Up to so many pairs or ids (three numbers each at most) are broadcast; more are joined by merging.
+MAX_BROADCAST = 500_000
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, tau: int) -> DataFrame:
+    """The pairs (a, b) of node ids whose lines are within tau edits; each pair's two lines meet once."""
+    pairs = stage(pairs.distinct(), "line-pairs")
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("_n"))
+    lines = nodes.select("id", "line")
+    hint = F.broadcast if pairs.count() <= MAX_BROADCAST else lambda x: x.hint("merge")
+    both = lines.join(hint(ends), lines["id"] == ends["_n"]).groupBy("a", "b").agg(F.collect_list("line").alias("l"))
+    links = stage(both.where(within(F.col("l")[0], F.col("l")[1], tau)).select("a", "b"), "line-links")
+    discard(pairs)
+    return links
+
+
+def line_links(lines: DataFrame, tau: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes: id, ha, hb; links: a, b) of lines (ha, hb, n, line)."""
+    floors = [class_floor(F.col("n") - d).alias(f"f{d}") for d in range(tau + 1)]
+    keyed = lines.select("ha", "n", "line", *floors).select("ha", F.explode(keys(F.col("line"), F.col("n"), [F.col(f"f{d}") for d in range(tau + 1)], tau)).alias("k"))
+    # keys that different lines have; a line's occurrences are one before they are dealt
+    met = keyed.groupBy("k").agg(F.min("ha").alias("lo"), F.max("ha").alias("hi")).where("lo <> hi").select(F.col("k").alias("_k"))
+    cand = stage(keyed.join(met.hint("shuffle_hash"), keyed["k"] == met["_k"]).select("k", "ha"), "line-candidates")
+    ids = stage(cand.select(F.col("ha").alias("_a")).distinct(), "line-ids")
+    if ids.count() <= MAX_BROADCAST:
+        nodes = lines.join(F.broadcast(ids), lines["ha"] == F.col("_a")).groupBy("ha", "hb").agg(F.first("line").alias("line"))
+    else:  # equal lines are made one before they are dealt by hash
+        nodes = lines.groupBy("ha", "hb").agg(F.first("line").alias("line")).join(ids.hint("merge"), F.col("ha") == F.col("_a")).drop("_a")
+    nodes = nodes.withColumns({"id": F.monotonically_increasing_id(), "len": F.length("line"), "counts": letter_counts(F.col("line"))})
+    nodes = stage(nodes, "line-nodes")
+    traits = nodes.select(F.col("ha").alias("_a"), "id", "len", "counts")
+    members = stage(cand.distinct().join(traits, cand["ha"] == F.col("_a")).select("k", "id", "len", "counts"), "line-members")
+    discard(cand, ids)
+
+    # leaders: the same for all lines of a key, by orders that have nothing to do with each other
+    masks = [0, -1, 0x2545F4914F6CDD1D, 0x1FB21C651E98DF25]
+    first = lambda m: F.min(F.col("id").bitwiseXOR(F.lit(m).cast("bigint"))).bitwiseXOR(F.lit(m).cast("bigint"))
+    lead = members.groupBy("k").agg(F.count(F.lit(1)).alias("size"), *[first(m).alias(f"l{i}") for i, m in enumerate(masks)])
+    lead = lead.select(F.col("k").alias("_k"), F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(len(masks))]))).alias("_l"))
+    trait = lambda p: F.struct(F.col(f"{p}len").alias("len"), F.col(f"{p}counts").alias("counts"))
+    lead = lead.join(nodes.select(F.col("id").alias("_i"), F.col("len").alias("_len"), F.col("counts").alias("_counts")), F.col("_l") == F.col("_i"))
+    led = members.join(lead, (members["k"] == lead["_k"]) & (F.col("id") != F.col("_l"))).where(alike(trait(""), trait("_"), tau))
+    found = verified(led.select(F.least("id", "_l").alias("a"), F.greatest("id", "_l").alias("b")), nodes, tau)
+
+    # what leaders leave open: lines of a key that are in different components still
+    comp = components(found).select(F.col("v").alias("_v"), F.col("comp").alias("_comp"))
+    placed = stage(members.join(comp, members["id"] == F.col("_v"), "left").select("k", "id", "len", "counts", F.coalesce("_comp", "id").alias("comp")), "line-placed")
+    open_ = placed.groupBy(F.col("k").alias("_k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where(f"lo <> hi and size > {2 if len(masks) > 1 else 1}").select("_k", "size")
+    blocks = F.when(F.col("size") <= group, F.lit(1).cast("bigint")).otherwise(F.ceil(F.col("size") / (group // 2 or 1)))
+    own = placed.join(open_, placed["k"] == F.col("_k")).withColumn("blocks", blocks).withColumn("g", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    own = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    cells = own.groupBy("k", F.least("g", "o").alias("x"), F.greatest("g", "o").alias("y")).agg(F.collect_list(F.struct("id", "len", "counts", "comp", "g")).alias("m"))
+
+    def pairs_of(m: Column) -> Column:
+        # a block's own pairs are those of its cell on the diagonal
+        mate = lambda x, y: (y["id"] > x["id"]) & (y["comp"] != x["comp"]) & ((x["g"] != y["g"]) | (F.col("x") == F.col("y"))) & alike(x, y, tau)
+        return F.flatten(F.transform(m, lambda x: F.transform(F.filter(m, lambda y: mate(x, y)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
+
+    left = cells.select(F.explode(pairs_of(F.col("m"))).alias("p")).select("p.a", "p.b")
+    more = verified(left, nodes, tau)
+    discard(members, placed)
+    return nodes.select("id", "ha", "hb"), found.unionAll(more)
 
 
 def line_verdicts(docs: DataFrame, tau: int = 1, min_length: int = 20, group: int = 128, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, no, line and verdict of each line that isn't blank: exact (equal to an earlier one), near (its class has an earlier line) or kept."""
-    full = lines_of(docs, doc_id, text).withColumns({"ha": F.xxhash64("line"), "hb": F.xxhash64("line", F.lit(7)), "row": F.monotonically_increasing_id()})
+    if min_length <= tau:
+        raise ValueError("min_length must be more than tau: shorter lines have no segments")
+    full = lines_of(docs, doc_id, text).withColumns({"n": F.length("line"), "ha": F.xxhash64("line"), "hb": F.xxhash64(F.lit(7), "line"), "row": F.monotonically_increasing_id()})
     full = stage(full, "lines")
-    nodes, links = line_links(full.where(F.length("line") >= min_length).select("ha", "hb", "line"), tau, group)
+    nodes, links = line_links(full.where(F.col("n") >= min_length).select("ha", "hb", "n", "line"), tau, group)
     comp = components(links).select(F.col("v").alias("_v"), F.col("comp").alias("cls"))
     classed = nodes.join(comp, nodes["id"] == comp["_v"]).select(F.col("ha").alias("_a"), F.col("hb").alias("_b"), "cls")
-    # rows with equal doc_id have equal places but for the last field
-    place = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.col("no").alias("l"), F.col("row").alias("r"))
-    by_line = full.groupBy("ha", "hb").agg(F.min(place).alias("first"))
-    by_line = by_line.join(classed, (by_line["ha"] == classed["_a"]) & (by_line["hb"] == classed["_b"]), "left").drop("_a", "_b")
-    by_line = stage(by_line, "line-classes")
-    earliest = by_line.where("cls is not null").groupBy(F.col("cls").alias("_c")).agg(F.min("first").alias("earliest"))
-    later = by_line.join(earliest, F.col("cls") == F.col("_c"), "left").select(F.col("ha").alias("_a"), F.col("hb").alias("_b"), "first", F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)).alias("near"))
-    out = full.join(later.hint("merge"), (full["ha"] == F.col("_a")) & (full["hb"] == F.col("_b")))
-    return out.select("doc_id", "no", "line", F.when(F.col("row") != F.col("first.r"), "exact").when(F.col("near"), "near").otherwise("kept").alias("verdict"))
+    # a null doc_id comes before all others; rows with equal doc_id have equal places but for the last field
+    place = F.struct(F.col("doc_id").isNotNull().alias("h"), F.col("doc_id").alias("d"), F.col("no").alias("l"), F.col("row").alias("r"))
+    first = full.groupBy("ha", "hb").agg(F.min(place).alias("first"))
+    classes = stage(first.join(classed, (first["ha"] == classed["_a"]) & (first["hb"] == classed["_b"]), "left").select("first", "cls"), "line-classes")
+    earliest = classes.where("cls is not null").groupBy(F.col("cls").alias("_c")).agg(F.min("first").alias("earliest"))
+    later = classes.join(earliest, F.col("cls") == F.col("_c"), "left").select(F.col("first.r").alias("_r"), F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)).alias("near"))
+    # by row, which is different for each, and not by line, of which one may be very common
+    out = full.join(later.hint("merge"), full["row"] == F.col("_r"), "left")
+    return out.select("doc_id", "no", "line", F.when(F.col("_r").isNull(), "exact").when(F.col("near"), "near").otherwise("kept").alias("verdict"))
 
 
 def line_dedup(docs: DataFrame, tau: int = 1, min_length: int = 20, group: int = 128, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_exact (lines equal to an earlier one), n_near (others whose class has an earlier line) and n_kept, of each document, from its lines' verdicts."""
-    d = lambda c: F.coalesce(c.cast("bigint"), F.lit(NO_ID)).alias("d")
-    lines = line_verdicts(docs, tau, min_length, group, doc_id, text).select(d(F.col("doc_id")), "verdict")
-    every = docs.select(d(F.col(doc_id)), F.lit(None).cast("string").alias("verdict"))
+    lines = line_verdicts(docs, tau, min_length, group, doc_id, text).select("doc_id", "verdict")
+    every = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("verdict"))
     counts = [F.count_if(F.coalesce(F.col("verdict") == v, F.lit(False))).alias(f"n_{v}") for v in ("exact", "near", "kept")]
-    out = lines.unionAll(every).groupBy("d").agg(F.count("verdict").alias("n_lines"), *counts)
-    return out.select(F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), "n_lines", "n_exact", "n_near", "n_kept")
+    return lines.unionAll(every).groupBy("doc_id").agg(F.count("verdict").alias("n_lines"), *counts)

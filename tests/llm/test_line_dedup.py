@@ -73,7 +73,7 @@ def brute(docs, tau, least):
     return out
 
 
-@pytest.mark.parametrize(("tau", "least", "group"), [(1, 3, 128), (1, 3, 2), (2, 4, 4)])
+@pytest.mark.parametrize(("tau", "least", "group"), [(1, 3, 128), (1, 3, 2), (2, 4, 4), (3, 4, 8), (3, 8, 128)])
 def test_equals_brute_force(spark, tau, least, group):
     r = random.Random(10 * tau + group)
     stems = ["hello world abc", "the quick brown fox", "short", "aaaaaaaaaa", "lorem ipsum dolor sit"]
@@ -89,14 +89,50 @@ def test_awkward_rows(spark):
     assert not D.line_dedup(cases.frame(spark, [])).collect()
 
 
-def test_signature_changes_by_four_an_edit(spark):
+def test_letter_counts_change_by_two_an_edit(spark):
     r = random.Random(8)
     pairs = []
     for _ in range(300):
-        a = "".join(r.choice("abcé ") for _ in range(r.randrange(40)))
-        pairs.append((a, edited(a, r.randrange(5), r, "abxé")))
-    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.bit_count(D.signature(F.col("a")).bitwiseXOR(D.signature(F.col("b")))).alias("n")).collect()
-    assert all(x.n <= 4 * distance(x.a, x.b) for x in got)
+        a = "".join(r.choice("aeté ") for _ in range(r.randrange(40)))
+        pairs.append((a, edited(a, r.randrange(5), r, "aetxé")))
+    side = lambda c: F.struct(F.length(c).alias("len"), D.letter_counts(F.col(c)).alias("counts"))
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", side("a").alias("x"), side("b").alias("y"))
+    got = rows.select("a", "b", *[D.alike(F.col("x"), F.col("y"), t).alias(f"t{t}") for t in (1, 2, 3)]).collect()
+    assert all(x[f"t{t}"] for x in got for t in (1, 2, 3) if distance(x.a, x.b) <= t)
+
+
+@pytest.mark.parametrize("tau", [1, 2, 3, 4])
+def test_linked_lines_share_a_key(spark, tau):
+    r = random.Random(tau)
+    pairs = []
+    for n in [*range(tau + 1, 40), 63, 64, 65, 128, 130, 320] * 8:
+        a = "".join(r.choice("abcdefgh") for _ in range(n))
+        b = edited(a, tau, r, "xyz")
+        if len(b) > tau:
+            pairs.append((a, b))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for c in "ab":
+        df = df.withColumns({f"{c}{d}": D.class_floor(F.length(c) - d) for d in range(tau + 1)})
+    of = lambda c: D.keys(F.col(c), F.length(c), [F.col(f"{c}{d}") for d in range(tau + 1)], tau)
+    assert not df.where(~F.arrays_overlap(of("a"), of("b"))).collect()
+
+
+def test_hashes_of_a_line_are_independent(spark):
+    rows = spark.createDataFrame([("abc",), ("é",)], "line string").select(F.xxhash64("line").alias("ha"), F.xxhash64(F.lit(7), "line").alias("hb"), F.xxhash64("line", F.lit(7)).alias("chained")).collect()
+    assert all(r.hb != r.chained for r in rows)
+
+
+def test_one_line_with_many_variants(spark):
+    r = random.Random(5)
+    stem = "this line of text occurs in very many documents of the corpus"
+    docs = [(d, edited(stem, r.randrange(4), r, "xyz") + "\n" + "".join(r.choice("abcdefghij ") for _ in range(50))) for d in range(250)]
+    got = D.line_dedup(spark.createDataFrame(docs, "doc_id bigint, text string"), 3, 20, 16).collect()
+    assert {x.doc_id: [x.n_lines, x.n_exact, x.n_near, x.n_kept] for x in got} == brute(docs, 3, 20)
+
+
+def test_short_lines_are_refused(spark):
+    with pytest.raises(ValueError):
+        D.line_dedup(cases.frame(spark), 2, 2)
 
 
 def test_query_finds_swapped_words(spark, tmp_path):
