@@ -10,20 +10,25 @@ their edit distance is at most ``tau``; equal lines are one from the start.
    before it and at most tau + 1 - i after it. Cuts depend on the class of a line's
    length alone (four classes between powers of two); the first segments are counted
    from the line's start, the others from its end, so that segment i can only have
-   moved by min(i - 1, tau + 1 - i) characters. A line has a key for each place where
-   a segment may have gone, in its own class and in those of lines up to tau shorter:
-   for tau = 3 eight keys, mostly.
+   moved by min(i - 1, tau + 1 - i) characters. Its keys are hashes of windows a little
+   shorter than the segment at a few places in it, so chosen that any two lines with
+   such a shift have one in common. A line has the keys of its own class and of the
+   classes of lines up to tau shorter: for tau = 3 six keys, mostly.
 3. *Candidates.* Keys that only one line has are dropped by a count with partial
    aggregation. Of the lines that are left, pairs with a key in common, a difference
-   of lengths up to tau and of letter counts up to 2 tau are verified by the banded
+   of lengths up to tau and of letter counts up to 2 tau (read from one long) are verified by the banded
    bit-parallel distance (its 2 tau + 3 diagonals in one long) of what is left of them
    without common beginning and end. Each pair is verified once, whatever keys it
    shares.
 4. *Large groups.* All lines of a key are first compared with a few leaders, which is
    linear and finds most links of a line's many variants. Only pairs in different
-   components after that are compared with each other, in pairs of blocks of
-   ``group`` / 2 lines, so no group is in one row or task and links inside a component
-   aren't listed pair by pair.
+   components after that are compared with each other, by their numbers alone and in
+   pairs of blocks of ``group`` / 2 lines where there are more than ``group``: so no row
+   holds more, and links inside a component aren't listed pair by pair. Lines that all
+   share a segment, but hardly link, are the costly case: they are compared in pairs.
+
+Lines are numbered in the order of their first places, so the smallest number of a
+class is its first line.
 
 Links are united into classes; a class's first line (by doc_id, then line number)
 stays. Nothing is capped. Hashes stand for lines (128 bits) and, in the search for
@@ -123,30 +128,43 @@ def within(a: Column, b: Column, tau: int) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) <= tau, let(trimmed(a, b), near)).otherwise(False)
 
 
+#: Lines of a key that are compared in one row; more are cut into blocks of half as many.
+GROUP = 4096
+
+
 def class_floor(n: Column) -> Column:
     """The least length in the class of length n: four classes between powers of two."""
     width = F.call_function("shiftleft", F.lit(1), F.length(F.bin(n.cast("bigint"))) - 3)
     return F.when(n < 8, n).otherwise(n - n % width)
 
 
-def keys(line: Column, n: Column, floors: list[Column], tau: int) -> Column:
-    """Keys of a line of n > tau characters: hashes of (length class, segment, substring). floors: class_floor of n, n - 1, ... n - tau."""
+def ruler(slack: int) -> list[int]:
+    """Places whose differences are all numbers up to slack, found by a greedy rule."""
+    out = [0]
+    while missing := set(range(slack + 1)) - {abs(x - y) for x in out for y in out}:
+        out.append(out[-1] + min(missing))
+    return out
+
+
+def keys(line: Column, raw: Column, n: Column, floors: list[Column], tau: int) -> Column:
+    """Keys of a line of n > tau characters: hashes of (length class, segment, window). raw: its bytes, where each is a character, else null; floors: class_floor of n, n - 1, ... n - tau."""
 
-    def of(floor: Column, there: Column | None) -> list[Column]:
+    def of(text: Column, floor: Column, there: Column | None) -> list[Column]:
         size = F.floor(floor / (tau + 1)).cast("int")
         out = []
         for i in range(1, tau + 2):
-            left = i - 1 <= tau + 1 - i
-            slack = min(i - 1, tau + 1 - i)
-            for shift in range(-slack, slack + 1):
-                start = size * (i - 1) + shift if left else n - size * (tau + 2 - i) + shift
-                key = F.xxhash64(floor, F.lit(i), F.substr(line, start + 1, size))
+            start = size * (i - 1) if i - 1 <= tau + 1 - i else n - size * (tau + 2 - i)
+            places = ruler(min(i - 1, tau + 1 - i))
+            for place in places:
+                # where a segment is shorter than the ruler, its windows are empty and equal
+                key = F.xxhash64(floor, F.lit(i), F.substr(text, start + 1 + place, F.greatest(size - places[-1], F.lit(0))))
                 out.append(key if there is None else F.when(there, key))
         return out
 
-    own = of(floors[0], None)
-    more = [k for d in range(1, tau + 1) for k in of(floors[d], (floors[d] > tau) & (floors[d] != floors[d - 1]))]
-    return F.when(floors[tau] == floors[0], F.array(*own)).otherwise(F.array_compact(F.array(*own, *more)))
+    own = lambda text: F.array(*of(text, floors[0], None))
+    more = [k for d in range(1, tau + 1) for k in of(line, floors[d], (floors[d] > tau) & (floors[d] != floors[d - 1]))]
+    same = floors[tau] == floors[0]
+    return F.when(same & raw.isNotNull(), own(raw)).when(same, own(line)).otherwise(F.array_compact(F.array(*of(line, floors[0], None), *more)))
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -156,18 +174,24 @@ def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 #: Letters that are counted before two lines are compared.
-COUNTED = " etaoinsr"
+COUNTED = " etaoinsrhldcumf"
+#: Codes of counts mod 8 in which a step, from 7 to 0 too, changes one bit.
+STEPS = [0b0000, 0b0001, 0b0011, 0b0111, 0b1111, 0b1110, 0b1100, 0b1000]
 
 
 def letter_counts(line: Column) -> Column:
-    """How often each of a few letters occurs: an edit changes at most two of the counts, by one."""
-    return F.array(*[F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c))) for c in COUNTED])
+    """How often each of 16 letters occurs, mod 8, in four bits each: an edit changes at most two of the counts by one, so at most two bits."""
+    steps = F.array(*[F.lit(x).cast("bigint") for x in STEPS])
+    out = F.lit(0).cast("bigint")
+    for i, c in enumerate(COUNTED):
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c)))
+        out = out.bitwiseOR(F.shiftleft(F.get(steps, n % 8), 4 * i))
+    return out
 
 
 def alike(x: Column, y: Column, tau: int) -> Column:
-    """Whether lengths (len) and counts leave it open that two lines link."""
-    apart = sum((F.abs(F.get(x["counts"], i) - F.get(y["counts"], i)) for i in range(len(COUNTED))), F.lit(0))
-    return (F.abs(x["len"] - y["len"]) <= tau) & (apart <= 2 * tau)
+    """Whether lengths (len) and letter counts leave it open that two lines link."""
+    return (F.abs(x["len"] - y["len"]) <= tau) & (F.bit_count(x["counts"].bitwiseXOR(y["counts"])) <= 2 * tau)
 
 
 #: Up to so many pairs or ids (three numbers each at most) are broadcast; more are joined by merging.
@@ -186,10 +210,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, tau: int) -> DataFrame:
     return links
 
 
-def line_links(lines: DataFrame, tau: int, group: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes: id, ha, hb; links: a, b) of lines (ha, hb, n, line)."""
-    floors = [class_floor(F.col("n") - d).alias(f"f{d}") for d in range(tau + 1)]
-    keyed = lines.select("ha", "n", "line", *floors).select("ha", F.explode(keys(F.col("line"), F.col("n"), [F.col(f"f{d}") for d in range(tau + 1)], tau)).alias("k"))
+def line_links(lines: DataFrame, first: DataFrame, tau: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes: id, row; links: a, b) of lines (ha, hb, n, line), whose first places are in first (ha, hb, first); ids are in the order of places."""
+    floors = [F.col(f"f{d}") for d in range(tau + 1)]
+    raw = F.when(F.octet_length("line") == F.col("n"), F.col("line").cast("binary"))
+    keyed = lines.select("ha", "n", "line", raw.alias("raw"), *[class_floor(F.col("n") - d).alias(f"f{d}") for d in range(tau + 1)])
+    keyed = keyed.select("ha", F.explode(keys(F.col("line"), F.col("raw"), F.col("n"), floors, tau)).alias("k"))
     # keys that different lines have; a line's occurrences are one before they are dealt
     met = keyed.groupBy("k").agg(F.min("ha").alias("lo"), F.max("ha").alias("hi")).where("lo <> hi").select(F.col("k").alias("_k"))
     cand = stage(keyed.join(met.hint("shuffle_hash"), keyed["k"] == met["_k"]).select("k", "ha"), "line-candidates")
@@ -198,7 +224,8 @@ def line_links(lines: DataFrame, tau: int, group: int) -> tuple[DataFrame, DataF
         nodes = lines.join(F.broadcast(ids), lines["ha"] == F.col("_a")).groupBy("ha", "hb").agg(F.first("line").alias("line"))
     else:  # equal lines are made one before they are dealt by hash
         nodes = lines.groupBy("ha", "hb").agg(F.first("line").alias("line")).join(ids.hint("merge"), F.col("ha") == F.col("_a")).drop("_a")
-    nodes = nodes.withColumns({"id": F.monotonically_increasing_id(), "len": F.length("line"), "counts": letter_counts(F.col("line"))})
+    nodes = nodes.join(first.withColumnsRenamed({"ha": "_fa", "hb": "_fb"}), (F.col("ha") == F.col("_fa")) & (F.col("hb") == F.col("_fb"))).drop("_fa", "_fb")
+    nodes = nodes.repartitionByRange("first").sortWithinPartitions("first").withColumns({"id": F.monotonically_increasing_id(), "len": F.length("line"), "counts": letter_counts(F.col("line"))})
     nodes = stage(nodes, "line-nodes")
     traits = nodes.select(F.col("ha").alias("_a"), "id", "len", "counts")
     members = stage(cand.distinct().join(traits, cand["ha"] == F.col("_a")).select("k", "id", "len", "counts"), "line-members")
@@ -217,7 +244,7 @@ def line_links(lines: DataFrame, tau: int, group: int) -> tuple[DataFrame, DataF
     # what leaders leave open: lines of a key that are in different components still
     comp = components(found).select(F.col("v").alias("_v"), F.col("comp").alias("_comp"))
     placed = stage(members.join(comp, members["id"] == F.col("_v"), "left").select("k", "id", "len", "counts", F.coalesce("_comp", "id").alias("comp")), "line-placed")
-    open_ = placed.groupBy(F.col("k").alias("_k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where(f"lo <> hi and size > {2 if len(masks) > 1 else 1}").select("_k", "size")
+    open_ = placed.groupBy(F.col("k").alias("_k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where(f"lo <> hi and size > 2").select("_k", "size")
     blocks = F.when(F.col("size") <= group, F.lit(1).cast("bigint")).otherwise(F.ceil(F.col("size") / (group // 2 or 1)))
     own = placed.join(open_, placed["k"] == F.col("_k")).withColumn("blocks", blocks).withColumn("g", F.pmod(F.xxhash64("id"), F.col("blocks")))
     own = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
@@ -231,30 +258,27 @@ def line_links(lines: DataFrame, tau: int, group: int) -> tuple[DataFrame, DataF
     left = cells.select(F.explode(pairs_of(F.col("m"))).alias("p")).select("p.a", "p.b")
     more = verified(left, nodes, tau)
     discard(members, placed)
-    return nodes.select("id", "ha", "hb"), found.unionAll(more)
+    return nodes.select("id", F.col("first.r").alias("row")), found.unionAll(more)
 
 
-def line_verdicts(docs: DataFrame, tau: int = 1, min_length: int = 20, group: int = 128, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def line_verdicts(docs: DataFrame, tau: int = 1, min_length: int = 20, group: int = GROUP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, no, line and verdict of each line that isn't blank: exact (equal to an earlier one), near (its class has an earlier line) or kept."""
     if min_length <= tau:
         raise ValueError("min_length must be more than tau: shorter lines have no segments")
     full = lines_of(docs, doc_id, text).withColumns({"n": F.length("line"), "ha": F.xxhash64("line"), "hb": F.xxhash64(F.lit(7), "line"), "row": F.monotonically_increasing_id()})
     full = stage(full, "lines")
-    nodes, links = line_links(full.where(F.col("n") >= min_length).select("ha", "hb", "n", "line"), tau, group)
-    comp = components(links).select(F.col("v").alias("_v"), F.col("comp").alias("cls"))
-    classed = nodes.join(comp, nodes["id"] == comp["_v"]).select(F.col("ha").alias("_a"), F.col("hb").alias("_b"), "cls")
     # a null doc_id comes before all others; rows with equal doc_id have equal places but for the last field
     place = F.struct(F.col("doc_id").isNotNull().alias("h"), F.col("doc_id").alias("d"), F.col("no").alias("l"), F.col("row").alias("r"))
-    first = full.groupBy("ha", "hb").agg(F.min(place).alias("first"))
-    classes = stage(first.join(classed, (first["ha"] == classed["_a"]) & (first["hb"] == classed["_b"]), "left").select("first", "cls"), "line-classes")
-    earliest = classes.where("cls is not null").groupBy(F.col("cls").alias("_c")).agg(F.min("first").alias("earliest"))
-    later = classes.join(earliest, F.col("cls") == F.col("_c"), "left").select(F.col("first.r").alias("_r"), F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)).alias("near"))
+    first = stage(full.groupBy("ha", "hb").agg(F.min(place).alias("first")), "line-firsts")
+    nodes, links = line_links(full.where(F.col("n") >= min_length).select("ha", "hb", "n", "line"), first, tau, group)
+    near = components(links).where("v <> comp").select(F.col("v").alias("_v"))
+    near = nodes.join(near, nodes["id"] == near["_v"]).select(F.col("row").alias("_n"))
     # by row, which is different for each, and not by line, of which one may be very common
-    out = full.join(later.hint("merge"), full["row"] == F.col("_r"), "left")
-    return out.select("doc_id", "no", "line", F.when(F.col("_r").isNull(), "exact").when(F.col("near"), "near").otherwise("kept").alias("verdict"))
+    out = full.join(first.select(F.col("first.r").alias("_r")).hint("merge"), full["row"] == F.col("_r"), "left").join(near, full["row"] == F.col("_n"), "left")
+    return out.select("doc_id", "no", "line", F.when(F.col("_r").isNull(), "exact").when(F.col("_n").isNotNull(), "near").otherwise("kept").alias("verdict"))
 
 
-def line_dedup(docs: DataFrame, tau: int = 1, min_length: int = 20, group: int = 128, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, tau: int = 1, min_length: int = 20, group: int = GROUP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_exact (lines equal to an earlier one), n_near (others whose class has an earlier line) and n_kept, of each document, from its lines' verdicts."""
     lines = line_verdicts(docs, tau, min_length, group, doc_id, text).select("doc_id", "verdict")
     every = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("verdict"))

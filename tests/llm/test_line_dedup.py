@@ -106,17 +106,24 @@ def test_linked_lines_share_a_key(spark, tau):
     r = random.Random(tau)
     pairs = []
     for n in [*range(tau + 1, 40), 63, 64, 65, 128, 130, 320] * 8:
-        a = "".join(r.choice("abcdefgh") for _ in range(n))
-        b = edited(a, tau, r, "xyz")
+        a = "".join(r.choice("abcdefghé" if n % 2 else "abcdefgh") for _ in range(n))
+        b = edited(a, tau, r, "xyzß")
         if len(b) > tau:
             pairs.append((a, b))
     df = spark.createDataFrame(pairs, "a string, b string")
     for c in "ab":
         df = df.withColumns({f"{c}{d}": D.class_floor(F.length(c) - d) for d in range(tau + 1)})
-    of = lambda c: D.keys(F.col(c), F.length(c), [F.col(f"{c}{d}") for d in range(tau + 1)], tau)
+    raw = lambda c: F.when(F.octet_length(c) == F.length(c), F.col(c).cast("binary"))
+    of = lambda c: D.keys(F.col(c), raw(c), F.length(c), [F.col(f"{c}{d}") for d in range(tau + 1)], tau)
     assert not df.where(~F.arrays_overlap(of("a"), of("b"))).collect()
 
 
+def test_ruler():
+    for slack in range(6):
+        r = D.ruler(slack)
+        assert {abs(x - y) for x in r for y in r} >= set(range(slack + 1))
+
+
 def test_hashes_of_a_line_are_independent(spark):
     rows = spark.createDataFrame([("abc",), ("é",)], "line string").select(F.xxhash64("line").alias("ha"), F.xxhash64(F.lit(7), "line").alias("hb"), F.xxhash64("line", F.lit(7)).alias("chained")).collect()
     assert all(r.hb != r.chained for r in rows)
