@@ -37,11 +37,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ql-{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     if _scopes:
         _scopes[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -142,23 +142,51 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+SLICE = 4 << 20  # bytes of text whose words are found at a time
+
+
+def word_slices(buf: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of about SLICE bytes that end before white space."""
+    out, at = [], 0
+    while len(buf) - at > 2 * SLICE:
+        to = at + SLICE
+        while to < len(buf):
+            gap = np.flatnonzero(IS_SPACE[buf[to : to + SLICE]])
+            if len(gap):
+                to += int(gap[0])
+                break
+            to = min(len(buf), to + SLICE)
+        out.append((at, to))
+        at = to
+    return [*out, (at, len(buf))]
+
+
 class Words:
-    """Lower-cased (A-Z) words of a batch of documents: hashes, byte ranges, and each document's word range."""
+    """Lower-cased (A-Z) words of a batch of documents: hashes, byte ranges, and each document's word range.
+
+    A very long text is read in slices, so that what is held of it is some numbers a
+    word and not some a byte.
+    """
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray):
-        self.buf, self.offsets = LOWER[buf], offsets
+        self.offsets = offsets
+        found = [self._words(buf[a:b], offsets[(offsets >= a) & (offsets <= b)] - a, a) for a, b in word_slices(buf)]
+        self.starts, self.ends, self.hashes = (np.concatenate(x) if len(found) > 1 else x[0] for x in zip(*found))
+        self.first = np.searchsorted(self.starts, offsets)  # word range of document d: first[d]:first[d+1]
+
+    @staticmethod
+    def _words(buf: np.ndarray, offsets: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(buf)
         word = ~IS_SPACE[buf]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         before = np.zeros(n, bool)
         before[1:] = word[:-1]
-        self.starts = np.flatnonzero(word & (~before | edge[:-1]))
+        starts = np.flatnonzero(word & (~before | edge[:-1]))
         after = np.zeros(n, bool)
         after[:-1] = word[1:]
-        self.ends = np.flatnonzero(word & (~after | edge[1:])) + 1
-        self.first = np.searchsorted(self.starts, offsets)  # word range of document d: first[d]:first[d+1]
-        self.hashes = slice_hash(prefix_hash(self.buf), self.starts, self.ends)
+        ends = np.flatnonzero(word & (~after | edge[1:])) + 1
+        return starts + base, ends + base, slice_hash(prefix_hash(LOWER[buf]), starts, ends)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

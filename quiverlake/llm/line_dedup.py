@@ -22,10 +22,11 @@ their edit distance is at most ``tau``; equal lines are one from the start.
    shares.
 4. *Large groups.* All lines of a key are first compared with a few leaders, which is
    linear and finds most links of a line's many variants. Only pairs in different
-   components after that are compared with each other, by their numbers alone and in
-   pairs of blocks of ``group`` / 2 lines where there are more than ``group``: so no row
-   holds more, and links inside a component aren't listed pair by pair. Lines that all
-   share a segment, but hardly link, are the costly case: they are compared in pairs.
+   components after that are compared with each other, by their numbers first (also by
+   the parities of their pairs of characters) and each under one of its keys only, in
+   one row, or in pairs of blocks of ``group`` / 2 lines where there are more than
+   ``group``; only links leave the row. Lines that all share a segment, but hardly link,
+   are the costly case: they are compared in pairs.
 
 Lines are numbered in the order of their first places, so the smallest number of a
 class is its first line.
@@ -194,6 +195,14 @@ def alike(x: Column, y: Column, tau: int) -> Column:
     return (F.abs(x["len"] - y["len"]) <= tau) & (F.bit_count(x["counts"].bitwiseXOR(y["counts"])) <= 2 * tau)
 
 
+def pair_parities(line: Column) -> Column:
+    """Whether each kind of two neighbouring characters (64 kinds, by hash) occurs an odd number of times, as bits: an edit changes at most four."""
+    one = F.lit(1).cast("bigint")
+    flip = lambda c: lambda s, i: s.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(F.hash(F.get(c, i - 1), F.get(c, i)), F.lit(64))))
+    of = lambda c: F.aggregate(F.sequence(F.lit(1), F.size(c) - 1), F.lit(0).cast("bigint"), flip(c))
+    return F.when(F.length(line) < 2, F.lit(0).cast("bigint")).otherwise(let(F.split(line, ""), of))
+
+
 #: Up to so many pairs or ids (three numbers each at most) are broadcast; more are joined by merging.
 MAX_BROADCAST = 500_000
 
@@ -246,18 +255,23 @@ def line_links(lines: DataFrame, first: DataFrame, tau: int, group: int) -> tupl
     placed = stage(members.join(comp, members["id"] == F.col("_v"), "left").select("k", "id", "len", "counts", F.coalesce("_comp", "id").alias("comp")), "line-placed")
     open_ = placed.groupBy(F.col("k").alias("_k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where(f"lo <> hi and size > 2").select("_k", "size")
     blocks = F.when(F.col("size") <= group, F.lit(1).cast("bigint")).otherwise(F.ceil(F.col("size") / (group // 2 or 1)))
-    own = placed.join(open_, placed["k"] == F.col("_k")).withColumn("blocks", blocks).withColumn("g", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    opened = stage(placed.join(open_, placed["k"] == F.col("_k")).drop("_k"), "line-open")
+    asked = opened.groupBy(F.col("id").alias("_i")).agg(F.collect_set("k").alias("keys"))  # a few a line
+    texts = nodes.join(asked, nodes["id"] == asked["_i"]).select("_i", "keys", "line", pair_parities(F.col("line")).alias("pairs"))
+    own = opened.join(texts, opened["id"] == F.col("_i")).withColumn("blocks", blocks).withColumn("g", F.pmod(F.xxhash64("id"), F.col("blocks")))
     own = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    cells = own.groupBy("k", F.least("g", "o").alias("x"), F.greatest("g", "o").alias("y")).agg(F.collect_list(F.struct("id", "len", "counts", "comp", "g")).alias("m"))
-
-    def pairs_of(m: Column) -> Column:
-        # a block's own pairs are those of its cell on the diagonal
-        mate = lambda x, y: (y["id"] > x["id"]) & (y["comp"] != x["comp"]) & ((x["g"] != y["g"]) | (F.col("x") == F.col("y"))) & alike(x, y, tau)
-        return F.flatten(F.transform(m, lambda x: F.transform(F.filter(m, lambda y: mate(x, y)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
-
-    left = cells.select(F.explode(pairs_of(F.col("m"))).alias("p")).select("p.a", "p.b")
-    more = verified(left, nodes, tau)
-    discard(members, placed)
+    cells = own.groupBy("k", F.least("g", "o").alias("x"), F.greatest("g", "o").alias("y")).agg(F.collect_list(F.struct("id", "len", "counts", "comp", "g", "pairs", "keys", "line")).alias("m"))
+
+    def mate(x: Column, y: Column) -> Column:
+        other = (y["id"] > x["id"]) & (y["comp"] != x["comp"])
+        here = (x["g"] != y["g"]) | (F.col("x") == F.col("y"))  # a block's own pairs are those of its cell on the diagonal
+        near = alike(x, y, tau) & (F.bit_count(x["pairs"].bitwiseXOR(y["pairs"])) <= 4 * tau)
+        once = F.array_min(F.array_intersect(x["keys"], y["keys"])) == F.col("k")  # of all keys that both have
+        return other & here & near & once & within(x["line"], y["line"], tau)
+
+    links = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: mate(x, y)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
+    more = stage(cells.select(F.explode(links).alias("p")).select("p.a", "p.b"), "line-links")
+    discard(members, placed, opened)
     return nodes.select("id", F.col("first.r").alias("row")), found.unionAll(more)
 
 
@@ -266,7 +280,7 @@ def line_verdicts(docs: DataFrame, tau: int = 1, min_length: int = 20, group: in
     if min_length <= tau:
         raise ValueError("min_length must be more than tau: shorter lines have no segments")
     full = lines_of(docs, doc_id, text).withColumns({"n": F.length("line"), "ha": F.xxhash64("line"), "hb": F.xxhash64(F.lit(7), "line"), "row": F.monotonically_increasing_id()})
-    full = stage(full, "lines")
+    full = stage(full, "lines", "zstd")
     # a null doc_id comes before all others; rows with equal doc_id have equal places but for the last field
     place = F.struct(F.col("doc_id").isNotNull().alias("h"), F.col("doc_id").alias("d"), F.col("no").alias("l"), F.col("row").alias("r"))
     first = stage(full.groupBy("ha", "hb").agg(F.min(place).alias("first")), "line-firsts")

@@ -89,7 +89,7 @@ def test_awkward_rows(spark):
     assert not D.line_dedup(cases.frame(spark, [])).collect()
 
 
-def test_letter_counts_change_by_two_an_edit(spark):
+def test_letter_counts_and_pairs_change_little_an_edit(spark):
     r = random.Random(8)
     pairs = []
     for _ in range(300):
@@ -97,7 +97,9 @@ def test_letter_counts_change_by_two_an_edit(spark):
         pairs.append((a, edited(a, r.randrange(5), r, "aetxé")))
     side = lambda c: F.struct(F.length(c).alias("len"), D.letter_counts(F.col(c)).alias("counts"))
     rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", side("a").alias("x"), side("b").alias("y"))
-    got = rows.select("a", "b", *[D.alike(F.col("x"), F.col("y"), t).alias(f"t{t}") for t in (1, 2, 3)]).collect()
+    flips = F.bit_count(D.pair_parities(F.col("a")).bitwiseXOR(D.pair_parities(F.col("b"))))
+    got = rows.select("a", "b", flips.alias("flips"), *[D.alike(F.col("x"), F.col("y"), t).alias(f"t{t}") for t in (1, 2, 3)]).collect()
+    assert all(x.flips <= 4 * distance(x.a, x.b) for x in got)
     assert all(x[f"t{t}"] for x in got for t in (1, 2, 3) if distance(x.a, x.b) <= t)
 
 
