@@ -1,16 +1,16 @@
 """N-gram language model in an Elias-Fano trie, and scores of whole texts.
 
-Counting takes one pass over the training documents an order. Level 1 has every
-word (by 64-bit hash, sorted, its place is its id) with its exact count; level n
-has the n-grams seen at least ``least`` times (1: all of them), as children of their
-first n-1 words. A
-level's file holds, for its shard of contexts: monotone pointers from contexts to
-children (Elias-Fano), the children's word ids made monotone by adding the last
-value of the context before (Elias-Fano), 8-bit quantised log10 probabilities of
-the children and back-off weights of the contexts. A lookup reads a context's
-pointers and its base, and searches base + word among its children. Tasks map the
-files of the shared folder into memory; nothing of the model goes through the
-driver but a row a shard.
+Level 1 has every word (by 64-bit hash, sorted, its place is its id) with its exact
+count. After that all texts are kept as word ids, so they are split into words and
+looked up once more only; the levels above and the scores are made from the ids.
+Level n has the n-grams seen at least ``least`` times (1: all of them), as children of
+their first n-1 words. A level's file holds, for its shard of contexts: monotone
+pointers from contexts to children (Elias-Fano), the children's word ids made monotone
+by adding the last value of the context before (Elias-Fano), 8-bit quantised log10
+probabilities of the children and back-off weights of the contexts. A lookup reads a
+context's pointers and its base, and searches base + word among its children. Tasks map
+the files of the shared folder into memory; nothing of the model goes through the
+driver but a row a shard (and its frequent nodes, see below).
 
 Probabilities: unseen words have the mass (n1 + 1) / (N + 2) (n1: words seen once)
 as one class; seen ones share the rest by count. Order n interpolates absolute
@@ -19,22 +19,27 @@ once and twice where all are kept, else 0.75), with all mass that its kept n-gra
 don't take as weight, so that each context's distribution sums to one before quantisation, which
 rounds down. A text's first word has the end token as context.
 
-A frequent word's context lies in one shard, which takes its share of the kept
-n-grams (partial counts are made, and those under ``least`` are dropped, before they
-get there).
-
-Defined cases: a null or empty text is the end token alone; without training
-documents every word is unseen (N = 0, the base score is then that of V = 0);
-repeated rows each count; a null doc_id is no training document and not held out;
-an empty table gives an empty result; extra columns are ignored.
+Counts are made in each task and dealt by shard once. A frequent context (more tokens
+than a shard should have) is split into shards of its own by ranges of the words that
+follow; the children it has in all of them come back as a row a shard, for its weight.
+So no shard grows with a word's share of the text. A task looks up the words of its
+texts in all shards they lead to: the lookups grow with the texts, the files that a
+task opens with the model.
+
+Defined cases: a null or empty text is the end token alone; a very long text is read
+whole, some numbers a word; without training documents every word is unseen (N = 0, the
+base score is then that of V = 0); repeated rows each count; a null doc_id is no
+training document and not held out; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -50,25 +55,31 @@ LEAST = 2  # count from which n-grams of two words and more are kept, unless ask
 SHARD_BYTES = 32 << 20  # of text a shard
 SHARD_BYTES_ALL = 8 << 20  # where n-grams seen once are kept
 PIECE = 3 << 20  # of text at a time
+HOT_TOKENS = 100_000  # a context of fewer tokens is in one shard, whatever the shards' size
 
 # ----------------------------------------------------------------- sequences
 
 
 class Tokens:
-    """Word hashes of a batch with the end token before and after each document."""
+    """Word hashes of a batch with the end token after each document."""
 
     def __init__(self, column: pa.Array):
         w = Words(*text_bytes(column))
-        n = w.counts()
-        self.n_docs = len(n)
-        self.first = np.cumsum(np.concatenate([[0], n + 2]))  # documents' ranges, both ends included
-        self.hashes = np.full(int(self.first[-1]), END, U64)
+        self.n = w.counts() + 1  # tokens of each document
+        end = np.cumsum(self.n) - 1
+        self.hashes = np.full(int(self.n.sum()), END, U64)
         inner = np.ones(len(self.hashes), bool)
-        inner[self.first[:-1]] = inner[self.first[1:] - 1] = False
+        inner[end] = False
         self.hashes[inner] = w.hashes
-        self.is_start = np.zeros(len(self.hashes), bool)
-        self.is_start[self.first[:-1]] = True
-        self.doc = np.repeat(np.arange(self.n_docs), n + 2)
+
+
+def distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct values and each value's place among them (by a hash table, which is faster than sorting all)."""
+    code, u = pd.factorize(a)
+    order = np.argsort(u)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return u[order], rank[code]
 
 
 def training(doc_id: str):
@@ -83,31 +94,58 @@ class Counter:
     """Sorted distinct rows of uint64 keys and their counts, merged as they come."""
 
     def __init__(self, width: int, limit: int = 3_000_000):
-        self.width, self.limit, self.held, self.size = width, limit, [], 0
+        self.width, self.limit, self.raw, self.held, self.size = width, limit, [], [], 0
 
     def add(self, keys: tuple[np.ndarray, ...], counts: np.ndarray | None = None) -> None:
-        self.held.append((*keys, np.ones(len(keys[0]), np.int64) if counts is None else counts))
+        """Rows with counts, or (None) rows that each count once."""
+        if counts is None:
+            self.raw.append(keys)
+        else:
+            self.held.append((*keys, counts))
         self.size += len(keys[0])
         if self.size > self.limit:
             self.merge()
             self.limit = max(self.limit, 2 * self.size)
 
+    def _one(self, cols: list[np.ndarray]) -> tuple[np.ndarray | None, int]:
+        """Rows as one number each, if 64 bits are enough."""
+        if self.width == 1:
+            return cols[0], 0
+        shift = int(cols[1].max(initial=0)).bit_length()
+        return ((cols[0] << U64(shift)) | cols[1] if int(cols[0].max(initial=0)).bit_length() + shift <= 64 else None), shift
+
     def merge(self) -> tuple[np.ndarray, ...]:
+        if self.raw:
+            cols = [np.concatenate([r[k] for r in self.raw]) for k in range(self.width)]
+            self.raw = []
+            key, shift = self._one(cols)
+            if key is None:
+                self.held.append((*cols, np.ones(len(cols[0]), np.int64)))
+            else:  # sorted by itself, without an order
+                del cols
+                key.sort()
+                at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+                u = key[at]
+                self.held.append((*((u,) if self.width == 1 else (u >> U64(shift), u & U64((1 << shift) - 1))), np.diff(np.append(at, len(key)))))
         if not self.held:
             return (*[np.zeros(0, U64)] * self.width, np.zeros(0, np.int64))
-        cols = [np.concatenate([h[k] for h in self.held]) for k in range(self.width + 1)]
-        key = cols[0]
-        if self.width > 1:
-            shift = int(cols[1].max(initial=0)).bit_length()
-            key = (cols[0] << U64(shift)) | cols[1] if int(cols[0].max(initial=0)).bit_length() + shift <= 64 else None
-        order = np.lexsort(cols[: self.width][::-1]) if key is None else np.argsort(key)
-        cols = [c[order] for c in cols]
-        new = np.ones(len(order), bool)
-        new[1:] = np.any([c[1:] != c[:-1] for c in cols[: self.width]], axis=0)
-        at = np.flatnonzero(new)
-        out = (*[c[at] for c in cols[: self.width]], np.add.reduceat(cols[-1], at) if len(at) else np.zeros(0, np.int64))
-        self.held, self.size = [out], len(at)
-        return out
+        if len(self.held) > 1:
+            cols = [np.concatenate([h[k] for h in self.held]) for k in range(self.width + 1)]
+            key, _ = self._one(cols)
+            order = np.lexsort(cols[: self.width][::-1]) if key is None else np.argsort(key, kind="stable")  # runs that are sorted
+            cols = [c[order] for c in cols]
+            new = np.ones(len(order), bool)
+            new[1:] = np.any([c[1:] != c[:-1] for c in cols[: self.width]], axis=0)
+            at = np.flatnonzero(new)
+            self.held = [(*[c[at] for c in cols[: self.width]], np.add.reduceat(cols[-1], at) if len(at) else np.zeros(0, np.int64))]
+        elif self.size and self.width and len(self.held[0][0]) > 1:
+            cols = self.held[0]
+            rising = cols[0][1:] > cols[0][:-1] if self.width == 1 else (cols[0][1:] > cols[0][:-1]) | ((cols[0][1:] == cols[0][:-1]) & (cols[1][1:] > cols[1][:-1]))
+            if not rising.all():
+                self.held.append(tuple(c[:0] for c in cols))
+                return self.merge()
+        self.size = len(self.held[0][0])
+        return self.held[0]
 
 
 _zip, _unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -135,7 +173,7 @@ def unsqueeze(b: bytes) -> np.ndarray:
 
 
 PAYLOAD = "to bigint, a binary, b binary, n binary"
-KEPT = PAYLOAD + ", once bigint, twice bigint"
+KEPT = PAYLOAD + ", once bigint, twice bigint, kinds bigint, tokens bigint"
 
 
 def payload(to: int, cols: tuple[np.ndarray, ...]) -> pa.RecordBatch:
@@ -245,45 +283,68 @@ def level_of(path: str, first: int) -> Level:
     return _open[path]
 
 
+@dataclass
+class Shards:
+    """A level's files in the order of their nodes' ids. The first ``cold`` have contexts from ``context`` on; the others are parts, by ranges of words, of the contexts in ``hot``."""
+
+    paths: list[str]
+    first: np.ndarray
+    context: np.ndarray
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    parts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    part_path: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # -1: no such words follow
+    frequent: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # nodes that are hot as contexts, and their counts
+    frequent_count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    @property
+    def cold(self) -> int:
+        return len(self.context)
+
+    def open(self, k: int) -> Level:
+        return level_of(self.paths[k], self.first[k])
+
+
+def part_of(word: np.ndarray, parts: int, types: int) -> np.ndarray:
+    """Which of a hot context's parts a word is in."""
+    return word.astype(np.int64) * parts // max(types, 1)
+
+
 @dataclass
 class Trie:
-    """Where the levels' shards are: for each level paths, first node ids and first contexts of the shards, in order."""
+    """Counts, and the levels' shards."""
 
     total: int
     types: int
     once: int
-    shard_bits: int
-    levels: list[tuple[list[str], np.ndarray, np.ndarray]]
+    levels: list[Shards]
     least: int = LEAST
+    hot_count: int = 1 << 62
 
     @property
     def unseen(self) -> float:
         return (self.once + 1) / (self.total + 2)
 
-    def each(self, n: int, keys: np.ndarray, of: str):
-        """(shard, slice) of sorted ids of nodes (of='node') or contexts at level n (1 is the first)."""
-        paths, first, context = self.levels[n - 1]
-        edge = first if of == "node" else context
-        cut = np.searchsorted(keys, edge)
-        for k, path in enumerate(paths):
-            a, b = cut[k], cut[k + 1] if k + 1 < len(paths) else len(keys)
-            if b > a:
-                level = level_of(path, first[k])
-                b = a + np.searchsorted(keys[a:b], edge[k] + (level.n if of == "node" else level.n_contexts))  # contexts of a shard without children lie between
-                yield level, slice(a, b)
+    def each(self, n: int, keys: np.ndarray, of: str) -> Iterator[tuple[Level, slice]]:
+        """(shard, slice) of sorted ids of nodes (of='node') or contexts (not the hot ones) at level n (1 is the first)."""
+        s = self.levels[n - 1]
+        edge = s.first if of == "node" else s.context
+        cut = np.append(np.searchsorted(keys, edge), len(keys))
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            level = s.open(k)
+            a, b = int(cut[k]), int(cut[k + 1])
+            b = a + int(np.searchsorted(keys[a:b], edge[k] + (level.n if of == "node" else level.n_contexts)))  # contexts of a shard without children lie between
+            yield level, slice(a, b)
 
     def words(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of sorted distinct hashes, or -1."""
         out = np.full(len(hashes), -1, np.int64)
         if self.levels:
-            paths, first, low = self.levels[0]
-            cut = np.searchsorted(hashes, low)
-            for k, path in enumerate(paths):
-                a, b = cut[k], cut[k + 1] if k + 1 < len(paths) else len(hashes)
-                if b > a:
-                    level = level_of(path, first[k])
-                    at = level.values.find(hashes[a:b] - U64(level.least))
-                    out[a:b] = np.where(at >= 0, at + level.first, -1)
+            s = self.levels[0]
+            cut = np.append(np.searchsorted(hashes, s.context), len(hashes))
+            for k in np.flatnonzero(np.diff(cut)).tolist():
+                level, own = s.open(k), slice(cut[k], cut[k + 1])
+                at = level.values.find(hashes[own] - U64(level.least))
+                out[own] = np.where(at >= 0, at + level.first, -1)
         return out
 
     def value(self, n: int, ids: np.ndarray, what: str, out) -> np.ndarray:
@@ -292,10 +353,19 @@ class Trie:
         if len(self.levels) < n:
             return got
         at = np.flatnonzero(ids >= 0)
+        if what == "log_weight":
+            s = self.levels[n - 1]
+            where, is_hot = among(s.hot, ids[at])
+            for h in np.unique(where[is_hot]).tolist():
+                files = s.part_path[s.parts[:h].sum() :][: s.parts[h]]
+                files = files[files >= 0]
+                if len(files):
+                    got[at[is_hot & (where == h)]] = s.open(int(files[0])).log_weight(s.hot[h : h + 1])[0]
+            at = at[~is_hot]
         keys = ids[at]
-        for level, s in self.each(n, keys, "context" if what == "log_weight" else "node"):
-            k = keys[s]
-            got[at[s]] = level.counts[k - level.first] if what == "counts" else level.log_p(k) if what == "log_p" else level.log_weight(k)
+        for level, own in self.each(n, keys, "context" if what == "log_weight" else "node"):
+            k = keys[own]
+            got[at[own]] = level.counts[k - level.first] if what == "counts" else level.log_p(k) if what == "log_p" else level.log_weight(k)
         return got
 
     def any_order(self, n: int, ids: np.ndarray, what: str, out) -> np.ndarray:
@@ -305,9 +375,22 @@ class Trie:
     def children(self, n: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Level-n nodes of (context, word) pairs in ascending order; -1 where there is none."""
         node = np.full(len(word), -1, np.int64)
-        if len(self.levels) >= n:
-            for level, s in self.each(n, context, "context"):
-                node[s] = level.find(context[s], word[s])
+        if len(self.levels) < n:
+            return node
+        s = self.levels[n - 1]
+        where, is_hot = among(s.hot, context)
+        for h in np.unique(where[is_hot]).tolist():
+            own = np.flatnonzero(is_hot & (where == h))  # one context, its words ascending
+            part = part_of(word[own], int(s.parts[h]), self.types)
+            files = s.part_path[s.parts[:h].sum() :][: s.parts[h]]
+            for p in np.unique(part).tolist():
+                if files[p] >= 0:
+                    at = own[part == p]
+                    node[at] = s.open(int(files[p])).find(context[at], word[at])
+        cold = np.flatnonzero(~is_hot)
+        c, w = context[cold], word[cold]
+        for level, own in self.each(n, c, "context"):
+            node[cold[own]] = level.find(c[own], w[own])
         return node
 
     def children_any_order(self, n: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -318,13 +401,21 @@ class Trie:
         return out
 
 
+def among(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each x's place in an ascending array, and whether it is there."""
+    if not len(sorted_):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
+    return at, sorted_[at] == x
+
+
 class Pairs:
     """Distinct pairs of numbers in ascending order, and each pair's place."""
 
     def __init__(self, a: np.ndarray, b: np.ndarray):
         shift = int(b.max(initial=0)).bit_length()
         if int(a.max(initial=0)).bit_length() + shift < 63:
-            u, self.inverse, self.count = np.unique((a << shift) | b, return_inverse=True, return_counts=True)
+            u, self.inverse = distinct((a << shift) | b)
             self.a, self.b = u >> shift, u & ((1 << shift) - 1)
         else:
             order = np.lexsort((b, a))
@@ -332,18 +423,54 @@ class Pairs:
             new = np.ones(len(x), bool)
             new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
             at = np.flatnonzero(new)
-            self.a, self.b, self.count = x[at], y[at], np.diff(np.append(at, len(x)))
+            self.a, self.b = x[at], y[at]
             self.inverse = np.empty(len(x), np.int64)
             self.inverse[order] = np.cumsum(new) - 1
 
 
-class Read:
-    """A batch's tokens as places in its distinct words, which have ids and counts."""
+WORDS = "batch bigint, ids binary, nulls binary, held binary, train binary, n binary, base binary, known binary, words binary"
 
-    def __init__(self, trie: Trie, t: Tokens):
-        self.trie, self.start = trie, t.is_start
-        u, self.at = np.unique(t.hashes, return_inverse=True)
-        self.ids = trie.words(u)
+
+def word_table(rows: DataFrame, trie: Trie) -> DataFrame:
+    """A row a batch of texts (_id, _held, _train, _text): numbers of tokens, base scores, numbers of known tokens, and the tokens' word ids plus one (0: unknown)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, seq = TaskContext.get().partitionId() << 32, 0
+        for b in pieces(batches, "_text", PIECE):
+            t = Tokens(b.column(3))
+            u, at = distinct(t.hashes)
+            ids = trie.words(u)
+            count = trie.value(1, ids, "counts", 0)
+            doc = np.repeat(np.arange(len(t.n)), t.n)
+            score = np.bincount(doc, np.log10((count + 0.1) / (trie.total + 0.1 * (trie.types + 1)))[at], len(t.n))
+            known = np.bincount(doc, (count > 0)[at], len(t.n)).astype("<i8")
+            own = [np.asarray(b.column(0).fill_null(0)).astype("<i8"), np.asarray(b.column(0).is_null()).astype(np.uint8), *(np.asarray(b.column(k)).astype(np.uint8) for k in (1, 2)), t.n.astype("<i8"), score, known]
+            words = (ids + 1)[at]
+            cells = [*(x.tobytes() for x in own), squeeze(words) if words.any() else b""]
+            yield pa.RecordBatch.from_arrays([pa.array([base + seq], pa.int64()), *[pa.array([x], pa.binary()) for x in cells]], [f.split()[0] for f in WORDS.split(", ")])
+            seq += 1
+
+    return stage(arrow_map(rows, run, WORDS), "lm-words")
+
+
+class Read:
+    """A batch's tokens as word ids (-1: unknown), with the end token before and after each document; train: of the training documents only."""
+
+    def __init__(self, trie: Trie, row: dict, train: bool = False):
+        self.trie = trie
+        n = np.frombuffer(row["n"], "<i8")
+        words = unsqueeze(row["words"]).astype(np.int64) - 1 if row["words"] else np.full(int(n.sum()), -1, np.int64)
+        if train:
+            use = np.frombuffer(row["train"], np.uint8) > 0
+            words, n = words[np.repeat(use, n)], n[use]
+        self.n = n
+        start = np.cumsum(n + 1) - (n + 1)
+        self.start = np.zeros(len(words) + len(n), bool)
+        self.start[start] = True
+        tokens = np.empty(len(self.start), np.int64)
+        tokens[~self.start] = words
+        tokens[self.start] = words[np.cumsum(n) - 1] if len(n) else -1  # each document's last token is the end
+        self.ids, self.at = distinct(tokens)
         self.counts = trie.value(1, self.ids, "counts", 0)
 
     def before(self, node: np.ndarray) -> np.ndarray:
@@ -352,16 +479,21 @@ class Read:
         out[self.start] = -1
         return out
 
+    def word(self) -> np.ndarray:
+        """The word of each token; -1 if n-grams with it aren't kept: an n-gram is seen so often only if its words are."""
+        return np.where(self.counts >= self.trie.least, self.ids, -1)[self.at]
+
     def grams(self, context: np.ndarray) -> tuple[np.ndarray, Pairs]:
-        """Tokens that have a context and a known word, and their distinct (context, word place) pairs."""
-        ok = np.flatnonzero((context >= 0) & (self.counts >= self.trie.least)[self.at])  # kept n-grams have no rarer words
-        return ok, Pairs(context[ok], self.at[ok])
+        """Tokens that have a context and a word that kept n-grams have, and their distinct (context, word) pairs."""
+        word = self.word()
+        ok = np.flatnonzero((context >= 0) & (word >= 0))
+        return ok, Pairs(context[ok], word[ok])
 
     def nodes(self, n: int, context: np.ndarray) -> np.ndarray:
         """Level-n nodes of each token after its context."""
         out = np.full(len(self.at), -1, np.int64)
         ok, p = self.grams(context)
-        out[ok] = self.trie.children(n, p.a, self.ids[p.b])[p.inverse]
+        out[ok] = self.trie.children(n, p.a, p.b)[p.inverse]
         return out
 
 
@@ -374,24 +506,36 @@ def write_shard(folder: str, level: int, shard: int, arrays: dict[str, np.ndarra
     return f"{folder}/{name}"
 
 
-LISTED = "shard bigint, path string, nodes bigint, total bigint, once bigint"
+LISTED = "shard bigint, path string, nodes bigint, total bigint, once bigint, frequent array<bigint>, frequent_count array<bigint>"
 
 
-def listed_row(shard: int, path: str, counts: np.ndarray) -> pa.RecordBatch:
+def listed_row(shard: int, path: str, counts: np.ndarray, hot_count: int) -> pa.RecordBatch:
+    """A shard's row: its frequent nodes are at most as many as its tokens make of hot_count."""
+    often = np.flatnonzero(counts > hot_count)
+    row = _listed_row(shard, path, counts)
+    return pa.RecordBatch.from_arrays([*row.columns, *(pa.array([x], pa.list_(pa.int64())) for x in (often, counts[often]))], [*row.schema.names, "frequent", "frequent_count"])
+
+
+def shards_of(rows: list, context: np.ndarray, **hot) -> Shards:
+    first = np.cumsum([0, *(r["nodes"] for r in rows)])[:-1]
+    pairs = [(int(f) + x, n) for f, r in zip(first, rows) for x, n in zip(r["frequent"], r["frequent_count"])]
+    often, count = np.array(pairs, np.int64).reshape(-1, 2).T
+    return Shards([r["path"] for r in rows], first, context, frequent=often, frequent_count=count, **hot)
+
+
+def _listed_row(shard: int, path: str, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((shard, pa.int64()), (path, pa.string()), (len(counts), pa.int64()), (int(counts.sum()), pa.int64()), (int((counts == 1).sum()), pa.int64()))], ["shard", "path", "nodes", "total", "once"])
 
 
-def build_words(train: DataFrame, shards: int, folder: str, least: int = LEAST) -> Trie:
+def build_words(train: DataFrame, shards: int, folder: str, least: int, hot_count: int) -> Trie:
     """Level 1: words by range of hash, with exact counts; their probabilities follow from those and the totals."""
     bits = shards.bit_length() - 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(1)
         for b in pieces(batches, "_text", PIECE):
-            t = Tokens(b.column(1))
-            h = t.hashes[~t.is_start]
-            u, n = np.unique(h, return_counts=True)
-            counter.add((u,), n)
+            code, u = pd.factorize(Tokens(b.column(0)).hashes)
+            counter.add((u,), np.bincount(code, minlength=len(u)))
         u, n = counter.merge()
         cut = np.searchsorted(u >> U64(64 - bits) if bits else u * U64(0), np.arange(shards + 1).astype(U64))
         for k in np.flatnonzero(np.diff(cut)):
@@ -402,101 +546,109 @@ def build_words(train: DataFrame, shards: int, folder: str, least: int = LEAST)
             low = shard << (64 - bits) if bits else 0
             arrays = {"meta": np.array([0, len(u), 0, 0], np.int64), "least": np.array([low], U64), "counts": n.astype("<u4" if n.max() < 1 << 32 else "<u8"), "code": np.zeros(0, np.uint8), "book": np.zeros(1)}
             path = write_shard(folder, 1, shard, arrays | named(build(u - U64(low), 1 << (64 - bits)), "values"))
-            yield listed_row(shard, path, n)
+            yield listed_row(shard, path, n, hot_count)
 
-    sent = arrow_map(train, emit, PAYLOAD)
+    sent = arrow_map(train.select("_text"), emit, PAYLOAD)
     rows = stage(arrow_map(sent.repartition(min(n_parts(train.sparkSession), shards), "to").sortWithinPartitions("to"), make, LISTED), "lm1").orderBy("shard").collect()
     if not rows:
-        return Trie(0, 0, 0, bits, [], least)
-    first = np.cumsum([0, *(r["nodes"] for r in rows)])[:-1]
+        return Trie(0, 0, 0, [], least)
     low = np.array([r["shard"] << (64 - bits) if bits else 0 for r in rows], U64)
-    return Trie(sum(r["total"] for r in rows), int(sum(r["nodes"] for r in rows)), sum(r["once"] for r in rows), bits, [([r["path"] for r in rows], first, low)], least)
+    return Trie(sum(r["total"] for r in rows), int(sum(r["nodes"] for r in rows)), sum(r["once"] for r in rows), [shards_of(rows, low)], least, hot_count)
 
 
-def build_level(train: DataFrame, trie: Trie, n: int, shards: int, folder: str) -> Trie:
+def build_level(words: DataFrame, trie: Trie, n: int, folder: str) -> Trie:
     """Level n of the trie: the kept n-grams as children of level n - 1."""
-    spark = train.sparkSession
-    parts = n_parts(spark)
-    _, first, _ = trie.levels[n - 2]
+    above = trie.levels[n - 2]
+    cold = len(above.paths)
+    hot, parts = above.frequent, -(-above.frequent_count // trie.hot_count)
+    begins = np.cumsum(parts) - parts  # places of the hot contexts' parts, after the other targets
+    targets = cold + int(parts.sum())
+    tasks = min(n_parts(words.sparkSession), targets)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(2)
-        for b in pieces(batches, "_text", PIECE):
-            r = Read(trie, Tokens(b.column(1)))
-            word = r.ids[r.at]
-            # an n-gram is seen so often only if its words and its first n - 1 are
-            word[r.counts[r.at] < trie.least] = -1
-            context = r.before(word)
-            for k in range(2, n):
-                context = r.before(r.nodes(k, context))
-            ok = np.flatnonzero((context >= 0) & (word >= 0))
-            p = Pairs(context[ok], word[ok])
-            counter.add((p.a.astype(U64), p.b.astype(U64)), p.count)
+        for b in batches:
+            for row in b.to_pylist():
+                r = Read(trie, row, train=True)
+                word = r.word()
+                context = r.before(word)
+                for k in range(2, n):
+                    context = r.before(r.nodes(k, context))
+                ok = (context >= 0) & (word >= 0)
+                counter.add((context[ok].astype(U64), word[ok].astype(U64)))
         c, w, m = counter.merge()
-        to = (mix(c * U64(0x9E3779B97F4A7C15) + w) % U64(parts)).astype(np.int64)
+        where, is_hot = among(hot, c.astype(np.int64))
+        to = np.searchsorted(above.first, c.astype(np.int64), side="right") - 1
+        to[is_hot] = cold + begins[where[is_hot]] + part_of(w[is_hot], parts[where[is_hot]], trie.types)
         order = np.argsort(to, kind="stable")
-        cut = np.searchsorted(to[order], np.arange(parts + 1))
+        cut = np.searchsorted(to[order], np.arange(targets + 1))
         for k in np.flatnonzero(np.diff(cut)):
             at = order[cut[k] : cut[k + 1]]
             yield payload(int(k), (c[at], w[at], m[at]))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (c, w, m) in by_target(batches, 2):
+        for to, (c, w, m) in by_target(batches, 2):
             ok = m >= trie.least
             c, w, m = c[ok], w[ok], m[ok]
-            cut = np.searchsorted(c, np.append(first[1:], np.iinfo(np.int64).max).astype(U64))
-            a = 0
-            for k, b in enumerate(cut):
-                if b > a:
-                    row = payload(k, (c[a:b], w[a:b], m[a:b]))
-                    seen = [pa.array([int((m[a:b] == x).sum())], pa.int64()) for x in (1, 2)]
-                    yield pa.RecordBatch.from_arrays([*row.columns, *seen], [*row.schema.names, "once", "twice"])
-                a = b
+            if len(m):
+                row = payload(to, (c, w, m))
+                more = [int((m == 1).sum()), int((m == 2).sum()), len(m), int(m.sum())]
+                yield pa.RecordBatch.from_arrays([*row.columns, *(pa.array([x], pa.int64()) for x in more)], [*row.schema.names, "once", "twice", "kinds", "tokens"])
+
+    # one row a target from here on: it is read where it was written
+    sent = arrow_map(words.select("n", "train", "words"), emit, PAYLOAD)
+    kept = stage(arrow_map(sent.repartition(tasks, "to").sortWithinPartitions("to"), keep, KEPT), f"lm{n}-kept")
+    once, twice = kept.agg(F.sum("once"), F.sum("twice")).first()
+    discount = once / (once + 2 * twice) if trie.least == 1 and once and twice else DISCOUNT
+    taken = np.zeros(len(hot))  # mass that a hot context's children have in all its parts
+    for r in kept.where(F.col("to") >= cold).select("to", "kinds", "tokens").collect():
+        taken[np.searchsorted(begins, r["to"] - cold, side="right") - 1] += r["tokens"] - discount * r["kinds"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, (c, w, m) in by_target(batches, 2):
-            above = level_of(trie.levels[n - 2][0][shard], first[shard])
-            low, size = above.first, above.n
-            at = c.astype(np.int64) - low
-            begin = np.searchsorted(at, np.arange(size + 1))
-            # children's ids made monotone: each context goes on from the last value of the one before
-            full = np.flatnonzero(np.diff(begin))
-            base = np.zeros(len(full), U64)
-            base[1:] = np.cumsum(w[begin[full + 1][:-1] - 1] + U64(1), dtype=U64)
-            values = w + np.repeat(base, np.diff(begin)[full])
-            total = np.asarray(above.counts).astype(np.float64)
-            run = np.concatenate([[0.0], np.cumsum(m - discount)])
-            weight = np.maximum(1 - (run[begin[1:]] - run[begin[:-1]]) / total, 1e-9)
-            # order n - 1's probability: after the context's last word
-            word = w.astype(np.int64)
-            if n == 2:
-                lower = word_log_p(trie, word)
-            else:
-                last = above.words()[at]
-                node = trie.children_any_order(2, last, word)
-                lower = np.where(node >= 0, trie.any_order(2, node, "log_p", 0.0), trie.any_order(2, last, "log_weight", 0.0) + word_log_p(trie, word))
-            p = (m - discount) / total[at] + weight[at] * 10.0**lower
-            code, book = quantise(np.log10(p))
-            weight_code, weight_book = quantise(np.log10(weight))
-            arrays = {"meta": np.array([0, len(w), low, size], np.int64), "counts": m.astype(np.min_scalar_type(m.max())), "code": code, "book": book, "weight_code": weight_code, "weight_book": weight_book, "filter": pair_filter(c, w)}
-            arrays |= named(build(begin.astype(U64), len(w) + 1), "pointers") | named(build(values, int(values[-1]) + 1), "values")
-            yield listed_row(shard, write_shard(folder, n, shard, arrays), m)
-
-    sent = arrow_map(train, emit, PAYLOAD)
-    kept = arrow_map(sent.repartition(parts, "to").sortWithinPartitions("to"), keep, KEPT)
-    discount = DISCOUNT
-    if trie.least == 1:
-        kept = stage(kept, f"lm{n}-kept")
-        once, twice = kept.agg(F.sum("once"), F.sum("twice")).first()
-        discount = once / (once + 2 * twice) if once and twice else DISCOUNT
-    made = arrow_map(kept.repartition(min(parts, shards), "to").sortWithinPartitions("to"), make, LISTED)
-    rows = stage(made, f"lm{n}").orderBy("shard").collect()
-    if trie.least == 1:
-        discard(kept)
+        for b in batches:
+            for shard, (c, w, m) in payload_rows(b):
+                if shard < cold:
+                    up = above.open(shard)
+                    low, size, total = up.first, up.n, np.asarray(up.counts).astype(np.float64)
+                else:
+                    low, size = int(c[0]), 1
+                    up = above.open(int(np.searchsorted(above.first, low, side="right")) - 1)
+                    total = np.array([float(up.counts[low - up.first])])
+                at = c.astype(np.int64) - low
+                begin = np.searchsorted(at, np.arange(size + 1))
+                # children's ids made monotone: each context goes on from the last value of the one before
+                full = np.flatnonzero(np.diff(begin))
+                base = np.zeros(len(full), U64)
+                base[1:] = np.cumsum(w[begin[full + 1][:-1] - 1] + U64(1), dtype=U64)
+                values = w + np.repeat(base, np.diff(begin)[full])
+                if shard < cold:
+                    run = np.concatenate([[0.0], np.cumsum(m - discount)])
+                    mass = run[begin[1:]] - run[begin[:-1]]
+                else:
+                    mass = taken[[np.searchsorted(begins, shard - cold, side="right") - 1]]
+                weight = np.maximum(1 - mass / total, 1e-9)
+                # order n - 1's probability: after the context's last word
+                word = w.astype(np.int64)
+                if n == 2:
+                    lower = word_log_p(trie, word)
+                else:
+                    last = up.words()[at + (low - up.first)]
+                    node = trie.children_any_order(2, last, word)
+                    lower = np.where(node >= 0, trie.any_order(2, node, "log_p", 0.0), trie.any_order(2, last, "log_weight", 0.0) + word_log_p(trie, word))
+                p = (m - discount) / total[at] + weight[at] * 10.0**lower
+                code, book = quantise(np.log10(p))
+                weight_code, weight_book = quantise(np.log10(weight))
+                arrays = {"meta": np.array([0, len(w), low, size], np.int64), "counts": m.astype(np.min_scalar_type(m.max())), "code": code, "book": book, "weight_code": weight_code, "weight_book": weight_book, "filter": pair_filter(c, w)}
+                arrays |= named(build(begin.astype(U64), len(w) + 1), "pointers") | named(build(values, int(values[-1]) + 1), "values")
+                yield listed_row(shard, write_shard(folder, n, shard, arrays), m, trie.hot_count)
+
+    rows = stage(arrow_map(kept.select("to", "a", "b", "n"), make, LISTED), f"lm{n}").orderBy("shard").collect()
+    discard(kept)
     if not rows:
         return trie
-    start = np.cumsum([0, *(r["nodes"] for r in rows)])[:-1]
-    return Trie(trie.total, trie.types, trie.once, trie.shard_bits, [*trie.levels, ([r["path"] for r in rows], start, first[[r["shard"] for r in rows]])], trie.least)
+    place = {r["shard"]: i for i, r in enumerate(rows)}
+    shards = shards_of(rows, above.first[[r["shard"] for r in rows if r["shard"] < cold]], hot=hot, parts=parts, part_path=np.array([place.get(k, -1) for k in range(cold, targets)], np.int64))
+    return Trie(trie.total, trie.types, trie.once, [*trie.levels, shards], trie.least, trie.hot_count)
 
 
 def word_log_p(trie: Trie, ids: np.ndarray) -> np.ndarray:
@@ -508,55 +660,58 @@ def count_log_p(trie: Trie, count: np.ndarray) -> np.ndarray:
     return np.log10(np.where(count > 0, (1 - trie.unseen) * count / max(trie.total, 1), trie.unseen))
 
 
-def build_trie(train: DataFrame, order: int = 3, shards: int | None = None, least: int = LEAST) -> Trie:
-    """train: (_, _text); least: the count from which n-grams are kept."""
+def build_trie(rows: DataFrame, order: int = 3, shards: int | None = None, least: int = LEAST) -> tuple[Trie, DataFrame]:
+    """The model of rows (_id, _held, _train, _text) with _train, and all rows' word table; least: the count from which n-grams are kept."""
     if not 1 <= order <= 3 or least < 1:
         raise ValueError("order is 1, 2 or 3, least is 1 or more")
-    spark = train.sparkSession
+    spark = rows.sparkSession
+    train = rows.where("_train")
+    total = train.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     if shards is None:
-        total = train.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
         shards = max(8, total // (SHARD_BYTES if least > 1 else SHARD_BYTES_ALL))
     shards = 1 << (int(shards) - 1).bit_length()
     folder = scratch_path(spark, "trie")
-    trie = build_words(train, shards, folder, least)
+    trie = build_words(train, shards, folder, least, max(HOT_TOKENS, total // (6 * shards)))
+    words = word_table(rows, trie)
     for n in range(2, order + 1):
         if len(trie.levels) == n - 1:
-            trie = build_level(train, trie, n, shards, folder)
-    return trie
+            trie = build_level(words, trie, n, folder)
+    return trie, words
 
 
-def score(trie: Trie, column: pa.Array) -> tuple[np.ndarray, ...]:
-    """n_tokens, n_known, base_score and score of each text."""
-    t = Tokens(column)
-    r = Read(trie, t)
-    base = np.log10((r.counts + 0.1) / (trie.total + 0.1 * (trie.types + 1)))[r.at]
+def score(trie: Trie, row: dict) -> np.ndarray:
+    """The log10 probability of each text of a batch."""
+    r = Read(trie, row)
     log_p = count_log_p(trie, r.counts)[r.at]
     context = r.before(r.ids[r.at])
     for n in range(2, len(trie.levels) + 1):
         # kept n-grams have their probability; else the context's weight, which also words without an id get
-        u, inverse = np.unique(context, return_inverse=True)
+        u, inverse = distinct(context)
         log_p += trie.value(n, u, "log_weight", 0.0)[inverse]
         ok, p = r.grams(context)
-        node_of = trie.children(n, p.a, r.ids[p.b])
+        node_of = trie.children(n, p.a, p.b)
         node = np.full(len(r.at), -1, np.int64)
         node[ok] = node_of[p.inverse]
         kept = np.flatnonzero(node_of[p.inverse] >= 0)
-        log_p[ok[kept]] = trie.value(n, node_of, "log_p", 0.0)[p.inverse[kept]]
+        of = trie.any_order if len(trie.levels[n - 1].hot) else trie.value  # without hot contexts, nodes are in their order
+        log_p[ok[kept]] = of(n, node_of, "log_p", 0.0)[p.inverse[kept]]
         context = r.before(node)
-    use = ~t.is_start
-    sums = [np.bincount(t.doc[use], x[use], t.n_docs) for x in (np.ones(len(r.at)), r.counts[r.at] > 0, base, log_p)]
-    return sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], sums[3]
+    log_p[r.start] = 0.0
+    return np.bincount(np.repeat(np.arange(len(r.n)), r.n + 1), log_p, len(r.n))
 
 
 def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 3, least: int = LEAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
-    cols = [F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("_text")]
-    trie = build_trie(docs.where(training(doc_id)).select(*cols), order, least=least)
-    rows = docs.select(*cols, held_out(doc_id).alias("held_out"))
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("_id"), held_out(doc_id).alias("_held"), training(doc_id).alias("_train"), F.col(text).alias("_text"))
+    trie, words = build_trie(rows, order, least=least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "_text", PIECE):
-            n, known, base, log_p = score(trie, b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), pa.array(known), pa.array(np.full(len(n), trie.total)), pa.array(base), pa.array(log_p)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return arrow_map(rows, run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        for b in batches:
+            for row in b.to_pylist():
+                ids, null, held, n, known, base = (np.frombuffer(row[c], t) for c, t in (("ids", "<i8"), ("nulls", np.uint8), ("held", np.uint8), ("n", "<i8"), ("known", "<i8"), ("base", "<f8")))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64(), mask=null > 0), pa.array(held > 0), pa.array(n), pa.array(known), pa.array(np.full(len(n), trie.total)), pa.array(base), pa.array(score(trie, row))],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+
+    return arrow_map(words.drop("batch", "train"), run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -26,7 +26,9 @@ def tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")), "\0end"]
 
 
-def test_scores_equal_a_plain_model(spark):
+@pytest.mark.parametrize("hot", [100_000, 5])
+def test_scores_equal_a_plain_model(spark, monkeypatch, hot):
+    monkeypatch.setattr(lm, "HOT_TOKENS", hot)
     texts = [cases.words(40, i % 30, 60) for i in range(80)] + [None, "", "Unseen words", "w1 W2 w3"]
     got = lm.lm_scores(cases.docs(spark, texts)).orderBy("doc_id").collect()
     all_ = [tokens(t) for t in texts]
@@ -66,7 +68,7 @@ def test_scores_equal_a_plain_model(spark):
 
 def test_distributions_do_not_exceed_one(spark):
     docs = cases.docs(spark, [cases.words(60, i, 30) for i in range(20)])
-    trie = lm.build_trie(docs.selectExpr("doc_id", "text as _text"), 2, shards=8)
+    trie, _ = lm.build_trie(docs.selectExpr("doc_id as _id", "false as _held", "true as _train", "text as _text"), 2, shards=8)
     ids = np.arange(trie.types)
     for context in (0, trie.types // 2, trie.types - 1):
         node = trie.children_any_order(2, np.full(len(ids), context), ids)
@@ -83,7 +85,9 @@ def test_awkward_rows(spark):
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0)
 
 
-def test_query_keeps_ngrams_seen_once(spark, tmp_path):
+@pytest.mark.parametrize("hot", [100_000, 3])
+def test_query_keeps_ngrams_seen_once(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(lm, "HOT_TOKENS", hot)  # 3: most contexts are in several shards
     texts = [cases.words(30, i % 40, 90) for i in range(60)] + ["once seen words stand here", None, "w1 w2"]
     cases.docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.op7_lm_scoring(spark, str(tmp_path)).orderBy("doc_id").collect()
