@@ -1,22 +1,30 @@
 """Secret scan: fixed patterns, and tokens that pass a battery of randomness tests.
 
-Candidates are runs of 20 or more characters of the usual encodings' alphabets.
-The smallest alphabet that holds a candidate is its inferred encoding. Then
-
-- chi-squared uniformity over that alphabet, Wald-Wolfowitz runs about the middle
-  symbol, and lag-1 serial correlation: a candidate for which any of them rejects
-  uniform randomness is structured, whatever else;
-- the evidence against plain text: how improbable so small a chi-squared would be
-  for text (letters at text frequencies: non-central chi-squared, normal
-  approximation), and so many changes of character class (binomial with the rate
-  ``TEXT_CHANGES``), combined by Fisher's method;
-- false discoveries: Benjamini-Hochberg at level ``fdr`` within strata of length,
-  over all candidates of the table, from counts by bin of -log10 p (a bounded
-  number of rows).
-
-Defined cases: null and empty texts have no spans; repeated rows each count; an
-empty table gives an empty result; extra columns are ignored; a very long text is
-scanned whole. Candidates that overlap a span of the fixed patterns add nothing.
+Candidates are runs of 20 or more characters of the usual encodings' alphabets
+(split at - and _, where a run has + or / too). The smallest alphabet that holds a
+candidate is its inferred encoding. The battery has three statistics: chi-squared
+against a uniform alphabet, runs of a class of characters (of the upper and lower half
+of the alphabet, for the test of randomness), and the serial correlation of
+neighbours. Each is read twice:
+
+- *as random*: a candidate for which any of them rejects uniform randomness at
+  ``ALPHA`` is structured, whatever else;
+- *as text*: how improbable it would be in text - so small a chi-squared (non-central,
+  normal approximation), so many runs of classes (binomial), so small a correlation
+  (normal). The three p-values are combined by Fisher's method. What text is like is
+  measured for each encoding over all texts of the table, but for the candidates: how much likelier than among
+  uniform symbols two symbols agree, how often the class changes between neighbours, and
+  how neighbours correlate; ``PRIOR_SYMBOLS`` symbols of ``PRIOR`` are added, which
+  matter in small tables only.
+
+False discoveries are controlled over all candidates of the table, by Benjamini and
+Hochberg's rule at level ``fdr`` on those p-values within strata of length, from counts
+by bin of -log10 p (a bounded number of rows).
+
+Defined cases: null and empty texts have no spans; repeated rows each count; an empty
+table gives an empty result; extra columns are ignored; a very long text is scanned
+whole, in memory that grows with it by a constant factor. Candidates that overlap a span
+of the fixed patterns add nothing; tokens of digits only infer no encoding.
 """
 
 from __future__ import annotations
@@ -24,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pieces, stage
+from .common import arrow_map, pieces, stage, text_bytes
 
 #: Fixed values of the contract: kind -> (pattern, group whose length counts, least length).
 KINDS = {
@@ -42,23 +51,110 @@ KINDS = {
 NAMES = [*KINDS, "random"]
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Encodings and their alphabets, smaller ones first.
 ENCODINGS = [
-    ("hex", "0123456789abcdef"),
-    ("HEX", "0123456789ABCDEF"),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
-    ("base62", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
-    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("hex", DIGITS + LOWER[:6]),
+    ("HEX", DIGITS + UPPER[:6]),
+    ("lower", LOWER),
+    ("upper", UPPER),
+    ("base32", UPPER + "234567"),
+    ("base36", DIGITS + LOWER),
+    ("letters", UPPER + LOWER),
+    ("base62", UPPER + LOWER + DIGITS),
+    ("base64", UPPER + LOWER + DIGITS + "+/"),
+    ("base64url", UPPER + LOWER + DIGITS + "-_"),
 ]
-#: How much likelier than among uniform symbols two symbols of text agree, by encoding: k * sum(q * q) - 1 for text's symbol frequencies q (decimal digits for the hexadecimal ones).
-TEXT_EXCESS = {"hex": 0.6, "HEX": 0.6, "base32": 1.1, "base36": 1.3, "base62": 3.0, "base64": 3.1, "base64url": 3.1}
-TEXT_CHANGES = 0.15
+ALPHABETS = dict(ENCODINGS)
+#: What text is taken for before any is read: agreement of two symbols beyond uniform (k * sum(q * q) - 1), changes of class, correlation.
+PRIOR = (1.0, 0.15, 0.0)
+PRIOR_SYMBOLS = 2000
 ALPHA = 0.001
 STRATA = (20, 32, 48, 96)
 BINS = 600  # of 0.1 in -log10 p
 
 
+# --------------------------------------------------------- what text is like
+
+
+CLASS = np.zeros(256, np.uint8)
+for _k, _chars in enumerate((DIGITS, LOWER, UPPER)):
+    CLASS[np.frombuffer(_chars.encode(), np.uint8)] = _k + 1
+PLACES = {}
+for _name, _chars in ENCODINGS:
+    PLACES[_name] = np.full(256, -1, np.int16)
+    PLACES[_name][np.frombuffer(_chars.encode(), np.uint8)] = np.arange(len(_chars))
+
+SEEN = "name string, symbols array<bigint>, pairs bigint, changes bigint, products bigint"
+
+
+def in_long_runs(buf: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether each byte is in a run as long as a candidate."""
+    token = PLACES["base64"][buf] >= 0
+    token |= PLACES["base64url"][buf] >= 0
+    turn = np.diff(token.astype(np.int8), prepend=0, append=0)
+    start, end = turn[:-1] == 1, turn[1:] == -1
+    start[1:] |= token[1:] & last[:-1]
+    end |= token & last
+    a, b = np.flatnonzero(start), np.flatnonzero(end) + 1
+    long = b - a >= STRATA[0]
+    step = np.zeros(len(buf) + 1, np.int8)
+    step[a[long]] = 1
+    step[b[long]] -= 1
+    return np.cumsum(step[:-1], dtype=np.int8) > 0
+
+
+def count_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each encoding: counts of its symbols in the texts, and of neighbours that are both of it, how many, how many of two classes, and the sum of products."""
+    total = {name: [np.zeros(len(alphabet), np.int64), 0, 0, 0] for name, alphabet in ENCODINGS}
+    for b in pieces(batches, "_text", 8 << 20):
+        buf, offsets = text_bytes(b.column(b.schema.get_field_index("_text")))
+        last = np.zeros(len(buf), bool)
+        last[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = True  # a text's last byte has no neighbour
+        long = in_long_runs(buf, last)
+        for i in range(0, len(buf), 4 << 20):
+            own = buf[i : i + (4 << 20) + 1]
+            change = CLASS[own[1:]] != CLASS[own[:-1]]
+            inside = ~last[i : i + len(own) - 1]
+            for name, t in total.items():
+                x = PLACES[name][own]
+                x[long[i : i + len(own)]] = -1
+                is_in = x >= 0
+                t[0] += np.bincount(x[: 4 << 20][is_in[: 4 << 20]], minlength=len(t[0]))
+                both = np.flatnonzero(is_in[1:] & is_in[:-1] & inside)
+                t[1] += len(both)
+                t[2] += int(change[both].sum())
+                t[3] += int((x[both].astype(np.int64) * x[both + 1]).sum())
+    yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([t[0].tolist() for t in total.values()], pa.list_(pa.int64())), *[pa.array([t[k] for t in total.values()], pa.int64()) for k in (1, 2, 3)]], ["name", "symbols", "pairs", "changes", "products"])
+
+
+def text_model(rows: DataFrame) -> dict[str, tuple[float, float, float]]:
+    """Agreement, changes and correlation in all the texts (column _text), by encoding."""
+    sums = {name: [np.zeros(len(alphabet)), 0, 0, 0] for name, alphabet in ENCODINGS}
+    # a row a task and encoding, summed before it gets here
+    seen = arrow_map(rows.select("_text"), count_text, SEEN).select("name", "pairs", "changes", "products", F.posexplode("symbols").alias("k", "n"))
+    first = F.col("k") == 0
+    for r in seen.groupBy("name", "k").agg(F.sum("n").alias("n"), *[F.sum(F.when(first, F.col(c)).otherwise(0)).alias(c) for c in ("pairs", "changes", "products")]).collect():
+        own = sums[r["name"]]
+        own[0][r["k"]] = r["n"]
+        for i, c in enumerate(("pairs", "changes", "products")):
+            own[i + 1] += r[c]
+    return {name: text_traits(*own) for name, own in sums.items()}
+
+
+def text_traits(symbols: np.ndarray, pairs: int, changes: int, products: int) -> tuple[float, float, float]:
+    n, k = float(symbols.sum()), len(symbols)
+    q = symbols / max(n, 1.0)
+    x = np.arange(k)
+    mean = float((q * x).sum())
+    var = float((q * x * x).sum()) - mean * mean
+    measured = (k * float((q * q).sum()) - 1, changes / max(pairs, 1), (products / pairs - mean * mean) / var if pairs and var > 0 else 0.0)
+    return tuple((PRIOR_SYMBOLS * a + w * b) / (PRIOR_SYMBOLS + w) for a, b, w in zip(PRIOR, measured, (n, pairs, pairs)))
+
+
+# ------------------------------------------------------------------ the battery
+
+
 def upper_normal(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
@@ -70,12 +166,12 @@ def upper_chi2(x: float, k: float) -> float:
 
 def infer_encoding(token: str) -> tuple[str, str] | None:
     own = set(token)
-    if not (own & set("0123456789")) or not (own - set("0123456789")):
-        return None  # only letters, or only digits: words and numbers
+    if own <= set(DIGITS):
+        return None  # numbers
     return next(((name, alphabet) for name, alphabet in ENCODINGS if own <= set(alphabet)), None)
 
 
-def battery(token: str) -> tuple[bool, float]:
+def battery(token: str, model: dict[str, tuple[float, float, float]]) -> tuple[bool, float]:
     """(whether no test rejects uniform randomness, p of so random a token if it were text)."""
     token = token.rstrip("=")
     n = len(token)
@@ -83,31 +179,34 @@ def battery(token: str) -> tuple[bool, float]:
     if got is None or n < STRATA[0]:
         return False, 1.0
     name, alphabet = got
-    k = len(alphabet)
-    x = np.array([alphabet.index(c) for c in token], float)
+    raw = np.frombuffer(token.encode(), np.uint8)
+    k, x = len(alphabet), PLACES[name][raw].astype(float)
+    # as random
     chi = float(((np.bincount(x.astype(int), minlength=k) - n / k) ** 2).sum() * k / n)
-    uniform = upper_chi2(chi, k - 1)
     above = x >= k / 2
-    n1, n0 = int(above.sum()), int((~above).sum())
-    runs = 1 + int((above[1:] != above[:-1]).sum())
+    n1 = int(above.sum())
+    n0 = n - n1
     if n1 == 0 or n0 == 0:
         return False, 1.0
+    runs = 1 + int((above[1:] != above[:-1]).sum())
     mean = 1 + 2 * n1 * n0 / n
     var = (mean - 1) * (mean - 2) / (n - 1)
     p_runs = 2 * upper_normal(abs(runs - mean) / math.sqrt(var)) if var > 0 else 0.0
     d = x - x.mean()
-    r = float((d[1:] * d[:-1]).sum() / (d * d).sum()) if (d * d).sum() > 0 else 1.0
+    r = float((d[1:] * d[:-1]).sum() / (d * d).sum())
     p_serial = 2 * upper_normal(abs(r + 1 / n) * math.sqrt(n))
-    if min(uniform, p_runs, p_serial) < ALPHA:
+    if min(upper_chi2(chi, k - 1), p_runs, p_serial) < ALPHA:
         return False, 1.0
-    excess = TEXT_EXCESS[name] * n
-    p_text = upper_normal(((k - 1) + excess - chi) / math.sqrt(2 * (k - 1 + 2 * excess)))
-    kind = np.array([0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in token])
-    changes = int((kind[1:] != kind[:-1]).sum())
-    z = (changes - 0.5 - (n - 1) * TEXT_CHANGES) / math.sqrt((n - 1) * TEXT_CHANGES * (1 - TEXT_CHANGES))
-    p_changes = upper_normal(z)
-    f = -2 * (math.log(max(p_text, 1e-300)) + math.log(max(p_changes, 1e-300)))
-    return True, max(math.exp(-f / 2) * (1 + f / 2), 1e-300)  # chi-squared with four degrees of freedom
+    # as text
+    agree, change, along = model[name]
+    excess = max(agree, 0.0) * n
+    t_chi = upper_normal(((k - 1) + excess - chi) / math.sqrt(2 * (k - 1 + 2 * excess)))
+    change = min(max(change, 0.01), 0.99)
+    changes = int((CLASS[raw[1:]] != CLASS[raw[:-1]]).sum())
+    t_runs = upper_normal((changes - 0.5 - (n - 1) * change) / math.sqrt((n - 1) * change * (1 - change)))
+    t_serial = upper_normal(((along - 1 / n) - r) * math.sqrt(n))
+    half = -sum(math.log(max(p, 1e-300)) for p in (t_chi, t_runs, t_serial))
+    return True, max(math.exp(-half) * (1 + half + half * half / 2), 1e-300)  # chi-squared with six degrees of freedom
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -118,14 +217,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-    """(start, end, length without padding, p) of candidates clear of the base spans that look random."""
-    out = []
+def candidate_spans(text: str) -> Iterator[tuple[int, int]]:
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if not any(a < e and s < b for a, _, b in base):
-            ok, p = battery(m.group())
-            out.append((s, e, len(m.group().rstrip("=")), p if ok else 1.0))
+        if WIDE.search(text, s, e) and URL.search(text, s, e):  # no encoding has both: its parts
+            yield from (p.span() for p in PART.finditer(text, s, e))
+        else:
+            yield s, e
+
+
+WIDE, URL, PART = re.compile("[+/]"), re.compile("[_-]"), re.compile(r"[A-Za-z0-9+/]{20,}={0,2}")
+
+
+def candidates(text: str, base: list[tuple[int, int, int]], model: dict[str, tuple[float, float, float]]) -> list[tuple[int, int, int, float]]:
+    """(start, end, length without padding, p) of candidates clear of the base spans; p is 1 where they don't look random."""
+    # base spans by start, and the furthest end up to each
+    starts, ends = [a for a, _, _ in base], []
+    for _, _, b in base:
+        ends.append(max(b, ends[-1]) if ends else b)
+    out = []
+    for s, e in candidate_spans(text):
+        before = bisect_left(starts, e)  # spans that start before the candidate's end
+        if before == 0 or ends[before - 1] <= s:
+            token = text[s:e]
+            ok, p = battery(token, model)
+            out.append((s, e, len(token.rstrip("=")), p if ok else 1.0))
     return out
 
 
@@ -139,12 +255,13 @@ FOUND = "doc_id bigint, base array<struct<start:bigint,kind:int,end:bigint>>, mo
 def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fdr: float = 0.001) -> DataFrame:
     """doc_id, base (start, kind, end) and more (start, end, n, score = -log10 p): the spans of each row, after false-discovery control."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text"))
+    model = text_model(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))), ("more", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("n", pa.int32()), ("score", pa.float64())])))])
         for b in pieces(batches, "_text", 8 << 20):
             base = [base_spans(t or "") for t in b.column(1).to_pylist()]
-            more = [candidates(t or "", s) for t, s in zip(b.column(1).to_pylist(), base)]
+            more = [candidates(t or "", s, model) for t, s in zip(b.column(1).to_pylist(), base)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([[dict(zip(("start", "kind", "end"), x)) for x in s] for s in base], schema.field(1).type), pa.array([[{"start": s, "end": e, "n": n, "score": -math.log10(p)} for s, e, n, p in c] for c in more], schema.field(2).type)], schema=schema
             )

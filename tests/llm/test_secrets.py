@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 from quiverlake.llm import secrets
 
@@ -27,7 +29,7 @@ def test_base_spans_match_the_patterns(spark):
 
 def test_random_tokens_are_found_and_words_are_not(spark):
     r = random.Random(1)
-    keys = ["".join(r.choice(secrets.ENCODINGS[4][1]) for _ in range(40)) for _ in range(30)]
+    keys = ["".join(r.choice(secrets.ALPHABETS["base62"]) for _ in range(40)) for _ in range(30)]
     texts = [f"see {k} here" for k in keys] + ["thisisaverylongwordwithoutanyspaces and more", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "http://example.org/some/long/path/of/words/2024", "aaaaaaaaaaaaaaaaaaaaaaaa1"]
     got = [r.n_random for r in secrets.digest(secrets.find_secrets(cases.docs(spark, texts))).orderBy("doc_id").collect()]
     assert sum(got[:30]) >= 27 and not any(got[30:])
@@ -38,3 +40,104 @@ def test_awkward_rows(spark):
     assert len(got) == len(cases.awkward())
     assert all(r.n_assign == 0 for r in got if r.doc_id == 0)
     assert not secrets.digest(secrets.find_secrets(cases.frame(spark, []))).collect()
+
+
+def plain_model(texts):
+    """What text is like, by loops."""
+    out = {}
+    for name, alphabet in secrets.ENCODINGS:
+        c, pairs, changes, products = Counter(), 0, 0, 0
+        kind = lambda ch: "d" if ch.isdigit() else "l" if ch.islower() else "u" if ch.isupper() else "o"
+        for t in texts:
+            t = re.sub(r"[A-Za-z0-9+/_-]{20,}", " ", t or "")
+            c.update(ch for ch in t if ch in alphabet)
+            for a, b in zip(t, t[1:]):
+                if a in alphabet and b in alphabet:
+                    pairs += 1
+                    changes += kind(a) != kind(b)
+                    products += alphabet.index(a) * alphabet.index(b)
+        n, k = sum(c.values()), len(alphabet)
+        mean = sum(alphabet.index(ch) * m for ch, m in c.items()) / n if n else 0
+        var = sum(alphabet.index(ch) ** 2 * m for ch, m in c.items()) / n - mean**2 if n else 0
+        measured = (k * sum((m / n) ** 2 for m in c.values()) - 1 if n else -1, changes / pairs if pairs else 0, (products / pairs - mean**2) / var if pairs and var else 0)
+        out[name] = tuple((2000 * p + w * m) / (2000 + w) for p, m, w in zip((1.0, 0.15, 0.0), measured, (n, pairs, pairs)))
+    return out
+
+
+def plain_p(token, model):
+    """The battery by loops: p of the token as text, 1 where a test rejects randomness."""
+    token = token.rstrip("=")
+    n, tail = len(token), lambda z: 0.5 * math.erfc(z / 2**0.5)
+    if token.isdigit():
+        return 1.0
+    for name, alphabet in secrets.ENCODINGS:
+        if all(c in alphabet for c in token):
+            break
+    else:
+        return 1.0
+    k, x = len(alphabet), [alphabet.index(c) for c in token]
+    chi = sum((x.count(v) - n / k) ** 2 / (n / k) for v in range(k))
+    high = [v >= k / 2 for v in x]
+    n1 = sum(high)
+    if n1 in (0, n):
+        return 1.0
+    runs, mean = 1 + sum(a != b for a, b in zip(high, high[1:])), 1 + 2 * n1 * (n - n1) / n
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    m = sum(x) / n
+    r = sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / sum((a - m) ** 2 for a in x)
+    wilson = ((chi / (k - 1)) ** (1 / 3) - 1 + 2 / (9 * (k - 1))) / (2 / (9 * (k - 1))) ** 0.5
+    if min(tail(wilson), 2 * tail(abs(runs - mean) / var**0.5), 2 * tail(abs(r + 1 / n) * n**0.5)) < 0.001:
+        return 1.0
+    agree, change, along = model[name]
+    kind = ["d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "o" for c in token]
+    turns = sum(a != b for a, b in zip(kind, kind[1:]))
+    change = min(max(change, 0.01), 0.99)
+    e = max(agree, 0) * n
+    ps = [tail((k - 1 + e - chi) / (2 * (k - 1 + 2 * e)) ** 0.5), tail((turns - 0.5 - (n - 1) * change) / ((n - 1) * change * (1 - change)) ** 0.5), tail((along - 1 / n - r) * n**0.5)]
+    f = sum(-math.log(max(p, 1e-300)) for p in ps)
+    return max(math.exp(-f) * (1 + f + f * f / 2), 1e-300)
+
+
+def test_spans_equal_a_plain_battery_and_its_cut(spark):
+    r = random.Random(7)
+    texts = []
+    for i in range(150):
+        words = cases.words(60, i).split()
+        for _ in range(r.randrange(3)):
+            name, alphabet = r.choice(secrets.ENCODINGS)
+            words.insert(r.randrange(len(words)), "".join(r.choice(alphabet) for _ in range(r.choice((20, 24, 33, 50, 100)))))
+        if i % 5 == 0:
+            words.append("a_very-long_identifier-of_words" + str(i))
+            words.append("path/to/a+b/" + "".join(r.choice(secrets.ALPHABETS["base64"]) for _ in range(40)) + "_tail")
+        texts.append(" ".join(words))
+    model = plain_model(texts)
+    found = []
+    for i, t in enumerate(texts):
+        held = [tuple(map(int, s.split(":")[1:])) for s in base(t).split(",") if s]
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", t):
+            parts = [m.span()]
+            if set("+/") & set(m[0]) and set("_-") & set(m[0]):
+                parts = [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer(r"[A-Za-z0-9+/]{20,}={0,2}", m[0])]
+            for s, e in parts:
+                if not any(a < e and s < b for a, b in held):
+                    n = len(t[s:e].rstrip("="))
+                    found.append((i, s, e, sum(n >= x for x in (32, 48, 96)), -math.log10(plain_p(t[s:e], model))))
+    want = set()
+    for stratum in range(4):
+        own = [x for x in found if x[3] == stratum]
+        for b in range(601):
+            over = [x for x in own if x[4] >= b / 10]
+            if over and len(own) * 10 ** (-b / 10) <= 0.001 * len(over):
+                want |= {x[:3] for x in over}
+                break
+    got = {(x.doc_id, m.start, m.end) for x in secrets.find_secrets(cases.docs(spark, texts)).collect() for m in x.more}
+    assert got == want and len(want) > 20
+
+
+def test_letters_only_and_split_tokens(spark):
+    r = random.Random(3)
+    key = "".join(r.choice(secrets.ALPHABETS["letters"]) for _ in range(60))
+    part = "".join(r.choice(secrets.ALPHABETS["base64"]) for _ in range(44)) + "/+"
+    texts = [f"{cases.words(300, i)} {key if i == 0 else ''} key_{part if i == 1 else 'none'}_end" for i in range(5)]
+    got = {(x.doc_id, texts[x.doc_id][m.start : m.end]) for x in secrets.find_secrets(cases.docs(spark, texts)).collect() for m in x.more}
+    assert got == {(0, key), (1, part)}
