@@ -8,36 +8,42 @@ certain to hold every repeated string side by side:
 1. *Anchors.* A string's anchor is the 48-byte gram in it with the smallest hash
    (the last of equals), so equal strings have equal anchors at equal offsets.
    Strings that follow each other and have the same anchor form a window of at
-   most 352 bytes. Windows are counted by anchor through a packed exchange: alone
-   with its anchor, nothing in it repeats; equal windows are one document of the
-   collection with a multiplicity.
+   most 352 bytes. Windows are counted by anchor through a packed exchange, equal
+   ones of a batch of documents as one entry with a count, into as many buckets as
+   the windows' bytes ask for: alone with its anchor, nothing in a window repeats;
+   equal windows (told by 128 bits of hash) are one document of the collection with a
+   multiplicity, so that strings in them repeat follows from the count.
 2. *Transform.* Windows that differ but have an anchor in common go, by anchor,
    into collections, aligned at the anchor. Round by round, from the last column to
    the first, one symbol of each document is inserted: the documents, held in the
-   order of what follows, are dealt by their symbol, the round's symbols in that
-   order are the next part of the transform, and common prefixes grow by one or
+   order of what follows, are dealt by their symbol, and common prefixes grow by one or
    fall to the minimum between neighbours. Because documents are aligned, equal
-   strings lie in equal columns, so the transform is kept a column after another
-   (its positional form), and each round reads and writes only sequential files:
-   the column's symbols, the last round's order and prefixes, the new ones. Two
+   strings lie in equal columns, so the transform is positional: a round's symbols in
+   the order of the documents are its column. The round that makes a column uses it,
+   to deal the documents; it isn't read again and not kept. Symbols and prefixes are
+   read and written in sequence, a column a round. A collection has at most
+   ``MAX_WINDOWS`` documents of 352 bytes (more only if its last anchor has), so its
+   files are buffers in memory: nothing is written to a machine's own folders. Two
    neighbours with 200 bytes in common share the string that starts there.
 3. *Removal.* What the windows found goes back to their batches of documents, whose
    texts are cut.
 
 An anchor with more than ``MAX_WINDOWS`` different windows (a passage's edge in very
 many documents) doesn't go into one collection: its strings are counted by
-128-bit hash instead, which is exact as well and splits over all tasks.
+128-bit hash instead, which splits over all tasks. Equality of windows and of these
+strings is that of their hashes, never cut short.
 
 Defined cases: a null or empty text has no bytes; a text under 200 bytes keeps all;
-repeated rows repeat each other's strings, so go whole (of 200 bytes or more);
-strings repeated within a text count; an empty table gives an empty result; a null
-doc_id passes through; extra columns are ignored.
+a very long text is a batch of its own, whose anchors are found in slices; repeated
+rows repeat each other's strings, so go whole (of 200 bytes or more); strings
+repeated within a text count; an empty table gives an empty result; a null doc_id
+passes through; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
+import io
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -116,20 +122,20 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 class Collection:
-    """Aligned documents, their transform and common prefixes in sequential files.
+    """Aligned documents, their symbols and common prefixes in sequential files.
 
     windows: byte strings; offsets: where each has the anchor. Columns run from
-    -max(offset) to the last byte after the anchor.
+    -max(offset) to the last byte after the anchor. files makes an empty file.
     """
 
-    def __init__(self, windows: list[bytes], offsets: np.ndarray, folder: str | None = None):
+    def __init__(self, windows: list[bytes], offsets: np.ndarray, files: Callable = io.BytesIO):
         self.m = len(windows)
         size = np.fromiter(map(len, windows), np.int64, self.m)
         self.left = int(offsets.max())
         self.columns = self.left + int((size - offsets).max())
         self.first = self.left - offsets  # column of the first byte
         self.last = self.first + size  # past the last
-        self.symbols, self.bwt, self.lcp = (tempfile.TemporaryFile(dir=folder) for _ in range(3))
+        self.symbols, self.lcp = files(), files()
         block = np.zeros((self.columns, self.m), np.uint8)
         for k, w in enumerate(windows):
             block[self.first[k] : self.last[k], k] = np.frombuffer(w, np.uint8)
@@ -138,7 +144,7 @@ class Collection:
         self.symbols.seek(0)
 
     def close(self) -> None:
-        for f in (self.symbols, self.bwt, self.lcp):
+        for f in (self.symbols, self.lcp):
             f.close()
 
     def rounds(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -160,8 +166,7 @@ class Collection:
             alive = self.first[order] <= c
             if not alive.all():
                 order, lcp = self.without(order, lcp, alive)
-            s = symbol[order]
-            self.bwt.write(s.tobytes())
+            s = symbol[order]  # the transform's column
             deal = np.argsort(s, kind="stable")
             new = np.zeros(len(order), np.uint16)
             if len(order) > 1:
@@ -229,19 +234,31 @@ def decompress(b: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(b)
 
 
+TABLE = "batch bigint, ids binary, nulls binary, sizes binary, texts binary, h binary, w binary, places binary"
+
+
 def batch_table(docs: DataFrame) -> DataFrame:
-    """A row a batch of documents: ids, nulls, sizes, and the compressed texts."""
+    """A row a batch of documents: ids, nulls, sizes, the compressed texts, and the windows' hashes (h: anchors', w: their own) and places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seq = TaskContext.get().partitionId() << 32, 0
         for b in pieces(batches, "_text", PIECE):
             buf, offsets = text_bytes(b.column(1))
             ids = b.column(0)
-            cells = [np.asarray(ids.fill_null(0)).astype("<i8").tobytes(), np.asarray(ids.is_null()).astype(np.uint8).tobytes(), np.diff(offsets).astype("<i8").tobytes(), compress(buf.tobytes())]
-            yield pa.RecordBatch.from_arrays([pa.array([base + seq], pa.int64()), *[pa.array([x], pa.binary()) for x in cells]], ["batch", "ids", "nulls", "sizes", "texts"])
+            h, w, s, n, at = anchors(buf, offsets)
+            places = np.diff(s, prepend=0).astype("<u4").tobytes() + n.astype(np.uint8).tobytes() + at.astype(np.uint8).tobytes()
+            cells = [np.asarray(ids.fill_null(0)).astype("<i8").tobytes(), np.asarray(ids.is_null()).astype(np.uint8).tobytes(), np.diff(offsets).astype("<i8").tobytes(), compress(buf.tobytes()), h.tobytes(), w.tobytes(), compress(places)]
+            yield pa.RecordBatch.from_arrays([pa.array([base + seq], pa.int64()), *[pa.array([x], pa.binary()) for x in cells]], [f.split()[0] for f in TABLE.split(", ")])
             seq += 1
 
-    return stage(arrow_map(docs, run, "batch bigint, ids binary, nulls binary, sizes binary, texts binary"), "texts")
+    return stage(arrow_map(docs, run, TABLE), "texts")
+
+
+def places_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First start, number of starts, and the anchor's offset of each window of a batch."""
+    raw = decompress(row["places"])
+    k = len(raw) // 6
+    return np.cumsum(np.frombuffer(raw, "<u4", k).astype(np.int64)), np.frombuffer(raw, np.uint8, k, 4 * k).astype(np.int64), np.frombuffer(raw, np.uint8, k, 5 * k).astype(np.int64)
 
 
 def texts_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -253,20 +270,30 @@ def texts_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
 ALONE, WHOLE, OPEN, WITNESS, HOT, HOT_WITNESS = range(6)
 
 
-def dealt(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows in the order of their buckets, and the buckets' ranges."""
+BUCKET_BYTES = 24 << 20  # of hashes in a bucket
+
+
+def combined(h: np.ndarray, w: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+    """Different windows of a batch in the order of their buckets: anchors, hashes, counts; each window's place among them; the buckets' ranges."""
     to = (mix(h) % U64(buckets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    return order, np.searchsorted(to[order], np.arange(buckets + 1))
+    order = np.lexsort((w, h, to))
+    hs, ws = h[order], w[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])
+    first = np.flatnonzero(new)
+    place = np.empty(len(h), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return hs[first], ws[first], np.diff(np.append(first, len(h))), place, np.searchsorted(to[order][first], np.arange(buckets + 1))
 
 
-def codes(h: np.ndarray, window: np.ndarray, max_windows: int) -> np.ndarray:
+def codes(h: np.ndarray, window: np.ndarray, count: np.ndarray, max_windows: int) -> np.ndarray:
+    """What becomes of each entry (windows of a batch with a count)."""
     order = np.lexsort((window, h))
     hs, ws = h[order], window[order]
     new_h, new_w = np.ones(len(h), bool), np.ones(len(h), bool)
     new_h[1:] = hs[1:] != hs[:-1]
     new_w[1:] = new_h[1:] | (ws[1:] != ws[:-1])
-    times = np.diff(np.append(np.flatnonzero(new_w), len(h)))[np.cumsum(new_w) - 1]
+    times = np.add.reduceat(count[order], np.flatnonzero(new_w))[np.cumsum(new_w) - 1]
     kinds = np.add.reduceat(new_w.astype(np.int64), np.flatnonzero(new_h))[np.cumsum(new_h) - 1]
     hot = kinds > max_windows
     code = np.where(times > 1, WHOLE, np.where(kinds > 1, np.where(hot, HOT, OPEN), ALONE))
@@ -277,36 +304,34 @@ def codes(h: np.ndarray, window: np.ndarray, max_windows: int) -> np.ndarray:
     return out
 
 
-OPENED = "h bigint, batch bigint, idx int, at int, open boolean, bytes binary, ha array<bigint>, hb array<bigint>"
+OPENED = "h bigint, batch bigint, idx int, at int, open boolean, bytes binary, ha array<bigint>, hb array<bigint>, codes binary"
 
 
-def repeats(docs: DataFrame, doc_id: str, text: str, max_windows: int) -> tuple[DataFrame, int]:
-    """The batches with, for each, the windows' codes and the opened windows' repeated starts; and the number of buckets."""
+def repeats(docs: DataFrame, doc_id: str, text: str, max_windows: int) -> DataFrame:
+    """The batches with, for each, the windows' codes and the opened windows' repeated starts."""
     spark = docs.sparkSession
     parts = n_parts(spark)
-    buckets = 3 * parts
     table = batch_table(docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text")))
+    total = table.agg(F.sum(F.length("h"))).first()[0] or 0
+    buckets = int(max(3 * parts, 2 * total // BUCKET_BYTES + 1))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                h, w, *_ = anchors(*texts_of(r))
-                order, cut = dealt(h, buckets)
-                h, w = h[order], w[order]
+                h, w, n, _, cut = combined(np.frombuffer(r["h"], U64), np.frombuffer(r["w"], U64), buckets)
                 full = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int64()), pa.array([r["batch"]] * len(full), pa.int64()), *[pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary()) for x in (h, w)]], ["tb", "batch", "h", "w"]
-                )
+                cells = [[x[cut[k] : cut[k + 1]].tobytes() for k in full] for x in (h, w, n.astype("<u4"))]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([r["batch"]] * len(full), pa.int64()), *[pa.array(c, pa.binary()) for c in cells]], ["tb", "batch", "h", "w", "n"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(held: list) -> pa.RecordBatch:
-            code = codes(np.frombuffer(b"".join(x[2] for x in held), U64), np.frombuffer(b"".join(x[3] for x in held), U64), max_windows)
+            code = codes(*(np.frombuffer(b"".join(x[k] for x in held), t) for k, t in ((2, U64), (3, U64), (4, "<u4"))), max_windows)
             cut = np.cumsum([0, *(len(x[2]) // 8 for x in held)])
             return pa.RecordBatch.from_arrays([pa.array([x[1] for x in held], pa.int64()), pa.array([x[0] for x in held], pa.int64()), pa.array([compress(code[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:])], pa.binary())], ["_b", "tb", "code"])
 
         held: list = []
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for row in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if held and held[0][0] != row[0]:
                     yield done(held)
                     held = []
@@ -314,34 +339,35 @@ def repeats(docs: DataFrame, doc_id: str, text: str, max_windows: int) -> tuple[
         if held:
             yield done(held)
 
-    sent = arrow_map(table.select("batch", "ids", "sizes", "texts"), emit, "tb bigint, batch bigint, h binary, w binary")
+    sent = arrow_map(table.select("batch", "h", "w"), emit, "tb bigint, batch bigint, h binary, w binary, n binary")
     answered = arrow_map(sent.repartition(parts, "tb").sortWithinPartitions("tb"), decide, "_b bigint, tb bigint, code binary")
-    answered = stage(answered.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("tb", "code"))).alias("codes")), "codes")
+    answered = answered.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("tb", "code"))).alias("codes"))
+
+    def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        kinds = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+        fields = [f.split() for f in OPENED.split(", ")]
+        return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(n, kinds[t])) for k, t in fields], [k for k, _ in fields])
 
     def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                buf, offsets = texts_of(r)
-                h, _, s, n, at = anchors(buf, offsets)
-                code = codes_of(r["codes"], h, buckets)
-                for idx in (np.flatnonzero(np.isin(code, (OPEN, WITNESS))), np.flatnonzero(np.isin(code, (HOT, HOT_WITNESS)))):
-                    if not len(idx):
-                        continue
-                    hot = code[idx[0]] in (HOT, HOT_WITNESS)
-                    own = np.isin(code[idx], (OPEN, HOT))
-                    whole = [buf[s[k] : s[k] + n[k] + LENGTH - 1].tobytes() for k in idx]
-                    ha = hb = [None] * len(idx)
-                    if hot:
-                        raw = [np.frombuffer(w, np.uint8) for w in whole]
-                        ha, hb = ([string_hashes(x, salt) for x in raw] for salt in (0, 1))
-                    for i in range(0, len(idx), 1000):
-                        j = slice(i, i + 1000)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(h[idx[j]].view(np.int64)), pa.array([r["batch"]] * len(idx[j]), pa.int64()), pa.array(idx[j].astype(np.int32)), pa.array(at[idx[j]].astype(np.int32)), pa.array(own[j]), pa.array([None] * len(idx[j]) if hot else whole[j], pa.binary()), pa.array(ha[j], pa.list_(pa.int64())), pa.array(hb[j], pa.list_(pa.int64()))],
-                            [f.split()[0] for f in OPENED.split(", ")],
-                        )
-
-    opened = stage(arrow_map(table.drop("nulls").join(answered, table["batch"] == answered["_b"]).drop("_b"), open_, OPENED), "opened")
+                buf, _ = texts_of(r)
+                h = np.frombuffer(r["h"], U64)
+                s, n, at = places_of(r)
+                code = codes_of(r["codes"], h, np.frombuffer(r["w"], U64), buckets)
+                yield rows(1, batch=pa.array([r["batch"]], pa.int64()), codes=pa.array([compress(code.tobytes())], pa.binary()))
+                for hot, kinds in ((False, (OPEN, WITNESS)), (True, (HOT, HOT_WITNESS))):
+                    every = np.flatnonzero(np.isin(code, kinds))
+                    for i in range(0, len(every), 1000):
+                        idx = every[i : i + 1000]
+                        common = {"h": pa.array(h[idx].view(np.int64)), "batch": pa.array([r["batch"]] * len(idx), pa.int64()), "idx": pa.array(idx.astype(np.int32)), "at": pa.array(at[idx].astype(np.int32)), "open": pa.array(code[idx] == kinds[0])}
+                        whole = [buf[s[k] : s[k] + n[k] + LENGTH - 1] for k in idx]
+                        if hot:
+                            yield rows(len(idx), **common, **{c: pa.array([string_hashes(x, salt) for x in whole], pa.list_(pa.int64())) for salt, c in enumerate(("ha", "hb"))})
+                        else:
+                            yield rows(len(idx), **common, bytes=pa.array([x.tobytes() for x in whole], pa.binary()))
+
+    opened = stage(arrow_map(table.select("batch", "sizes", "texts", "h", "w", "places").join(answered, table["batch"] == answered["_b"]).drop("_b"), open_, OPENED), "opened")
 
     def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(held: list) -> pa.RecordBatch:
@@ -367,11 +393,10 @@ def repeats(docs: DataFrame, doc_id: str, text: str, max_windows: int) -> tuple[
     strings = strings.select("batch", "idx", "open", "k", F.col("z.ha").alias("ha"), F.col("z.hb").alias("hb"))
     often = strings.groupBy("ha", "hb").agg(F.sum(F.when(F.col("open"), 1).otherwise(2)).alias("n")).where("n > 1").drop("n")
     hot = strings.where("open").join(often, ["ha", "hb"], "left_semi").select("batch", "idx", F.lit(None).cast("binary").alias("starts"), "k")
-    found = stage(found.unionAll(hot), "found")
-    discard(opened)
-    found = found.groupBy(F.col("batch").alias("_f")).agg(F.collect_list(F.struct("idx", "starts", "k")).alias("found"))
-    out = table.join(answered, table["batch"] == answered["_b"], "left").drop("_b").join(found, F.col("batch") == F.col("_f"), "left").drop("_f")
-    return out, buckets
+    found = stage(found.unionAll(hot), "found").groupBy(F.col("batch").alias("_f")).agg(F.collect_list(F.struct("idx", "starts", "k")).alias("found"))
+    coded = opened.where("codes is not null").select(F.col("batch").alias("_c"), "codes")
+    decided = coded.join(found, F.col("_c") == F.col("_f"), "left").drop("_f")
+    return table.drop("h", "w").join(decided, table["batch"] == F.col("_c"), "left").drop("_c")
 
 
 def string_hashes(raw: np.ndarray, salt: int) -> np.ndarray:
@@ -382,21 +407,27 @@ def string_hashes(raw: np.ndarray, salt: int) -> np.ndarray:
     return slice_hash(p, i, i + LENGTH).view(np.int64)
 
 
-def codes_of(answers: list[dict] | None, h: np.ndarray, buckets: int) -> np.ndarray:
-    out = np.zeros(len(h), np.uint8)
-    if len(h):
-        order, _ = dealt(h, buckets)
-        out[order] = np.frombuffer(b"".join(decompress(x["code"]) for x in answers), np.uint8)
-    return out
+def codes_of(answers: list[dict], h: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
+    """The code of each window of a batch, from its entries' codes."""
+    if not len(h):
+        return np.zeros(0, np.uint8)
+    *_, place, _ = combined(h, w, buckets)
+    entry = np.frombuffer(b"".join(decompress(x["code"]) for x in answers), np.uint8)
+    code = entry[place]
+    _, first = np.unique(place, return_index=True)
+    again = np.ones(len(h), bool)
+    again[first] = False
+    code[again & np.isin(code, (WITNESS, HOT_WITNESS))] = WHOLE  # one of equal windows is enough
+    return code
 
 
-def removed_mask(row: dict, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def removed_mask(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A batch's bytes, documents' offsets, and whether each byte goes."""
     buf, offsets = texts_of(row)
-    h, _, s, n, _ = anchors(buf, offsets)
-    code = codes_of(row["codes"], h, buckets)
+    s, n, _ = places_of(row)
+    code = np.frombuffer(decompress(row["codes"]), np.uint8) if row["codes"] is not None else np.zeros(0, np.uint8)
     step = np.zeros(len(buf) + 1, np.int32)
-    whole = np.isin(code, (WHOLE, WITNESS, HOT_WITNESS))
+    whole = np.isin(code, (WHOLE, WITNESS, HOT_WITNESS)).nonzero()[0]
     np.add.at(step, s[whole], 1)
     np.add.at(step, s[whole] + n[whole] + LENGTH - 1, -1)
     for x in row["found"] or ():
@@ -411,13 +442,13 @@ KEPT = "doc_id bigint, spans array<struct<start: int, end: int>>, kept binary"
 
 def suffix_kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """doc_id, spans (removed bytes, from start up to end) and kept (the other bytes) of each row of docs."""
-    table, buckets = repeats(docs, doc_id, text, max_windows)
+    table = repeats(docs, doc_id, text, max_windows)
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                buf, offsets, gone = removed_mask(r, buckets)
+                buf, offsets, gone = removed_mask(r)
                 ids, nulls = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["nulls"], np.uint8)
                 spans, kept = [], []
                 for a, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):

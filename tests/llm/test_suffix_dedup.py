@@ -91,3 +91,27 @@ def test_spans_and_kept_bytes(spark):
             kept, at = kept + raw[at : s.start], s.end
         assert bytes(r.kept) == kept + raw[at:] and hashlib.sha256(r.kept).hexdigest() == sha
         assert (len(r.spans), sum(s.end - s.start for s in r.spans)) == (spans, removed)
+
+
+def test_one_passage_in_ten_thousand_documents(spark):
+    """A passage that very many documents share, some with an edit, in little else."""
+    r = random.Random(11)
+    passage = cases.words(50, 77, 5000)[:240]
+    out = []
+    for i in range(10_000):
+        own = passage if i % 7 else passage[: i % 240] + "#" + passage[i % 240 + 1 :]
+        out.append(f"{i:06d}{r.choice('abcd')} {own} {r.randrange(10**9)}")
+    count = {}
+    for t in out:
+        for i in range(len(t) - 199):
+            h = hash(t[i : i + 200])
+            count[h] = count.get(h, 0) + 1
+    for limit in (20_000, 50):
+        got = D.suffix_dedup(cases.docs(spark, out), max_windows=limit).orderBy("doc_id").collect()
+        for x, t in zip(got, out):
+            gone = set()
+            for i in range(len(t) - 199):
+                if count[hash(t[i : i + 200])] > 1:
+                    gone |= set(range(i, i + 200))
+            assert x.n_removed == len(gone)
+            assert x.kept_sha256 == hashlib.sha256("".join(c for i, c in enumerate(t) if i not in gone).encode()).hexdigest()
