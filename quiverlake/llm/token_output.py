@@ -2,22 +2,27 @@
 
 A shard file holds the ids of a contiguous range of documents::
 
-    "QLT1" | plane blobs ... | footer (zstandard) | footer length u64 | "QLT1"
+    "QLT2" | plane blobs and document blocks ... | footer (zstandard) | footer length u64 | "QLT2"
 
 The footer (JSON) has one entry a chunk - offset of its first plane, number of
-ids, and each plane's compressed size (0: all zero, not stored) - and the
-documents' ids and lengths. Every chunk but the last has ``block`` ids, so id i
-of a shard lies in chunk ``i // block`` and a reader touches only the chunks it
-needs.
+ids, and each plane's compressed size (0: all zero, not stored) - and one entry a
+document block: offset, number of documents and compressed size. A document block
+has the ids, null flags and lengths of up to ``DOC_BLOCK`` documents. Every chunk
+but the last has ``block`` ids, so id i of a shard lies in chunk ``i // block`` and
+a reader touches only the chunks it needs. Neither writer nor reader holds more
+than a chunk, a document block and the index.
 
 Write: documents are range-partitioned and sorted by the order columns, one
-shard a task, written under a name of its own attempt and listed in a table of
-shards, so a repeated task leaves at most an unlisted file. Read: one task a
-shard, a chunk in memory at a time.
-
-Defined cases: a null or empty text is the end id alone; equal order keys are
-ordered by text; a null doc_id sorts first; an empty table gives no shards and
-an empty result; extra columns are ignored.
+shard a task, as many shards as their bytes ask for (``SHARD_BYTES``, and as many
+as shuffle partitions at least), written under a name of its own attempt and listed
+in a table of shards, so a repeated task leaves at most an unlisted file. Read: one
+task a shard, a chunk in memory at a time.
+
+Defined cases: a null or empty text is the end id alone; a very long text is encoded
+in slices at white space (whole only where it has white space beyond ASCII, which the
+tokenizer may join across slices); equal order keys are ordered by text; a null
+doc_id sorts first; repeated rows are written as often as they come; an empty table
+gives no shards and an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,9 +44,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import SPACES, arrow_map, fs_of, pieces, scratch_path, stage
+from .common import SPACES, arrow_map, fs_of, n_parts, pieces, scratch_path, stage
 
-MAGIC = b"QLT1"
+MAGIC = b"QLT2"
+DOC_BLOCK = 8192
+SHARD_BYTES = 256 << 20  # of text a shard
+SLICE = 1 << 21  # characters of a very long text at a time
 
 # ------------------------------------------------------------------- planes
 
@@ -70,28 +78,35 @@ def from_planes(planes: list[bytes | None], n: int, mode: str = "byte") -> np.nd
 
 
 class ShardWriter:
-    def __init__(self, out, block: int = 1 << 16, mode: str = "byte", level: int = 1):
-        self.out, self.block, self.mode = out, block, mode
+    def __init__(self, out, block: int = 1 << 16, mode: str = "byte", level: int = 1, doc_block: int = DOC_BLOCK):
+        self.out, self.block, self.mode, self.doc_block = out, block, mode, doc_block
         self.zip = zstandard.ZstdCompressor(level=level)
         self.rest: list[np.ndarray] = []
-        self.n_rest = self.n_ids = 0
+        self.n_rest = self.n_ids = self.n_docs = 0
         self.chunks: list[list] = []
-        self.doc_ids: list = []
-        self.lengths: list[int] = []
-        self.at = out.write(MAGIC) or len(MAGIC)
+        self.docs: list[list] = []
+        self.held: list[tuple] = []
+        out.write(MAGIC)
+        self.at = len(MAGIC)
+
+    def _put(self, blob: bytes) -> int:
+        self.out.write(blob)
+        self.at += len(blob)
+        return len(blob)
 
     def _chunk(self, ids: np.ndarray) -> None:
-        sizes, start = [], self.at
-        for plane in to_planes(ids, self.mode):
-            blob = self.zip.compress(plane) if plane.strip(b"\0") else b""
-            self.out.write(blob)
-            self.at += len(blob)
-            sizes.append(len(blob))
+        start = self.at
+        sizes = [self._put(self.zip.compress(plane)) if plane.strip(b"\0") else 0 for plane in to_planes(ids, self.mode)]
         self.chunks.append([start, len(ids), sizes])
 
-    def add(self, doc_ids: list, lengths: list[int], ids: np.ndarray) -> None:
-        self.doc_ids += doc_ids
-        self.lengths += lengths
+    def _docs(self) -> None:
+        own, self.held = self.held[: self.doc_block], self.held[self.doc_block :]
+        ids, null, n = np.array([d or 0 for d, _ in own], "<i8"), np.array([d is None for d, _ in own], np.uint8), np.array([n for _, n in own], "<i8")
+        start = self.at
+        self.docs.append([start, len(own), self._put(self.zip.compress(ids.tobytes() + null.tobytes() + n.tobytes()))])
+
+    def write(self, ids: np.ndarray) -> None:
+        """Ids of the documents that ``end`` lists next."""
         self.rest.append(ids)
         self.n_rest += len(ids)
         self.n_ids += len(ids)
@@ -100,12 +115,24 @@ class ShardWriter:
             cut = len(whole) // self.block * self.block
             for i in range(0, cut, self.block):
                 self._chunk(whole[i : i + self.block])
-            self.rest, self.n_rest = [whole[cut:]], len(whole) - cut
+            self.rest, self.n_rest = [whole[cut:].copy()], len(whole) - cut
+
+    def end(self, doc_ids: list, lengths: list[int]) -> None:
+        self.held += zip(doc_ids, lengths)
+        self.n_docs += len(doc_ids)
+        while len(self.held) >= self.doc_block:
+            self._docs()
+
+    def add(self, doc_ids: list, lengths: list[int], ids: np.ndarray) -> None:
+        self.write(ids)
+        self.end(doc_ids, lengths)
 
     def close(self) -> None:
         if self.n_rest:
             self._chunk(np.concatenate(self.rest))
-        foot = self.zip.compress(json.dumps({"block": self.block, "mode": self.mode, "chunks": self.chunks, "doc_ids": self.doc_ids, "lengths": self.lengths}).encode())
+        if self.held:
+            self._docs()
+        foot = self.zip.compress(json.dumps({"block": self.block, "mode": self.mode, "chunks": self.chunks, "docs": self.docs}).encode())
         self.out.write(foot + struct.pack("<Q", len(foot)) + MAGIC)
 
 
@@ -120,7 +147,7 @@ class ShardReader:
             raise ValueError("not a token shard")
         source.seek(size - 12 - n)
         foot = json.loads(self.unzip.decompress(source.read(n)))
-        self.block, self.mode, self.chunks, self.doc_ids, self.lengths = (foot[k] for k in ("block", "mode", "chunks", "doc_ids", "lengths"))
+        self.block, self.mode, self.chunks, self.docs = (foot[k] for k in ("block", "mode", "chunks", "docs"))
 
     def chunk(self, k: int) -> np.ndarray:
         at, n, sizes = self.chunks[k]
@@ -128,6 +155,14 @@ class ShardReader:
         planes = [self.unzip.decompress(self.source.read(s)) if s else None for s in sizes]
         return from_planes(planes, n, self.mode)
 
+    def documents(self) -> Iterator[tuple[int | None, int]]:
+        """(doc_id, number of ids) of each document, a block in memory at a time."""
+        for at, n, size in self.docs:
+            self.source.seek(at)
+            raw = self.unzip.decompress(self.source.read(size))
+            ids, null, lengths = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, np.uint8, n, 8 * n), np.frombuffer(raw, "<i8", n, 9 * n)
+            yield from ((None if x else d, c) for d, x, c in zip(ids.tolist(), null.tolist(), lengths.tolist()))
+
     def ids(self, start: int, end: int) -> np.ndarray:
         """Ids start:end of the shard, from the chunks that hold them."""
         if end <= start:
@@ -249,6 +284,25 @@ class Encoder:
         return ids.astype("<u4"), lengths.tolist()
 
 
+    def slices(self, text: str, end: int | None = 0) -> Iterator[np.ndarray]:
+        """The ids of a very long text, slice by slice: a run of white space after another character always begins a unit."""
+        if OTHER_SPACE.search(text):
+            yield self.encode([text], end)[0]
+            return
+        at = 0
+        while at < len(text):
+            cut = BREAK.search(text, at + SLICE)
+            to = cut.start() + 1 if cut else len(text)
+            yield self.encode([text[at:to]], None)[0]
+            at = to
+        if end is not None:
+            yield np.array([end], "<u4")
+
+
+#: The last character before white space.
+BREAK = re.compile(r"[^ \t-\r](?=[ \t-\r])")
+
+
 # ---------------------------------------------------------------- operators
 
 SHARDS = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
@@ -260,7 +314,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, order:
     out = out or scratch_path(spark, "tokens")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
     keys = [f"_o{i}" for i in range(len(order))]
-    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "_text").select("_id", "_text")
+    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    n = max(n_parts(spark), -(-size // SHARD_BYTES))
+    rows = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys, "_text").select("_id", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -272,12 +328,19 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, order:
                 fs.create_dir(folder, recursive=True)
                 sink = fs.open_output_stream(path)
                 writer, encoder = ShardWriter(sink, block, mode, level), Encoder(tokenizer)
-            ids, lengths = encoder.encode([x or "" for x in b.column(1).to_pylist()], end)
-            writer.add(b.column(0).to_pylist(), lengths, ids)
+            texts = [x or "" for x in b.column(1).to_pylist()]
+            if len(texts) == 1 and len(texts[0]) > 2 * SLICE:
+                before = writer.n_ids
+                for ids in encoder.slices(texts[0], end):
+                    writer.write(ids)
+                writer.end(b.column(0).to_pylist(), [writer.n_ids - before])
+            else:
+                ids, lengths = encoder.encode(texts, end)
+                writer.add(b.column(0).to_pylist(), lengths, ids)
         if writer is not None:
             writer.close()
             sink.close()
-            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([path]), pa.array([len(writer.lengths)], pa.int64()), pa.array([writer.n_ids], pa.int64())], ["shard", "path", "n_docs", "n_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([path]), pa.array([writer.n_docs], pa.int64()), pa.array([writer.n_ids], pa.int64())], ["shard", "path", "n_docs", "n_ids"])
 
     listed = arrow_map(rows, run, SHARDS).withColumn("path", F.concat(F.lit(f"{out}/"), F.element_at(F.split("path", "/"), -1)))
     return stage(listed, "shards")
@@ -286,7 +349,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, order:
 def read_tokens(shards: DataFrame, each: Callable, schema: T.StructType) -> DataFrame:
     """Read the shards back. each(doc_id, start, chunks) gets a document's ids as an iterable of arrays and returns a row."""
     first = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a shard
-    listed = shards.select("shard", "path", first.alias("first")).repartition(F.col("shard"))
+    listed = shards.select("shard", "path", first.alias("first"))
+    # a number of partitions is kept as it is: the few rows of the list would else be merged into one task
+    listed = listed.repartitionByRange(max(1, shards.count()), "shard")
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
@@ -309,7 +374,7 @@ def read_tokens(shards: DataFrame, each: Callable, schema: T.StructType) -> Data
                             n -= len(part)
                             yield part
 
-                    for d, n in zip(r.doc_ids, r.lengths):
+                    for d, n in r.documents():
                         out.append(each(d, row["first"] + done, take(n)))
                         done += n
                         if len(out) == 5000:

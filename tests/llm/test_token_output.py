@@ -31,18 +31,31 @@ def test_planes_and_files_round_trip(mode, n):
     ids = np.random.default_rng(n).integers(0, 2**32 if n == 7 else 50_257, n).astype("<u4")
     assert (K.from_planes(K.to_planes(ids, mode), n, mode) == ids).all()
     out = io.BytesIO()
-    w = K.ShardWriter(out, block=64, mode=mode)
+    w = K.ShardWriter(out, block=64, mode=mode, doc_block=3)
     r = random.Random(n)
     cuts = sorted(r.randrange(n + 1) for _ in range(3))
     for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, n])):
-        w.add([i], [b - a], ids[a:b])
+        w.add([i or None], [b - a], ids[a:b])
     w.close()
     reader = K.ShardReader(out, len(out.getvalue()))
-    assert (reader.ids(0, n) == ids).all() and reader.lengths == [b - a for a, b in zip([0, *cuts], [*cuts, n])]
+    assert (reader.ids(0, n) == ids).all() and list(reader.documents()) == [(i or None, b - a) for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, n]))]
     for a, b in ((0, n // 2), (n // 3, n), (n, n)):
         assert (reader.ids(a, b) == ids[a:b]).all()
 
 
+def test_long_texts_in_slices(monkeypatch):
+    monkeypatch.setattr(K, "SLICE", 7)
+    e = K.Encoder(PATH)
+    for t in [*TEXTS, "  ".join(TEXTS), "x" * 50, " " * 30 + "a" + "\n" * 20, cases.words(60, 4)]:
+        assert np.concatenate([*e.slices(t), np.zeros(0, "<u4")]).tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 0]
+
+
+def test_reads_a_task_a_shard(spark):
+    shards = K.write_tokens(cases.docs(spark, [cases.words(30, i) for i in range(40)]), PATH)
+    n = shards.count()
+    assert n > 1 and K.read_tokens(shards, K.digest, K.DIGEST).rdd.getNumPartitions() == n
+
+
 def test_digest_equals_brute_force(spark):
     t = TEXTS + [cases.words(50, i) for i in range(30)] + [None]
     got = K.token_output(cases.docs(spark, t), PATH, block=100).orderBy("doc_id").collect()
