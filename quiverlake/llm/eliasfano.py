@@ -2,9 +2,10 @@
 
 A sequence of n values below u keeps the low l = log2(u / n) bits of each value
 packed, and the high parts as a bit vector (a one for each value, a zero for each
-step of the high part). The place of every fourth one and zero is sampled; where
-four of them don't lie within one 64-bit window, all four places are stored, so a
-select reads one window or one place. All arrays can be slices of a mapped file.
+step of the high part). The place of every fourth one (for ``get``) and zero (for
+``find``) is sampled; where four of them don't lie within one 64-bit window, all four
+places are stored, so a select reads one window or one place. A sequence that is only
+read as a whole needs no samples. All arrays can be slices of a mapped file.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ def places(at: np.ndarray, name: str, kind: str) -> dict[str, np.ndarray]:
     return {name: first.astype(kind), f"{name}_wide": wide.astype(np.uint8), f"{name}_block": block.astype("<u8"), f"{name}_all": at[k].astype(kind) if len(at) else at.astype(kind)}
 
 
-def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
-    """Arrays of the coded sequence; values: ascending uint64 below universe."""
+def build(values: np.ndarray, universe: int, get: bool = True, find: bool = True) -> dict[str, np.ndarray]:
+    """Arrays of the coded sequence; values: ascending uint64 below universe; get, find: what it is sampled for."""
     n = len(values)
     v = values.astype(U64)
     l = min(56, max(0, (universe // max(n, 1)).bit_length() - 1))
@@ -48,13 +49,14 @@ def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     size = n + (int(universe - 1) >> l if universe else 0) + 2
     bits = np.zeros(size, bool)
     bits[high + np.arange(n)] = True
-    ones, zeros = np.flatnonzero(bits), np.flatnonzero(~bits)
+    kind = "<u4" if size < 1 << 32 else "<u8"
     return {
         "meta": np.array([n, l], np.int64),
+        "last": v[-1:].astype("<u8"),
         "low": pack_low(v & U64((1 << l) - 1), l),
         "high": np.concatenate([np.packbits(bits, bitorder="little"), np.zeros(16, np.uint8)]),
-        **places(ones, "one", "<u4" if size < 1 << 32 else "<u8"),
-        **places(zeros, "zero", "<u4" if size < 1 << 32 else "<u8"),
+        **(places(np.flatnonzero(bits), "one", kind) if get else {}),
+        **(places(np.flatnonzero(~bits), "zero", kind) if find else {}),
     }
 
 
@@ -66,9 +68,9 @@ def windows(b: np.ndarray) -> np.ndarray:
 class Sequence:
     def __init__(self, a: dict[str, np.ndarray]):
         self.n, self.l = (int(x) for x in a["meta"])
-        self.one, self.zero = ([a[f"{k}{x}"] for x in ("", "_wide", "_block", "_all")] for k in ("one", "zero"))
-        self.low, self.high = windows(a["low"]), windows(a["high"])
-        self.last = self.get(np.array([self.n - 1]))[0] if self.n else U64(0)
+        self.one, self.zero = ([a.get(f"{k}{x}") for x in ("", "_wide", "_block", "_all")] for k in ("one", "zero"))
+        self.low, self.high, self.bits = windows(a["low"]), windows(a["high"]), a["high"]
+        self.last = U64(a["last"][0]) if self.n else U64(0)
 
     def select(self, k: np.ndarray, bit: int) -> np.ndarray:
         """The place of the k-th (from 0) one or zero of the high bits."""
@@ -95,6 +97,12 @@ class Sequence:
         i = np.asarray(i, np.int64)
         return ((self.select(i, 1) - i).astype(U64) << U64(self.l)) | self.low_of(i)
 
+    def all(self) -> np.ndarray:
+        """All values."""
+        i = np.arange(self.n)
+        ones = np.flatnonzero(np.unpackbits(self.bits[:-16], bitorder="little"))[: self.n]
+        return ((ones - i).astype(U64) << U64(self.l)) | self.low_of(i)
+
     def find(self, x: np.ndarray) -> np.ndarray:
         """The index of a value equal to each x, or -1."""
         x = np.asarray(x, U64)
@@ -139,8 +147,8 @@ def pair_bits(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
 
 
 def pair_filter(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Eight bits or more a pair, one set for each: tells most pairs that aren't there without a search."""
-    size = 1 << max(6, (8 * len(a) - 1).bit_length())
+    """Four bits or more a pair, one set for each: tells most pairs that aren't there without a search."""
+    size = 1 << max(6, (4 * len(a) - 1).bit_length())
     bits = np.zeros(size, bool)
     bits[pair_bits(a, b, size)] = True
     return np.packbits(bits, bitorder="little")

@@ -6,10 +6,11 @@ looked up once more only; the levels above and the scores are made from the ids.
 Level n has the n-grams seen at least ``least`` times (1: all of them), as children of
 their first n-1 words. A level's file holds, for its shard of contexts: monotone
 pointers from contexts to children (Elias-Fano), the children's word ids made monotone
-by adding the last value of the context before (Elias-Fano), 8-bit quantised log10
-probabilities of the children and back-off weights of the contexts. A lookup reads a
-context's pointers and its base, and searches base + word among its children. Tasks map
-the files of the shared folder into memory; nothing of the model goes through the
+as context * V + word, relative to the shard's first context (Elias-Fano), 8-bit
+quantised log10 probabilities of the children and back-off weights of the contexts. A
+lookup searches the successor of its word within the context's stretch of V values;
+the pointers give each child's context back when a level is read to build the next. Tasks
+map the files of the shared folder into memory; nothing of the model goes through the
 driver but a row a shard (and its frequent nodes, see below).
 
 Probabilities: unseen words have the mass (n1 + 1) / (N + 2) (n1: words seen once)
@@ -225,8 +226,8 @@ class Level:
 
     def __init__(self, path: str):
         a = open_arrays(path)
-        self.first, self.n, self.context_first, self.n_contexts = (int(x) for x in a["meta"])
-        self.values, self.counts = Sequence(part(a, "values")), a["counts"]
+        self.first, self.n, self.context_first, self.n_contexts, self.types = (int(x) for x in a["meta"])
+        self.values, self.counts = Sequence(part(a, "values")), a.get("counts")
         self.code, self.book = a["code"], a["book"]
         self.least = int(a["least"][0]) if "least" in a else 0
         if "pointers.meta" in a:
@@ -235,33 +236,18 @@ class Level:
             self.filter = a["filter"]
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Node ids of (context, word), or -1; contexts are ids of this shard, sorted."""
+        """Node ids of (context, word), or -1; contexts are ids of this shard."""
         out = np.full(len(word), -1, np.int64)
         own = np.flatnonzero(maybe(self.filter, context, word))
-        if not len(own):
-            return out
-        context, word = context[own] - self.context_first, word[own]
-        new = np.ones(len(own), bool)
-        new[1:] = context[1:] != context[:-1]
-        c, inverse = context[new], np.cumsum(new) - 1
-        begin, end = self.pointers.get(c).astype(np.int64), self.pointers.get(c + 1).astype(np.int64)
-        base = np.zeros(len(c), U64)
-        later = begin > 0
-        base[later] = self.values.get(begin[later] - 1) + U64(1)
-        # a value beyond the context's last one belongs to another context
-        at = self.values.find(base[inverse] + word.astype(U64))
-        out[own] = np.where((at >= begin[inverse]) & (at < end[inverse]), at + self.first, -1)
+        if len(own):
+            at = self.values.find((context[own] - self.context_first).astype(U64) * U64(self.types) + word[own].astype(U64))
+            out[own] = np.where(at >= 0, at + self.first, -1)
         return out
 
     def words(self) -> np.ndarray:
         """The word ids of all nodes."""
-        begin = self.pointers.get(np.arange(self.n_contexts + 1)).astype(np.int64)
-        values = self.values.get(np.arange(self.n))
-        fan = np.diff(begin)
-        full = np.flatnonzero(fan)
-        base = np.zeros(len(full), U64)
-        base[1:] = values[begin[full[1:]] - 1] + U64(1)
-        return (values - np.repeat(base, fan[full])).astype(np.int64)
+        fan = np.diff(self.pointers.all().astype(np.int64))
+        return (self.values.all() - np.repeat(np.arange(self.n_contexts).astype(U64) * U64(self.types), fan)).astype(np.int64)
 
     def log_p(self, node: np.ndarray) -> np.ndarray:
         return self.book[self.code[node - self.first]]
@@ -544,8 +530,8 @@ def build_words(train: DataFrame, shards: int, folder: str, least: int, hot_coun
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, (u, n) in by_target(batches, 1):
             low = shard << (64 - bits) if bits else 0
-            arrays = {"meta": np.array([0, len(u), 0, 0], np.int64), "least": np.array([low], U64), "counts": n.astype("<u4" if n.max() < 1 << 32 else "<u8"), "code": np.zeros(0, np.uint8), "book": np.zeros(1)}
-            path = write_shard(folder, 1, shard, arrays | named(build(u - U64(low), 1 << (64 - bits)), "values"))
+            arrays = {"meta": np.array([0, len(u), 0, 0, 0], np.int64), "least": np.array([low], U64), "counts": n.astype("<u4" if n.max() < 1 << 32 else "<u8"), "code": np.zeros(0, np.uint8), "book": np.zeros(1)}
+            path = write_shard(folder, 1, shard, arrays | named(build(u - U64(low), 1 << (64 - bits), get=False), "values"))
             yield listed_row(shard, path, n, hot_count)
 
     sent = arrow_map(train.select("_text"), emit, PAYLOAD)
@@ -556,8 +542,8 @@ def build_words(train: DataFrame, shards: int, folder: str, least: int, hot_coun
     return Trie(sum(r["total"] for r in rows), int(sum(r["nodes"] for r in rows)), sum(r["once"] for r in rows), [shards_of(rows, low)], least, hot_count)
 
 
-def build_level(words: DataFrame, trie: Trie, n: int, folder: str) -> Trie:
-    """Level n of the trie: the kept n-grams as children of level n - 1."""
+def build_level(words: DataFrame, trie: Trie, n: int, order: int, folder: str) -> Trie:
+    """Level n of order of the trie: the kept n-grams as children of level n - 1."""
     above = trie.levels[n - 2]
     cold = len(above.paths)
     hot, parts = above.frequent, -(-above.frequent_count // trie.hot_count)
@@ -616,11 +602,7 @@ def build_level(words: DataFrame, trie: Trie, n: int, folder: str) -> Trie:
                     total = np.array([float(up.counts[low - up.first])])
                 at = c.astype(np.int64) - low
                 begin = np.searchsorted(at, np.arange(size + 1))
-                # children's ids made monotone: each context goes on from the last value of the one before
-                full = np.flatnonzero(np.diff(begin))
-                base = np.zeros(len(full), U64)
-                base[1:] = np.cumsum(w[begin[full + 1][:-1] - 1] + U64(1), dtype=U64)
-                values = w + np.repeat(base, np.diff(begin)[full])
+                values = at.astype(U64) * U64(trie.types) + w
                 if shard < cold:
                     run = np.concatenate([[0.0], np.cumsum(m - discount)])
                     mass = run[begin[1:]] - run[begin[:-1]]
@@ -638,8 +620,10 @@ def build_level(words: DataFrame, trie: Trie, n: int, folder: str) -> Trie:
                 p = (m - discount) / total[at] + weight[at] * 10.0**lower
                 code, book = quantise(np.log10(p))
                 weight_code, weight_book = quantise(np.log10(weight))
-                arrays = {"meta": np.array([0, len(w), low, size], np.int64), "counts": m.astype(np.min_scalar_type(m.max())), "code": code, "book": book, "weight_code": weight_code, "weight_book": weight_book, "filter": pair_filter(c, w)}
-                arrays |= named(build(begin.astype(U64), len(w) + 1), "pointers") | named(build(values, int(values[-1]) + 1), "values")
+                arrays = {"meta": np.array([0, len(w), low, size, trie.types], np.int64), "code": code, "book": book, "weight_code": weight_code, "weight_book": weight_book, "filter": pair_filter(c, w)}
+                if n < order:  # what the next level's contexts are counted by
+                    arrays["counts"] = m.astype(np.min_scalar_type(m.max()))
+                arrays |= named(build(begin.astype(U64), len(w) + 1, get=False, find=False), "pointers") | named(build(values, size * trie.types, get=False), "values")
                 yield listed_row(shard, write_shard(folder, n, shard, arrays), m, trie.hot_count)
 
     rows = stage(arrow_map(kept.select("to", "a", "b", "n"), make, LISTED), f"lm{n}").orderBy("shard").collect()
@@ -675,7 +659,7 @@ def build_trie(rows: DataFrame, order: int = 3, shards: int | None = None, least
     words = word_table(rows, trie)
     for n in range(2, order + 1):
         if len(trie.levels) == n - 1:
-            trie = build_level(words, trie, n, folder)
+            trie = build_level(words, trie, n, order, folder)
     return trie, words
 
 
