@@ -17,20 +17,25 @@ shingles is at least 0.75. Equal sets are one class from the start. Then
    central ones; in copies with edits most links into a component are found here,
    in time linear in the cluster.
 5. *Token-group matrix.* Clusters that are not one component yet are cut into
-   groups of similar documents of at most ``GROUP``; a task gets a pair of groups,
-   of which at least one has documents outside its cluster's main component. For
-   each group it stores the union of its shingles; a query document's overlap with
-   the union bounds its overlap with every member, and only groups that can reach
-   the threshold are opened. Pairs already in one component aren't compared.
-
-All five are over all documents; nothing is capped. Step 5 compares documents
-outside the main component with all of their cluster, so a cluster of many
-documents that share rare shingles but hardly link is the costly case.
+   groups of some ``GROUP`` similar documents. The matrix has the rare shingles of step 3
+   by group; a document outside its cluster's main component (a query) meets the groups
+   that have one of its own, if they hold another component at all: documents that share
+   none of them never meet, however their clusters chain together. For each group its
+   task stores the union of the members' shingles; a query's overlap with the union bounds
+   its overlap with every member, and only groups that can reach the threshold are opened.
+   Pairs already in one component aren't compared. A group that many queries ask for goes
+   to several tasks, ``QUERIES`` queries to each.
+
+All five are over all documents; nothing is capped. Sets, shingles and equal sets are
+told by hashes (48 bits in the first count, which only makes candidates; 64 for shingles;
+128 for sets). A shingle that very many groups and queries share is the costly case of
+step 5: each query meets each of these groups.
 
 Defined cases: a null or empty text, or one without words, has an empty set and
-links with nothing; under five words the whole sequence is the one shingle; rows
-with equal doc_id are one node; a null doc_id links with nothing and has a null
-component; an empty table gives an empty result; extra columns are ignored.
+links with nothing; under five words the whole sequence is the one shingle; a very long
+text is read whole, some numbers a word; rows with equal doc_id are one node; a null
+doc_id links with nothing and has a null component; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,6 +53,7 @@ from .graph import components
 
 LEADERS = 6
 GROUP = 48
+QUERIES = 256
 BETA = 15  # per cent of a set that the prefixes hold beyond the least
 
 
@@ -265,7 +271,7 @@ def cluster_links(sets: DataFrame, t: int) -> DataFrame:
     least = rare.groupBy("tok").agg(F.min("doc_id").alias("m"))
     ties = rare.join(least, "tok").where("doc_id <> m").select(F.col("doc_id").alias("a"), F.col("m").alias("b")).distinct()
     cluster = components(ties).select(F.col("v").alias("_v"), F.col("comp").alias("cluster"))
-    rows = stage(sets.drop("rare").join(cluster, sets["doc_id"] == cluster["_v"]).drop("_v"), "clusters")
+    rows = stage(sets.join(cluster, sets["doc_id"] == cluster["_v"]).drop("_v"), "clusters")
     discard(sets)
 
     clusters = rows
@@ -298,16 +304,14 @@ def cluster_links(sets: DataFrame, t: int) -> DataFrame:
     open_ = by_comp.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_comps"), F.max(F.struct("n_comp", "comp"))["comp"].alias("main"), F.max("n_comp").alias("n_main"), F.sum("n_comp").alias("size")).where("n_comps > 1")
     rest = stage(rows.join(open_.select(F.col("cluster").alias("_c"), "main", "n_main", "size"), F.col("cluster") == F.col("_c")).drop("_c"), "open")
 
-    # groups: the main component's documents in nm, the others, which are the queries, in nq
-    nm, nq = F.ceil(F.col("n_main") / GROUP), F.ceil((F.col("size") - F.col("n_main")) / GROUP)
-    spread = F.xxhash64(F.substring("tokens", 1, 8), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / 64)))
     in_main = F.col("comp") == F.col("main")
-    keyed = rest.withColumn("g", F.when(in_main, F.pmod(spread, nm)).otherwise(nm + F.pmod(spread, nq)))
-    cols = ["cluster", "doc_id", "tokens", "comp"]
-    # a query group meets all main groups and the query groups up to itself
-    query = keyed.where(~in_main).select(*cols, F.col("g").alias("qg"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("g"))).alias("tg"), F.lit(0).alias("side"))
-    target = keyed.select(*cols, F.explode(F.sequence(F.greatest(nm, "g"), nm + nq - 1)).alias("qg"), F.col("g").alias("tg"), F.lit(1).alias("side"))
-    cells = query.unionAll(target)
+    spread = F.xxhash64(F.substring("tokens", 1, 8), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / 64)))
+    keyed = rest.withColumn("g", F.struct("cluster", in_main.alias("main"), F.pmod(spread, F.ceil(F.col("size") / GROUP)).alias("n")))
+    pairs = stage(group_pairs(keyed.select("doc_id", "comp", "rare", "g", (~in_main).alias("asks"))), "group-pairs")
+    asked = pairs.groupBy("g").agg(F.count(F.lit(1)).alias("n_queries")).select(F.col("g").alias("_g"), F.ceil(F.col("n_queries") / QUERIES).alias("salts"))
+    query = keyed.where(~in_main).select(F.col("doc_id").alias("_d"), "tokens", "comp")
+    query = pairs.join(asked, pairs["g"] == asked["_g"]).join(query, pairs["doc_id"] == query["_d"]).select("g", F.pmod(F.xxhash64("doc_id"), F.col("salts")).alias("salt"), "doc_id", "tokens", "comp", F.lit(0).alias("side"))
+    target = keyed.join(asked, keyed["g"] == asked["_g"]).select("g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), "doc_id", "tokens", "comp", F.lit(1).alias("side"))
 
     def cell(key, table):  # without hints: Spark infers the kind of function from them
         rows_ = table.to_pylist()
@@ -316,12 +320,20 @@ def cluster_links(sets: DataFrame, t: int) -> DataFrame:
         pairs_ = match_groups(a, b, t) if a and b else []
         return pa.Table.from_batches([_edges(pairs_)])
 
-    met = cells.groupBy("cluster", "qg", "tg").applyInArrow(cell, EDGES)
+    met = query.unionAll(target).groupBy("g", "salt").applyInArrow(cell, EDGES)
     out = found.unionAll(stage(met, "met"))
-    discard(rest, clusters)
+    discard(rest, clusters, pairs)
     return out
 
 
+def group_pairs(rows: DataFrame) -> DataFrame:
+    """doc_id, g: the groups that each asking document has a rare shingle in common with and that hold a component other than its own; rows: doc_id, comp, rare, g, asks."""
+    matrix = rows.select("g", "comp", F.explode("rare").alias("tok")).groupBy("tok", "g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    asks = rows.where("asks").select("doc_id", "comp", F.explode("rare").alias("_t"))
+    both = asks.join(matrix, asks["_t"] == matrix["tok"]).where((F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp")))
+    return both.select("doc_id", "g").distinct()
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75, k: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs."""
     t = percent
@@ -380,8 +392,22 @@ def with_components(classes: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """docs with one row of each component, that of the smallest doc_id; all rows without a doc_id stay."""
-    found = jaccard_components(docs, doc_id, text, percent)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    own = docs.join(keep, docs[doc_id] == keep["_keep"], "left_semi").dropDuplicates([doc_id])
-    return own.unionAll(docs.where(docs[doc_id].isNull()))
+    """docs with one row of each component, that of the smallest doc_id.
+
+    Where rows share a doc_id, each different text is a document of its own, ordered by
+    (doc_id, text), and of rows with equal doc_id and text one stays. All rows without a
+    doc_id stay.
+    """
+    named = docs.where(docs[doc_id].isNotNull())
+    again = named.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    node = doc_id
+    if again:
+        node = "_node"
+        while node in docs.columns:
+            node += "_"
+        placed = named.dropDuplicates([doc_id, text]).repartitionByRange(doc_id, text).sortWithinPartitions(doc_id, text)
+        named = stage(placed.withColumn(node, F.monotonically_increasing_id()), "nodes")
+    found = jaccard_components(named, node, text, percent)
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
+    own = named.join(keep.distinct().hint("merge"), named[node] == F.col("_keep"), "left_semi")
+    return own.select(*[F.col(f"`{c}`") for c in docs.columns]).unionAll(docs.where(docs[doc_id].isNull()))

@@ -104,3 +104,19 @@ def test_awkward_rows(spark):
     assert kept.columns == cases.frame(spark).columns
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(5) == 1 and 6 not in ids and 7 not in ids and ids.count(None) == 2
+
+
+def test_chained_clusters_take_linear_work(spark):
+    """20,000 documents that each share a few shingles with the next, in one cluster, but hardly link."""
+    rows = [(i, i, [2 * i, 2 * i + 1, 2 * i + 2, 2 * i + 3], (0, i % 417), True) for i in range(20_000)]
+    table = spark.createDataFrame(rows, "doc_id bigint, comp bigint, rare array<bigint>, g struct<cluster: bigint, n: bigint>, asks boolean")
+    pairs = J.group_pairs(table)
+    assert pairs.count() == 2 * 20_000 - 2  # each with its neighbours' groups
+
+
+def test_keep_one_with_repeated_ids(spark):
+    a, b, c = (cases.words(60, i, 5000) for i in range(3))
+    rows = [(3, a, "x"), (3, b, "y"), (1, a + " tail", "z"), (3, b, "y"), (2, c, None), (None, a, "n"), (None, a, "n"), (2, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _node string")
+    got = sorted(((r.doc_id or -1, r.text or "", r["_node"] or "") for r in J.keep_one(docs).collect()))
+    assert got == sorted([(1, a + " tail", "z"), (3, b, "y"), (2, c, ""), (2, "", "e"), (-1, a, "n"), (-1, a, "n")])
