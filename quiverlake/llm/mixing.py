@@ -18,8 +18,10 @@ Rows are numbered without putting a source into one task: range partitioning by
 (source, key), the row's place within its partition, and partition offsets.
 
 Defined cases: sources without a weight (also null) share ``other`` as one source
-named "" ; repeated rows and equal keys keep a stable order by all key columns;
-an empty table gives an empty result; extra columns pass through.
+named "" ; rows with equal keys are ordered by a hash of all their columns, so only
+equal rows may change places; null keys come first; texts, however long, are passed
+through and never looked into but for that hash; an empty table gives an empty result;
+extra columns pass through, but those named like the result's are refused.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from pyspark.sql.window import Window
 from .common import stage
 
 MAX_PERIOD = 20_000
+RESERVED = {"_mix_source", "_mix_block", "_mix_slot", "_mix_position", "_mix_row", "_mix_tie", "_m", "_p", "_s", "_n", "_from", "_before", "_ps", "_a", "_b", "_at", "_period", "_slots"}
 
 
 def integer_weights(weights: dict[str, int]) -> dict[str, int]:
@@ -104,10 +107,15 @@ def numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
 def mix_sources(docs: DataFrame, weights: dict[str, int], block: int = 64, other: int = 1, source: str = "source", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """docs with _mix_source, _mix_block (of its source), _mix_slot and _mix_position (bigint: the order to read them in)."""
     spark = docs.sparkSession
+    clash = {c for c in docs.columns if c.lower() in RESERVED}
+    if clash:
+        raise ValueError(f"columns that the mixture has itself: {', '.join(sorted(clash))}")
     weights = integer_weights({**{str(k): v for k, v in weights.items()}, "": other})
     known = F.array(*[F.lit(s) for s in weights])
     name = F.when(F.array_contains(known, F.col(source)), F.col(source)).otherwise(F.lit(""))
-    rows = numbered(docs.withColumn("_mix_source", F.coalesce(name, F.lit(""))), ["_mix_source", *keys], "_mix_row")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.withColumn("_mix_source", F.coalesce(name, F.lit(""))).withColumn("_mix_tie", F.xxhash64(*plain))
+    rows = numbered(rows, ["_mix_source", *keys, "_mix_tie"], "_mix_row")
     rows = rows.withColumn("_mix_block", F.floor(F.col("_mix_row") / block).cast("bigint"))
     counts = {r["_mix_source"]: r["n"] for r in rows.groupBy("_mix_source").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most a row a weight
     table = phases(spark, weights, {s: -(-n // block) for s, n in counts.items()})
@@ -117,7 +125,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int], block: int = 64, other
     slot = F.col("_at") + F.floor(j / n) * F.col("_period") + F.get("_slots", (j % n).cast("int"))
     out = rows.join(F.broadcast(plan), (F.col("_mix_source") == F.col("_ps")) & (F.col("_mix_block") >= F.col("_a")) & (F.col("_mix_block") < F.col("_b")))
     out = out.withColumn("_mix_slot", slot.cast("bigint")).withColumn("_mix_position", (F.col("_mix_slot") * block + F.col("_mix_row") % block).cast("bigint"))
-    return out.drop("_ps", "_a", "_b", "_at", "_period", "_slots", "_mix_row")
+    return out.drop("_ps", "_a", "_b", "_at", "_period", "_slots", "_mix_row", "_mix_tie")
 
 
 def oracle(weights: dict[str, int], block: int = 64, other: int = 1, table: str = "documents") -> str:

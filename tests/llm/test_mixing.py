@@ -62,3 +62,12 @@ def test_awkward_rows(spark):
     got = mixing.mix_sources(cases.frame(spark), {"src1": 2, "src2": 1}, block=2).collect()
     assert len(got) == len(cases.awkward()) and len({r._mix_position for r in got}) == len(got)
     assert not mixing.mix_sources(cases.frame(spark, []), {"src1": 2}).collect()
+
+
+def test_equal_keys_have_one_order_and_reserved_names_are_refused(spark):
+    rows = [(1, "src0", f"text {i}") for i in range(200)]
+    first = {r.text: r["_mix_position"] for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id bigint, source string, text string").repartition(3), {"src0": 1}).collect()}
+    again = {r.text: r["_mix_position"] for r in mixing.mix_sources(spark.createDataFrame(rows[::-1], "doc_id bigint, source string, text string").repartition(7), {"src0": 1}).collect()}
+    assert first == again and sorted(first.values()) == list(range(200))
+    with pytest.raises(ValueError):
+        mixing.mix_sources(spark.createDataFrame([(1, "a", 2)], "doc_id bigint, source string, _m int"), {"a": 1})
