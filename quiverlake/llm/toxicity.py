@@ -7,24 +7,28 @@ squeezed ("stuuupid") - and vote toxic, clean or abstain:
 - fixed lexicons, one voter each and reading;
 - mined words and beginnings of words (of 5 to 10 bytes): those whose share of
   labelled toxic documents is far above their share of the others, one voter each;
-- the annotator: a training row's label, a voter of the label model only;
 - patterns: several distinct lexicon words, insult density, no lexicon word at all.
 
-The label model takes each voter's accuracy and coverage as unknown and fits them
-by expectation maximisation on the training documents' votes. Voters' correlations are estimated from the
-residual covariance of their votes given the posterior, and the log-odds of
-correlated voters are discounted by solving against that matrix. A logistic
-regression on hashed words and votes is then fitted to the posterior labels, and
-scores every document.
+The label model takes each voter's accuracy and coverage as unknown. Labels calibrate
+it, but are no voter: votes are counted by class over all labelled rows that may be
+learned from, as are the mined words. Voters' correlations are estimated from the
+residual covariance of their votes given the class, over the same rows, and the
+log-odds of correlated voters are discounted by it. The posterior of a document is that
+of its votes alone. A logistic regression on hashed words and votes is then fitted to
+posterior labels: those of a sample of unlabelled documents, and of labelled ones, where
+the class is known. Two numbers that turn its sums into probabilities are fitted to
+the labelled rows' classes. Every document is scored whole.
 
-Training uses a sample of at most ``max_labelled`` labelled rows (taken by hash of
-doc_id), whose bound is what the driver holds; every document is scored whole.
+Bounds: the classifier is fitted on the driver, on at most about ``max_labelled``
+labelled and ``max_unlabelled`` unlabelled rows (taken by hash of doc_id); all counts are
+over all rows.
 
 Defined cases: a null or empty text has no words and gets the score of the bias
-and the clean voter; repeated rows each count; with no labelled toxic or no clean
+and the clean voter; a very long text is read in slices; repeated rows each count; of
+several labels of one doc_id the largest counts; with no labelled toxic or no clean
 row, scores come from the fixed lexicons alone; an empty table gives an empty
-result; a null doc_id is scored and counts as not held out; extra columns are
-ignored.
+result; a null doc_id is scored and counts as not held out, but is not learned from;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, arrow_map, pieces, prefix_hash, slice_hash, text_bytes
+from .common import LOWER, U64, arrow_map, n_parts, pieces, prefix_hash, slice_hash, stage, text_bytes, word_slices
 
 #: General insults, by theme.
 LEXICONS = {
@@ -71,6 +75,13 @@ class Reading:
     """Words (runs of letters) of a batch: hashes h, documents d, and their beginnings."""
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, reading: str):
+        found = [self._words(buf[x:y], np.clip(offsets, x, y) - x, reading) for x, y in word_slices(buf)]
+        self.h, self.d, first, size = (np.concatenate(c) if len(found) > 1 else c[0] for c in zip(*found))
+        self.first, self.size = first, size
+
+    @staticmethod
+    def _words(buf: np.ndarray, offsets: np.ndarray, reading: str) -> tuple[np.ndarray, ...]:
+        """Words' hashes, documents, hashes of their first bytes by number (a column each of BEGINNINGS), and sizes."""
         b = (LOOKS if reading == "looks" else LOWER)[buf]
         if reading == "squeezed":
             keep = np.ones(len(b), bool)
@@ -84,17 +95,22 @@ class Reading:
         edge[offsets] = True
         before, after = np.zeros(n, bool), np.zeros(n, bool)
         before[1:], after[:-1] = word[:-1], word[1:]
-        self.starts = np.flatnonzero(word & (~before | edge[:-1]))
-        self.ends = np.flatnonzero(word & (~after | edge[1:])) + 1
-        self.p = prefix_hash(b)
-        self.h = slice_hash(self.p, self.starts, self.ends)
-        self.d = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(self.starts, offsets)))
+        starts = np.flatnonzero(word & (~before | edge[:-1]))
+        ends = np.flatnonzero(word & (~after | edge[1:])) + 1
+        p = prefix_hash(b)
+        size = ends - starts
+        d = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
+        first = np.zeros((len(starts), len(BEGINNINGS) if reading == "plain" else 0), U64)
+        if reading == "plain":
+            for i, k in enumerate(BEGINNINGS):
+                at = np.flatnonzero(size > k)
+                first[at, i] = slice_hash(p, starts[at], starts[at] + k) ^ U64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        return slice_hash(p, starts, ends), d, first, size
 
     def beginnings(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the first k bytes of the words longer than that, and their documents."""
-        at = np.flatnonzero(self.ends - self.starts > k)
-        a = self.starts[at]
-        return slice_hash(self.p, a, a + k) ^ U64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1), self.d[at]
+        at = np.flatnonzero(self.size > k)
+        return self.first[at, BEGINNINGS.index(k)], self.d[at]
 
     def features(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield self.h, self.d
@@ -175,30 +191,30 @@ class LabelModel:
     weights: np.ndarray = field(default_factory=lambda: np.zeros((3, 0)))  # log-odds of vote -1, 0, 1
 
     @staticmethod
-    def fit(votes: np.ndarray, start: np.ndarray, rounds: int = 30, apart: int = 1) -> LabelModel:
-        """start: the first posterior of each row. The last ``apart`` voters don't read the text, so nothing is discounted for them."""
-        n, m = votes.shape
-        seen = np.stack([(votes == v).any(axis=0) for v in (-1, 0, 1)])  # outcomes that a voter has at all
-        outcome = lambda q: np.stack([q.astype(np.float32) @ (votes == v).astype(np.float32) for v in (-1, 0, 1)])
+    def counted(mass: np.ndarray, outcomes: np.ndarray, products: np.ndarray, apart: int = 0) -> LabelModel:
+        """From counts by class (0, 1): rows (2), rows by vote -1, 0, 1 and voter (2, 3, m), and sums of products of votes (m, m) over all rows. Nothing is discounted for the last ``apart`` voters."""
+        seen = outcomes.sum(axis=0) > 0  # outcomes that a voter has at all
+        p = (outcomes + 0.5) / (mass[:, None, None] + 1.5)
+        odds = np.where(seen, np.log(p[1]) - np.log(p[0]), 0.0)
+        mean = (outcomes[:, 2] - outcomes[:, 0]) / np.maximum(mass, 1e-9)[:, None]
+        cov = (products - sum(w * np.outer(m, m) for w, m in zip(mass, mean))) / max(mass.sum(), 1)
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+        corr = np.clip(cov / np.outer(sd, sd), -1, 1)
+        np.fill_diagonal(corr, 1.0)
+        corr[np.abs(corr) < 0.3] = 0
+        share = 1.0 / np.abs(corr).sum(axis=1)
+        share[len(share) - apart :] = 1.0
+        return LabelModel(float(np.clip(mass[1] / max(mass.sum(), 1), 1e-3, 0.5)), odds * share)
+
+    @staticmethod
+    def fit(votes: np.ndarray, start: np.ndarray, rounds: int = 30, apart: int = 0) -> LabelModel:
+        """By expectation maximisation on votes without labels, from a first posterior of each row."""
         p = np.clip(start, 0.02, 0.98)
         model = LabelModel()
+        products = votes.astype(float).T @ votes
         for _ in range(rounds):
-            model.prior = float(np.clip(p.mean(), 1e-3, 0.5))
-            toxic = (outcome(p) + 0.5) / (p.sum() + 1.5)
-            clean = (outcome(1 - p) + 0.5) / ((1 - p).sum() + 1.5)
-            odds = np.where(seen, np.log(toxic) - np.log(clean), 0.0)
-            cov = np.zeros((m, m))
-            for i in range(0, n, 2048):  # residuals in blocks
-                q = p[i : i + 2048, None]
-                rest = votes[i : i + 2048] - q * (toxic[2] - toxic[0]) - (1 - q) * (clean[2] - clean[0])
-                cov += rest.T @ rest / max(1, n)
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            corr = np.clip(cov / np.outer(sd, sd), -1, 1)
-            np.fill_diagonal(corr, 1.0)
-            corr[np.abs(corr) < 0.3] = 0
-            share = 1.0 / np.abs(corr).sum(axis=1)
-            share[len(share) - apart :] = 1.0
-            model.weights = odds * share
+            outcomes = np.stack([[q @ (votes == v) for v in (-1, 0, 1)] for q in (1 - p, p)])
+            model = LabelModel.counted(np.array([(1 - p).sum(), p.sum()]), outcomes, products, apart)
             p = model.posterior(votes)
         return model
 
@@ -237,14 +253,25 @@ def held_out(doc_id: str):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, max_labelled: int, doc_id: str, text: str, label: str) -> DataFrame:
-    """_text and _y of at most about max_labelled training rows, chosen by hash of doc_id."""
-    own = labels.where(~held_out(doc_id) & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_l")).agg(F.max(label).cast("int").alias("_y"))
-    n = own.count()
-    if n > max_labelled:
-        own = own.where(F.pmod(F.xxhash64("_l"), F.lit(1_000_000)) < 1_000_000 * max_labelled // n)
-    # the labels are at most about max_labelled rows of two numbers
-    return docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(own), F.col("_id") == F.col("_l"))
+def calibrated(z: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> tuple[float, float]:
+    """a and b for which a z + b are log-odds of y, by Newton's method; held near 1 and 0 where there is little to go by."""
+    w = np.array([1.0, 0.0])
+    x = np.stack([z, np.ones(len(z))])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
+        gradient = x @ (p - y) / len(y) + l2 * (w - [1.0, 0.0])
+        curvature = (x * np.maximum(p * (1 - p), 1e-9)) @ x.T / len(y) + l2 * np.eye(2)
+        w = w - np.linalg.solve(curvature, gradient)
+    return float(w[0]), float(w[1])
+
+
+#: Up to so many labels (two numbers each) are broadcast; more are joined by merging.
+MAX_BROADCAST_LABELS = 500_000
+
+
+def taken(key: str, n: int, most: int):
+    """Whether a row is among about ``most`` of n, by hash."""
+    return F.lit(True) if n <= most else F.pmod(F.xxhash64(key), F.lit(1_000_000)) < 1_000_000 * most // n
 
 
 @dataclass
@@ -253,31 +280,31 @@ class Model:
     words: np.ndarray
     vote_weights: np.ndarray
     bias: float
+    scale: float = 1.0
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         buf, offsets = text_bytes(column)
         votes, h, d = self.voters.votes(buf, offsets)
-        n = len(offsets) - 1
-        rows, cols = buckets(h, d, n)
-        size = np.bincount(rows, minlength=n)
-        z = np.bincount(rows, self.words[cols] / np.sqrt(np.maximum(size, 1))[rows], n) + votes @ self.vote_weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30))), votes
+        rows, cols = buckets(h, d, len(votes))
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.sums(rows, cols, votes) + self.bias, -30, 30))), votes
+
+    def sums(self, rows: np.ndarray, cols: np.ndarray, votes: np.ndarray) -> np.ndarray:
+        size = np.bincount(rows, minlength=len(votes))
+        return np.bincount(rows, self.words[cols] / np.sqrt(np.maximum(size, 1))[rows], len(votes)) + votes @ self.vote_weights
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 10_000, max_mined: int = 256, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    sample = sample_rows(docs, labels, max_labelled, doc_id, text, label)
+def mined_words(labelled: DataFrame, max_mined: int) -> tuple[np.ndarray, int, int]:
+    """Hashes of words and beginnings that tell labelled (_text, _y) toxic documents, and the numbers of toxic and clean ones; copies of a text in a batch count once."""
 
     def counted(u: np.ndarray, a: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(a.astype(np.int64)), pa.array(c.astype(np.int64))], ["w", "a", "c"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "_text"):
+        for b in pieces(batches, "_text", 4 << 20):
             buf, offsets = text_bytes(b.column(b.schema.get_field_index("_text")))
             y = np.asarray(b.column(b.schema.get_field_index("_y")))
             r = Reading(buf, offsets, "plain")
-            h, d = r.h, r.d
-            # copies of a text count once a batch: by the sum of its words
-            text_key = np.bincount(d, (h >> U64(40)).astype(float), len(y))
+            text_key = np.bincount(r.d, (r.h >> U64(40)).astype(float), len(y))
             _, first = np.unique(np.stack([text_key, y.astype(float)]), axis=1, return_index=True)
             own = np.zeros(len(y), bool)
             own[first] = True
@@ -286,42 +313,89 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 10_000, max_mine
                 pair = np.unique(np.stack([h[keep], d[keep].astype(U64)]), axis=1) if keep.any() else np.zeros((2, 0), U64)
                 toxic = y[pair[1].astype(np.int64)] == 1
                 u, inverse = np.unique(pair[0], return_inverse=True)
-                yield counted(u, np.bincount(inverse, toxic, len(u)), np.bincount(inverse, ~toxic, len(u)))
+                a = np.bincount(inverse, toxic, len(u))
+                yield counted(u, a, np.bincount(inverse, ~toxic, len(u)))
             yield counted(np.array([0], U64), np.array([(y[first] == 1).sum()]), np.array([(y[first] == 0).sum()]))
 
-    counts = arrow_map(sample, count, "w bigint, a bigint, c bigint").groupBy("w").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
+    counts = arrow_map(labelled.select("_text", "_y"), count, "w bigint, a bigint, c bigint").groupBy("w").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
+    counts = stage(counts.where("w = 0 or a >= 3"), "tox-words")
     total = counts.where("w = 0").first()
     toxic, clean = (total["a"], total["c"]) if total else (0, 0)
-    mined = np.zeros(0, U64)
-    if toxic and clean:
-        odds = F.log((F.col("a") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
-        top = counts.where("w <> 0").where((F.col("a") >= max(3, toxic // 200)) & (odds >= 3.0) & (F.col("a") >= 2 * F.col("c"))).orderBy((odds * F.sqrt("a")).desc(), "w").limit(max_mined).collect()
-        mined = np.array([r["w"] for r in top], np.int64).view(U64)
+    if not toxic or not clean:
+        return np.zeros(0, U64), toxic, clean
+    odds = F.log((F.col("a") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
+    top = counts.where("w <> 0").where((F.col("a") >= max(3, toxic // 200)) & (odds >= 3.0) & (F.col("a") >= 2 * F.col("c"))).orderBy((odds * F.sqrt("a")).desc(), "w").limit(max_mined).collect()
+    return np.array([r["w"] for r in top], np.int64).view(U64), toxic, clean
+
+
+def vote_counts(labelled: DataFrame, voters: Voters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """LabelModel.counted's counts over all labelled rows: summed in each task, then a voter's row at a time."""
+    m = len(voters.names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mass, outcomes, products = np.zeros(2, np.int64), np.zeros((2, 3, m), np.int64), np.zeros((m, m), np.int64)
+        for b in pieces(batches, "_text"):
+            votes, *_ = voters.votes(*text_bytes(b.column(b.schema.get_field_index("_text"))))
+            y = np.asarray(b.column(b.schema.get_field_index("_y")))
+            for c in (0, 1):
+                own = votes[y == c]
+                mass[c] += len(own)
+                outcomes[c] += np.stack([(own == v).sum(axis=0) for v in (-1, 0, 1)])
+            v = votes.astype(np.float32)  # sums of a batch are exact
+            products += (v.T @ v).astype(np.int64)
+        table = np.concatenate([np.pad(mass, (0, m - 2))[None], outcomes.reshape(6, m), products])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table)), pa.int64()), pa.array([x.astype("<i8").tobytes() for x in table], pa.binary())], ["k", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total[k] = total.get(k, 0) + np.frombuffer(n, "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["k", "n"])
+
+    sent = arrow_map(labelled.select("_text", "_y"), count, "k bigint, n binary")
+    got = arrow_map(sent.repartition(n_parts(labelled.sparkSession), "k"), add, "k bigint, n binary").collect()  # m + 7 rows of m numbers
+    table = np.zeros((m + 7, m))
+    for r in got:
+        table[r["k"]] = np.frombuffer(r["n"], "<i8")
+    return table[0, :2], table[1:7].reshape(2, 3, m), table[7:]
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 10_000, max_unlabelled: int = 5_000, max_mined: int = 256, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+    own = labels.where(~held_out(doc_id) & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_l")).agg(F.max(label).cast("int").alias("_y"))
+    n_labels = own.count()
+    hint = F.broadcast if n_labels <= MAX_BROADCAST_LABELS else lambda x: x.hint("merge")
+    rows = docs.where(~held_out(doc_id) & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text"))
+    labelled = stage(rows.join(hint(own), F.col("_id") == F.col("_l")).select("_id", "_text", "_y"), "tox-labelled", "zstd")
+    mined, toxic, clean = mined_words(labelled, max_mined)
     voters = Voters(mined)
+    if not toxic or not clean:
+        return Model(voters, np.zeros(SIZE), np.where([x == "none" for x in voters.names], 0.5, 1.5), -1.0)
+    model = LabelModel.counted(*vote_counts(labelled, voters))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "_text"):
-            buf, offsets = text_bytes(b.column(b.schema.get_field_index("_text")))
-            votes, h, d = voters.votes(buf, offsets)
-            rows, cols = buckets(h, d, len(votes))
-            yield pa.RecordBatch.from_arrays([pa.array([votes.tobytes()], pa.binary()), pa.array([np.asarray(b.column(b.schema.get_field_index("_y"))).astype(np.int8).tobytes()], pa.binary()), pa.array([rows.astype("<u4").tobytes()], pa.binary()), pa.array([cols.astype("<u4").tobytes()], pa.binary())], ["v", "y", "r", "c"])
-
-    # at most about max_labelled rows of some hundred hashed words
-    parts = arrow_map(sample, vote, "v binary, y binary, r binary, c binary").collect() if toxic and clean else []
+            votes, h, d = voters.votes(*text_bytes(b.column(b.schema.get_field_index("_text"))))
+            at, cols = buckets(h, d, len(votes))
+            y = np.asarray(b.column(b.schema.get_field_index("_y"))).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (votes.tobytes(), y.tobytes(), at.astype("<u4").tobytes(), cols.astype("<u4").tobytes())], ["v", "y", "r", "c"])
+
+    some = labelled.where(taken("_id", n_labels, max_labelled)).select("_text", "_y")
+    n_other = max(rows.count() - n_labels, 0)
+    other = rows.where(taken("_id", n_other, max_unlabelled)).join(hint(own.select("_l")), F.col("_id") == F.col("_l"), "left_anti").select("_text", F.lit(-1).alias("_y"))
+    # at most about max_labelled + max_unlabelled rows of some hundred hashed words
+    parts = sorted(arrow_map(some.unionAll(other), vote, "v binary, y binary, r binary, c binary").collect(), key=lambda p: (bytes(p["y"]), bytes(p["v"]), bytes(p["c"])))
     m = len(voters.names)
-    if not parts:
-        weights = np.where([x == "none" for x in voters.names], 0.5, 1.5)
-        return Model(voters, np.zeros(SIZE), weights, -1.0)
     votes = np.concatenate([np.frombuffer(p["v"], np.int8).reshape(-1, m) for p in parts])
     y = np.concatenate([np.frombuffer(p["y"], np.int8) for p in parts])
     at = np.cumsum([0, *(len(p["y"]) for p in parts)])
-    rows = np.concatenate([np.frombuffer(p["r"], "<u4").astype(np.int32) + np.int32(a) for p, a in zip(parts, at)])
+    rows_ = np.concatenate([np.frombuffer(p["r"], "<u4").astype(np.int32) + np.int32(a) for p, a in zip(parts, at)])
     cols = np.concatenate([np.frombuffer(p["c"], "<i4") for p in parts])
-    annotated = np.column_stack([votes, np.where(y == 1, 1, -1).astype(np.int8)])
     del parts
-    model = LabelModel.fit(annotated, np.where(y == 1, 0.95, 0.05))
-    words, vote_weights, bias = fit_linear(rows, cols, votes, model.posterior(annotated))
-    return Model(voters, words, vote_weights, bias)
+    words, weights, bias = fit_linear(rows_, cols, votes, np.where(y < 0, model.posterior(votes), np.where(y == 1, 0.98, 0.02)))
+    known = y >= 0
+    scale, shift = calibrated((Model(voters, words, weights, 0.0).sums(rows_, cols, votes) + bias)[known], y[known])
+    return Model(voters, words, weights, scale * bias + shift, scale)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
