@@ -17,19 +17,19 @@ shingles is at least 0.75. Equal sets are one class from the start. Then
    central ones; in copies with edits most links into a component are found here,
    in time linear in the cluster.
 5. *Token-group matrix.* Clusters that are not one component yet are cut into
-   groups of some ``GROUP`` similar documents. The matrix has the rare shingles of step 3
-   by group; a document outside its cluster's main component (a query) meets the groups
-   that have one of its own, if they hold another component at all: documents that share
-   none of them never meet, however their clusters chain together. For each group its
-   task stores the union of the members' shingles; a query's overlap with the union bounds
-   its overlap with every member, and only groups that can reach the threshold are opened.
-   Pairs already in one component aren't compared. A group that many queries ask for goes
-   to several tasks, ``QUERIES`` queries to each.
+   groups of some ``GROUP`` similar documents, those of the main component and the others
+   apart. The matrix has the rare shingles of step 3 by group; in a cluster of more than
+   ``GROUP`` squared documents, a group of the others meets the groups that have one of its
+   own: groups that share none never meet, however their clusters chain together (in a
+   smaller cluster, all do). For each group its task stores the union of the members'
+   shingles; a query document's overlap with the union bounds its overlap with every
+   member, and only groups that can reach the threshold are opened. Pairs already in one
+   component aren't compared.
 
 All five are over all documents; nothing is capped. Sets, shingles and equal sets are
 told by hashes (48 bits in the first count, which only makes candidates; 64 for shingles;
-128 for sets). A shingle that very many groups and queries share is the costly case of
-step 5: each query meets each of these groups.
+128 for sets). A rare shingle that very many groups share is the costly case of step 5:
+they all meet.
 
 Defined cases: a null or empty text, or one without words, has an empty set and
 links with nothing; under five words the whole sequence is the one shingle; a very long
@@ -53,7 +53,6 @@ from .graph import components
 
 LEADERS = 6
 GROUP = 48
-QUERIES = 256
 BETA = 15  # per cent of a set that the prefixes hold beyond the least
 
 
@@ -306,12 +305,12 @@ def cluster_links(sets: DataFrame, t: int) -> DataFrame:
 
     in_main = F.col("comp") == F.col("main")
     spread = F.xxhash64(F.substring("tokens", 1, 8), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / 64)))
-    keyed = rest.withColumn("g", F.struct("cluster", in_main.alias("main"), F.pmod(spread, F.ceil(F.col("size") / GROUP)).alias("n")))
-    pairs = stage(group_pairs(keyed.select("doc_id", "comp", "rare", "g", (~in_main).alias("asks"))), "group-pairs")
-    asked = pairs.groupBy("g").agg(F.count(F.lit(1)).alias("n_queries")).select(F.col("g").alias("_g"), F.ceil(F.col("n_queries") / QUERIES).alias("salts"))
-    query = keyed.where(~in_main).select(F.col("doc_id").alias("_d"), "tokens", "comp")
-    query = pairs.join(asked, pairs["g"] == asked["_g"]).join(query, pairs["doc_id"] == query["_d"]).select("g", F.pmod(F.xxhash64("doc_id"), F.col("salts")).alias("salt"), "doc_id", "tokens", "comp", F.lit(0).alias("side"))
-    target = keyed.join(asked, keyed["g"] == asked["_g"]).select("g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), "doc_id", "tokens", "comp", F.lit(1).alias("side"))
+    side = F.when(in_main, F.col("n_main")).otherwise(F.col("size") - F.col("n_main"))
+    keyed = rest.withColumn("g", F.struct("cluster", in_main.alias("main"), F.pmod(spread, F.ceil(side / GROUP)).alias("n"))).withColumn("asks", ~in_main)
+    pairs = stage(group_pairs(keyed.select("g", "comp", "rare", "size", "asks")), "group-pairs")
+    cols = ["q", "t", "doc_id", "tokens", "comp"]
+    query = keyed.where("asks").join(pairs, F.col("g") == F.col("q")).select(*cols, F.lit(0).alias("side"))
+    target = keyed.join(pairs, F.col("g") == F.col("t")).select(*cols, F.lit(1).alias("side"))
 
     def cell(key, table):  # without hints: Spark infers the kind of function from them
         rows_ = table.to_pylist()
@@ -320,18 +319,24 @@ def cluster_links(sets: DataFrame, t: int) -> DataFrame:
         pairs_ = match_groups(a, b, t) if a and b else []
         return pa.Table.from_batches([_edges(pairs_)])
 
-    met = query.unionAll(target).groupBy("g", "salt").applyInArrow(cell, EDGES)
+    met = query.unionAll(target).groupBy("q", "t").applyInArrow(cell, EDGES)
     out = found.unionAll(stage(met, "met"))
     discard(rest, clusters, pairs)
     return out
 
 
 def group_pairs(rows: DataFrame) -> DataFrame:
-    """doc_id, g: the groups that each asking document has a rare shingle in common with and that hold a component other than its own; rows: doc_id, comp, rare, g, asks."""
-    matrix = rows.select("g", "comp", F.explode("rare").alias("tok")).groupBy("tok", "g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    asks = rows.where("asks").select("doc_id", "comp", F.explode("rare").alias("_t"))
-    both = asks.join(matrix, asks["_t"] == matrix["tok"]).where((F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp")))
-    return both.select("doc_id", "g").distinct()
+    """q, t: groups of which q asks and that may hold a link between components, each two once; rows: g (a struct that begins with the cluster), comp, rare, size (the cluster's), asks."""
+    limit = GROUP * GROUP
+    groups = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("size").alias("size"), F.max("asks").alias("asks"))
+    a = groups.where("asks").select(F.col("g").alias("q"), F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"), "size")
+    b = groups.select(F.col("g").alias("t"), F.col("lo").alias("t_lo"), F.col("hi").alias("t_hi"), F.col("asks").alias("t_asks"))
+    near = a.where(F.col("size") <= limit).join(b, F.col("q.cluster") == F.col("t.cluster"))
+    matrix = rows.where(F.col("size") > limit).select("g", "asks", F.explode("rare").alias("tok")).distinct()
+    met = matrix.where("asks").select("tok", F.col("g").alias("q")).join(matrix.select(F.col("tok").alias("_t"), F.col("g").alias("t")), F.col("tok") == F.col("_t")).select("q", F.col("t").alias("_g")).distinct()
+    far = a.where(F.col("size") > limit).join(met, "q").join(b, F.col("_g") == F.col("t")).select(*near.columns)
+    differ = (F.col("q_lo") != F.col("t_lo")) | (F.col("q_hi") != F.col("t_hi")) | (F.col("q_lo") != F.col("q_hi"))
+    return near.unionAll(far).where(differ & (~F.col("t_asks") | (F.col("q") <= F.col("t")))).select("q", "t")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75, k: int = 5) -> DataFrame:

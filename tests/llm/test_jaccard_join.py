@@ -46,7 +46,7 @@ def family(n, size, edits, seed):
     return out
 
 
-@pytest.mark.parametrize(("leaders", "group"), [(6, 48), (1, 3)])
+@pytest.mark.parametrize(("leaders", "group"), [(6, 48), (1, 3), (1, 2)])
 def test_equals_brute_force(spark, monkeypatch, leaders, group):
     monkeypatch.setattr(J, "LEADERS", leaders)
     monkeypatch.setattr(J, "GROUP", group)
@@ -108,10 +108,19 @@ def test_awkward_rows(spark):
 
 def test_chained_clusters_take_linear_work(spark):
     """20,000 documents that each share a few shingles with the next, in one cluster, but hardly link."""
-    rows = [(i, i, [2 * i, 2 * i + 1, 2 * i + 2, 2 * i + 3], (0, i % 417), True) for i in range(20_000)]
-    table = spark.createDataFrame(rows, "doc_id bigint, comp bigint, rare array<bigint>, g struct<cluster: bigint, n: bigint>, asks boolean")
-    pairs = J.group_pairs(table)
-    assert pairs.count() == 2 * 20_000 - 2  # each with its neighbours' groups
+    rows = [((0, False, i // 48), i, [2 * i, 2 * i + 1, 2 * i + 2, 2 * i + 3], 20_000, True) for i in range(20_000)]
+    table = spark.createDataFrame(rows, "g struct<cluster: bigint, main: boolean, n: bigint>, comp bigint, rare array<bigint>, size bigint, asks boolean")
+    groups = -(-20_000 // 48)
+    assert J.group_pairs(table).count() == 2 * groups - 1  # each with itself and the next
+
+
+def test_small_clusters_meet_whole(spark):
+    rows = [((i % 2, i % 3 == 0, i % 4), i % 5, [i], 60, i % 3 != 0) for i in range(60)]
+    table = spark.createDataFrame(rows, "g struct<cluster: bigint, main: boolean, n: bigint>, comp bigint, rare array<bigint>, size bigint, asks boolean")
+    got = {(tuple(r.q), tuple(r.t)) for r in J.group_pairs(table).collect()}
+    own = {r[0] for r in rows}
+    want = {(q, t) for q in own for t in own if q[0] == t[0] and not q[1] and (t[1] or q <= t)}
+    assert got == want
 
 
 def test_keep_one_with_repeated_ids(spark):
