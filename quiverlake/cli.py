@@ -13,9 +13,9 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import labels as L
 from .functions.vectors import METRICS, file_size_text
 from .operators import graph, knn, pq, profile, quantize
+from .operators.index import VectorTable
 from .sources import results, vecfiles
 
 
@@ -25,7 +25,7 @@ def read(spark: SparkSession, path: str, a: argparse.Namespace) -> DataFrame:
         return spark.read.parquet(path)
     spark.dataSource.register(vecfiles.VectorFiles)
     options = {k: str(v) for k, v in (("format", a.input_format), ("layout", a.layout), ("dimension", a.dimension)) if v}
-    return spark.read.format("vectors").options(**options).load(path).withColumnRenamed("pos", "id")
+    return spark.read.format("vectors").options(**options).load(path).select("id", "vec")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -75,13 +75,14 @@ def parser() -> argparse.ArgumentParser:
 
 
 def found(spark: SparkSession, a: argparse.Namespace, rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """With an index, through it, with the same range and filter."""
+    table = VectorTable.load(spark, a.index) if a.index else VectorTable(rows, graph.IndexParams(a.metric))
+    kind, labels = (a.filter, tuple(a.labels)) if a.labels else ("any", ())
+    if a.index and table.metric != a.metric:
+        raise ValueError(f"the index is for {table.metric}")
     if a.range is not None:
-        return knn.range_join(queries, rows, a.range, a.metric)
-    if a.labels:
-        return knn.filtered_topk(queries, rows, a.k, L.label_filter(a.filter, a.labels)(F.col("labels")), a.metric)
-    if a.index:
-        return graph.search(queries, spark.read.parquet(a.index), a.k, graph.IndexParams(a.metric, beam=a.beam))
-    return knn.topk_join(queries, rows, a.k, a.metric)
+        return table.range_search(queries, a.range, beam=a.beam, filter=kind, labels=labels)
+    return table.search(queries, a.k, a.beam, kind, labels)
 
 
 def run(spark: SparkSession, argv: list[str]) -> dict | None:
@@ -114,10 +115,11 @@ def run(spark: SparkSession, argv: list[str]) -> dict | None:
             d = rows.select(F.size("vec").alias("d")).first()["d"]
             book, stats = pq.train(rows, pq.Params(d, a.pq, a.bits))
             pq.table(spark, book).write.parquet(f"{a.output}/codebook")
+            spark.createDataFrame([(pq.to_json(book, pq.Params(d, a.pq, a.bits)),)], "json string").coalesce(1).write.text(f"{a.output}/codebook-json")
             stats.write.parquet(f"{a.output}/training")
             pq.encode(rows.select("id", F.col("vec").cast("array<double>").alias("vec")), book).write.parquet(f"{a.output}/codes")
         else:
-            graph.build(rows, graph.IndexParams(a.metric, a.degree, a.beam, a.alpha)).write.parquet(a.output)
+            VectorTable(rows, graph.IndexParams(a.metric, a.degree, a.beam, a.alpha)).with_graph().save(a.output)
         return None
     queries = read(spark, a.queries, a).select(F.col("id").alias("query_id"), "vec")
     got = found(spark, a, rows, queries)

@@ -97,6 +97,18 @@ def to_uint8(v: Column | str) -> Column:
     return _held(v, 0, 255, "smallint")
 
 
+def to_float16(v: Column | str) -> Column:
+    """Rounded to half precision (nearest, ties to even), as float: Spark has no smaller type. Beyond 65519.99 infinite."""
+
+    def half(x: Column) -> Column:
+        size = F.abs(x)
+        step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.when(size > 0, size).otherwise(1.0))), F.lit(-14).cast("bigint")).cast("double") - 10)
+        near = F.rint(x / step) * step
+        return F.when(F.isnan(x) | (size == 0), x).when(F.abs(near) > 65504, F.signum(x) * float("inf")).otherwise(near).cast("float")
+
+    return F.transform(doubles(v), half)
+
+
 def scale(v: Column | str, s: Column | float, o: Column | float) -> Column:
     return F.transform(doubles(v), lambda x: x * s + o)
 

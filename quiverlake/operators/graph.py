@@ -1,15 +1,18 @@
 """Proximity-graph index: built per shard, searched in all shards, merged by the same top-k window as exact search.
 
-A shard is a bounded number of rows (``shard_rows``); more rows mean more shards.
-Pruning follows the published rule for pruned proximity graphs: a candidate goes
-if a kept neighbour, alpha times as far from it as the vertex, is nearer. The
+A shard is a bounded number of rows (``shard_rows``); more rows mean more shards. A
+graph is a table of nodes (a row a vertex), or, as it is stored and searched, of packed
+shards (a row a shard: vectors, lists, labels and codes as arrays), which a search reads
+without a shuffle. Pruning follows the published rule for pruned proximity graphs: a
+candidate goes if a kept neighbour, alpha times as far from it as the vertex, is nearer;
+where that leaves less than half of the degree, the nearest that went come back. The
 search keeps the best ``beam`` vertices and ends when all of them are expanded.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .knn import FOUND, _rows, best, distances, exact, matrix, query_blocks, ranked
+from ..sources.shared import stage
+from .knn import FOUND, exact, matrix, plain_distances, query_blocks, ranked
 
 
 @dataclass(frozen=True)
@@ -40,12 +44,16 @@ def positive(metric: str, d: np.ndarray) -> np.ndarray:
 
 def robust_prune(ids: np.ndarray, d: np.ndarray, between: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """Places of the kept candidates. d: to the vertex; between: among candidates."""
-    left = list(np.lexsort((ids, d)))
+    nearest = list(np.lexsort((ids, d)))
+    left = list(nearest)
     kept: list[int] = []
     while left and len(kept) < degree:
         c = left.pop(0)
         kept.append(c)
         left = [x for x in left if alpha * between[c, x] > d[x]]
+    if len(kept) < degree // 2:
+        have = set(kept)
+        kept += [x for x in nearest if x not in have][: degree // 2 - len(kept)]
     return np.array(kept, np.int64)
 
 
@@ -55,21 +63,22 @@ def occlude_factor(to_selected: np.ndarray, to_vertex: float) -> float:
 
 
 class Graph:
-    """Adjacency lists over a matrix."""
+    """Adjacency lists over a matrix (for l2 about its mean, where products are exact enough)."""
 
     def __init__(self, x: np.ndarray, params: IndexParams):
-        self.x, self.p, self.n = x, params, len(x)
+        self.centre = x.mean(axis=0) if params.metric == "l2" and len(x) else 0.0
+        self.x, self.p, self.n = x - self.centre, params, len(x)
         self.neighbors: list[np.ndarray] = [np.zeros(0, np.int64) for _ in range(self.n)]
         self.entry = self.medoid() if self.n else 0
         self.live = np.ones(self.n, bool)
 
     def dist(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return distances(self.p.metric, q[None], self.x[rows])[0]
+        return plain_distances(self.p.metric, q[None], self.x[rows])[0]
 
     def medoid(self) -> int:
         step = max(1, self.n // max(1, int(self.n**0.5)))
         some = np.arange(0, self.n, step)
-        return int(some[distances(self.p.metric, self.x[some], self.x[some]).sum(1).argmin()])
+        return int(some[plain_distances(self.p.metric, self.x[some], self.x[some]).sum(1).argmin()])
 
     def search(self, q: np.ndarray, beam: int | None = None, allowed: np.ndarray | None = None) -> tuple[list[tuple[float, int]], dict[str, int]]:
         """Best vertices by (distance, vertex), and counters. Vertices that aren't allowed are passed through, not returned."""
@@ -106,7 +115,7 @@ class Graph:
     def prune(self, v: int, cand: np.ndarray) -> np.ndarray:
         cand = np.unique(cand[cand != v])
         d = self.dist(self.x[v], cand)
-        between = distances(self.p.metric, self.x[cand], self.x[cand])
+        between = plain_distances(self.p.metric, self.x[cand], self.x[cand])
         if self.p.metric == "l2":
             d, between = np.sqrt(d), np.sqrt(between)
         elif self.p.metric == "inner_product":
@@ -125,18 +134,48 @@ class Graph:
                 grown = np.append(self.neighbors[u], v)
                 self.neighbors[u] = grown if len(grown) <= self.p.degree else self.prune(u, grown)
 
+    def grow(self, x: np.ndarray) -> np.ndarray:
+        """New vertices at the end, not yet linked; their numbers."""
+        at = np.arange(self.n, self.n + len(x))
+        self.x = np.concatenate([self.x, x - self.centre]) if self.n else x - self.centre
+        self.neighbors += [np.zeros(0, np.int64) for _ in at]
+        self.live = np.append(self.live, np.ones(len(at), bool))
+        self.n += len(at)
+        return at
+
+    def pointing_to(self, v: int) -> list[int]:
+        """The vertices that have v in their lists."""
+        ends = np.cumsum([len(n) for n in self.neighbors])
+        return np.unique(np.searchsorted(ends, np.flatnonzero(np.concatenate(self.neighbors) == v), side="right")).tolist() if self.n else []
+
     def delete(self, v: int) -> None:
         """Takes v out of the results and the lists; its neighbours get each other."""
         self.live[v] = False
         own = self.neighbors[v]
-        for u in np.flatnonzero([v in n for n in self.neighbors]).tolist():
+        for u in self.pointing_to(v):
             cand = np.union1d(self.neighbors[u], own)
             cand = cand[(cand != v) & (cand != u) & self.live[cand]]
             self.neighbors[u] = self.prune(u, cand) if len(cand) else cand
-        if self.entry == v and self.live.any():
-            self.entry = int(own[0]) if len(own) and self.live[own[0]] else int(np.flatnonzero(self.live)[0])
+        if self.entry == v:
+            self.entry = self.valid_entry()
         self.neighbors[v] = np.zeros(0, np.int64)
 
+    def valid_entry(self) -> int:
+        """The entry if it is live, else a live neighbour of it, else the first live vertex."""
+        if not self.live.any() or self.live[self.entry]:
+            return self.entry
+        own = self.neighbors[self.entry]
+        own = own[self.live[own]]
+        return int(own[0]) if len(own) else int(np.flatnonzero(self.live)[0])
+
+    def prune_edges(self, v: int) -> None:
+        """Cuts v's list to the degree; those that leave it drop v too."""
+        had = self.neighbors[v]
+        if len(had) > self.p.degree:
+            self.neighbors[v] = self.prune(v, had)
+            for u in np.setdiff1d(had, self.neighbors[v]).tolist():
+                self.neighbors[u] = self.neighbors[u][self.neighbors[u] != v]
+
     def build(self, seed: int = 42) -> Graph:
         order = np.random.default_rng(seed).permutation(self.n)
         for v in [self.entry, *order[order != self.entry].tolist()]:
@@ -165,38 +204,233 @@ def build(rows: DataFrame, params: IndexParams = IndexParams(), shard_rows: int
     return keyed.groupBy("shard").applyInArrow(make, NODES)
 
 
-def partial_of(function, block):
-    """function of a table alone, as Spark counts the parameters."""
-    return lambda t: function(t, block)
+# ------------------------------------------------------------- packed shards
+
 
+PACKED = "shard bigint, entry int, dimension int, ids binary, vecs binary, degrees binary, links binary, label_counts binary, labels binary, codes binary"
 
-def search(queries: DataFrame, nodes: DataFrame, k: int, params: IndexParams = IndexParams(), beam: int | None = None, query_id: str = "query_id", vec: str = "vec") -> DataFrame:
-    """Approximate top k: every shard is searched, the shards' results are merged."""
+
+def pack(nodes: DataFrame) -> DataFrame:
+    """A row a shard of a table of nodes, with their labels (array<bigint>) and codes (array<int>) where it has these columns."""
+    more = [c for c in ("labels", "codes") if c in nodes.columns]
+
+    def make(key, t):
+        ids = np.asarray(t.column("id"))
+        order = np.argsort(ids, kind="stable")
+        t, ids = t.take(pa.array(order)), ids[order]
+        lists = t.column("neighbors").combine_chunks()
+        x = matrix(t.column("vec").combine_chunks())
+        flat = lambda c: t.column(c).combine_chunks() if c in more else None
+        labels, codes = flat("labels"), flat("codes")
+        cells = {
+            "ids": ids.astype("<i8"), "vecs": x, "degrees": np.diff(np.asarray(lists.offsets)).astype("<i4"), "links": np.searchsorted(ids, np.asarray(lists.flatten())).astype("<i4"),
+            "label_counts": None if labels is None else np.diff(np.asarray(labels.offsets)).astype("<i4"), "labels": None if labels is None else np.asarray(labels.flatten()).astype("<i8"),
+            "codes": None if codes is None else np.asarray(codes.flatten()).astype("<u2"),
+        }
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "entry": pa.array([int(np.flatnonzero(np.asarray(t.column("entry")))[0])], pa.int32()), "dimension": pa.array([x.shape[1]], pa.int32()), **{k: pa.array([None if v is None else v.tobytes()], pa.binary()) for k, v in cells.items()}})
+
+    return nodes.select("shard", "id", "entry", "vec", "neighbors", *more).groupBy("shard").applyInArrow(make, PACKED)
+
+
+class Shard:
+    """A packed shard: its graph, ids, vectors, labels and codes."""
+
+    def __init__(self, row: dict, params: IndexParams):
+        self.ids = np.frombuffer(row["ids"], "<i8")
+        self.x = np.frombuffer(row["vecs"], "<f8").reshape(-1, row["dimension"])
+        g = self.graph = Graph.__new__(Graph)
+        g.centre = self.x.mean(axis=0) if params.metric == "l2" and len(self.x) else 0.0
+        g.x, g.p, g.n, g.entry, g.live = self.x - g.centre, params, len(self.x), row["entry"], np.ones(len(self.x), bool)
+        g.neighbors = np.split(np.frombuffer(row["links"], "<i4").astype(np.int64), np.cumsum(np.frombuffer(row["degrees"], "<i4"))[:-1])
+        self.labels = None if row["labels"] is None else np.split(np.frombuffer(row["labels"], "<i8"), np.cumsum(np.frombuffer(row["label_counts"], "<i4"))[:-1])
+        self.codes = None if row["codes"] is None else np.frombuffer(row["codes"], "<u2").reshape(len(self.ids), -1).astype(np.int64)
+
+    def allowed(self, kind: str, wanted: list[int]) -> np.ndarray | None:
+        """Which vertices pass a filter of labels, as functions.labels has them."""
+        if kind == "any":
+            return None
+        if self.labels is None:
+            raise ValueError("the graph has no labels")
+        own = set(wanted)
+        test = {"any_of": lambda s: bool(s & own) or 0 in s, "all_of": lambda s: own <= s or 0 in s, "exact": lambda s: s == own}[kind]
+        return np.array([test(set(x.tolist())) for x in self.labels], bool)
+
+
+TALLY = FOUND + ", visited bigint, computed bigint"
+
+
+def _searched(queries: DataFrame, nodes: DataFrame, params: IndexParams, each: Callable, query_id: str, vec: str) -> DataFrame:
+    """Rows of TALLY: each(shard, queries' vectors) gives, for every query, places, distances, and the vertices visited and distances computed. A query without results has a row of null id."""
     spark = nodes.sparkSession
+    packed = nodes if "links" in nodes.columns else pack(nodes)
     out = None
     for q_ids, q in query_blocks(queries, query_id, vec):
         block = spark.sparkContext.broadcast((q_ids, q))
 
-        def run(t, block):
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             q_ids, q = block.value
-            ids = np.asarray(t.column("id"))
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], matrix(t.column("vec").combine_chunks())[order]
-            g = Graph.__new__(Graph)
-            g.x, g.p, g.n, g.live = x, params, len(x), np.ones(len(x), bool)
-            lists = t.column("neighbors").combine_chunks().take(pa.array(order))
-            g.neighbors = [np.searchsorted(ids, np.asarray(a.values, np.int64)) if len(a) else np.zeros(0, np.int64) for a in lists]
-            g.entry = int(np.flatnonzero(np.asarray(t.column("entry"))[order])[0])
-            parts = [[np.zeros(0, z)] for z in (np.int64, np.int64, float)]
-            for i, v in zip(q_ids.tolist(), q):
-                got = np.array([u for _, u in g.search(v, max(beam or params.beam, k))[0][:k]], np.int64)
-                for p, c in zip(parts, (np.full(len(got), i), ids[got], exact(params.metric, np.repeat(v[None], len(got), 0), x[got]))):
-                    p.append(c)
-            return pa.Table.from_batches([_rows(*best(*(np.concatenate(p) for p in parts), k))])
-
-        part = nodes.groupBy("shard").applyInArrow(partial_of(run, block), FOUND)
+            for b in batches:
+                for k in range(b.num_rows):
+                    shard = Shard(b.slice(k, 1).to_pylist()[0], params)
+                    for i, (at, d, counters) in zip(q_ids.tolist(), each(shard, q)):
+                        n = max(1, len(at))
+                        ids = pa.array(shard.ids[at]) if len(at) else pa.nulls(1, pa.int64())
+                        first = np.arange(n) == 0  # counters stand in a query's first row of the shard
+                        yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), ids, pa.array(d) if len(at) else pa.nulls(1, pa.float64()), pa.array(first * counters["visited"]), pa.array(first * counters["computed"])], ["query_id", "id", "distance", "visited", "computed"])
+
+        part = packed.mapInArrow(run, TALLY)
         out = part if out is None else out.unionAll(part)
-    return ranked(out if out is not None else spark.createDataFrame([], FOUND), k)
+    return out if out is not None else spark.createDataFrame([], TALLY)
+
+
+def _beam(params: IndexParams, size: int, keep: Callable, filter: tuple) -> Callable:
+    def each(shard: Shard, q: np.ndarray) -> Iterator[tuple]:
+        allowed = shard.allowed(*filter)
+        for v in q:
+            got, counters = shard.graph.search(v - shard.graph.centre, size, allowed)
+            at = np.array([u for _, u in got], np.int64)
+            d = exact(params.metric, np.repeat(v[None], len(at), 0), shard.x[at])
+            yield (*keep(shard.ids, at, d), counters)
+
+    return each
+
+
+def _first(k: int) -> Callable:
+    def keep(ids: np.ndarray, at: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((ids[at], d))[:k]
+        return at[order], d[order]
+
+    return keep
+
+
+def search(queries: DataFrame, nodes: DataFrame, k: int, params: IndexParams = IndexParams(), beam: int | None = None, query_id: str = "query_id", vec: str = "vec", filter: tuple = ("any", [])) -> DataFrame:
+    """Approximate top k of nodes or packed shards: every shard is searched, the shards' results are merged. filter: a kind of functions.labels.FILTERS and its labels; vertices that don't pass are walked through."""
+    found = _searched(queries, nodes, params, _beam(params, max(beam or params.beam, k), _first(k), filter), query_id, vec)
+    return ranked(found.where("id is not null").select("query_id", "id", "distance"), k)
+
+
+def range_search(queries: DataFrame, nodes: DataFrame, radius: float, params: IndexParams = IndexParams(), beam: int | None = None, max_results: int = 0, query_id: str = "query_id", vec: str = "vec", filter: tuple = ("any", [])) -> DataFrame:
+    """Those of each shard's ``beam`` nearest that are within the radius (inclusive), at most max_results (0: all) a query."""
+    inside = lambda ids, at, d: (at[d <= radius], d[d <= radius])  # noqa: E731, ARG005
+    found = _searched(queries, nodes, params, _beam(params, beam or params.beam, inside, filter), query_id, vec)
+    return ranked(found.where("id is not null").select("query_id", "id", "distance"), max_results or None)
+
+
+def _coded(params: IndexParams, codebook: np.ndarray, k: int, size: int) -> Callable:
+    m, _, w = codebook.shape
+
+    def each(shard: Shard, q: np.ndarray) -> Iterator[tuple]:
+        g = shard.graph
+        for v in q:
+            table = ((v.reshape(m, 1, w) - codebook) ** 2).sum(-1)  # squared distances to each subspace's centroids
+            g.dist = lambda _, rows, t=table: t[np.arange(m)[None], shard.codes[rows]].sum(1)
+            got, counters = g.search(v, size)
+            at = np.array([u for _, u in got], np.int64)
+            d = exact(params.metric, np.repeat(v[None], len(at), 0), shard.x[at])
+            yield (*_first(k)(shard.ids, at, d), counters)
+
+    return each
+
+
+def search_coded(queries: DataFrame, nodes: DataFrame, codebook: np.ndarray, k: int, params: IndexParams = IndexParams(), beam: int | None = None, query_id: str = "query_id", vec: str = "vec") -> DataFrame:
+    """Two stages: the graph is walked by distances of product codes, the beam's vertices are ordered by exact ones."""
+    found = _searched(queries, nodes, params, _coded(params, codebook, k, max(beam or params.beam, k)), query_id, vec)
+    return ranked(found.where("id is not null").select("query_id", "id", "distance"), k)
+
+
+def search_counters(queries: DataFrame, nodes: DataFrame, params: IndexParams = IndexParams(), beam: int | None = None, codebook: np.ndarray | None = None, query_id: str = "query_id", vec: str = "vec") -> DataFrame:
+    """query_id, visited (vertices expanded) and computed (distances) over all shards."""
+    size = beam or params.beam
+    each = _beam(params, size, _first(1), ("any", [])) if codebook is None else _coded(params, codebook, 1, size)
+    return _searched(queries, nodes, params, each, query_id, vec).groupBy("query_id").agg(F.sum("visited").alias("visited"), F.sum("computed").alias("computed"))
+
+
+# ---------------------------------------------------------------- changing a graph
+
+
+def _kernel(t: pa.Table, params: IndexParams) -> tuple[np.ndarray, Graph]:
+    """ids and the graph of a shard's nodes."""
+    order = np.argsort(np.asarray(t.column("id")), kind="stable")
+    t = t.take(pa.array(order))
+    ids = np.asarray(t.column("id"))
+    g = Graph(matrix(t.column("vec").combine_chunks()), params)
+    g.neighbors = [np.searchsorted(ids, np.asarray(a.values, np.int64)) if a.is_valid and len(a) else np.zeros(0, np.int64) for a in t.column("neighbors")]
+    entry = np.flatnonzero(np.asarray(t.column("entry")))
+    g.entry = int(entry[0]) if len(entry) else g.entry
+    return ids, g
+
+
+def _nodes(shard: int, ids: np.ndarray, g: Graph) -> pa.Table:
+    """Rows of a shard's live vertices."""
+    at = np.flatnonzero(g.live)
+    x = g.x[at] + g.centre
+    return pa.table({"shard": pa.array([shard] * len(at), pa.int64()), "id": pa.array(ids[at], pa.int64()), "entry": pa.array(at == g.entry), "vec": pa.array(x.tolist(), pa.list_(pa.float64())), "neighbors": pa.array([ids[g.neighbors[v]].tolist() for v in at], pa.list_(pa.int64()))})
+
+
+def _changed(nodes: DataFrame, rows: DataFrame, change: Callable) -> DataFrame:
+    """nodes after change(kernel's ids, graph, a table of the shard's rows) -> ids, in each shard that has rows; rows have id and are dealt as by build."""
+    shards = nodes.agg(F.max("shard")).first()[0]
+    shards = 1 if shards is None else shards + 1
+    keyed = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    names = [f.split()[0] for f in NODES.split(", ")]
+
+    def both(key, left, right):
+        if not right.num_rows:
+            return left.select(names)
+        shard = key[0].as_py()
+        return _nodes(shard, *change(left, right))
+
+    return nodes.select(*names).groupBy("shard").cogroup(keyed.groupBy("shard")).applyInArrow(both, NODES)
+
+
+def insert(nodes: DataFrame, rows: DataFrame, params: IndexParams = IndexParams(), id: str = "id", vec: str = "vec") -> DataFrame:
+    """nodes with new rows linked in; an id that is there already is an error."""
+
+    def change(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, Graph]:
+        new = np.asarray(right.column("id"))
+        x = matrix(right.column("vec").combine_chunks())
+        if left.num_rows:
+            ids, g = _kernel(left, params)
+            if np.isin(new, ids).any():
+                raise ValueError("an id that is inserted is in the graph already")
+        else:
+            ids, g = np.zeros(0, np.int64), Graph(x[:0], params)
+        for v in g.grow(x).tolist():
+            g.insert(v)
+        return np.concatenate([ids, new]), g
+
+    return _changed(nodes, rows.select(F.col(id).cast("bigint").alias("id"), V.doubles(vec).alias("vec")), change)
+
+
+def delete(nodes: DataFrame, ids: DataFrame, params: IndexParams = IndexParams(), id: str = "id") -> DataFrame:
+    """nodes without the ids, whose neighbours are linked with each other; unknown ids are passed over."""
+
+    def change(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, Graph]:
+        if not left.num_rows:
+            return np.zeros(0, np.int64), Graph(np.zeros((0, 1)), params)
+        own, g = _kernel(left, params)
+        for v in np.flatnonzero(np.isin(own, np.asarray(right.column("id")))).tolist():
+            g.delete(v)
+        return own, g
+
+    return _changed(nodes, ids.select(F.col(id).cast("bigint").alias("id")), change)
+
+
+def prune(nodes: DataFrame, params: IndexParams) -> DataFrame:
+    """nodes whose lists are cut to the degree; edges that go are dropped in both directions."""
+
+    def make(key, t):
+        ids, g = _kernel(t, params)
+        for v in range(g.n):
+            g.prune_edges(v)
+        return _nodes(key[0].as_py(), ids, g)
+
+    return nodes.groupBy("shard").applyInArrow(make, NODES)
+
+
+def entry_points(nodes: DataFrame) -> DataFrame:
+    """shard, id of the entries."""
+    return nodes.where("entry").select("shard", "id")
 
 
 # --------------------------------------------------------------- about a graph
@@ -215,13 +449,12 @@ def graph_stats(nodes: DataFrame) -> DataFrame:
 def reachable(edges_: DataFrame, start: int, rounds: int = 1000) -> DataFrame:
     """v: vertices that paths from start reach (itself included), a round of joins a step."""
     spark = edges_.sparkSession
-    e = edges_.select("src", "dst").distinct().cache()
+    e = stage(edges_.select("src", "dst").distinct(), "edges")
     seen = spark.createDataFrame([(start,)], "v bigint")
     front, n = seen, 1
     for _ in range(rounds):
-        # written to the checkpoint folder where there is one, so that plans stay short
         front = e.join(front, e["src"] == front["v"], "left_semi").select(F.col("dst").alias("v")).distinct().join(seen, "v", "left_anti")
-        front = front.checkpoint() if spark.sparkContext.getCheckpointDir() else front.cache()
+        front = stage(front, "reached")  # so that plans stay short
         seen = seen.unionAll(front)
         more = front.count()
         if not more:
@@ -230,6 +463,11 @@ def reachable(edges_: DataFrame, start: int, rounds: int = 1000) -> DataFrame:
     raise RuntimeError(f"paths of more than {rounds} steps")
 
 
+def connectivity(edges_: DataFrame, start: int, n_vertices: int) -> DataFrame:
+    """One row: vertices that start reaches, and their share of all."""
+    return reachable(edges_, start).agg(F.count(F.lit(1)).alias("n_reached")).withColumn("ratio", F.col("n_reached") / F.lit(n_vertices))
+
+
 def topology_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: Jaccard similarity of two edge sets (src, dst)."""
     x = a.select("src", "dst").distinct().withColumn("a", F.lit(1))

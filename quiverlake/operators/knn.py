@@ -34,8 +34,8 @@ def matrix(column: pa.Array, dimension: int | None = None) -> np.ndarray:
     return np.asarray(column.flatten()).astype(np.float64).reshape(-1, d)
 
 
-def distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """(queries, rows), by matrix product: right to rounding."""
+def plain_distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """(queries, rows) by matrix product, squared for l2; for l2, rows should lie about the origin."""
     products = q @ x.T
     if metric == "inner_product":
         return -products
@@ -47,8 +47,28 @@ def distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     raise ValueError(f"metric is one of {', '.join(V.METRICS)}")
 
 
-def exact(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+def distances(metric: str | Callable, q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, rows) of distances by matrix product (l2: squared), and how far rounding may have taken each from the true one."""
+    if callable(metric):  # of pairs of rows; taken as right
+        d = np.stack([metric(np.broadcast_to(v, x.shape), x) for v in q]) if len(q) else np.zeros((0, len(x)))
+        return d, np.zeros_like(d)
+    eps = 8 * max(1, q.shape[1]) * np.finfo(float).eps
+    if metric != "l2":
+        n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
+        return plain_distances(metric, q, x), eps * n if metric == "inner_product" else np.full(n.shape, 2 * eps)
+    # about the rows' mean: far from the origin the products would be much larger than the distances
+    centre = x.mean(axis=0) if len(x) else 0.0
+    a, b = q - centre, x - centre
+    aa, bb = (a * a).sum(1)[:, None], (b * b).sum(1)[None]
+    # the subtraction itself is off by an ulp of the coordinates
+    moved = np.finfo(float).eps * (np.abs(q).max(1, initial=0)[:, None] + np.abs(x).max(1, initial=0)[None])
+    return plain_distances(metric, a, b), eps * (aa + bb) + 4 * np.sqrt(q.shape[1]) * moved * (np.sqrt(aa) + np.sqrt(bb) + moved)
+
+
+def exact(metric: str | Callable, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Row by row, element by element, as the column builders add."""
+    if callable(metric):
+        return np.asarray(metric(q, x), float)
     if metric == "l2":
         d = q - x
         return np.sqrt(np.cumsum(d * d, axis=1)[:, -1])
@@ -109,10 +129,10 @@ def _scan(queries: DataFrame, base: DataFrame, metric: str, take: Callable, k: i
                 for i in range(0, b.num_rows, 4096):
                     part = b.slice(i, 4096)
                     x, ids = matrix(part.column(1), q.shape[1]), np.asarray(part.column(0))
-                    d = distances(metric, q, x)
+                    d, off = distances(metric, q, x)
                     if self_join:
                         d[q_ids[:, None] == ids[None]] = np.inf
-                    qi, xi = take(d)
+                    qi, xi = take(d - off, d + off)
                     if self_join:
                         other = q_ids[qi] != ids[xi]
                         qi, xi = qi[other], xi[other]
@@ -129,17 +149,17 @@ def _scan(queries: DataFrame, base: DataFrame, metric: str, take: Callable, k: i
     return out if out is not None else spark.createDataFrame([], FOUND)
 
 
-def topk_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", query_id: str = "query_id", id: str = "id", vec: str = "vec", self_join: bool = False) -> DataFrame:
-    """The k nearest rows of base for each query (all, if there are fewer)."""
+def topk_join(queries: DataFrame, base: DataFrame, k: int, metric: str | Callable = "l2", query_id: str = "query_id", id: str = "id", vec: str = "vec", self_join: bool = False) -> DataFrame:
+    """The k nearest rows of base for each query (all, if there are fewer). metric: a name, or a function of two matrices that gives the distance of each pair of their rows."""
     if k < 1:
         raise ValueError("k is at least 1")
 
-    def take(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if d.shape[1] <= k:
-            return np.nonzero(np.isfinite(d))
-        limit = np.partition(d, k - 1, axis=1)[:, k - 1]
-        # ties and what rounding may have put beyond the k-th are kept for the exact distance
-        return np.nonzero((d <= (limit + 1e-9 * np.maximum(1, np.abs(limit)))[:, None]) & np.isfinite(d))
+    def take(least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if least.shape[1] <= k:
+            return np.nonzero(np.isfinite(least))
+        limit = np.partition(most, k - 1, axis=1)[:, k - 1]
+        # all that rounding may have put beyond the k-th are kept for the exact distance
+        return np.nonzero((least <= limit[:, None]) & np.isfinite(least))
 
     return ranked(_scan(queries, base, metric, take, k, query_id, id, vec, self_join), k)
 
@@ -154,11 +174,11 @@ def knn(base: DataFrame, query: list[float], k: int, metric: str = "l2", id: str
 
 
 def range_join(queries: DataFrame, base: DataFrame, radius: float, metric: str = "l2", max_results: int = 0, query_id: str = "query_id", id: str = "id", vec: str = "vec") -> DataFrame:
-    """All rows within the radius (inclusive) of each query, or the nearest max_results of them (0: no limit)."""
+    """All rows within the radius (inclusive) of each query, or the nearest max_results of them (0: no limit); metric as in topk_join."""
 
-    def take(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        r = radius * radius if metric == "l2" else radius
-        return np.nonzero(d <= r + 1e-9 * max(1.0, abs(r)))
+    def take(least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        r = radius * abs(radius) if metric == "l2" else radius
+        return np.nonzero(least <= r + 1e-15 * abs(r))
 
     found = _scan(queries, base, metric, take, None, query_id, id, vec, False).where(F.col("distance") <= radius)
     return ranked(found, max_results or None)
@@ -185,11 +205,50 @@ def entry_point(base: DataFrame, query: list[float], predicate: Column, entry: i
     return rows.agg(F.min_by("id", F.struct(F.col("id") != entry, "d", "id")).alias("id"))
 
 
+def without(base: DataFrame, deleted: DataFrame, id: str = "id") -> DataFrame:
+    """base without the deleted ids."""
+    return base.join(deleted.select(F.col(id).alias("_gone")).distinct(), F.col(id) == F.col("_gone"), "left_anti")
+
+
+def distance_to(base: DataFrame, query: list[float], ids: list[int], metric: str = "l2", id: str = "id", vec: str = "vec") -> DataFrame:
+    """id, distance of the named rows to one query."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    return base.where(F.col(id).isin(ids)).select(F.col(id).cast("bigint").alias("id"), V.distance(metric, q, V.same_dimension(vec, len(query))).alias("distance"))
+
+
+SUMMARY = "query_id bigint, n bigint, total double, nearest double, farthest double"
+
+
+def distance_summary(queries: DataFrame, base: DataFrame, metric: str = "l2", query_id: str = "query_id", id: str = "id", vec: str = "vec") -> DataFrame:
+    """Every query against every row, as query_id, n, total, nearest and farthest: summed in the tasks, so no pair leaves them."""
+    spark = base.sparkSession
+    rows, out = base.select(F.col(vec).alias("vec")), None
+    for q_ids, q in query_blocks(queries, query_id, vec):
+        block = spark.sparkContext.broadcast((q_ids, q))
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            q_ids, q = block.value
+            n, total, low, high = 0, np.zeros(len(q)), np.full(len(q), np.inf), np.full(len(q), -np.inf)
+            step = max(1, BLOCK_ELEMENTS // max(1, len(q) * q.shape[1]))
+            for b in batches:
+                for i in range(0, b.num_rows, step):
+                    x = matrix(b.slice(i, step).column(0), q.shape[1])
+                    d = exact(metric, np.repeat(q, len(x), 0), np.tile(x, (len(q), 1))).reshape(len(q), -1)
+                    n, total, low, high = n + len(x), total + d.sum(1), np.minimum(low, d.min(1, initial=np.inf)), np.maximum(high, d.max(1, initial=-np.inf))
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(np.full(len(q), n)), *map(pa.array, (total, low, high))], ["query_id", "n", "total", "nearest", "farthest"])
+
+        part = rows.mapInArrow(run, SUMMARY)
+        out = part if out is None else out.unionAll(part)
+    if out is None:
+        return spark.createDataFrame([], SUMMARY)
+    return out.groupBy("query_id").agg(*[f(c).alias(c) for f, c in ((F.sum, "n"), (F.sum, "total"), (F.min, "nearest"), (F.max, "farthest"))])
+
+
 def overfetch(queries: DataFrame, base: DataFrame, deleted: DataFrame, k: int, metric: str = "l2", id: str = "id", **names) -> DataFrame:
-    """Search with room for the deleted rows, drop them, and cut to k."""
-    n = deleted.count()
-    found = topk_join(queries, base, k + n, metric, id=id, **names)
-    return ranked(found.join(deleted.select(F.col(id).alias("id")), "id", "left_anti").drop("rank"), k)
+    """The k nearest rows that aren't deleted, at most k from each task: the deleted ones leave before the search, so however many they are, no room is fetched for them."""
+    live = without(base, deleted, id)
+    return topk_join(queries, live, k, metric, id=id, **names)
 
 
 # ---------------------------------------------------------------- evaluation

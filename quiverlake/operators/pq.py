@@ -6,6 +6,7 @@ is a literal or a broadcast array. Codes are array<int>.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
+from .kmeans import ELEMENTS, nearest
 from .knn import matrix, query_blocks, ranked
 
 
@@ -45,6 +47,8 @@ class Params:
         return {"ratio": 4 * self.dimension / (self.m * (1 if self.bits <= 8 else 2)), "codebook_bytes": 4.0 * self.k * self.dimension, "table_bytes": 4.0 * self.m * self.k * self.k}
 
 
+#: Terms of symmetric distances that are broadcast at most (16 bytes each and the overhead of a hashed row).
+MAX_TERMS = 600_000
 PRESET_8X8, PRESET_16X8 = (8, 8), (16, 8)
 
 
@@ -61,6 +65,25 @@ def array(rows: DataFrame) -> np.ndarray:
     return np.array([r[2] for r in got]).reshape(m, k, -1)
 
 
+def to_json(codebook: np.ndarray, p: Params) -> str:
+    """The codebook and its parameters as JSON."""
+    return json.dumps({"dimension": p.dimension, "m": p.m, "bits": p.bits, "rounds": p.rounds, "seed": p.seed, "centroids": codebook.tolist()})
+
+
+def from_json(text: str) -> tuple[np.ndarray, Params]:
+    d = json.loads(text)
+    p = Params(d["dimension"], d["m"], d["bits"], d["rounds"], d["seed"])
+    book = np.array(d["centroids"], float)
+    if book.shape != (p.m, p.k, p.width):
+        raise ValueError("the centroids don't have the shape of the parameters")
+    return book, p
+
+
+def lookup(rows: DataFrame, subspace: int, code: int) -> DataFrame:
+    """The centroid of a code: no row if there is none."""
+    return rows.where((F.col("subspace") == subspace) & (F.col("code") == code)).select("centroid")
+
+
 def validate(rows: DataFrame, m: int, k: int, width: int) -> DataFrame:
     """One row: whether each (subspace, code) is there once with a finite centroid of the right width."""
     ok = (F.size("centroid") == width) & (F.size(F.filter("centroid", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))) == 0)
@@ -86,9 +109,13 @@ def lloyd(x: np.ndarray, k: int, rounds: int, seed: int) -> tuple[np.ndarray, fl
         d = np.minimum(d, ((x - c[-1]) ** 2).sum(1))
     c, last = np.array(c), np.inf
     for _ in range(rounds):
-        dist = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None]
-        own = dist.argmin(1)
-        now = float(np.maximum(dist[np.arange(len(x)), own], 0).sum())
+        own, now = np.zeros(len(x), np.int64), 0.0
+        step = max(1, ELEMENTS // k)  # of all distances, so many at a time
+        for i in range(0, len(x), step):
+            part = x[i : i + step]
+            dist = (part * part).sum(1)[:, None] - 2 * part @ c.T + (c * c).sum(1)[None]
+            own[i : i + step] = dist.argmin(1)
+            now += float(np.maximum(dist.min(1), 0).sum())
         size = np.bincount(own, minlength=k)
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
@@ -130,9 +157,7 @@ def encode(rows: DataFrame, codebook: np.ndarray, vec: str = "vec", codes: str =
             x = matrix(b.column(at), m * w).reshape(-1, m, w)
             out = np.empty((len(x), m), np.int32)
             for i in range(m):
-                for a in range(0, len(x), 1024):
-                    d = np.cumsum((x[a : a + 1024, i, None, :] - c[i][None]) ** 2, axis=2)[:, :, -1]
-                    out[a : a + 1024, i] = d.argmin(1)
+                out[:, i] = nearest(np.ascontiguousarray(x[:, i]), c[i])[0]
             codes_ = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * m + 1, m), pa.int32()), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns, codes_], [*names, codes])
 
@@ -162,7 +187,9 @@ def sdc_table(codebook: DataFrame, metric: str = "l2") -> DataFrame:
 def sdc(pairs: DataFrame, table_: DataFrame, metric: str = "l2", a: str = "a", b: str = "b", keys: tuple[str, ...] = ()) -> DataFrame:
     """Distances between code arrays a and b of each row (identified by keys) by table lookups."""
     cells = pairs.select(*keys, F.posexplode(F.arrays_zip(F.col(a).alias("c1"), F.col(b).alias("c2"))).alias("subspace", "z")).select(*keys, "subspace", "z.c1", "z.c2")
-    total = cells.join(F.broadcast(table_), ["subspace", "c1", "c2"]).groupBy(*keys).agg(F.sum("d").alias("_d"))
+    # M x K x K rows: broadcast where they are few, else dealt by key
+    terms = F.broadcast(table_) if table_.count() <= MAX_TERMS else table_
+    total = cells.join(terms, ["subspace", "c1", "c2"]).groupBy(*keys).agg(F.sum("d").alias("_d"))
     return total.select(*keys, (F.sqrt("_d") if metric == "l2" else F.col("_d")).alias("distance"))
 
 

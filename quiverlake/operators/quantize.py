@@ -43,7 +43,7 @@ def skip_limit(rows: DataFrame, skip: int, limit: int | None, id: str = "id") ->
 
 
 def convert(rows: DataFrame, dtype: str, vec: str = "vec") -> DataFrame:
-    """Element type by name: float32, int8 or uint8."""
-    to = {"float32": lambda v: F.col(v).cast("array<float>"), "int8": V.to_int8, "uint8": V.to_uint8}
-    aliases = {"float": "float32", "f32": "float32", "i8": "int8", "u8": "uint8"}
+    """Element type by name: float32, float16, int8 or uint8."""
+    to = {"float32": lambda v: F.col(v).cast("array<float>"), "float16": V.to_float16, "int8": V.to_int8, "uint8": V.to_uint8}
+    aliases = {"float": "float32", "f32": "float32", "f16": "float16", "i8": "int8", "u8": "uint8"}
     return rows.withColumn(vec, to[aliases.get(dtype, dtype)](vec))

@@ -7,16 +7,18 @@ rows whose id is divisible by 50 as queries, against all rows.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import vectors as V
-from ..operators import graph, kmeans, knn, pq, profile, quantize
+from ..operators import graph, kmeans, knn, pq, profile, quantize, sets
+from ..operators.index import VectorTable
 from ..sources import results, vecfiles
+from ..sources.shared import scratch_path
 from ..streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,8 +138,12 @@ def vector_distances(spark, sf_dir):
 def batch_distance(spark, sf_dir):
     """Every query against every row, summed up by query."""
     e = vectors(spark, sf_dir)
-    found = knn.range_join(asked(e), e, 1e18)
-    return r6(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("distance"), 4).alias("total"), F.min("distance").alias("nearest"), F.max("distance").alias("farthest")), "nearest", "farthest")
+    return r6(r6(knn.distance_summary(asked(e), e), "nearest", "farthest"), "total", places=4)
+
+
+query("distance_to_query", f"with {E} select e.id, round({s_l2('z.vec', 'e.vec')}, 6) as distance from e, (select vec from e where id = 0) z where e.id in (3, 8, 21)")(
+    lambda spark, sf_dir: (lambda e: r6(knn.distance_to(e, e.where("id = 0").first()["vec"], [3, 8, 21]), "distance"))(vectors(spark, sf_dir))
+)
 
 
 @query("element_casts", f"with {E} select id, list_transform(vec, lambda x: greatest(-128.0, least(127.0, round(x * 100)))::bigint) as int8, list_transform(vec, lambda x: greatest(0.0, least(255.0, round(x * 300)))::bigint) as uint8 from e")
@@ -146,6 +152,9 @@ def element_casts(spark, sf_dir):
     return e.select("id", V.to_int8(V.scale("vec", 100.0, 0.0)).cast("array<bigint>").alias("int8"), V.to_uint8(V.scale("vec", 300.0, 0.0)).cast("array<bigint>").alias("uint8"))
 
 
+S_HALF = "pow(2.0, greatest(floor(log2(case when x <> 0 then abs(x) else 1.0 end)), -14.0) - 10.0)"
+query("element_cast_float16", f"with {E} select id, list_transform(vec, lambda x: (round_even(x / {S_HALF}, 0) * {S_HALF})::double) as half from e")(lambda spark, sf_dir: quantize.convert(vectors(spark, sf_dir), "float16").select("id", F.col("vec").cast("array<double>").alias("half")))
+
 S_PARAM = "case when list_max(vec) > list_min(vec) then ({hi} - {lo}) / (list_max(vec) - list_min(vec)) else 1.0 end"
 
 
@@ -169,7 +178,7 @@ def s_global(low: str, high: str, base: float, a: float, b: float) -> str:
 
 
 query("global_quantize_minmax", s_global("min(x)", "max(x)", -128.0, -128.0, 127.0))(lambda spark, sf_dir: quantize.quantize(raw(spark, sf_dir), "minmax", True).select("id", F.col("vec").cast("array<bigint>").alias("codes")))
-query("global_quantize_standard")(lambda spark, sf_dir: quantize.quantize(raw(spark, sf_dir), "standard", False).select("id", F.col("vec").cast("array<bigint>").alias("codes")))
+query("global_quantize_standard", s_global("avg(x) - 3 * stddev_pop(x)", "avg(x) + 3 * stddev_pop(x)", 0.0, 0.0, 255.0))(lambda spark, sf_dir: quantize.quantize(raw(spark, sf_dir), "standard", False).select("id", F.col("vec").cast("array<bigint>").alias("codes")))
 
 
 @query("center", f"with {E}, m as (select i, avg(x) as m from (select unnest(vec) as x, generate_subscripts(vec, 1) as i from e) group by 1), a as (select list(m order by i) as m from m) select id, list_transform(range(1, len(vec) + 1), lambda i: round(vec[i] - a.m[i], 6)) as vec from e, a")
@@ -209,7 +218,7 @@ for _kind, _sql in (("any_of", "list_has_any(labels, [2, 3]) or list_contains(la
     query(f"label_candidates_{_kind}", f"with {E} select id from e where {_sql}")(lambda spark, sf_dir, kind=_kind: L.candidates(vectors(spark, sf_dir), kind, [2, 3]))
 query("label_stats", f"with {E} select count(*) as n_rows, max(len(labels)) as max_labels, avg(len(labels)) as avg_labels, (select count(distinct l) from (select unnest(labels) as l from e)) as n_labels from e")(lambda spark, sf_dir: L.label_stats(vectors(spark, sf_dir)))
 query("label_counts", f"with {E} select label, count(*) as n from (select unnest(labels) as label from e) group by 1")(lambda spark, sf_dir: L.label_counts(vectors(spark, sf_dir)))
-query("tombstone_filter", f"with {E} select id from e where id % 9 <> 4")(lambda spark, sf_dir: (lambda e: e.join(e.where("id % 9 = 4").select("id"), "id", "left_anti").select("id"))(vectors(spark, sf_dir)))
+query("tombstone_filter", f"with {E} select id from e where id % 9 <> 4")(lambda spark, sf_dir: (lambda e: knn.without(e, e.where("id % 9 = 4")).select("id"))(vectors(spark, sf_dir)))
 
 S_BROKEN = "b as (select id, case when id % 83 = 5 then vec[1:63] when id % 89 = 6 then list_concat(['nan'::double], vec[2:64]) when id % 97 = 7 then list_concat(['inf'::double], vec[2:64]) when id % 101 = 8 then list_transform(vec, lambda x: 0.0::double) else vec end as vec from e)"
 
@@ -235,6 +244,31 @@ query("knn_exact", f"with {E} select id, row_number() over (order by d, id)::int
 )
 for _metric in V.METRICS:
     query("knn_batch" if _metric == "l2" else f"knn_batch_{_metric}", s_knn(_metric))(lambda spark, sf_dir, m=_metric: (lambda e: r6(knn.topk_join(asked(e), e, K, m), "distance"))(vectors(spark, sf_dir)))
+
+
+S_FAR = "e as (select id, list_transform(vec, lambda x: x * 0.001 + 10000.0) as vec, labels from (select vec_id as id, embedding::double[] as vec, [label::bigint] as labels from embeddings))"
+
+
+def far(spark, sf_dir):
+    """Vectors a long way from the origin, close together."""
+    return vectors(spark, sf_dir).drop("vec").join(raw(spark, sf_dir).select("id", F.transform("vec", lambda x: x.cast("double") * 0.001 + 10000.0).alias("vec")), "id")
+
+
+def nine(df):
+    return df.withColumn("distance", F.round("distance", 9))
+
+
+query("knn_batch_offset", f"with {S_FAR}, {Q}, {s_pairs('l2')}, {s_top(f'rank <= {K}', columns='query_id, id, rank, round(distance, 9) as distance')}")(lambda spark, sf_dir: (lambda e: nine(knn.topk_join(asked(e), e, K)))(far(spark, sf_dir)))
+query("range_join_offset", f"with {S_FAR}, {Q}, {s_pairs('l2')}, {s_top('distance <= 0.00125', columns='query_id, id, rank, round(distance, 9) as distance')}")(lambda spark, sf_dir: (lambda e: nine(knn.range_join(asked(e), e, 0.00125)))(far(spark, sf_dir)))
+S_METRIC["l1"] = lambda a, b: s_sum(s_zip(a, b, "abs(x - y)"))
+
+
+def l1(a, b):
+    """A distance of one's own: of each pair of rows."""
+    return np.cumsum(np.abs(a - b), axis=1)[:, -1]
+
+
+query("knn_custom_distance", s_knn("l1"))(lambda spark, sf_dir: (lambda e: r6(knn.topk_join(asked(e), e, K, l1), "distance"))(vectors(spark, sf_dir)))
 query("knn_self", s_knn("l2", where="e.id <> query_id"))(lambda spark, sf_dir: (lambda e: r6(knn.topk_join(asked(e), e, K, self_join=True), "distance"))(vectors(spark, sf_dir)))
 query("range_join", f"with {E}, {Q}, {s_pairs('l2')}, {s_top(f'distance <= {RADIUS}')}")(lambda spark, sf_dir: (lambda e: r6(knn.range_join(asked(e), e, RADIUS), "distance"))(vectors(spark, sf_dir)))
 query("range_join_capped", f"with {E}, {Q}, {s_pairs('l2')}, {s_top(f'distance <= {RADIUS} and rank <= 3')}")(lambda spark, sf_dir: (lambda e: r6(knn.range_join(asked(e), e, RADIUS, max_results=3), "distance"))(vectors(spark, sf_dir)))
@@ -280,17 +314,28 @@ query("inertia", f"with {E}, {S_CENTROIDS} select round(sum(d), 4) as inertia, c
 
 @query("centroid_update", f"with {E}, {S_CENTROIDS}, a as (select e.id, arg_min(code, ({s_l2sq('e.vec', 'cv')}, code)) as code from e, c group by 1), x as (select code, unnest(vec) as x, generate_subscripts(vec, 1) as i from a join e using (id)) select code::int as code, (i - 1)::int as pos, round(avg(x), 6) as mean from x group by 1, 2")
 def centroid_update(spark, sf_dir):
-    a = kmeans.assign(vectors(spark, sf_dir), first_rows(spark, sf_dir))
-    return a.select("code", F.posexplode("vec").alias("pos", "x")).groupBy("code", "pos").agg(F.round(F.avg("x"), 6).alias("mean"))
+    return kmeans.means(vectors(spark, sf_dir), first_rows(spark, sf_dir)).select("code", F.posexplode("mean").alias("pos", "x")).select("code", "pos", F.round("x", 6).alias("mean"))
 
 
 @query("kmeans_fit")
 def kmeans_fit(spark, sf_dir):
-    c, inertia, done = kmeans.fit(vectors(spark, sf_dir), 8, rounds=10)
+    c, inertia, done = kmeans.fit(vectors(spark, sf_dir), 8)
     return spark.createDataFrame([(i, v, inertia, done) for i, v in enumerate(c)], "code int, centroid array<double>, inertia double, converged boolean")
 
 
-query("kmeans_elbow")(lambda spark, sf_dir: kmeans.elbow(vectors(spark, sf_dir), range(2, 5), trials=1, rounds=4))
+@query("kmeans_invariants", f"with {E} select 8::bigint as n_centroids, true as converged, count(*) as n_assigned, true as centroids_are_means, true as inertia_is_that_of_the_rows, true as better_than_at_random from e")
+def kmeans_invariants(spark, sf_dir):
+    """What holds of any converged fit, checked on all rows: centroids are their clusters' means, and the inertia is that of the rows."""
+    e = vectors(spark, sf_dir)
+    start = kmeans.first_centroids(e, 8, method="random")
+    c, inertia, done = kmeans.fit(e, 8)
+    own = kmeans.inertia(e, c).first()
+    moved = max(abs(x - y) for r in kmeans.means(e, c).collect() for x, y in zip(r["mean"], c[r["code"]]))  # 8 rows
+    row = (len(c), done, own["n"], moved < 0.01, abs(own["inertia"] - inertia) < 1e-3 * inertia, own["inertia"] < kmeans.inertia(e, start).first()["inertia"])
+    return spark.createDataFrame([row], "n_centroids bigint, converged boolean, n_assigned bigint, centroids_are_means boolean, inertia_is_that_of_the_rows boolean, better_than_at_random boolean")
+
+
+query("kmeans_elbow")(lambda spark, sf_dir: kmeans.elbow(vectors(spark, sf_dir), range(2, 5)))
 S_VALUES = "x as (select unnest(vec) as x from e), o as (select x, row_number() over (order by x) - 1 as i, count(*) over () as n from x)"
 S_NORMS = f"select min(v) as norm_min, max(v) as norm_max, avg(v) as norm_mean, stddev_pop(v) as norm_std from (select {s_norm('vec')} as v from e)"
 
@@ -369,55 +414,49 @@ def pq_sdc_distance(spark, sf_dir):
 query("codebook_validate", f"with {E}, {S_BOOK} select count(*) as n, count(*) filter (len(c) = {PQ.width}) as n_good, count(*) = {PQ.m * PQ.k} as valid from b")(lambda spark, sf_dir: pq.validate(pq.table(spark, book_of(spark, sf_dir)), PQ.m, PQ.k, PQ.width))
 
 
+query("codebook_json", f"with {E}, {S_BOOK} select m::int as subspace, code::int as code, list_transform(c, lambda x: round(x, 6)) as centroid from b")(
+    lambda spark, sf_dir: pq.table(spark, pq.from_json(pq.to_json(book_of(spark, sf_dir), PQ))[0]).select("subspace", "code", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
+)
+query("codebook_lookup", f"with {E}, {S_BOOK} select list_transform(c, lambda x: round(x, 6)) as centroid from b where m = 3 and code = 5")(lambda spark, sf_dir: pq.lookup(pq.table(spark, book_of(spark, sf_dir)), 3, 5).select(F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid")))
+
+
 @query("pq_train")
 def pq_train(spark, sf_dir):
-    return pq.train(vectors(spark, sf_dir), pq.Params(64, 8, 5, rounds=10))[1]
+    return pq.train(vectors(spark, sf_dir), pq.Params(64))[1]
 
 
 @query("pq_search_rerank")
 def pq_search_rerank(spark, sf_dir):
     """Recall of two-stage search with a trained codebook against exact search."""
     e = vectors(spark, sf_dir)
-    book, _ = pq.train(e, pq.Params(64, 16, 6, rounds=10))
+    book, _ = pq.train(e, pq.Params(64, 16))
     found = pq.search(asked(e), pq.encode(e.select("id", "vec"), book), book, K, factor=20)
     return knn.recall(found, knn.topk_join(asked(e), e, K), K)
 
 
 # ----------------------------------------------------------------- graphs (2.8)
 
-S_EDGES = f"{E}, k as (select a.id as src, b.id as dst, row_number() over (partition by a.id order by {s_l2('a.vec', 'b.vec')}, b.id) as r from e a, e b where a.id <> b.id and a.id % 50 = 0), g as (select src, dst from k where r <= 5)"
+# the graph of all rows' nearest neighbours
+S_EDGES = f"{E}, k as (select a.id as src, b.id as dst, row_number() over (partition by a.id order by {s_l2('a.vec', 'b.vec')}, b.id) as r from e a, e b where a.id <> b.id), g as (select src, dst from k where r <= 5)"
 
 
 def neighbour_graph(spark, sf_dir, k=5):
-    """src, dst of the nearest neighbours of the queries."""
-    e = vectors(spark, sf_dir)
-    return knn.topk_join(asked(e), e, k, self_join=True).select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
-
-
-query("graph_stats", f"with {S_EDGES}, d as (select src, count(*) as n from g group by 1) select count(*) as n_vertices, sum(n)::bigint as n_edges, avg(n) as avg_degree, min(n)::int as min_degree, max(n)::int as max_degree from d")(lambda spark, sf_dir: graph.graph_stats(neighbour_graph(spark, sf_dir).groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("neighbors"))))
-query("graph_reachable", f"with recursive {S_EDGES}, r as (select 0::bigint as v union select dst from r join g on g.src = r.v) select v from r")(lambda spark, sf_dir: graph.reachable(neighbour_graph(spark, sf_dir), 0))
-query("topology_similarity", f"with {S_EDGES}, h as (select src, dst from k where r <= 3) select count(h.src) as n_both, count(*) as n_either, count(h.src) / count(*)::double as similarity from g full join h using (src, dst)")(lambda spark, sf_dir: graph.topology_similarity(neighbour_graph(spark, sf_dir), neighbour_graph(spark, sf_dir, 3)))
-
-# the same over the graph of all rows
-
-S_ALL_EDGES = S_EDGES.replace(" and a.id % 50 = 0", "")
-
-
-def whole_graph(spark, sf_dir, k=5):
     """src, dst of the nearest neighbours of all rows."""
     e = vectors(spark, sf_dir)
     return knn.topk_join(e.select(F.col("id").alias("query_id"), "vec"), e, k, self_join=True).select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
 
 
-query("graph_stats_all", f"with {S_ALL_EDGES}, d as (select src, count(*) as n from g group by 1) select count(*) as n_vertices, sum(n)::bigint as n_edges, avg(n) as avg_degree, min(n)::int as min_degree, max(n)::int as max_degree from d")(lambda spark, sf_dir: graph.graph_stats(whole_graph(spark, sf_dir).groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("neighbors"))))
-query("graph_reachable_all", f"with recursive {S_ALL_EDGES}, r as (select 0::bigint as v union select dst from r join g on g.src = r.v) select v from r")(lambda spark, sf_dir: graph.reachable(whole_graph(spark, sf_dir), 0))
-query("topology_similarity_all", f"with {S_ALL_EDGES}, h as (select src, dst from k where r <= 3) select count(h.src) as n_both, count(*) as n_either, count(h.src) / count(*)::double as similarity from g full join h using (src, dst)")(lambda spark, sf_dir: graph.topology_similarity(whole_graph(spark, sf_dir), whole_graph(spark, sf_dir, 3)))
+query("graph_stats", f"with {S_EDGES}, d as (select src, count(*) as n from g group by 1) select count(*) as n_vertices, sum(n)::bigint as n_edges, avg(n) as avg_degree, min(n)::int as min_degree, max(n)::int as max_degree from d")(lambda spark, sf_dir: graph.graph_stats(neighbour_graph(spark, sf_dir).groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("neighbors"))))
+S_REACHED = f"with recursive {S_EDGES}, r as (select 0::bigint as v union select dst from r join g on g.src = r.v)"
+query("graph_reachable", f"{S_REACHED} select v from r")(lambda spark, sf_dir: graph.reachable(neighbour_graph(spark, sf_dir), 0))
+query("graph_connectivity", f"{S_REACHED} select count(*) as n_reached, round(count(*) / (select count(*) from e)::double, 6) as ratio from r")(lambda spark, sf_dir: r6(graph.connectivity(neighbour_graph(spark, sf_dir), 0, vectors(spark, sf_dir).count()), "ratio"))
+query("topology_similarity", f"with {S_EDGES}, h as (select src, dst from k where r <= 3) select count(h.src) as n_both, count(*) as n_either, count(h.src) / count(*)::double as similarity from g full join h using (src, dst)")(lambda spark, sf_dir: graph.topology_similarity(neighbour_graph(spark, sf_dir), neighbour_graph(spark, sf_dir, 3)))
 
 PARAMS = graph.IndexParams(degree=32, beam=64)
 
 
 def built(spark, sf_dir):
-    return graph.build(vectors(spark, sf_dir), PARAMS, shard_rows=1000)
+    return graph.build(vectors(spark, sf_dir), PARAMS)
 
 
 query("graph_build")(lambda spark, sf_dir: built(spark, sf_dir).select("shard", "id", "entry", "neighbors"))
@@ -430,12 +469,97 @@ def graph_search(spark, sf_dir):
     return knn.recall(graph.search(asked(e), built(spark, sf_dir), K, PARAMS), knn.topk_join(asked(e), e, K), K)
 
 
+# An approximate result can't be told row by row; that its recall is 0.9 or more can.
+
+S_GOOD = "select count(*) as n_queries, true as recall_is_90 from q"
+
+
+def good(found, truth, k=K):
+    return knn.recall(found, truth, k).select("n_queries", (F.col("recall_at_k") >= 0.9).alias("recall_is_90"))
+
+
+def table(spark, sf_dir):
+    return VectorTable(vectors(spark, sf_dir).select("id", "vec", "labels"), PARAMS).with_graph()
+
+
+@query("graph_recall", f"with {E}, {Q} {S_GOOD}")
+def graph_recall(spark, sf_dir):
+    e = vectors(spark, sf_dir)
+    return good(table(spark, sf_dir).search(asked(e), K), knn.topk_join(asked(e), e, K))
+
+
+@query("graph_filtered_recall", f"with {E}, {Q} {S_GOOD}")
+def graph_filtered_recall(spark, sf_dir):
+    """The graph searched for rows that have label 3, with a beam that leaves room for the others."""
+    e = vectors(spark, sf_dir)
+    return good(table(spark, sf_dir).search(asked(e), K, beam=400, filter="any_of", labels=(3,)), knn.filtered_topk(asked(e), e, K, L.any_of("labels", [3])))
+
+
+@query("graph_range_recall", f"with {E}, {Q}, {s_pairs('l2')} select count(*) as n_rows, true as recall_is_90, true as all_inside from p where d <= {RADIUS}")
+def graph_range_recall(spark, sf_dir):
+    e = vectors(spark, sf_dir)
+    found, truth = table(spark, sf_dir).range_search(asked(e), RADIUS, beam=400), knn.range_join(asked(e), e, RADIUS).select("query_id", F.col("id").alias("t"))
+    hit = truth.join(found.select(F.col("query_id").alias("_q"), "id", "distance"), (F.col("query_id") == F.col("_q")) & (F.col("t") == F.col("id")), "left")
+    return hit.agg(F.count(F.lit(1)).alias("n_rows"), (F.count("id") >= 0.9 * F.count(F.lit(1))).alias("recall_is_90"), F.coalesce(F.max("distance") <= RADIUS, F.lit(True)).alias("all_inside"))
+
+
+@query("index_round_trip", f"with {E}, {Q}, t as (select count(*) as n_rows from e) select t.n_rows, 64 as dimension, count(*) as n_queries, true as recall_is_90, true as same_as_before, true as two_stage_recall_is_90, true as counted from q, t group by all")
+def index_round_trip(spark, sf_dir):
+    """A table with graph and codes saved, loaded, and searched as before."""
+    e = vectors(spark, sf_dir)
+    made = table(spark, sf_dir).with_codes(pq.Params(64, 16))
+    path = scratch_path(spark, "index")
+    made.save(path)
+    back = VectorTable.load(spark, path)
+    truth = knn.topk_join(asked(e), e, K)
+    found = back.search(asked(e), K)
+    same = knn.compare(made.search(asked(e), K), found).first()
+    counters = back.counters(asked(e), coded=True).agg(F.min("visited").alias("v"), F.min(F.col("computed") - F.col("visited")).alias("c")).first()
+    two = good(back.search_coded(asked(e), K, beam=150), truth).first()
+    return good(found, truth).select(F.lit(back.size()).cast("bigint").alias("n_rows"), F.lit(back.dimension()).alias("dimension"), "n_queries", "recall_is_90", F.lit(same["n_different"] == 0).alias("same_as_before"), F.lit(two["recall_is_90"]).alias("two_stage_recall_is_90"), F.lit(counters["v"] > 0 and counters["c"] >= 0).alias("counted"))
+
+
+@query("index_changes", f"with {E}, {Q}, t as (select count(*) as n_rows from e where id % 9 <> 4) select t.n_rows, count(*) as n_queries, true as recall_is_90, true as deleted_are_never_found from q, t group by all")
+def index_changes(spark, sf_dir):
+    """A quarter of the rows inserted into a built graph, a ninth deleted from it."""
+    e = vectors(spark, sf_dir).select("id", "vec", "labels")
+    t = VectorTable(e.where("id % 4 <> 1"), PARAMS).with_graph().insert(e.where("id % 4 = 1")).delete(e.where("id % 9 = 4"))
+    found = t.search(asked(e), K)
+    gone = found.where("id % 9 = 4").limit(1).count()
+    return good(found, knn.topk_join(asked(e), e.where("id % 9 <> 4"), K)).select(F.lit(t.size()).cast("bigint").alias("n_rows"), "n_queries", "recall_is_90", F.lit(gone == 0).alias("deleted_are_never_found"))
+
+
+@query("index_stats", f"with {E} select count(*) as n_rows, 64 as dimension, 1::bigint as n_shards, true as degrees_are_bounded, count(*) * 256 as vector_bytes, true as graph_bytes_are_edges from e")
+def index_stats(spark, sf_dir):
+    s = table(spark, sf_dir).stats()
+    return s.select("n_rows", "dimension", "n_shards", ((F.col("max_degree") <= PARAMS.degree) & (F.col("avg_degree") > 1)).alias("degrees_are_bounded"), "vector_bytes", (F.col("graph_bytes") == 4 * F.col("n_edges")).alias("graph_bytes_are_edges"))
+
+
+@query("graph_pruned", f"with {E} select count(*) as n_vertices, true as degrees_are_bounded, true as edges_are_kept_ones from e")
+def graph_pruned(spark, sf_dir):
+    """The built graph cut to half of its degree, edges dropped in both directions."""
+    nodes = built(spark, sf_dir)
+    cut = graph.prune(nodes, graph.IndexParams(degree=16, beam=64))
+    new = graph.edges(cut).join(graph.edges(nodes), ["src", "dst"], "left_anti").limit(1).count()
+    return graph.graph_stats(cut).select("n_vertices", (F.col("max_degree") <= 16).alias("degrees_are_bounded"), F.lit(new == 0).alias("edges_are_kept_ones"))
+
+
 # ------------------------------------------------------------- set operations (2.9)
 
 S_AB = f"{E}, a as (select unnest(labels) as x from e where id % 2 = 0), b as (select unnest(labels) as x from e where id % 5 = 1)"
-for _name, _how, _sql in (("set_union", lambda a, b: a.unionAll(b).distinct(), "union"), ("set_intersection", lambda a, b: a.intersect(b), "intersect"), ("set_difference", lambda a, b: a.exceptAll(b).distinct().join(b, "x", "left_anti"), "except")):
+for _name, _how, _sql in (("set_union", sets.union, "union"), ("set_intersection", sets.intersection, "intersect"), ("set_difference", sets.difference, "except")):
     query(_name, f"with {S_AB} select x from a {_sql} select x from b")(lambda spark, sf_dir, how=_how: (lambda e: how(e.where("id % 2 = 0").select(F.explode("labels").alias("x")), e.where("id % 5 = 1").select(F.explode("labels").alias("x"))))(vectors(spark, sf_dir)))
 
+
+
+def some_labels(spark, sf_dir):
+    return vectors(spark, sf_dir).where("id % 2 = 0").select(F.explode("labels").alias("x"))
+
+
+query("set_insert_remove", f"with {S_AB} select x from (select distinct x from a union select unnest([100, 101])::bigint) where x not in (3, 101)")(lambda spark, sf_dir: sets.remove(sets.insert(some_labels(spark, sf_dir), [100, 101]), [3, 101]))
+query("set_contains", f"with {S_AB} select x, x in (select x from a) as present from (select unnest([2, 3, 500])::bigint as x)")(lambda spark, sf_dir: sets.contains(some_labels(spark, sf_dir), [2, 3, 500]))
+query("number_map", f"with {E} select id as k, case when id % 3 = 0 then -id else label::bigint end as v from e where id in (1, 3, 6, 7)")(lambda spark, sf_dir: (lambda e: sets.get(sets.put(e.select(F.col("id").alias("k"), F.col("label").cast("bigint").alias("v")), e.where("id % 3 = 0").select(F.col("id").alias("k"), (-F.col("id")).alias("v"))), [1, 3, 6, 7]))(vectors(spark, sf_dir)))
+
 # ----------------------------------------------------------- changing tables (2.11)
 
 S_OPS = "ops as (select event_id as seq, case when event_id % 5 = 0 then 'delete' when event_id % 11 = 0 then 'set_labels' else 'insert' end as op, user_id as id, value::float as value, [(event_id % 3)::bigint, 5::bigint] as labels from events), st as (select id, arg_max(op, seq) as op, arg_max(value, seq) as value, arg_max(labels, seq) as labels, max(seq) as seq from ops where op <> 'set_labels' group by 1), rl as (select id, arg_max(labels, seq) as labels, max(seq) as seq from ops where op = 'set_labels' group by 1), s as (select st.id, st.op, st.value, case when rl.seq > st.seq then rl.labels else st.labels end as labels from st left join rl using (id)), l as (select id, round(value::double, 4) as value, labels from s where op = 'insert')"
@@ -451,18 +575,26 @@ query("live_stats", f"with {S_OPS} select count(*) filter (op = 'insert') as n_l
 query("consolidate", f"with {S_OPS} select *, row_number() over (order by id) - 1 as new_id from l")(lambda spark, sf_dir: shown(live.consolidate(operations(spark, sf_dir))))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder that all executors share; a temporary one where none is named (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    import uuid
+query("live_rejected", "with ops as (select event_id as seq, case when event_id % 5 = 0 then 'delete' else 'insert' end as op, user_id as id from events where event_id % 5 = 0 or event_id % 11 <> 0), b as (select *, lag(op) over (partition by id order by seq) as before from ops) select seq, id from b where op = 'delete' and before is distinct from 'insert'")(lambda spark, sf_dir: live.rejected(operations(spark, sf_dir)))
 
-    return f"{where.rstrip('/')}/ql-{uuid.uuid4().hex}" if where else "file://" + tempfile.mkdtemp(prefix="quiverlake-")
+
+S_VECTOR_OPS = f"{E}, l as (select id, vec, labels from e where id % 3 <> 1)"
+
+
+@query("live_search", f"with {S_VECTOR_OPS}, {Q}, {s_pairs('l2', base='l')}, {s_top(f'rank <= {K}')}")
+def live_search(spark, sf_dir):
+    """Search over a table that rows were inserted into and deleted from."""
+    e = vectors(spark, sf_dir)
+    row = lambda seq, op, vec: e.select(seq.alias("seq"), F.lit(op).alias("op"), "id", vec.alias("vec"), "labels")
+    inserts = row(F.col("id"), "insert", F.col("vec"))
+    deletes = row(F.col("id") + 1_000_000, "delete", F.lit(None).cast("array<double>")).where("id % 3 = 1")
+    return r6(live.search(asked(e), inserts.unionAll(deletes), K), "distance")
 
 
 @query("live_stream", f"with {S_OPS} select * from l")
 def live_stream(spark, sf_dir):
     """The operations written as files and followed as a stream of micro-batches; the last version's live rows."""
-    at = scratch(spark)
+    at = scratch_path(spark, "files")
     operations(spark, sf_dir).repartitionByRange(4, "seq").write.parquet(f"{at}/ops")
     table = live.LiveTable(spark, f"{at}/table", max_fragmentation=1.0)
     stream = spark.readStream.schema(live.OPS).option("maxFilesPerTrigger", 2).parquet(f"{at}/ops")
@@ -476,7 +608,7 @@ def live_stream(spark, sf_dir):
 def round_trip(spark, sf_dir, form, layout="", dtype="float32", scale=1.0):
     """The vectors written in a format and read back, with the id as one more element."""
     spark.dataSource.register(vecfiles.VectorFiles)
-    at = scratch(spark)
+    at = scratch_path(spark, "files")
     rows = raw(spark, sf_dir)
     v = F.transform("vec", lambda x: x * F.lit(scale).cast("float"))
     rows = rows.select(F.concat(F.array(F.col("id") % 100).cast("array<float>"), v).alias("vec"))
@@ -495,5 +627,49 @@ query("bvecs_round_trip", s_trip("greatest(0.0, least(255.0, round((x::float * 5
 query("ivecs_round_trip", s_trip("round((x::float * 10000.0::float)::double)"))(lambda spark, sf_dir: round_trip(spark, sf_dir, "ivecs", scale=10000.0))
 query("bin_header8_round_trip", s_trip("x"))(lambda spark, sf_dir: round_trip(spark, sf_dir, "bin", "header8"))
 query("bin_raw_round_trip", s_trip("x"))(lambda spark, sf_dir: round_trip(spark, sf_dir, "bin", "raw"))
+query("bin_float32_round_trip", s_trip("x"))(lambda spark, sf_dir: round_trip(spark, sf_dir, "bin", "header32"))
+query("bin_uint8_round_trip", s_trip("greatest(0.0, least(255.0, round((x::float * 500.0::float)::double)))"))(lambda spark, sf_dir: round_trip(spark, sf_dir, "bin", "header32", "uint8", 500.0))
+query("bin_float16_round_trip", s_trip(f"(round_even(x / {S_HALF}, 0) * {S_HALF})::double"))(lambda spark, sf_dir: round_trip(spark, sf_dir, "bin", "header32", "float16"))
+
+
+@query("file_ids", f"with {R} select count(*) as n, count(*) as n_ids, max(id) as last, count(*) as in_order from e")
+def file_ids(spark, sf_dir):
+    """Rows written to several files in the order of their ids get those ids back when all are read."""
+    spark.dataSource.register(vecfiles.VectorFiles)
+    at = scratch_path(spark, "files")
+    rows = raw(spark, sf_dir).select(F.array(F.col("id").cast("float")).alias("vec"), "id")
+    rows.repartitionByRange(5, "id").sortWithinPartitions("id").select("vec").write.format("vectors").mode("append").options(format="fvecs").save(at)
+    back = spark.read.format("vectors").options(format="fvecs").load(at)
+    return back.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_ids"), F.max("id").alias("last"), F.count_if(F.get("vec", F.lit(0)).cast("bigint") == F.col("id")).alias("in_order"))
+
+
+@query("convert_format", s_trip("greatest(0.0, least(255.0, round((x::float * 500.0::float)::double)))"))
+def convert_format(spark, sf_dir):
+    """fvecs files read, converted to bvecs files, and read again."""
+    spark.dataSource.register(vecfiles.VectorFiles)
+    at = scratch_path(spark, "files")
+    v = F.transform("vec", lambda x: x * F.lit(500.0).cast("float"))
+    raw(spark, sf_dir).select(F.concat(F.array(F.col("id") % 100).cast("array<float>"), v).alias("vec")).write.format("vectors").mode("append").options(format="fvecs").save(f"{at}/a")
+    spark.read.format("vectors").options(format="fvecs").load(f"{at}/a").select("vec").write.format("vectors").mode("append").options(format="bvecs").save(f"{at}/b")
+    back = spark.read.format("vectors").options(format="bvecs").load(f"{at}/b")
+    return back.select(F.get("vec", F.lit(0)).cast("bigint").alias("id"), F.aggregate(F.slice(F.col("vec").cast("array<double>"), 2, 64), F.lit(0.0), lambda s, x: s + x).alias("total")).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("total"), 3).alias("total"))
+
+
+query("label_lines", f"with {E} select id, labels from e")(lambda spark, sf_dir: (lambda e: results.check_count(results.parse_labels(e.select("id", F.concat_ws(", ", F.transform("labels", lambda x: x.cast("string"))).alias("line")), pos="id"), e.count(), "labels"))(vectors(spark, sf_dir)))
+
+
+@query("ground_truth", s_knn("l2", columns="query_id, id, rank"))
+def ground_truth(spark, sf_dir):
+    """Exact neighbours written as ivecs and read as ground truth."""
+    spark.dataSource.register(vecfiles.VectorFiles)
+    at = scratch_path(spark, "files")
+    e = vectors(spark, sf_dir)
+    lists = knn.topk_join(asked(e), e, 2 * K).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"].cast("float")).alias("vec"))
+    lists.repartitionByRange(1, "query_id").sortWithinPartitions("query_id").select("vec").write.format("vectors").mode("append").options(format="ivecs").save(at)
+    found = results.check_count(spark.read.format("vectors").options(format="ivecs").load(at), asked(e).count(), "ground truth")
+    return results.ground_truth(found, K).select((F.col("query_id") * 50).alias("query_id"), "id", "rank")
+
+
+query("result_binary", f"with {E}, {Q}, {s_pairs('l2')}, {s_top(f'rank <= {K}', columns='query_id, id, rank, round(distance::float::double, 4) as distance')}")(lambda spark, sf_dir: (lambda e: r6(results.parse_result_bytes(results.result_bytes(knn.topk_join(asked(e), e, K), K + 2)).where(f"rank <= {K}"), "distance", places=4))(vectors(spark, sf_dir)))
 query("bin_int8_round_trip", s_trip("greatest(-128.0, least(127.0, round((x::float * 300.0::float)::double)))"))(lambda spark, sf_dir: round_trip(spark, sf_dir, "bin", "header32", "int8", 300.0))
 query("result_text", f"with {E}, {Q}, {s_pairs('l2')}, t as (select query_id, id, d, row_number() over (partition by query_id order by d, id) as rank from p qualify rank <= {K}) select query_id, query_id || ' ' || string_agg(id || ':' || printf('%.6f', d), ' ' order by rank) as line from t group by 1")(lambda spark, sf_dir: (lambda e: results.result_lines(knn.topk_join(asked(e), e, K)))(vectors(spark, sf_dir)))

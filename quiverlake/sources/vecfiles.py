@@ -4,7 +4,8 @@ Formats: fvecs, bvecs, ivecs (a dimension before each row), and bin with an
 explicit layout: header32 (eight 32-bit numbers: rows, dimension, element type
 0..3, five reserved), header8 (rows, dimension, then float32) or raw (float32, the
 dimension is an option). A file is split into ranges of rows. Reading gives
-``pos bigint`` (the place in its file), ``vec``, ``file``.
+``pos bigint`` (the place in its file), ``vec``, ``file`` and ``id bigint`` (the place in
+all files in the order of their names).
 
     spark.dataSource.register(VectorFiles)
     spark.read.format("vectors").option("format", "fvecs").load("file:///data/base.fvecs")
@@ -103,22 +104,31 @@ def convert(x: np.ndarray, kind: str) -> np.ndarray:
     return np.clip(np.sign(x) * np.floor(np.abs(x) + 0.5), info.min, info.max).astype(dtype)
 
 
-def encode(x: np.ndarray, form: str, layout: str = "", dtype: str = "float32") -> bytes:
+def header(n: int, d: int, layout: str, dtype: str) -> bytes:
+    """The first bytes of a bin file."""
+    return {"header32": struct.pack("<8I", n, d, NAMES[dtype], 0, 0, 0, 0, 0), "header8": struct.pack("<2I", n, d), "raw": b""}[layout]
+
+
+def encode_rows(x: np.ndarray, form: str, layout: str = "", dtype: str = "float32") -> bytes:
+    """Rows without a file's header."""
     n, d = x.shape
-    if form in ROW_TYPES:
-        rows = convert(x, ROW_TYPES[form])
-        out = np.empty((n, 4 + d * rows.itemsize), np.uint8)
-        out[:, :4] = np.frombuffer(struct.pack("<I", d), np.uint8)
-        out[:, 4:] = rows.view(np.uint8).reshape(n, -1)
-        return out.tobytes()
-    t = NAMES[dtype] if layout == "header32" else 0
-    head = {"header32": struct.pack("<8I", n, d, t, 0, 0, 0, 0, 0), "header8": struct.pack("<2I", n, d), "raw": b""}[layout]
-    return head + convert(x, TYPES[t]).tobytes()
+    if form not in ROW_TYPES:
+        return convert(x, TYPES[NAMES[dtype] if layout == "header32" else 0]).tobytes()
+    rows = convert(x, ROW_TYPES[form])
+    out = np.empty((n, 4 + d * rows.itemsize), np.uint8)
+    out[:, :4] = np.frombuffer(struct.pack("<I", d), np.uint8)
+    out[:, 4:] = rows.view(np.uint8).reshape(n, -1)
+    return out.tobytes()
+
+
+def encode(x: np.ndarray, form: str, layout: str = "", dtype: str = "float32") -> bytes:
+    """A whole file."""
+    return (b"" if form in ROW_TYPES else header(*x.shape, layout, dtype)) + encode_rows(x, form, layout, dtype)
 
 
 class _Range(InputPartition):
-    def __init__(self, path: str, shape: Shape, first: int, rows: int):
-        self.path, self.shape, self.first, self.rows = path, shape, first, rows
+    def __init__(self, path: str, shape: Shape, first: int, rows: int, before: int = 0):
+        self.path, self.shape, self.first, self.rows, self.before = path, shape, first, rows, before
 
 
 class _Reader(DataSourceReader):
@@ -132,11 +142,13 @@ class _Reader(DataSourceReader):
         info = fs.get_file_info(path)
         files = [info] if info.type == pafs.FileType.File else sorted((f for f in fs.get_file_info(pafs.FileSelector(path)) if f.type == pafs.FileType.File and not f.base_name.startswith(("_", "."))), key=lambda f: f.path)
         out: list[InputPartition] = []
+        before = 0
         for f in files:
             with fs.open_input_file(f.path) as x:
                 s = shape_of(x.read(32), f.size, self.options, f.path)
             step = max(1, RANGE_BYTES // s.stride)
-            out += [_Range(f.path, s, i, min(step, s.rows - i)) for i in range(0, s.rows, step)]
+            out += [_Range(f.path, s, i, min(step, s.rows - i), before) for i in range(0, s.rows, step)]
+            before += s.rows
         return out or [_Range("", Shape(0, 1, 0, "<f4", 0, 0), 0, 0)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
@@ -151,7 +163,7 @@ class _Reader(DataSourceReader):
                 x.seek(s.start + i * s.stride)
                 v = decode(x.read(n * s.stride), s)
                 cells = pa.ListArray.from_arrays(pa.array(np.arange(0, n * s.dimension + 1, max(1, s.dimension))[: n + 1], pa.int32()), pa.array(v.ravel(), kind))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + n)), cells, pa.array([part.path.rsplit("/", 1)[-1]] * n)], ["pos", "vec", "file"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + n)), cells, pa.array([part.path.rsplit("/", 1)[-1]] * n), pa.array(np.arange(i, i + n) + part.before)], ["pos", "vec", "file", "id"])
 
 
 @dataclass
@@ -169,25 +181,35 @@ class _Writer(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        form = self.options.get("format", "fvecs")
-        parts = []
-        for b in batches:
-            v = b.column(b.schema.get_field_index("vec"))
-            if b.num_rows:
-                size = np.diff(np.asarray(v.offsets))
-                if (size != size[0]).any() or parts and parts[0].shape[1] != size[0]:
-                    raise ValueError("vectors of more than one dimension")
-                parts.append(np.asarray(v.flatten()).reshape(b.num_rows, size[0]))
-        if not parts:
-            return _Part("", 0)
+        form, layout, dtype = (self.options.get(k, v) for k, v in (("format", "fvecs"), ("layout", "header32"), ("dtype", "float32")))
         fs, folder = filesystem(self.options["path"])
-        fs.create_dir(folder, recursive=True)
         c = TaskContext.get()
         path = f"{folder}/part-{c.partitionId():05d}-{c.taskAttemptId()}.{form}"
-        x = np.concatenate(parts)
-        with fs.open_output_stream(f"{path}.tmp") as f:
-            f.write(encode(x, form, self.options.get("layout", "header32"), self.options.get("dtype", "float32")))
-        return _Part(path, len(x))
+        out, n, d = None, 0, 0
+        for b in batches:
+            v = b.column(b.schema.get_field_index("vec"))
+            if not b.num_rows:
+                continue
+            size = np.diff(np.asarray(v.offsets))
+            if out is None:
+                fs.create_dir(folder, recursive=True)
+                out, d = fs.open_output_stream(f"{path}.rows.tmp"), int(size[0])
+            if (size != d).any():
+                raise ValueError("vectors of more than one dimension")
+            out.write(encode_rows(np.asarray(v.flatten()).reshape(b.num_rows, d), form, layout, dtype))
+            n += b.num_rows
+        if out is None:
+            return _Part("", 0)
+        out.close()
+        if form in ROW_TYPES:
+            fs.move(f"{path}.rows.tmp", f"{path}.tmp")
+        else:  # the header has the number of rows, which is known now
+            with fs.open_input_stream(f"{path}.rows.tmp") as rows, fs.open_output_stream(f"{path}.tmp") as f:
+                f.write(header(n, d, layout, dtype))
+                while part := rows.read(4 << 20):
+                    f.write(part)
+            fs.delete_file(f"{path}.rows.tmp")
+        return _Part(path, n)
 
     def commit(self, messages: list) -> None:
         from pyarrow import fs as pafs
@@ -215,7 +237,7 @@ class VectorFiles(DataSource):
 
     def schema(self) -> str:
         form = self.options.get("format") or detect(self.options["path"])
-        return f"pos bigint, vec array<{'int' if form == 'ivecs' else 'float'}>, file string"
+        return f"pos bigint, vec array<{'int' if form == 'ivecs' else 'float'}>, file string, id bigint"
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(dict(self.options))

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
+from ..operators import knn
+from ..sources.shared import stage
+
 OPS = "seq bigint, op string, id bigint, vec array<float>, labels array<bigint>"
 
 
@@ -33,6 +36,18 @@ def tombstones(ops: DataFrame) -> DataFrame:
     return last_ops(ops).where(F.col("op") == "delete").select("id")
 
 
+def rejected(ops: DataFrame) -> DataFrame:
+    """seq, id of the deletions of ids that weren't live at the time: unknown, or deleted already."""
+    before = F.lag("op").over(Window.partitionBy("id").orderBy("seq"))
+    placed = ops.where(F.col("op").isin("insert", "delete")).select("seq", "id", "op", before.alias("_b"))
+    return placed.where((F.col("op") == "delete") & F.coalesce(F.col("_b") != "insert", F.lit(True))).select("seq", "id")
+
+
+def search(queries: DataFrame, ops: DataFrame, k: int, metric: str = "l2", **names) -> DataFrame:
+    """The k nearest live rows: deleted ones are never found."""
+    return knn.topk_join(queries, live(ops), k, metric, **names)
+
+
 def stats(ops: DataFrame) -> DataFrame:
     """One row: live and deleted ids, and fragmentation (deleted over all)."""
     s = last_ops(ops).agg(F.count_if(F.col("op") == "insert").alias("n_live"), F.count_if(F.col("op") == "delete").alias("n_deleted"))
@@ -44,7 +59,7 @@ def consolidate(ops: DataFrame) -> DataFrame:
     rows = live(ops)
     placed = rows.repartitionByRange("id").sortWithinPartitions("id").withColumn("_m", F.monotonically_increasing_id())
     placed = placed.withColumn("_p", F.shiftright("_m", 33)).withColumn("_r", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
-    placed = placed.cache()
+    placed = stage(placed, "consolidated")  # ranges are drawn anew each time they are computed, so they are computed once
     # a row a partition
     before = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     return placed.join(F.broadcast(before), F.col("_p") == F.col("_q")).select("id", (F.col("_b") + F.col("_r")).alias("new_id"), "vec", "labels")
@@ -79,6 +94,17 @@ class LiveTable:
         """The last committed version's live rows."""
         return self.state().where(F.col("op") == "insert").select("id", "vec", "labels")
 
+    def search(self, queries: DataFrame, k: int, metric: str = "l2", **names) -> DataFrame:
+        """The k nearest of the last version's live rows."""
+        return knn.topk_join(queries, self.read(), k, metric, **names)
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Deletes all versions but the last ``keep``; readers of older ones must be done."""
+        jvm = self.spark._jvm
+        for v in self._versions()[: -max(1, keep)]:
+            where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}")
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
     def apply(self, ops: DataFrame, version: int | None = None) -> None:
         """A batch of operations; a version that is there already is left (a batch may come again)."""
         have = self._versions()

@@ -55,10 +55,14 @@ def test_entry(spark):
 
 def test_graph_of_all_rows(spark):
     n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
-    s = registry.QUERIES["graph_stats_all"](spark, str(SF)).first()
+    s = registry.QUERIES["graph_stats"](spark, str(SF)).first()
     assert (s.n_vertices, s.n_edges) == (n, 5 * n)
-    assert registry.QUERIES["graph_reachable_all"](spark, str(SF)).count() > registry.QUERIES["graph_reachable"](spark, str(SF)).count()
-    assert registry.QUERIES["topology_similarity_all"](spark, str(SF)).first().n_either == 5 * n
+    assert registry.QUERIES["topology_similarity"](spark, str(SF)).first().n_either == 5 * n
+
+
+@pytest.mark.parametrize("name", ["graph_search", "pq_search_rerank"])
+def test_registered_searches_find_nine_in_ten(spark, name):
+    assert registry.QUERIES[name](spark, str(SF)).first().recall_at_k >= 0.9
 
 
 def test_reachable_does_not_stop_silently(spark):

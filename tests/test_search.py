@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quiverlake.functions import labels as L
 from quiverlake.operators import graph, kmeans, knn, pq
+from quiverlake.operators.index import VectorTable
 
 
 def table(spark, x, **extra):
@@ -42,6 +43,41 @@ def test_more_than_there_are_and_errors(spark):
         knn.topk_join(asked, base, 0)
 
 
+@pytest.mark.parametrize(("offset", "noise"), [(1e4, 1e-3), (1e3, 1e-4), (-1e6, 1.0)])
+def test_exact_search_far_from_the_origin(spark, offset, noise):
+    x = offset + noise * uniform(3000, 64)
+    base = table(spark, x).coalesce(1)
+    asked = table(spark, x[:10] + noise * 0.01).withColumnRenamed("id", "query_id")
+    q = x[:10] + noise * 0.01
+    d = np.stack([knn.exact("l2", np.repeat(v[None], 3000, 0), x) for v in q])
+    got = knn.topk_join(asked, base, 10).collect()
+    for i in range(10):
+        want = np.lexsort((np.arange(3000), d[i]))[:10].tolist()
+        assert [r.id for r in sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])] == want
+    radius = float(np.sort(d[0])[20])
+    inside = {(r.query_id, r.id) for r in knn.range_join(asked, base, radius).collect()}
+    assert inside == {(i, j) for i in range(10) for j in np.flatnonzero(d[i] <= radius).tolist()}
+
+
+def test_nearly_orthogonal_and_nearly_parallel(spark):
+    x = np.repeat(np.eye(8)[:1] * 1e8, 40, 0)
+    x[:, 1:] = 1e-3 * uniform(40, 7)
+    asked = table(spark, np.eye(8)[1:2] * 1e8).withColumnRenamed("id", "query_id")
+    for metric in ("inner_product", "cosine"):
+        d = knn.exact(metric, np.repeat(np.eye(8)[1:2] * 1e8, 40, 0), x)
+        got = [r.id for r in knn.topk_join(asked, table(spark, x), 5, metric).orderBy("rank").collect()]
+        assert got == np.lexsort((np.arange(40), d))[:5].tolist()
+
+
+def test_distances_of_ones_own(spark):
+    x = uniform(60, 5)
+    far = lambda a, b: np.abs(a - b).max(axis=1)
+    got = knn.topk_join(table(spark, x[:3]).withColumnRenamed("id", "query_id"), table(spark, x), 4, far).collect()
+    for i in range(3):
+        want = np.lexsort((np.arange(60), np.abs(x[i] - x).max(1)))[:4].tolist()
+        assert [r.id for r in sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])] == want
+
+
 def test_range_on_a_grid(spark):
     x = np.zeros((50, 8))
     x[:, 0], x[:, 1] = np.arange(50) // 10, np.arange(50) % 10
@@ -111,7 +147,7 @@ def test_graph(spark):
     for metric in ("cosine", "inner_product"):
         q = graph.IndexParams(metric, 16, 60)
         r = knn.recall(graph.search(asked, graph.build(rows, q), 10, q), knn.topk_join(asked, rows, 10, metric), 10).first()
-        assert r.recall_at_k >= 0.85
+        assert r.recall_at_k >= 0.9
 
 
 def test_graph_kernel():
@@ -131,6 +167,81 @@ def test_graph_kernel():
     assert all(allowed[v] for _, v in g.search(g.x[7], allowed=allowed)[0])
 
 
+def test_back_fill_and_two_way_pruning():
+    d, between = np.array([1.0, 1.1, 1.2, 1.3]), np.full((4, 4), 0.1)
+    assert graph.robust_prune(np.arange(4), d, between, 8, 1.0).tolist() == [0, 1, 2, 3]  # one is kept, half of the degree comes back
+    assert graph.robust_prune(np.arange(4), d, between, 4, 1.0).tolist() == [0, 1]
+    g = graph.Graph(uniform(30, 4), graph.IndexParams(degree=20, beam=30)).build()
+    g.p = graph.IndexParams(degree=4)
+    had = [set(n.tolist()) for n in g.neighbors]
+    g.prune_edges(3)
+    gone = had[3] - set(g.neighbors[3].tolist())
+    assert len(g.neighbors[3]) <= 4 and gone and all(3 not in g.neighbors[u] for u in gone)
+
+
+def test_packed_shards_search_as_nodes_do(spark):
+    x = uniform(400, 12)
+    rows = table(spark, x, **{"labels array<bigint>": lambda i: [i % 4 + 1] if i % 50 else [0]})
+    p = graph.IndexParams(degree=16, beam=60)
+    nodes = graph.build(rows, p, shard_rows=150)
+    with_labels = nodes.join(rows.select("id", "labels"), "id")
+    packed = graph.pack(with_labels).cache()
+    assert packed.count() == 3
+    asked = rows.where("id < 30").withColumnRenamed("id", "query_id")
+    a, b = ({(r.query_id, r["rank"]): r.id for r in graph.search(asked, g, 5, p).collect()} for g in (nodes, packed))
+    assert a == b
+    for kind, wanted, f in (("any_of", [2], L.any_of("labels", [2])), ("all_of", [3], L.all_of("labels", [3])), ("exact", [1], L.exactly("labels", [1]))):
+        found = graph.search(asked, packed, 5, p, beam=150, filter=(kind, wanted))
+        assert knn.recall(found, knn.filtered_topk(asked, rows, 5, f), 5).first().recall_at_k >= 0.9
+        assert found.join(rows.where(~f), "id", "left_semi").count() == 0
+    near = graph.range_search(asked, packed, 1.2, p, beam=150)
+    true = knn.range_join(asked, rows, 1.2)
+    assert near.where("distance > 1.2").count() == 0 and near.count() >= 0.9 * true.count()
+    c = graph.search_counters(asked, packed, p)
+    assert c.count() == 30 and c.where("visited < 1 or computed < visited").count() == 0
+    with pytest.raises(Exception, match="no labels"):
+        graph.search(asked, nodes, 5, p, filter=("any_of", [1])).collect()
+
+
+def test_stored_graph_grows_and_shrinks(spark):
+    x = uniform(300, 10)
+    rows = table(spark, x)
+    p = graph.IndexParams(degree=16, beam=60)
+    nodes = graph.insert(graph.build(rows.where("id % 3 > 0"), p, shard_rows=150), rows.where("id % 3 = 0"), p)
+    nodes = graph.delete(nodes, rows.where("id % 5 = 2"), p).cache()
+    assert {r.id for r in nodes.select("id").collect()} == {i for i in range(300) if i % 5 != 2}
+    assert graph.edges(nodes).join(nodes.select("id"), F.col("dst") == F.col("id"), "left_anti").count() == 0
+    assert graph.entry_points(nodes).count() == 2 and graph.graph_stats(nodes).first().max_degree <= 16
+    asked = rows.where("id < 30").withColumnRenamed("id", "query_id")
+    assert knn.recall(graph.search(asked, nodes, 10, p), knn.topk_join(asked, rows.where("id % 5 <> 2"), 10), 10).first().recall_at_k >= 0.9
+    with pytest.raises(Exception, match="already"):
+        graph.insert(nodes, rows.where("id = 1"), p).collect()
+
+
+def test_vector_table(spark, tmp_path):
+    x = uniform(200, 8)
+    rows = table(spark, x, **{"labels array<bigint>": lambda i: [i % 3 + 1]})
+    t = VectorTable(rows, graph.IndexParams(degree=16, beam=60))
+    asked = rows.where("id < 10").withColumnRenamed("id", "query_id")
+    assert t.search(asked, 3).count() == 30 and t.size() == 200 and t.dimension() == 8
+    t = t.with_graph(100).with_codes(pq.Params(8, 4, 4))
+    t.save(f"file://{tmp_path}/index")
+    back = VectorTable.load(spark, f"file://{tmp_path}/index")
+    assert knn.compare(t.search(asked, 5), back.search(asked, 5)).first().n_different == 0
+    assert np.allclose(back.codebook, t.codebook) and back.params == t.params
+    assert knn.recall(back.search_coded(asked, 5, beam=100), back.search(asked, 5, exact=True), 5).first().recall_at_k >= 0.9
+    s = back.stats().first()
+    assert (s.n_rows, s.n_shards, s.code_bytes) == (200, 2, 800)
+    less = back.delete(rows.where("id < 5").select("id"))
+    assert less.search(asked, 200).where("id < 5").count() == 0 and less.size() == 195
+    more = less.insert(rows.where("id < 5"))
+    assert {r.id for r in more.search(asked, 1).collect()} == set(range(10))
+    with pytest.raises(ValueError):
+        more.insert(rows.where("id = 7"))
+    with pytest.raises(ValueError):
+        VectorTable(rows).search_coded(asked, 3)
+
+
 def test_reachable(spark):
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (5, 6)], "src bigint, dst bigint")
     assert {r.v for r in graph.reachable(edges, 0).collect()} == {0, 1, 2}

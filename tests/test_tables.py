@@ -123,3 +123,51 @@ def test_command_line(spark, tmp_path):
     assert cli.run(spark, ["search", *i, *q])["lines"][0].startswith("0 0:0.000000")
     assert all(int(x.split(":")[0]) % 3 == 1 for x in cli.run(spark, ["search", *i, *q, "--labels", "2"])["lines"][0].split()[1:])
     assert len(cli.run(spark, ["search", *i, *q, "--range", "0"])["lines"]) == 60
+    got = cli.run(spark, ["search", *i, *q, "--labels", "2", "--index", f"{tmp_path}/g", "--beam", "60"])["lines"]
+    assert len(got) == 60 and all(int(x.split(":")[0]) % 3 == 1 for x in got[0].split()[1:])
+    assert cli.run(spark, ["search", *i, *q, "--range", "0.5", "--index", f"{tmp_path}/g", "--beam", "60"])["lines"][0].startswith("0 0:0.000000")
+    with pytest.raises(ValueError):
+        cli.run(spark, ["search", *i, *q, "--index", f"{tmp_path}/g", "--metric", "cosine"])
+
+
+def test_ids_of_several_files(spark, tmp_path):
+    """Rows of a folder of files have one id each, in the order of the files."""
+    rows = vectors(spark, [[i, -i] for i in range(60)])
+    spark.dataSource.register(vecfiles.VectorFiles)
+    rows.repartitionByRange(4, "id").sortWithinPartitions("id").select("vec").write.format("vectors").mode("append").options(format="fvecs").save(f"{tmp_path}/v")
+    i = ["--input", f"{tmp_path}/v", "--input-format", "fvecs"]
+    cli.run(spark, ["convert", *i, "--output", f"{tmp_path}/again", "--output-format", "bin"])
+    back = cli.read(spark, f"{tmp_path}/again", cli.parser().parse_args(["info", "--input", f"{tmp_path}/again", "--input-format", "bin", "--layout", "header32"]))
+    assert [(r.id, list(r.vec)) for r in back.orderBy("id").collect()] == [(k, [k, -k]) for k in range(60)]
+    with pytest.raises(ValueError):
+        results.check_count(back, 59, "labels")
+    with pytest.raises(ValueError):
+        results.ground_truth(spark.createDataFrame([(0, [1, 2])], "pos bigint, vec array<int>"), 3)
+
+
+def test_results_as_bytes(spark):
+    r = spark.createDataFrame([(0, 5, 2, 0.5), (0, 7, 1, 0.25), (1, 3, 1, 1.0)], "query_id bigint, id bigint, rank int, distance double")
+    raw = results.result_bytes(r, 3)
+    assert {len(x.ids) for x in raw.collect()} == {12}
+    assert {tuple(x) for x in results.parse_result_bytes(raw).collect()} == {(0, 1, 7, 0.25), (0, 2, 5, 0.5), (1, 1, 3, 1.0)}
+
+
+def test_half_precision(spark):
+    x = np.concatenate([np.random.default_rng(2).normal(0, 100, 200), [0.0, -0.0, 1e-8, 5.96e-8, 6.1e-5, 65504, 65519.9, 65520, -1e9, np.inf, 2049, 2051]])
+    got = vectors(spark, [x.tolist()])
+    got = got.select(quantize.V.to_float16(F.col("vec").cast("array<double>")).alias("v")).first().v
+    assert np.array_equal(np.array(got), x.astype(np.float32).astype(np.float16).astype(float))
+
+
+def test_live_search_and_rejections(spark, tmp_path):
+    o = ops(spark, [(i, "insert", i, i, [i]) for i in range(50)] + [(50, "delete", 25, None, None), (51, "delete", 25, None, None), (52, "delete", 99, None, None), (53, "insert", 25, 70, None), (54, "delete", 25, None, None)])
+    asked = spark.createDataFrame([(0, [25.0])], "query_id bigint, vec array<double>")
+    assert [r.id for r in live.search(asked, o, 2).orderBy("rank").collect()] == [24, 26]
+    assert {(r.seq, r.id) for r in live.rejected(o).collect()} == {(51, 25), (52, 99)}
+    t = live.LiveTable(spark, f"{tmp_path}/t")
+    for k in range(4):
+        t.apply(o.where(f"seq % 4 = {k}"))
+    assert [r.id for r in t.search(asked, 2).orderBy("rank").collect()] == [24, 26]
+    t.vacuum(1)
+    assert t._versions() == [3] and t.read().count() == 49
+
