@@ -25,14 +25,19 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where it is unset (tests), a new temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir``; only where it is unset and there is one machine (tests), a new temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quiverlake-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ql-{name}-{uuid.uuid4().hex}"
 
@@ -49,12 +54,9 @@ def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return out
 
 
-_scopes: list[list[str]] = []
-
-
 @contextlib.contextmanager
 def scratch_scope() -> Iterator[list[str]]:
-    """Collects the paths of the scratch tables made inside."""
+    """Collects the paths of the scratch tables made inside, for ``delete`` once what is made of them is written."""
     _scopes.append([])
     try:
         yield _scopes[-1]
@@ -231,7 +233,10 @@ def tidy() -> None:
 
 
 def arrow_map(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """mapInArrow with batches of at most BATCH_ROWS rows (texts can be long) and workers that end up small."""
+    """mapInArrow with batches of at most BATCH_ROWS rows (texts can be long) and workers that end up small.
+
+    The session's setting is read when a plan runs, so it is lowered for good.
+    """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
