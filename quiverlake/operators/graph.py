@@ -6,7 +6,9 @@ shards (a row a shard: vectors, lists, labels and codes as arrays), which a sear
 without a shuffle. Pruning follows the published rule for pruned proximity graphs: a
 candidate goes if a kept neighbour, alpha times as far from it as the vertex, is nearer;
 where that leaves less than half of the degree, the nearest that went come back. The
-search keeps the best ``beam`` vertices and ends when all of them are expanded.
+search keeps the best ``beam`` vertices and ends when all of them are expanded. A shard
+is built from its vertices' nearest others, found by matrix products, for all vertices at
+once; later rows are inserted one by one, from what a search for them comes upon.
 """
 
 from __future__ import annotations
@@ -176,12 +178,121 @@ class Graph:
             for u in np.setdiff1d(had, self.neighbors[v]).tolist():
                 self.neighbors[u] = self.neighbors[u][self.neighbors[u] != v]
 
+    # -------------------------------------------------------- all vertices at once
+
+    def near(self, count: int, seed: int, block: int = 1024) -> np.ndarray:
+        """(n, count) candidates of each vertex: the nearest, by matrix products, and for a quarter of them any vertices, which make the long edges; -1 where there are fewer."""
+        far = min(count // 4, max(0, self.n - 1))
+        close = min(count - far, self.n - 1)
+        out = np.full((self.n, count), -1, np.int64)
+        rng = np.random.default_rng(seed)
+        for i in range(0, self.n, block):
+            own = np.arange(i, min(self.n, i + block))
+            d = plain_distances(self.p.metric, self.x[own], self.x)
+            d[np.arange(len(own)), own] = np.inf
+            out[own, :close] = np.argpartition(d, close - 1, axis=1)[:, :close]
+            out[own, close : close + far] = rng.integers(0, self.n, (len(own), far))
+        return out
+
+    def prune_all(self, cand: np.ndarray, block: int = 256) -> list[np.ndarray]:
+        """robust_prune of every vertex's candidates (n, c), a block of vertices at a time."""
+        out: list[np.ndarray] = []
+        degree, alpha = self.p.degree, self.p.alpha
+        for i in range(0, self.n, block):
+            own = np.arange(i, min(self.n, i + block))
+            c = np.sort(cand[own], axis=1)
+            ok = (c >= 0) & (c != own[:, None])
+            ok[:, 1:] &= c[:, 1:] != c[:, :-1]
+            x = self.x[c]  # (vertices, candidates, dimension)
+            if self.p.metric == "cosine":
+                norm = np.linalg.norm(x, axis=2)
+                x = x / np.where(norm == 0, 1, norm)[:, :, None]
+                q = self.x[own] / np.maximum(np.linalg.norm(self.x[own], axis=1), 1e-300)[:, None]
+                d, between = 1 - np.einsum("bcd,bd->bc", x, q), 1 - x @ x.transpose(0, 2, 1)
+            else:
+                dot, both = np.einsum("bcd,bd->bc", x, self.x[own]), x @ x.transpose(0, 2, 1)
+                size = np.einsum("bcc->bc", both)
+                d, between = size - 2 * dot + (self.x[own] ** 2).sum(1)[:, None], size[:, :, None] + size[:, None] - 2 * both
+                d, between = np.sqrt(np.maximum(d, 0)), np.sqrt(np.maximum(between, 0))
+            d = np.where(ok, d, np.inf)
+            order = np.lexsort((c, d), axis=1)
+            c, d, left = (np.take_along_axis(z, order, 1) for z in (c, d, ok))
+            between = np.take_along_axis(np.take_along_axis(between, order[:, :, None], 1), order[:, None], 2)
+            kept, row = np.zeros_like(left), np.arange(len(own))
+            for _ in range(min(degree, c.shape[1])):
+                some = left.any(axis=1)
+                if not some.any():
+                    break
+                k = left.argmax(axis=1)  # the nearest that is left
+                kept[row[some], k[some]] = True
+                left &= alpha * between[row, k] > d
+                left[row, k] = False
+            short = np.flatnonzero(kept.sum(axis=1) < degree // 2)
+            for r in short.tolist():
+                more = np.flatnonzero(~kept[r] & np.isfinite(d[r]))[: degree // 2 - int(kept[r].sum())]
+                kept[r, more] = True
+            out += [c[r, kept[r]] for r in range(len(own))]
+        return out
+
+    def unreached(self) -> np.ndarray:
+        """Vertices that no path from the entry reaches."""
+        seen = np.zeros(self.n, bool)
+        front = np.array([self.entry])
+        while len(front):
+            seen[front] = True
+            new = np.unique(np.concatenate([self.neighbors[v] for v in front.tolist()]))
+            front = new[~seen[new]]
+        return np.flatnonzero(~seen)
+
     def build(self, seed: int = 42) -> Graph:
-        order = np.random.default_rng(seed).permutation(self.n)
-        for v in [self.entry, *order[order != self.entry].tolist()]:
-            self.insert(v)
+        """Lists of all vertices at once: pruned candidates, then those with the vertices that point at each, pruned again; last, vertices that nothing leads to are linked from their nearest that can be reached."""
+        if self.n < 2:
+            return self
+        if self.p.metric == "inner_product":
+            # with one more coordinate that makes all norms equal, the largest products are the least distances
+            size = (self.x * self.x).sum(1)
+            same = Graph(np.column_stack([self.x, np.sqrt(np.maximum(size.max() - size, 0))]), IndexParams("l2", self.p.degree, self.p.beam, self.p.alpha)).build(seed)
+            self.neighbors, self.entry = same.neighbors, same.entry
+            return self
+        width = max(self.p.beam, self.p.degree) + self.p.degree // 2
+        out = self.prune_all(self.near(min(width, 2 * self.n), seed))
+        at = np.repeat(np.arange(self.n), [len(n) for n in out])
+        to = np.concatenate(out)
+        # each vertex's own list and those that point at it, the nearest first, as many as candidates before
+        a, b = np.concatenate([at, to]), np.concatenate([to, at])
+        d = np.empty(len(a))
+        for i in range(0, len(a), 1 << 18):
+            x, y = self.x[a[i : i + (1 << 18)]], self.x[b[i : i + (1 << 18)]]
+            d[i : i + (1 << 18)] = ((x - y) ** 2).sum(1) if self.p.metric == "l2" else -(x * y).sum(1)
+        order = np.lexsort((d, a))
+        a, b = a[order], b[order]
+        place = np.arange(len(a)) - np.searchsorted(a, a)
+        keep = place < width
+        cand = np.full((self.n, width), -1, np.int64)
+        cand[a[keep], place[keep]] = b[keep]
+        self.neighbors = self.prune_all(cand)
+        for _ in range(8):
+            lost = self.unreached()
+            if not len(lost):
+                break
+            known = np.setdiff1d(np.arange(self.n), lost)
+            for i in range(0, len(lost), 1024):
+                own = lost[i : i + 1024]
+                nearest = known[plain_distances("l2", self.x[own], self.x[known]).argmin(axis=1)]
+                order = np.argsort(nearest, kind="stable")
+                before = -1
+                for u, v in zip(nearest[order].tolist(), own[order].tolist()):
+                    self._lead(u if u != before else last, v)  # several of one vertex in a row
+                    before, last = u, v
         return self
 
+    def _lead(self, u: int, v: int) -> None:
+        """An edge from u to v, in the place of u's furthest where there is no room."""
+        own = self.neighbors[u]
+        if len(own) >= self.p.degree:
+            own = np.delete(own, self.dist(self.x[u], own).argmax())
+        self.neighbors[u] = np.append(own[own != v], v)
+
 
 NODES = "shard bigint, id bigint, entry boolean, vec array<double>, neighbors array<bigint>"
 
