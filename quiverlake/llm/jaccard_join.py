@@ -13,9 +13,10 @@ shingles is at least 0.75. Equal sets are one class from the start. Then
 3. *Clusters.* Rarest shingles first, a linked pair shares one of the first
    n - ceil(.75 n) + 1. Components over those shingles (each shingle tied to its
    smallest document, not all pairs) hold every link inside.
-4. *Leaders.* Every document of a cluster is compared with up to ``LEADERS``
-   central ones; in copies with edits most links into a component are found here,
-   in time linear in the cluster.
+4. *Leaders' groups.* The matrix's first group of each cluster are up to ``LEADERS``
+   central documents. A document's overlap with the union of their shingles bounds that
+   with each; only where it can reach the threshold is the group opened. In copies with
+   edits most links into a component are found here, in time linear in the cluster.
 5. *Token-group matrix.* Clusters that are not one component yet are cut into
    groups of some ``GROUP`` similar documents, those of the main component and the others
    apart. The matrix has the rare shingles of step 3 by group; in a cluster of more than
@@ -287,11 +288,15 @@ def cluster_links(sets: DataFrame, t: int) -> DataFrame:
     both = sized.join(led, (F.col("cluster") == F.col("_c")) & (F.col("salt") == F.col("_s"))).select("doc_id", "tokens", "led")
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaders, group = None, None
         for b in batches:
             out = []
             for r in b.to_pylist():
+                if leaders != (own := [x["leader"] for x in r["led"]]):  # rows of a cluster mostly come together
+                    leaders, group = own, Group([{"tokens": x["_t"]} for x in r["led"]])
                 q = np.frombuffer(r["tokens"], U64)
-                out += [(r["doc_id"], x["leader"]) for x in r["led"] if x["leader"] != r["doc_id"] and link(q, np.frombuffer(x["_t"], U64), t)]
+                if group.opens(q, t):
+                    out += [(r["doc_id"], x) for x, tokens in zip(leaders, group.sets) if x != r["doc_id"] and link(q, tokens, t)]
             yield _edges(out)
 
     found = stage(arrow_map(both, lead, EDGES), "led")
