@@ -11,9 +11,10 @@ from .common import discard, stage
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """v, comp (the smallest vertex of v's component) for every vertex of the edges (bigint).
 
-    Each round takes the smallest label among the neighbours (partial minima, so a
-    hub costs no more than another vertex) and then follows labels (pointer
-    jumping), which makes the rounds logarithmic in a component's diameter.
+    Each round takes the smallest label among the neighbours and then follows labels
+    (pointer jumping), which makes the rounds logarithmic in a component's diameter. The
+    minima are partial before they are dealt by vertex; a hub's edges meet its label in
+    one partition of the join, two numbers an edge, which adaptive execution splits.
     """
     e = edges.select(F.col(a).alias("s"), F.col(b).alias("d")).where("s <> d")
     e = stage(e.union(e.select("d", "s")).distinct(), "edges")

@@ -12,8 +12,10 @@ rule is over ``host_limit``. A document that fails no rule is kept whatever its
 host.
 
 Defined cases: a null or empty text has no words, so fails ``n_words < 50``; a
-null host is a host of its own; repeated rows count each; an empty table gives an
-empty result; extra columns are ignored.
+null host is a host of its own; a very long text is measured whole, in arrays of its
+words and windows (some 60 bytes a word); repeated rows count each; rows with equal
+keys are rows of their own; an empty table gives an empty result; extra columns are
+ignored (``keep_documents`` passes them through, whatever their names).
 """
 
 from __future__ import annotations
