@@ -7,6 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from ..sources.shared import stage
+
+
+def placed(rows: DataFrame, by: list[str], order: list[str], weight: str | None = None) -> DataFrame:
+    """rows with _end: how much weight (None: rows) its group has up to and with each row, in the order of ``order``.
+
+    Ranges of (group, order) are sorted apart and the ranges' totals are added in front,
+    so a group with most of the rows is spread over as many tasks as it fills.
+    """
+    ranged = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_m", F.monotonically_increasing_id())
+    ranged = stage(ranged, "ranges").withColumn("_p", F.shiftright("_m", 33))  # ranges are drawn anew each time they are computed
+    amount = F.col(weight) if weight else F.lit(1).cast("bigint")
+    sums = ranged.groupBy("_p", *by).agg(F.sum(amount).alias("_s"), F.min("_m").alias("_from"))  # a row for each range and group in it
+    earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_by_{c}") for c in by], "_from", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"))
+    same = F.col("_p") == F.col("_q")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    both = ranged.join(before, same)
+    if weight:
+        end = F.col("_before") + F.sum(weight).over(Window.partitionBy("_p", *by).orderBy(*order, "_m"))
+    else:
+        end = F.col("_before") + F.col("_m") - F.col("_from") + 1
+    return both.withColumn("_end", end).drop("_m", "_p", "_q", "_from", "_before", *[f"_by_{c}" for c in by])
 
 
 def values(rows: DataFrame, vec: str = "vec") -> DataFrame:
@@ -14,25 +38,23 @@ def values(rows: DataFrame, vec: str = "vec") -> DataFrame:
 
 
 def picked(samples: DataFrame, places: dict[str, Column], value: str = "x", by: list[str] | None = None) -> DataFrame:
-    """Values at given places (from 0, as an expression of n) of the samples in order.
+    """Values at given places (from 0, as an expression of n) of the samples, or of each group's, in order.
 
-    Without groups, exact ranks come from counts of equal values, summed in order
-    over ranges of values, so no task has to sort all samples.
+    Exact ranks come from counts of equal values, summed in order over ranges of values,
+    so no task has to sort or hold all samples of a group.
     """
     by = by or []
     counts = samples.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     total = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    run = placed(counts, by, [value], "_c")
     if by:
-        run = counts.withColumn("_end", F.sum("_c").over(Window.partitionBy(*by).orderBy(value)))
-        run = run.join(total, by)
+        total = total.withColumnsRenamed({c: f"_t_{c}" for c in by})
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
+        run = run.join(total, same)
     else:
-        # ranges of the value, their totals, and sums within a range
-        edges = samples.agg(F.percentile_approx(value, [i / 64 for i in range(1, 64)], 1000).alias("e"))
-        cut = counts.crossJoin(F.broadcast(edges)).withColumn("_r", F.size(F.filter("e", lambda e: e < F.col(value)))).drop("e")
-        sums = cut.groupBy("_r").agg(F.sum("_c").alias("_s"))
-        before = sums.select(F.col("_r").alias("_r2"), F.coalesce(F.sum("_s").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-        run = cut.join(F.broadcast(before), cut["_r"] == before["_r2"]).withColumn("_end", F.col("_b") + F.sum("_c").over(Window.partitionBy("_r").orderBy(value)))
-        run = run.crossJoin(F.broadcast(total))
+        run = run.crossJoin(F.broadcast(total))  # one row
     at = lambda p: F.max(F.when((p >= F.col("_end") - F.col("_c")) & (p < F.col("_end")), F.col(value)))
     return run.groupBy(*by).agg(F.max("n").alias("n"), *[at(p).alias(k) for k, p in places.items()])
 
@@ -110,23 +132,37 @@ def memory_estimates(rows: DataFrame, vec: str = "vec", edges: int = 64) -> Data
 
 def percentile_stats(samples: DataFrame, by: str, value: str, order: str, window: int | None = None) -> DataFrame:
     """Of each metric's last ``window`` samples: count, mean, sample deviation, extremes, interpolated percentiles."""
+    samples = samples.select(by, value, order)
     if window is not None:
-        samples = samples.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.col(order).desc()))).where(F.col("_r") <= window)
-    return samples.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), *[F.percentile(value, p / 100).alias(f"p{p}") for p in (50, 90, 95, 99)]
-    )
-
-
-def sliding_mean(samples: DataFrame, by: str, value: str, order: str, window: int) -> DataFrame:
-    """Each sample with the mean of the last ``window`` samples of its metric."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(-(window - 1), 0)
-    return samples.select(by, order, F.avg(value).over(w).alias("mean"), F.count(F.lit(1)).over(w).alias("n"))
+        n = samples.groupBy(F.col(by).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+        samples = placed(samples, [by], [order]).join(n, F.col(by).eqNullSafe(F.col("_g"))).where(F.col("_end") > F.col("_n") - window)
+    samples = samples.select(by, F.col(value).cast("double").alias("x"))
+    places = {}
+    for p in (50, 90, 95, 99):
+        at = (F.col("n") - 1) * (p / 100)
+        places |= {f"l{p}": F.floor(at), f"h{p}": F.ceil(at)}
+    between = lambda p: (lambda at: F.col(f"l{p}") + (F.col(f"h{p}") - F.col(f"l{p}")) * (at - F.floor(at)))((F.col("n") - 1) * (p / 100))
+    picks = picked(samples, places, by=[by]).select(F.col(by).alias("_g"), *[between(p).alias(f"p{p}") for p in (50, 90, 95, 99)])
+    sums = samples.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return sums.join(picks, F.col(by).eqNullSafe(F.col("_g"))).drop("_g")
+
+
+def sliding_mean(samples: DataFrame, by: str, value: str, order: str, window: int, block: int = 100_000) -> DataFrame:
+    """Each sample with the mean of the last ``window`` samples of its metric; a metric is cut into blocks, each with the last samples of the one before."""
+    block = max(block, window)
+    rows = placed(samples.select(by, order, value), [by], [order]).withColumn("_b", F.floor((F.col("_end") - 1) / block))
+    late = (F.col("_end") - 1) % block >= block - (window - 1)
+    rows = rows.withColumn("_k", F.explode(F.when(late, F.array(F.col("_b"), F.col("_b") + 1)).otherwise(F.array(F.col("_b")))))
+    w = Window.partitionBy(by, "_k").orderBy("_end").rowsBetween(-(window - 1), 0)
+    out = rows.select(by, order, F.avg(value).over(w).alias("mean"), F.count(F.lit(1)).over(w).alias("n"), (F.col("_b") == F.col("_k")).alias("_own"))
+    return out.where("_own").drop("_own")
 
 
 def latency_report(samples: DataFrame, by: str, value: str) -> DataFrame:
-    """Of each metric: mean, p50, p95 and p99 by index, and operations per second of one worker (values are microseconds)."""
-    p = picked(samples.select(by, F.col(value).alias("x")), {"p50": F.floor(F.col("n") / 2), "p95": nth(95), "p99": nth(99)}, by=[by])
-    return p.join(samples.groupBy(by).agg(F.avg(value).alias("mean"), F.sum(value).alias("total")), by).select(by, "n", "mean", "p50", "p95", "p99", (F.col("n") * 1e6 / F.col("total")).alias("per_second"))
+    """Of each metric: mean, p50, p90, p95 and p99 by index, and operations per second of one worker (values are microseconds)."""
+    p = picked(samples.select(by, F.col(value).alias("x")), {"p50": F.floor(F.col("n") / 2), "p90": nth(90), "p95": nth(95), "p99": nth(99)}, by=[by])
+    sums = samples.groupBy(F.col(by).alias("_g")).agg(F.avg(value).alias("mean"), F.sum(value).alias("total"))
+    return p.join(sums, F.col(by).eqNullSafe(F.col("_g"))).select(by, "n", "mean", "p50", "p90", "p95", "p99", (F.col("n") * 1e6 / F.col("total")).alias("per_second"))
 
 
 def throughput(samples: DataFrame, by: str, ts: str, seconds: int) -> DataFrame:

@@ -375,9 +375,10 @@ def events(spark, sf_dir):
 
 query("percentile_stats", f"select event_type, {S_STATS} from events group by 1")(lambda spark, sf_dir: r6(profile.percentile_stats(events(spark, sf_dir), "event_type", "value", "event_id"), *EVENTS))
 query("percentile_stats_window", f"select event_type, {S_STATS} from (select * from events qualify row_number() over (partition by event_type order by event_id desc) <= 100) group by 1")(lambda spark, sf_dir: r6(profile.percentile_stats(events(spark, sf_dir), "event_type", "value", "event_id", 100), *EVENTS))
+query("sliding_mean_in_blocks", "select event_type, event_id, round(sum(value) over w, 4) as total, count(*) over w as n from events window w as (partition by event_type order by event_id rows between 19 preceding and current row)")(lambda spark, sf_dir: profile.sliding_mean(events(spark, sf_dir), "event_type", "value", "event_id", 20, block=50).select("event_type", "event_id", F.round(F.col("mean") * F.col("n"), 4).alias("total"), "n"))
 query("sliding_mean", "select event_type, event_id, round(sum(value) over w, 4) as total, count(*) over w as n from events window w as (partition by event_type order by event_id rows between 99 preceding and current row)")(lambda spark, sf_dir: profile.sliding_mean(events(spark, sf_dir), "event_type", "value", "event_id", 100).select("event_type", "event_id", F.round(F.col("mean") * F.col("n"), 4).alias("total"), "n"))
-query("latency_report", "with o as (select event_type, value, row_number() over (partition by event_type order by value) - 1 as i, count(*) over (partition by event_type) as n from events) select event_type, max(n) as n, round(avg(value), 6) as mean, round(max(case when i = n // 2 then value end), 6) as p50, round(max(case when i = n * 95 // 100 then value end), 6) as p95, round(max(case when i = n * 99 // 100 then value end), 6) as p99, round(count(*) * 1e6 / sum(value), 4) as per_second from o group by 1")(
-    lambda spark, sf_dir: r6(r6(profile.latency_report(events(spark, sf_dir), "event_type", "value"), "mean", "p50", "p95", "p99"), "per_second", places=4)
+query("latency_report", "with o as (select event_type, value, row_number() over (partition by event_type order by value) - 1 as i, count(*) over (partition by event_type) as n from events) select event_type, max(n) as n, round(avg(value), 6) as mean, round(max(case when i = n // 2 then value end), 6) as p50, round(max(case when i = n * 90 // 100 then value end), 6) as p90, round(max(case when i = n * 95 // 100 then value end), 6) as p95, round(max(case when i = n * 99 // 100 then value end), 6) as p99, round(count(*) * 1e6 / sum(value), 4) as per_second from o group by 1")(
+    lambda spark, sf_dir: r6(r6(profile.latency_report(events(spark, sf_dir), "event_type", "value"), "mean", "p50", "p90", "p95", "p99"), "per_second", places=4)
 )
 query("throughput", "select event_type, (floor(epoch(ts) / 3600) * 3600)::bigint as start, count(*) as n, round(count(*) / 3600.0, 6) as per_second from events group by 1, 2")(lambda spark, sf_dir: r6(profile.throughput(events(spark, sf_dir), "event_type", "ts", 3600), "per_second"))
 

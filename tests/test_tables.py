@@ -27,7 +27,10 @@ def test_percentiles(spark):
     assert (r["mean"], r.p50, r["min"], r["max"]) == (50.5, 50.5, 1, 100)
     assert profile.percentile_stats(s, "metric", "v", "seq", 10).first()["min"] == 91
     r = profile.latency_report(s, "metric", "v").first()
-    assert (r.p50, r.p95, r.p99) == (51, 96, 100)
+    assert (r.p50, r.p90, r.p95, r.p99) == (51, 91, 96, 100)
+    none = spark.createDataFrame([(None, i, float(i)) for i in range(1, 8)] + [("m", 1, 2.0)], "metric string, seq bigint, v double")
+    got = {r["metric"]: r for r in profile.percentile_stats(none, "metric", "v", "seq").collect()}
+    assert (got[None].n, got[None].p50, got["m"].p99) == (7, 4.0, 2.0)
 
 
 def test_duplicates_and_validation(spark):
