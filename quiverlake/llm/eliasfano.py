@@ -20,14 +20,21 @@ STEP = 4
 
 
 def pack_low(v: np.ndarray, l: int) -> np.ndarray:
+    """l bits of each value, one after another: 64 values fill l words, so each of the 64 is put in its place in all such groups at once."""
     if l == 0 or len(v) == 0:
         return np.zeros(16, np.uint8)
-    parts = []
-    size = 1 << 16  # values at a time; a multiple of 8, so that parts end on whole bytes
-    for i in range(0, len(v), size):
-        bits = np.unpackbits(np.ascontiguousarray(v[i : i + size], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :l]
-        parts.append(np.packbits(bits.ravel(), bitorder="little"))
-    return np.concatenate([*parts, np.zeros(16, np.uint8)])
+    groups = -(-len(v) // 64)
+    padded = np.zeros(groups * 64, U64)
+    padded[: len(v)] = v
+    padded = np.ascontiguousarray(padded.reshape(groups, 64).T)
+    words = np.zeros((l + 1, groups), U64)
+    for j in range(64):
+        at, shift = divmod(j * l, 64)
+        words[at] |= padded[j] << U64(shift)
+        if shift + l > 64:
+            words[at + 1] |= padded[j] >> U64(64 - shift)
+    raw = np.ascontiguousarray(words[:l].T).astype("<u8").view(np.uint8).ravel()
+    return np.concatenate([raw[: (len(v) * l + 7) // 8], np.zeros(16, np.uint8)])
 
 
 def places(at: np.ndarray, name: str, kind: str) -> dict[str, np.ndarray]:
