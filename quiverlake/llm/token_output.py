@@ -299,6 +299,16 @@ class Encoder:
             yield np.array([end], "<u4")
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """An encoder with the units that this Python worker's earlier tasks have met (a bounded number)."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 #: The last character before white space.
 BREAK = re.compile(r"[^ \t-\r](?=[ \t-\r])")
 
@@ -327,7 +337,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, order:
             if writer is None:
                 fs.create_dir(folder, recursive=True)
                 sink = fs.open_output_stream(path)
-                writer, encoder = ShardWriter(sink, block, mode, level), Encoder(tokenizer)
+                writer, encoder = ShardWriter(sink, block, mode, level), encoder_of(tokenizer)
             texts = [x or "" for x in b.column(1).to_pylist()]
             if len(texts) == 1 and len(texts[0]) > 2 * SLICE:
                 before = writer.n_ids
