@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..sources.shared import stage
+from ..sources.shared import scratch_path, stage
 from .knn import FOUND, exact, matrix, plain_distances, query_blocks, ranked
 
 
@@ -558,19 +558,19 @@ def graph_stats(nodes: DataFrame) -> DataFrame:
 
 
 def reachable(edges_: DataFrame, start: int, rounds: int = 1000) -> DataFrame:
-    """v: vertices that paths from start reach (itself included), a round of joins a step."""
+    """v: vertices that paths from start reach (itself included), a round of joins a step. What is reached is appended to one table, so plans don't grow with the rounds."""
     spark = edges_.sparkSession
     e = stage(edges_.select("src", "dst").distinct(), "edges")
-    seen = spark.createDataFrame([(start,)], "v bigint")
-    front, n = seen, 1
+    path = scratch_path(spark, "reached")
+    seen = lambda: spark.read.schema("v bigint").parquet(path)
+    front = spark.createDataFrame([(start,)], "v bigint")
+    front.write.parquet(path)
     for _ in range(rounds):
-        front = e.join(front, e["src"] == front["v"], "left_semi").select(F.col("dst").alias("v")).distinct().join(seen, "v", "left_anti")
-        front = stage(front, "reached")  # so that plans stay short
-        seen = seen.unionAll(front)
-        more = front.count()
-        if not more:
-            return seen
-        n += more
+        new = e.join(front, e["src"] == front["v"], "left_semi").select(F.col("dst").alias("v")).distinct()
+        front = stage(new.join(seen(), "v", "left_anti"), "front")
+        if not front.limit(1).count():
+            return seen()
+        front.write.mode("append").parquet(path)
     raise RuntimeError(f"paths of more than {rounds} steps")
 
 
