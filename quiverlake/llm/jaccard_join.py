@@ -265,6 +265,17 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
 
 
+def by_cluster(rows: DataFrame, info: DataFrame, limit: int) -> DataFrame:
+    """rows with their cluster's columns of info (cluster, size, ...). The few clusters of more than ``limit`` rows are broadcast, so their rows aren't dealt by cluster."""
+    names = [*rows.columns, *(c for c in info.columns if c != "cluster")]
+    info = info.withColumnRenamed("cluster", "_k")
+    same = F.col("cluster") == F.col("_k")
+    big = F.broadcast(info.where(F.col("size") > limit))
+    hot = rows.join(big, same).select(names)
+    cold = rows.join(big.select("_k"), same, "left_anti").join(info.where(F.col("size") <= limit), same).select(names)
+    return hot.unionAll(cold)
+
+
 def cluster_links(sets: DataFrame, t: int) -> DataFrame:
     """Links that make the components of the sets (doc_id, n, tokens, rare, centre)."""
     rare = sets.select("doc_id", F.explode("rare").alias("tok"))
@@ -284,7 +295,8 @@ def cluster_links(sets: DataFrame, t: int) -> DataFrame:
     chosen = info.select("cluster", "size", F.explode("leaders").alias("leader")).join(rows.select(F.col("doc_id").alias("leader"), F.col("tokens").alias("_t")), "leader")
     led = chosen.groupBy("cluster", "size").agg(F.collect_list(F.struct("leader", "_t")).alias("led"))  # LEADERS sets at most
     led = led.select(F.col("cluster").alias("_c"), "led", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.ceil(F.col("size") / 64) - 1).cast("bigint"))).alias("_s"))
-    sized = rows.join(info.select(F.col("cluster").alias("_k"), "size"), F.col("cluster") == F.col("_k")).withColumn("salt", salt(0)).drop("_k")
+    limit = max(100, rows.count() // HOT_CLASSES)
+    sized = by_cluster(rows, info.select("cluster", "size"), limit).withColumn("salt", salt(0))
     both = sized.join(led, (F.col("cluster") == F.col("_c")) & (F.col("salt") == F.col("_s"))).select("doc_id", "tokens", "led")
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +318,7 @@ def cluster_links(sets: DataFrame, t: int) -> DataFrame:
     rows = rows.join(comp, rows["doc_id"] == comp["_v"], "left").withColumn("comp", F.coalesce("_comp", "doc_id")).drop("_v", "_comp")
     by_comp = rows.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n_comp"))
     open_ = by_comp.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_comps"), F.max(F.struct("n_comp", "comp"))["comp"].alias("main"), F.max("n_comp").alias("n_main"), F.sum("n_comp").alias("size")).where("n_comps > 1")
-    rest = stage(rows.join(open_.select(F.col("cluster").alias("_c"), "main", "n_main", "size"), F.col("cluster") == F.col("_c")).drop("_c"), "open")
+    rest = stage(by_cluster(rows, open_.select("cluster", "main", "n_main", "size"), limit), "open")
 
     in_main = F.col("comp") == F.col("main")
     spread = F.xxhash64(F.substring("tokens", 1, 8), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / 64)))
