@@ -54,7 +54,7 @@ END = mix(np.array([0x5EED], U64))[0]
 DISCOUNT = 0.75
 LEAST = 2  # count from which n-grams of two words and more are kept, unless asked otherwise
 SHARD_BYTES = 32 << 20  # of text a shard
-SHARD_BYTES_ALL = 8 << 20  # where n-grams seen once are kept
+SHARD_BYTES_ALL = 16 << 20  # where n-grams seen once are kept: a shard's n-grams are in memory when it is made
 PIECE = 3 << 20  # of text at a time
 HOT_TOKENS = 100_000  # a context of fewer tokens is in one shard, whatever the shards' size
 
