@@ -16,10 +16,10 @@ their edit distance is at most ``tau``; equal lines are one from the start.
    classes of lines up to tau shorter: for tau = 3 six keys, mostly.
 3. *Candidates.* Keys that only one line has are dropped by a count with partial
    aggregation. Of the lines that are left, pairs with a key in common, a difference
-   of lengths up to tau and of letter counts up to 2 tau (read from one long) are verified by the banded
-   bit-parallel distance (its 2 tau + 3 diagonals in one long) of what is left of them
-   without common beginning and end. Each pair is verified once, whatever keys it
-   shares.
+   of lengths up to tau and of letter counts up to 2 tau (read from one long) are
+   verified by the banded bit-parallel distance (its 2 tau + 3 diagonals in one long) of
+   what is left of them without common beginning and end. Each pair is verified once,
+   whatever keys it shares.
 4. *Large groups.* All lines of a key are first compared with a few leaders, which is
    linear and finds most links of a line's many variants. Only pairs in different
    components after that are compared with each other, by their numbers first (also by
@@ -242,8 +242,8 @@ def line_links(lines: DataFrame, first: DataFrame, tau: int, group: int) -> tupl
 
     # leaders: the same for all lines of a key, by orders that have nothing to do with each other
     masks = [0, -1, 0x2545F4914F6CDD1D, 0x1FB21C651E98DF25]
-    first = lambda m: F.min(F.col("id").bitwiseXOR(F.lit(m).cast("bigint"))).bitwiseXOR(F.lit(m).cast("bigint"))
-    lead = members.groupBy("k").agg(F.count(F.lit(1)).alias("size"), *[first(m).alias(f"l{i}") for i, m in enumerate(masks)])
+    least = lambda m: F.min(F.col("id").bitwiseXOR(F.lit(m).cast("bigint"))).bitwiseXOR(F.lit(m).cast("bigint"))
+    lead = members.groupBy("k").agg(F.count(F.lit(1)).alias("size"), *[least(m).alias(f"l{i}") for i, m in enumerate(masks)])
     lead = lead.select(F.col("k").alias("_k"), F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(len(masks))]))).alias("_l"))
     trait = lambda p: F.struct(F.col(f"{p}len").alias("len"), F.col(f"{p}counts").alias("counts"))
     lead = lead.join(nodes.select(F.col("id").alias("_i"), F.col("len").alias("_len"), F.col("counts").alias("_counts")), F.col("_l") == F.col("_i"))
@@ -253,7 +253,7 @@ def line_links(lines: DataFrame, first: DataFrame, tau: int, group: int) -> tupl
     # what leaders leave open: lines of a key that are in different components still
     comp = components(found).select(F.col("v").alias("_v"), F.col("comp").alias("_comp"))
     placed = stage(members.join(comp, members["id"] == F.col("_v"), "left").select("k", "id", "len", "counts", F.coalesce("_comp", "id").alias("comp")), "line-placed")
-    open_ = placed.groupBy(F.col("k").alias("_k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where(f"lo <> hi and size > 2").select("_k", "size")
+    open_ = placed.groupBy(F.col("k").alias("_k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2").select("_k", "size")
     blocks = F.when(F.col("size") <= group, F.lit(1).cast("bigint")).otherwise(F.ceil(F.col("size") / (group // 2 or 1)))
     opened = stage(placed.join(open_, placed["k"] == F.col("_k")).drop("_k"), "line-open")
     asked = opened.groupBy(F.col("id").alias("_i")).agg(F.collect_set("k").alias("keys"))  # a few a line
