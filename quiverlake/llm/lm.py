@@ -616,9 +616,16 @@ def build_level(words: DataFrame, trie: Trie, n: int, order: int, folder: str) -
                 else:
                     last = up.words()[at + (low - up.first)]
                     node = trie.children_any_order(2, last, word)
-                    lower = np.where(node >= 0, trie.any_order(2, node, "log_p", 0.0), trie.any_order(2, last, "log_weight", 0.0) + word_log_p(trie, word))
-                p = (m - discount) / total[at] + weight[at] * 10.0**lower
-                code, book = quantise(np.log10(p))
+                    lower = trie.any_order(2, node, "log_p", 0.0)
+                    none = np.flatnonzero(node < 0)
+                    lower[none] = trie.any_order(2, last[none], "log_weight", 0.0) + word_log_p(trie, word[none])
+                    del last, node, none
+                # in place, as a shard's arrays are large
+                p = np.power(10.0, lower, out=lower)
+                p *= weight[at]
+                p += (m - discount) / total[at]
+                code, book = quantise(np.log10(p, out=p))
+                del p, lower, word, at
                 weight_code, weight_book = quantise(np.log10(weight))
                 arrays = {"meta": np.array([0, len(w), low, size, trie.types], np.int64), "code": code, "book": book, "weight_code": weight_code, "weight_book": weight_book, "filter": pair_filter(c, w)}
                 if n < order:  # what the next level's contexts are counted by
