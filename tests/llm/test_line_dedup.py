@@ -82,6 +82,11 @@ def test_equals_brute_force(spark, tau, least, group):
     assert {x.doc_id: [x.n_lines, x.n_exact, x.n_near, x.n_kept] for x in got} == brute(docs, tau, least)
 
 
+def test_many_candidates_are_joined_by_merging(spark, monkeypatch):
+    monkeypatch.setattr(D, "MAX_BROADCAST", 0)
+    test_equals_brute_force(spark, 3, 8, 128)
+
+
 def test_awkward_rows(spark):
     got = {r.doc_id: r for r in D.line_dedup(cases.frame(spark)).collect()}
     assert set(got) == {r[0] for r in cases.awkward()}
