@@ -21,6 +21,8 @@ from ..functions import vectors as V
 
 #: A block of queries has at most so many elements (32 MB of doubles).
 BLOCK_ELEMENTS = 4 << 20
+#: Distances that a task holds at a time, and elements of the pairs that it measures exactly (8 MB of doubles).
+TILE = 1 << 20
 
 
 def matrix(column: pa.Array, dimension: int | None = None) -> np.ndarray:
@@ -115,6 +117,49 @@ def ranked(found: DataFrame, k: int | None) -> DataFrame:
     return (out.where(F.col("rank") <= k) if k else out).select("query_id", "id", "rank", "distance")
 
 
+def _measured(metric: str | Callable, q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray) -> np.ndarray:
+    """exact of the pairs of rows (qi, xi), a bounded number at a time."""
+    step = max(1, TILE // max(1, q.shape[1]))
+    return np.concatenate([np.zeros(0), *(exact(metric, q[qi[i : i + step]], x[xi[i : i + step]]) for i in range(0, len(qi), step))])
+
+
+def scanned(batches: Iterator[pa.RecordBatch], q_ids: np.ndarray, q: np.ndarray, metric: str | Callable, take: Callable, k: int | None, self_join: bool) -> Iterator[pa.RecordBatch]:
+    """What a task finds in its rows (id, vec) for a block of queries, a tile of ``TILE`` distances at a time."""
+    held = {}
+    for b in batches:
+        for i in range(0, b.num_rows, 4096):
+            part = b.slice(i, 4096)
+            x, ids = matrix(part.column(1), q.shape[1]), np.asarray(part.column(0))
+            step = max(1, TILE // 4096)
+            for j in range(0, len(q), step):
+                own, own_ids = q[j : j + step], q_ids[j : j + step]
+                d, off = distances(metric, own, x)
+                if self_join:
+                    d[own_ids[:, None] == ids[None]] = np.inf
+                qi, xi = take(d - off, d + off)
+                if self_join:
+                    other = own_ids[qi] != ids[xi]
+                    qi, xi = qi[other], xi[other]
+                got = own_ids[qi], ids[xi], _measured(metric, own, x, qi, xi)
+                if k is None:
+                    yield _rows(*got)
+                else:
+                    held[j] = best(*(np.concatenate(c) for c in zip(held[j], got)), k) if j in held else best(*got, k)
+    for j in sorted(held):
+        yield _rows(*held[j])
+
+
+def nearest(k: int) -> Callable:
+    def take(least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if least.shape[1] <= k:
+            return np.nonzero(np.isfinite(least))
+        limit = np.partition(most, k - 1, axis=1)[:, k - 1]
+        # all that rounding may have put beyond the k-th are kept for the exact distance
+        return np.nonzero((least <= limit[:, None]) & np.isfinite(least))
+
+    return take
+
+
 def _scan(queries: DataFrame, base: DataFrame, metric: str, take: Callable, k: int | None, query_id: str, id: str, vec: str, self_join: bool) -> DataFrame:
     spark = base.sparkSession
     rows = base.select(F.col(id).cast("bigint").alias("id"), F.col(vec).alias("vec"))
@@ -123,26 +168,7 @@ def _scan(queries: DataFrame, base: DataFrame, metric: str, take: Callable, k: i
         block = spark.sparkContext.broadcast((q_ids, q))
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            q_ids, q = block.value
-            held = tuple(np.zeros(0, t) for t in (np.int64, np.int64, float))
-            for b in batches:
-                for i in range(0, b.num_rows, 4096):
-                    part = b.slice(i, 4096)
-                    x, ids = matrix(part.column(1), q.shape[1]), np.asarray(part.column(0))
-                    d, off = distances(metric, q, x)
-                    if self_join:
-                        d[q_ids[:, None] == ids[None]] = np.inf
-                    qi, xi = take(d - off, d + off)
-                    if self_join:
-                        other = q_ids[qi] != ids[xi]
-                        qi, xi = qi[other], xi[other]
-                    got = q_ids[qi], ids[xi], exact(metric, q[qi], x[xi])
-                    if k is None:
-                        yield _rows(*got)
-                    else:
-                        held = best(*(np.concatenate(c) for c in zip(held, got)), k)
-            if k is not None:
-                yield _rows(*held)
+            return scanned(batches, *block.value, metric, take, k, self_join)
 
         part = rows.mapInArrow(run, FOUND)
         out = part if out is None else out.unionAll(part)
@@ -153,15 +179,7 @@ def topk_join(queries: DataFrame, base: DataFrame, k: int, metric: str | Callabl
     """The k nearest rows of base for each query (all, if there are fewer). metric: a name, or a function of two matrices that gives the distance of each pair of their rows."""
     if k < 1:
         raise ValueError("k is at least 1")
-
-    def take(least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if least.shape[1] <= k:
-            return np.nonzero(np.isfinite(least))
-        limit = np.partition(most, k - 1, axis=1)[:, k - 1]
-        # all that rounding may have put beyond the k-th are kept for the exact distance
-        return np.nonzero((least <= limit[:, None]) & np.isfinite(least))
-
-    return ranked(_scan(queries, base, metric, take, k, query_id, id, vec, self_join), k)
+    return ranked(_scan(queries, base, metric, nearest(k), k, query_id, id, vec, self_join), k)
 
 
 def knn(base: DataFrame, query: list[float], k: int, metric: str = "l2", id: str = "id", vec: str = "vec") -> DataFrame:

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +81,23 @@ def test_distances_of_ones_own(spark):
         assert [r.id for r in sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])] == want
 
 
+def peak_of_scan(n_queries, n_rows, d, metric):
+    """Largest number of bytes that a task's scan holds."""
+    x, q = uniform(n_rows, d), uniform(n_queries, d, 43)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n_rows)), pa.array(list(x))], ["id", "vec"])
+    tracemalloc.start()
+    try:
+        got = list(knn.scanned([batch], np.arange(n_queries), q, metric, knn.nearest(3), 3, False))
+        return sum(b.num_rows for b in got), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_scan_holds_a_tile_of_distances():
+    rows, peak = peak_of_scan(20_000, 4096, 2, "l2")
+    assert rows == 60_000 and peak < 200 << 20  # all distances at once: 655 MB a matrix
+
+
 def test_range_on_a_grid(spark):
     x = np.zeros((50, 8))
     x[:, 0], x[:, 1] = np.arange(50) // 10, np.arange(50) % 10
