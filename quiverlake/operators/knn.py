@@ -52,7 +52,9 @@ def plain_distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def distances(metric: str | Callable, q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(queries, rows) of distances by matrix product (l2: squared), and how far rounding may have taken each from the true one."""
     if callable(metric):  # of pairs of rows; taken as right
-        d = np.stack([metric(np.broadcast_to(v, x.shape), x) for v in q]) if len(q) else np.zeros((0, len(x)))
+        d = np.zeros((len(q), len(x)))
+        for row, v in zip(d, q):  # copied at once: what the function returns may be a view of something as large as x
+            row[:] = metric(np.broadcast_to(v, x.shape), x)
         return d, np.zeros_like(d)
     eps = 8 * max(1, q.shape[1]) * np.finfo(float).eps
     if metric != "l2":

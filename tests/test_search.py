@@ -98,6 +98,11 @@ def test_a_scan_holds_a_tile_of_distances():
     assert rows == 60_000 and peak < 200 << 20  # all distances at once: 655 MB a matrix
 
 
+def test_a_distance_of_ones_own_may_return_a_view():
+    rows, peak = peak_of_scan(200, 4096, 64, lambda a, b: np.cumsum(np.abs(a - b), axis=1)[:, -1])
+    assert rows == 600 and peak < 100 << 20  # a view a query keeps 2 MB: 420 MB
+
+
 def test_range_on_a_grid(spark):
     x = np.zeros((50, 8))
     x[:, 0], x[:, 1] = np.arange(50) // 10, np.arange(50) % 10
