@@ -82,9 +82,10 @@ class Graph:
         some = np.arange(0, self.n, step)
         return int(some[plain_distances(self.p.metric, self.x[some], self.x[some]).sum(1).argmin()])
 
-    def search(self, q: np.ndarray, beam: int | None = None, allowed: np.ndarray | None = None) -> tuple[list[tuple[float, int]], dict[str, int]]:
-        """Best vertices by (distance, vertex), and counters. Vertices that aren't allowed are passed through, not returned."""
+    def search(self, q: np.ndarray, beam: int | None = None, allowed: np.ndarray | None = None, radius: float | None = None) -> tuple[list[tuple[float, int]], dict[str, int]]:
+        """Best vertices by (distance, vertex), and counters. Vertices that aren't allowed are passed through, not returned. With a radius (of dist's distances), all vertices inside are expanded however many they are, and all that were met are returned."""
         beam = beam or self.p.beam
+        reach = -np.inf if radius is None else radius
         start = float(self.dist(q, np.array([self.entry]))[0])
         seen = np.zeros(self.n, bool)
         seen[self.entry] = True
@@ -94,7 +95,7 @@ class Graph:
             found.append((start, self.entry))
         while todo:
             d, v = heapq.heappop(todo)
-            if len(kept) >= beam and d > -kept[0][0]:
+            if len(kept) >= beam and d > -kept[0][0] and d > reach:
                 break
             visited += 1
             new = self.neighbors[v]
@@ -105,14 +106,14 @@ class Graph:
             dn = self.dist(q, new)
             computed += len(new)
             for e, u in zip(dn.tolist(), new.tolist()):
-                if len(kept) < beam or e < -kept[0][0]:
+                if len(kept) < beam or e < -kept[0][0] or e <= reach:
                     heapq.heappush(todo, (e, u))
                     heapq.heappush(kept, (-e, -u))
                     if len(kept) > beam:
                         heapq.heappop(kept)
                 if self.live[u] and (allowed is None or allowed[u]):
                     found.append((e, u))
-        return sorted(found)[:beam], {"visited": visited, "computed": computed}
+        return sorted(found)[: beam if radius is None else None], {"visited": visited, "computed": computed}
 
     def prune(self, v: int, cand: np.ndarray) -> np.ndarray:
         cand = np.unique(cand[cand != v])
@@ -394,11 +395,11 @@ def _searched(queries: DataFrame, nodes: DataFrame, params: IndexParams, each: C
     return out if out is not None else spark.createDataFrame([], TALLY)
 
 
-def _beam(params: IndexParams, size: int, keep: Callable, filter: tuple) -> Callable:
+def _beam(params: IndexParams, size: int, keep: Callable, filter: tuple, radius: float | None = None) -> Callable:
     def each(shard: Shard, q: np.ndarray) -> Iterator[tuple]:
         allowed = shard.allowed(*filter)
         for v in q:
-            got, counters = shard.graph.search(v - shard.graph.centre, size, allowed)
+            got, counters = shard.graph.search(v - shard.graph.centre, size, allowed, radius)
             at = np.array([u for _, u in got], np.int64)
             d = exact(params.metric, np.repeat(v[None], len(at), 0), shard.x[at])
             yield (*keep(shard.ids, at, d), counters)
@@ -421,9 +422,10 @@ def search(queries: DataFrame, nodes: DataFrame, k: int, params: IndexParams = I
 
 
 def range_search(queries: DataFrame, nodes: DataFrame, radius: float, params: IndexParams = IndexParams(), beam: int | None = None, max_results: int = 0, query_id: str = "query_id", vec: str = "vec", filter: tuple = ("any", [])) -> DataFrame:
-    """Those of each shard's ``beam`` nearest that are within the radius (inclusive), at most max_results (0: all) a query."""
+    """Those that a walk from each shard's entry finds within the radius (inclusive), at most max_results (0: all) a query: a beam leads to the radius, all vertices inside are expanded."""
     inside = lambda ids, at, d: (at[d <= radius], d[d <= radius])  # noqa: E731, ARG005
-    found = _searched(queries, nodes, params, _beam(params, beam or params.beam, inside, filter), query_id, vec)
+    reach = radius * abs(radius) if params.metric == "l2" else radius  # the kernel's distances are squared
+    found = _searched(queries, nodes, params, _beam(params, beam or params.beam, inside, filter, reach), query_id, vec)
     return ranked(found.where("id is not null").select("query_id", "id", "distance"), max_results or None)
 
 

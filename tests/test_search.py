@@ -228,6 +228,17 @@ def test_packed_shards_search_as_nodes_do(spark):
         graph.search(asked, nodes, 5, p, filter=("any_of", [1])).collect()
 
 
+def test_range_search_is_not_cut_at_the_beam(spark):
+    x = uniform(600, 4)
+    nodes = graph.build(table(spark, x), graph.IndexParams(degree=16, beam=20))
+    asked = table(spark, x[:3]).withColumnRenamed("id", "query_id")
+    params = graph.IndexParams(degree=16, beam=20)
+    found = graph.range_search(asked, nodes, 1.2, params, beam=20)
+    want = sum((np.linalg.norm(x - v, axis=1) <= 1.2).sum() for v in x[:3])
+    assert want > 5 * 60 and found.count() >= 0.98 * want
+    assert graph.range_search(asked, nodes, 1.2, params, beam=20, max_results=30).count() == 90
+
+
 def test_stored_graph_grows_and_shrinks(spark):
     x = uniform(300, 10)
     rows = table(spark, x)
