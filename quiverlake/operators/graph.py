@@ -437,7 +437,7 @@ def _coded(params: IndexParams, codebook: np.ndarray, k: int, size: int) -> Call
         for v in q:
             table = ((v.reshape(m, 1, w) - codebook) ** 2).sum(-1)  # squared distances to each subspace's centroids
             g.dist = lambda _, rows, t=table: t[np.arange(m)[None], shard.codes[rows]].sum(1)
-            got, counters = g.search(v, size)
+            got, counters = g.search(v, size, radius=-np.inf)  # all that the walk met: codes may put a near one beyond the beam
             at = np.array([u for _, u in got], np.int64)
             d = exact(params.metric, np.repeat(v[None], len(at), 0), shard.x[at])
             yield (*_first(k)(shard.ids, at, d), counters)
@@ -446,7 +446,7 @@ def _coded(params: IndexParams, codebook: np.ndarray, k: int, size: int) -> Call
 
 
 def search_coded(queries: DataFrame, nodes: DataFrame, codebook: np.ndarray, k: int, params: IndexParams = IndexParams(), beam: int | None = None, query_id: str = "query_id", vec: str = "vec") -> DataFrame:
-    """Two stages: the graph is walked by distances of product codes, the beam's vertices are ordered by exact ones."""
+    """Two stages: the graph is walked by distances of product codes, the vertices that the walk met are ordered by exact ones."""
     found = _searched(queries, nodes, params, _coded(params, codebook, k, max(beam or params.beam, k)), query_id, vec)
     return ranked(found.where("id is not null").select("query_id", "id", "distance"), k)
 

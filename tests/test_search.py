@@ -239,6 +239,21 @@ def test_range_search_is_not_cut_at_the_beam(spark):
     assert graph.range_search(asked, nodes, 1.2, params, beam=20, max_results=30).count() == 90
 
 
+def test_coarse_codes_lose_nothing_that_the_walk_met(spark):
+    x = uniform(800, 16)
+    params = graph.IndexParams(degree=16, beam=12)
+    t = VectorTable(table(spark, x), params).with_graph().with_codes(pq.Params(16, 2, 2))
+    asked = table(spark, x[::40]).withColumnRenamed("id", "query_id")
+    met = t.search_coded(asked, 10, beam=12)
+    book, shard = t.codebook, graph.Shard(t.shards.first().asDict(), params)
+    for i, v in enumerate(x[::40]):
+        cells = ((v.reshape(2, 1, 8) - book) ** 2).sum(-1)
+        shard.graph.dist = lambda _, rows, c=cells: c[np.arange(2)[None], shard.codes[rows]].sum(1)
+        seen = [u for _, u in shard.graph.search(v, 12, radius=-np.inf)[0]]
+        want = sorted(seen, key=lambda u: (np.linalg.norm(x[u] - v), u))[:10]
+        assert len(seen) > 12 and {r.id for r in met.where(f"query_id = {i}").collect()} == set(want)
+
+
 def test_stored_graph_grows_and_shrinks(spark):
     x = uniform(300, 10)
     rows = table(spark, x)
