@@ -6,6 +6,7 @@ never leave their tasks but as partial sums, a row a task and cluster.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,12 +110,12 @@ def first_centroids(points: DataFrame, k: int, id: str = "id", vec: str = "vec",
     return [c.tolist() for c in out]
 
 
-def fit(points: DataFrame, k: int, rounds: int = 100, tolerance: float = 1e-4, id: str = "id", vec: str = "vec", seed: int = 42, method: str = "kmeans++") -> tuple[list[list[float]], float, bool]:
-    """(centroids, inertia, converged)."""
+def fit(points: DataFrame, k: int, rounds: int | None = None, tolerance: float = 1e-4, id: str = "id", vec: str = "vec", seed: int = 42, method: str = "kmeans++") -> tuple[list[list[float]], float, bool]:
+    """(centroids, inertia, converged). Without ``rounds`` it goes on until it has converged: larger tables take more rounds, but the inertia only falls, and clusterings are finite in number. Where it doesn't fall any more but by rounding, that is the end too."""
     c, last = first_centroids(points, k, id, vec, seed, method), float("inf")
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         c, now = update(points, c, vec)
-        if abs(last - now) < tolerance:
+        if last - now < tolerance:
             return c, now, True
         last = now
     return c, last, False

@@ -137,6 +137,15 @@ def test_kmeans(spark):
         kmeans.fit(rows, 7)
 
 
+def test_kmeans_goes_on_until_it_has_converged(spark, monkeypatch):
+    falling = iter([*np.arange(1000.0, 850.0, -1.0), 851.5])  # 150 rounds that each gain 1, then rounding
+    monkeypatch.setattr(kmeans, "update", lambda points, c, vec="vec": (c, float(next(falling))))
+    points = table(spark, uniform(20, 2))
+    assert kmeans.fit(points, 2)[1:] == (851.5, True)
+    falling = iter(np.arange(1000.0, 0.0, -1.0))
+    assert kmeans.fit(points, 2, rounds=5)[1:] == (996.0, False)
+
+
 def test_pq(spark):
     x = uniform(400, 16)
     rows = table(spark, x)
