@@ -222,6 +222,7 @@ class Words:
 
 
 BATCH_ROWS = 2000
+BATCH_BYTES = 8 << 20  # rows of scratch tables are some MB each; a row is never cut
 
 
 def tidy() -> None:
@@ -233,11 +234,12 @@ def tidy() -> None:
 
 
 def arrow_map(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """mapInArrow with batches of at most BATCH_ROWS rows (texts can be long) and workers that end up small.
+    """mapInArrow with batches of at most BATCH_ROWS rows and about BATCH_BYTES (texts can be long) and workers that end up small.
 
-    The session's setting is read when a plan runs, so it is lowered for good.
+    The session's settings are read when a plan runs, so they are lowered for good.
     """
     conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

@@ -2,8 +2,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from quiverlake.llm import common
 from quiverlake.llm import suffix_dedup as D
 
 from . import cases
@@ -115,3 +118,13 @@ def test_one_passage_in_ten_thousand_documents(spark):
                     gone |= set(range(i, i + 200))
             assert x.n_removed == len(gone)
             assert x.kept_sha256 == hashlib.sha256("".join(c for i, c in enumerate(t) if i not in gone).encode()).hexdigest()
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    rows = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1_000_000).alias("t"))
+    got = [r.n for r in common.arrow_map(rows, sizes, "n long").collect()]
+    assert sum(got) >= 40_000_000 and max(got) < common.BATCH_BYTES + 2_000_000
