@@ -56,6 +56,7 @@ LEAST = 2  # count from which n-grams of two words and more are kept, unless ask
 SHARD_BYTES = 32 << 20  # of text a shard
 SHARD_BYTES_ALL = 16 << 20  # where n-grams seen once are kept: a shard's n-grams are in memory when it is made
 PIECE = 3 << 20  # of text at a time
+HELD = 4_000_000  # n-grams that a task counts before it sends them on, however large its part of the input is
 HOT_TOKENS = 100_000  # a context of fewer tokens is in one shard, whatever the shards' size
 
 # ----------------------------------------------------------------- sequences
@@ -108,6 +109,13 @@ class Counter:
             self.merge()
             self.limit = max(self.limit, 2 * self.size)
 
+    def full(self, most: int) -> bool:
+        """Whether there are so many distinct rows that they should be sent; asked after each add, it merges seldom."""
+        if self.size <= most:
+            return False
+        self.merge()
+        return self.size > most // 2
+
     def _one(self, cols: list[np.ndarray]) -> tuple[np.ndarray | None, int]:
         """Rows as one number each, if 64 bits are enough."""
         if self.width == 1:
@@ -522,6 +530,12 @@ def build_words(train: DataFrame, shards: int, folder: str, least: int, hot_coun
         for b in pieces(batches, "_text", PIECE):
             code, u = pd.factorize(Tokens(b.column(0)).hashes)
             counter.add((u,), np.bincount(code, minlength=len(u)))
+            if counter.full(HELD):
+                yield from send(counter)
+                counter = Counter(1)
+        yield from send(counter)
+
+    def send(counter: Counter) -> Iterator[pa.RecordBatch]:
         u, n = counter.merge()
         cut = np.searchsorted(u >> U64(64 - bits) if bits else u * U64(0), np.arange(shards + 1).astype(U64))
         for k in np.flatnonzero(np.diff(cut)):
@@ -562,6 +576,12 @@ def build_level(words: DataFrame, trie: Trie, n: int, order: int, folder: str) -
                     context = r.before(r.nodes(k, context))
                 ok = (context >= 0) & (word >= 0)
                 counter.add((context[ok].astype(U64), word[ok].astype(U64)))
+                if counter.full(HELD):
+                    yield from send(counter)
+                    counter = Counter(2)
+        yield from send(counter)
+
+    def send(counter: Counter) -> Iterator[pa.RecordBatch]:
         c, w, m = counter.merge()
         where, is_hot = among(hot, c.astype(np.int64))
         to = np.searchsorted(above.first, c.astype(np.int64), side="right") - 1

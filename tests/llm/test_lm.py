@@ -120,3 +120,19 @@ def test_query_keeps_ngrams_seen_once(spark, tmp_path, monkeypatch, hot):
         e = ["\0end", *t]
         true = sum(math.log10(p2(e[0], e[1]) if k == 0 else p3(e[k - 1], e[k], e[k + 1])) for k in range(len(t)))
         assert true - 0.1 * len(t) <= r.score <= true + 1e-6
+
+
+def test_a_task_sends_what_it_counts_in_bounded_parts(spark, monkeypatch):
+    texts = [cases.words(40, i % 30, 60) for i in range(80)] + [None, "", "Unseen words"]
+    want = [tuple(r) for r in lm.lm_scores(cases.docs(spark, texts), least=1).orderBy("doc_id").collect()]
+    sent = []
+    monkeypatch.setattr(lm, "HELD", 40)  # goes to the tasks with the function that reads it
+    assert [tuple(r) for r in lm.lm_scores(cases.docs(spark, texts), least=1).orderBy("doc_id").collect()] == want
+    counter, rng = lm.Counter(2), np.random.default_rng(1)
+    for _ in range(200):
+        counter.add(tuple(rng.integers(0, 30, (2, 15)).astype(np.uint64)))
+        assert counter.size <= 40 + 15
+        if counter.full(40):
+            sent.append(counter.merge())
+            counter = lm.Counter(2)
+    assert len(sent) > 20 and sum(int(s[2].sum()) for s in sent) + int(counter.merge()[2].sum()) == 3000
