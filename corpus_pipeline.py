@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiverlake.llm import decontam, jaccard_join, mixing, quality, queries, token_output
-from quiverlake.llm.common import delete, documents, load, public_vocabulary, scratch_path, scratch_scope
+from quiverlake.llm.common import delete, documents, load, public_vocabulary, scratch_path, scratch_scope, shuffles_deleted
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +71,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, function in STAGES:
         path = scratch_path(spark, name.replace(" ", "-").replace("/", ""))
         with scratch_scope() as paths:
-            function(spark, docs, sf_dir).write.parquet(path)
+            out = function(spark, docs, sf_dir)
+            with shuffles_deleted(spark):
+                out.write.parquet(path)
         delete(spark, *paths)
         docs = spark.read.parquet(path)
     return docs

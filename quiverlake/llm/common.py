@@ -42,11 +42,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ql-{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Writes inside delete their shuffle files at their end; else those stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path, compression=compression)
+    with shuffles_deleted(spark):
+        df.write.parquet(path, compression=compression)
     if _scopes:
         _scopes[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -101,6 +101,11 @@ def unpack(blob: bytes, bits: int) -> np.ndarray:
     return (np.frombuffer(blob, "<u4", n).astype(U64) << U64(16)) | np.frombuffer(blob, "<u2", n, 4 * n)
 
 
+#: About the bytes of a row of the batch table. An exchange has a row a batch and bucket: if batches are small, the rows' heads outgrow the tokens on a large input.
+BATCH_TABLE_BYTES = 4 << 20
+#: Bytes of a bucket of tokens, and the buckets a small input is dealt to for balance.
+BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 1024
+
 BATCH = "batch bigint, ids binary, nulls binary, sizes binary, sig_a binary, sig_b binary, sent binary, tokens binary"
 
 
@@ -109,6 +114,13 @@ def batch_table(docs: DataFrame, name: str, t: int, k: int, whole: bool) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seq = TaskContext.get().partitionId() << 32, 0
+        held: list[list[bytes]] = []
+
+        def row() -> pa.RecordBatch:
+            *rest, tokens = [b"".join(x) for x in zip(*held)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([base + seq], pa.int64()), *[pa.array([x], pa.binary()) for x in (*rest, pack(np.frombuffer(tokens, U64), 64 if whole else 48))]], [f.split()[0] for f in BATCH.split(", ")])
+
         for b in pieces(batches, "_text"):
             s, first = sets_of(b.column(1), k)
             n = np.diff(first)
@@ -116,9 +128,12 @@ def batch_table(docs: DataFrame, name: str, t: int, k: int, whole: bool) -> Data
             a, c = signatures(s, first)
             sent = n if whole else np.minimum(n, np.where(n > 0, n - ceil_part(n, t) + 1 + n * BETA // 100, 0))
             tokens = s[ranges(first[:-1], sent)]
-            row = [base + seq, np.asarray(ids.fill_null(0)).astype("<i8").tobytes(), np.asarray(ids.is_null()).astype(np.uint8).tobytes(), n.astype("<i4").tobytes(), a.tobytes(), c.tobytes(), sent.astype("<i4").tobytes(), pack(tokens if whole else tokens >> U64(16), 64 if whole else 48)]
-            seq += 1
-            yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]]], [f.split()[0] for f in BATCH.split(", ")])
+            held.append([np.asarray(ids.fill_null(0)).astype("<i8").tobytes(), np.asarray(ids.is_null()).astype(np.uint8).tobytes(), n.astype("<i4").tobytes(), a.tobytes(), c.tobytes(), sent.astype("<i4").tobytes(), (tokens if whole else tokens >> U64(16)).tobytes()])
+            if sum(len(y) for x in held for y in x) >= BATCH_TABLE_BYTES:
+                yield row()
+                seq += 1
+        if held:
+            yield row()
 
     return stage(arrow_map(docs, run, BATCH), name)
 
@@ -160,7 +175,7 @@ def counted(table: DataFrame, bits: int, name: str, apply: Callable, schema: str
     spark = table.sparkSession
     parts = n_parts(spark)
     total = table.agg(F.sum(F.length("tokens"))).first()[0] or 0
-    buckets = int(max(3 * parts, total // (24 << 20) + 1))
+    buckets = int(max(min(3 * parts, LEAST_BUCKETS), total // BUCKET_BYTES + 1))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

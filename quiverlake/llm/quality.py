@@ -137,7 +137,7 @@ def keep_documents(docs: DataFrame, host: str = "source", text: str = "text", ho
     """The rows of docs that the rules keep, with docs' columns; texts are measured once and nothing is joined by a key of theirs."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"))
     took = measures(rows.select("_d", F.col(f"_d.{host}").alias("_host"), F.col(f"_d.{text}").alias("_text")), "_text")
-    flat = stage(took.select("_d", "_host", *[F.col(f"{'_w.' if k in ('n_words', 'n_repeat_words') else '_l.' if k in ('n_lines', 'n_dup_lines') else ''}{k}").alias(k) for k in MEASURES]), "quality")
+    flat = stage(took.select("_d", "_host", *[F.col(f"{'_w.' if k in ('n_words', 'n_repeat_words') else '_l.' if k in ('n_lines', 'n_dup_lines') else ''}{k}").alias(k) for k in MEASURES]), "quality", "zstd")
     return with_rates(flat, flat.drop("_d"), "_host").where(~verdict(host_limit)[2]).select("_d.*")
 
 

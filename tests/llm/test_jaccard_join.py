@@ -129,3 +129,14 @@ def test_keep_one_with_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, _node string")
     got = sorted(((r.doc_id or -1, r.text or "", r["_node"] or "") for r in J.keep_one(docs).collect()))
     assert got == sorted([(1, a + " tail", "z"), (3, b, "y"), (2, c, ""), (2, "", "e"), (-1, a, "n"), (-1, a, "n")])
+
+
+def test_a_batch_holds_texts_of_many_pieces(spark, monkeypatch):
+    texts = [cases.words(60_000, i, 50_000) for i in range(6)]  # some 400 KB each; a piece has 1 MB
+    texts += [texts[0] + " end", texts[3][4:], None, "", "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_id bigint, _text string").coalesce(1)
+    assert J.batch_table(docs, "prefixes", 75, 5, whole=False).count() == 1
+    got = J.jaccard_components(docs, "_id", "_text").orderBy("doc_id").collect()
+    assert [x.component_id for x in got] == [0, 1, 2, 3, 4, 5, 0, 3, 8, 9, 10]
+    monkeypatch.setattr(J, "BATCH_TABLE_BYTES", 1)
+    assert J.batch_table(docs, "prefixes", 75, 5, whole=False).count() > 1

@@ -1,11 +1,13 @@
 import random
+import time
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quiverlake.llm import queries, token_output
-from quiverlake.llm.common import public_vocabulary
+from quiverlake.llm.common import public_vocabulary, stage
 
 from . import cases
 from .test_decontam import brute as leaks
@@ -58,3 +60,25 @@ def test_stages_keep_the_columns_and_take_awkward_rows(spark, tmp_path):
             if k < len(corpus_pipeline.STAGES) - 1:
                 assert out.columns == docs.columns
                 docs = out
+
+
+def test_a_scratch_table_leaves_no_shuffle_files(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        it, out = files.iterator(), set()
+        while it.hasNext():
+            out.add(it.next().getName())
+        return {x for x in out if x.startswith("shuffle_")}
+
+    old = shuffles()
+    df = spark.range(100_000).repartition(5).groupBy((F.col("id") % 1000).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    out = stage(df, "test")
+    until = time.time() + 10  # files go in the background
+    while shuffles() - old and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - old
+    assert out.count() == 1000 and df.where("n = 100").count() == 1000
+    assert spark.conf.get(key) == before
