@@ -9,13 +9,14 @@ where that leaves less than half of the degree, the nearest that went come back.
 search keeps the best ``beam`` vertices and ends when all of them are expanded. A shard
 is built from its vertices' nearest others, found by matrix products, for all vertices at
 once; later rows are inserted one by one, from what a search for them comes upon.
+``build_whole`` makes one graph of all rows instead, merged from overlapping parts.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..sources.shared import scratch_path, stage
-from .knn import FOUND, exact, matrix, plain_distances, query_blocks, ranked
+from .knn import FOUND, TILE, exact, matrix, plain_distances, query_blocks, ranked
 
 
 @dataclass(frozen=True)
@@ -316,6 +317,80 @@ def build(rows: DataFrame, params: IndexParams = IndexParams(), shard_rows: int
     return keyed.groupBy("shard").applyInArrow(make, NODES)
 
 
+#: Rows that a whole graph's cells are made about, at most (8 MB of 64 doubles).
+PIVOTS = 16_384
+
+
+def build_whole(rows: DataFrame, params: IndexParams = IndexParams(), part_rows: int = 20_000, id: str = "id", vec: str = "vec", seed: int = 42) -> DataFrame:
+    """nodes of one graph over all rows (shard 0), however many; a task holds at most about part_rows of them.
+
+    Each row is in the cells of its two nearest pivots, which are some of the rows, and in one
+    part of rows dealt by hash; cells of more than part_rows are dealt by hash too. The parts'
+    graphs share degree and beam, and a vertex's list is all that it has in its parts: near ones
+    from the cells, long edges from the hash. The parts' entries are a tree under the graph's,
+    so that all that a part's entry reaches can be reached. Searches, changes and pruning of
+    nodes go by shard and would take the whole graph into a task.
+    """
+    spark = rows.sparkSession
+    n = rows.count()
+    if n <= part_rows:
+        return build(rows, params, part_rows, id, vec, seed)
+    rows = rows.select(F.col(id).cast("bigint").alias("id"), V.doubles(vec).alias("vec"))
+    far = max(1, params.degree // 4)
+    close = max(1, (params.degree - far - 2) // 2)  # two cells, and two places for the tree
+    share = lambda degree: replace(params, degree=degree, beam=max(1, params.beam * degree // params.degree))
+
+    def place(x: np.ndarray) -> np.ndarray:
+        norm = np.linalg.norm(x, axis=1, keepdims=True) if params.metric == "cosine" else np.ones((len(x), 1))
+        return x / np.where(norm == 0, 1, norm)
+
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, -(-8 * n // part_rows))).toArrow()
+    x = matrix(some.column("vec"))
+    _, first = np.unique(place(x), axis=0, return_index=True)
+    first.sort()
+    top = some.column("id")[int(first[Graph(x[first], params).entry])].as_py()
+    centre = place(x[first]).mean(axis=0)
+    pivots = spark.sparkContext.broadcast(place(x[first]) - centre)
+    mixed = len(first)  # the cell of all rows
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, TILE // mixed)
+        for b in batches:
+            for i in range(0, b.num_rows, step):
+                own = b.slice(i, step)
+                d = plain_distances("l2", place(matrix(own.column(1), len(centre))) - centre, pivots.value)
+                cells = [d.argmin(axis=1)]
+                if mixed > 1:
+                    d[np.arange(len(d)), cells[0]] = np.inf
+                    cells.append(d.argmin(axis=1))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(np.column_stack([*cells, np.full(len(d), mixed)]).tolist(), pa.list_(pa.int64()))], ["id", "vec", "cells"])
+
+    placed = stage(rows.mapInArrow(deal, "id bigint, vec array<double>, cells array<bigint>"), "cells")
+    plan, parts = [], 0
+    for cell, size in sorted(placed.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()):
+        pieces = -(-(4 * size if cell == mixed else size) // part_rows)
+        plan.append((cell, parts, pieces))
+        parts += pieces
+    dealt = placed.select("id", "vec", F.explode("cells").alias("cell")).join(F.broadcast(spark.createDataFrame(plan, "cell bigint, first bigint, pieces bigint")), "cell")
+    dealt = dealt.select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("pieces"))).alias("part"), (F.col("cell") == mixed).alias("mixed"), "id", "vec")
+
+    def make(key, t):
+        ids = np.asarray(t.column("id"))
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], matrix(t.column("vec").combine_chunks())[order]
+        g = Graph(x, share(far if key[1].as_py() else close)).build(seed)
+        return pa.table({"part": pa.array([key[0].as_py()] * len(ids), pa.int64()), "id": ids, "entry": np.arange(len(ids)) == g.entry, "neighbors": pa.array([ids[v].tolist() for v in g.neighbors], pa.list_(pa.int64()))})
+
+    # a number of partitions of its own, as adaptive execution would join what is few bytes and much work
+    lists = stage(dealt.repartition(min(parts, 2000), "part").groupBy("part", "mixed").applyInArrow(make, "part bigint, id bigint, entry boolean, neighbors array<bigint>"), "lists")
+    entries = [top] + sorted(r[0] for r in lists.where("entry").select("id").distinct().collect() if r[0] != top)
+    tree = [(-1, e, entries[2 * i + 1 : 2 * i + 3]) for i, e in enumerate(entries)]
+    both = lists.select("part", "id", "neighbors").unionAll(spark.createDataFrame(tree, "part bigint, id bigint, neighbors array<bigint>"))
+    merged = both.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("part", "neighbors"))).alias("lists"))
+    merged = merged.select("id", F.slice(F.array_distinct(F.array_remove(F.flatten("lists.neighbors"), F.col("id"))), 1, params.degree).alias("neighbors"))
+    return placed.select("id", "vec").join(merged, "id").select(F.lit(0).cast("bigint").alias("shard"), "id", (F.col("id") == top).alias("entry"), "vec", "neighbors")
+
+
 # ------------------------------------------------------------- packed shards
 
 

@@ -2,7 +2,8 @@
 
 Everything it holds is a DataFrame; changes give a new object. On disk it is a folder
 of Parquet tables: ``rows`` (id, vec, labels), ``graph`` (nodes), ``shards`` (packed,
-what searches read), and ``about`` (parameters and the codebook as JSON).
+what searches read), and ``about`` (parameters and the codebook as JSON). A whole graph,
+one of all rows however many, isn't packed beyond ``shard_rows``: searches are exact then.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ class VectorTable:
     codebook: np.ndarray | None = None
     pq_params: pq.Params | None = None
     shard_rows: int = 20_000
+    whole: bool = False  # one graph of all rows, not one a shard
 
     @property
     def metric(self) -> str:
@@ -36,9 +38,10 @@ class VectorTable:
 
     # ------------------------------------------------------------ making one
 
-    def with_graph(self, shard_rows: int | None = None) -> VectorTable:
-        n = shard_rows or self.shard_rows
-        return replace(self, shard_rows=n, nodes=stage(graph.build(self.rows, self.params, n), "graph"))._packed()
+    def with_graph(self, shard_rows: int | None = None, whole: bool | None = None) -> VectorTable:
+        n, whole = shard_rows or self.shard_rows, self.whole if whole is None else whole
+        build = graph.build_whole if whole else graph.build
+        return replace(self, shard_rows=n, whole=whole, nodes=stage(build(self.rows, self.params, n), "graph"))._packed()
 
     def with_codes(self, params: pq.Params) -> VectorTable:
         book, _ = pq.train(self.rows, params)
@@ -51,6 +54,8 @@ class VectorTable:
         return pq.encode(self.rows.withColumn("vec", V.doubles("vec")), self.codebook)
 
     def _packed(self) -> VectorTable:
+        if self.whole and self.size() > self.shard_rows:
+            return replace(self, shards=None)
         nodes = self.nodes
         if "labels" in self.rows.columns:
             nodes = nodes.join(self.rows.select(F.col("id").alias("_l"), "labels"), F.col("id") == F.col("_l"), "left").drop("_l").withColumn("labels", F.coalesce("labels", F.expr("cast(array() as array<bigint>)")))
@@ -92,11 +97,15 @@ class VectorTable:
         if self.rows.join(new.select(F.col("id").alias("_n")), F.col("id") == F.col("_n"), "left_semi").limit(1).count():
             raise ValueError("an id that is inserted is in the table already")
         out = replace(self, rows=stage(self.rows.unionByName(new), "rows"))
+        if self.nodes is not None and self.whole:
+            return out.with_graph()
         return out if self.nodes is None else replace(out, nodes=stage(graph.insert(self.nodes, new, self.params), "graph"))._packed()
 
     def delete(self, ids: DataFrame) -> VectorTable:
         """Without the ids (column id), also in the graph."""
         out = replace(self, rows=stage(knn.without(self.rows, ids), "rows"))
+        if self.nodes is not None and self.whole:
+            return out.with_graph()
         return out if self.nodes is None else replace(out, nodes=stage(graph.delete(self.nodes, ids, self.params), "graph"))._packed()
 
     # ------------------------------------------------------------------- about
@@ -123,16 +132,17 @@ class VectorTable:
 
     def save(self, path: str) -> None:
         spark = self.rows.sparkSession
-        about = {"params": asdict(self.params), "shard_rows": self.shard_rows, "graph": self.nodes is not None, "codebook": None if self.codebook is None else pq.to_json(self.codebook, self.pq_params)}
+        about = {"params": asdict(self.params), "shard_rows": self.shard_rows, "whole": self.whole, "graph": self.nodes is not None, "packed": self.shards is not None, "codebook": None if self.codebook is None else pq.to_json(self.codebook, self.pq_params)}
         self.rows.write.parquet(f"{path}/rows")
         if self.nodes is not None:
             self.nodes.write.parquet(f"{path}/graph")
+        if self.shards is not None:
             self.shards.write.parquet(f"{path}/shards")
         spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.parquet(f"{path}/about")  # last: a folder without it isn't whole
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> VectorTable:
         about = json.loads(spark.read.parquet(f"{path}/about").first()["about"])
-        read = lambda name: spark.read.parquet(f"{path}/{name}") if about["graph"] else None
+        read = lambda name, there: spark.read.parquet(f"{path}/{name}") if there else None
         book, p = pq.from_json(about["codebook"]) if about["codebook"] else (None, None)
-        return VectorTable(spark.read.parquet(f"{path}/rows"), graph.IndexParams(**about["params"]), read("graph"), read("shards"), book, p, about["shard_rows"])
+        return VectorTable(spark.read.parquet(f"{path}/rows"), graph.IndexParams(**about["params"]), read("graph", about["graph"]), read("shards", about.get("packed", about["graph"])), book, p, about["shard_rows"], about.get("whole", False))

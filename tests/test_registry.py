@@ -1,11 +1,13 @@
 """Every registered query of the library against its DuckDB SQL, on the smallest driver tables where they are."""
 
+from functools import partial
 from pathlib import Path
 
 import numpy as np
 import pytest
 
 from quiverlake.operators import graph
+from quiverlake.operators.index import VectorTable
 from quiverlake.plans import registry
 
 SF = Path("/root/testdata/sf0.001")
@@ -60,6 +62,12 @@ def test_graph_of_all_rows(spark):
     assert registry.QUERIES["topology_similarity"](spark, str(SF)).first().n_either == 5 * n
 
 
+def test_index_stats_of_more_rows_than_a_shard(spark, duck, monkeypatch):
+    monkeypatch.setattr(registry, "VectorTable", partial(VectorTable, shard_rows=100))
+    a, b = registry.QUERIES["index_stats"](spark, str(SF)).toPandas(), duck.sql(registry.ORACLE_SQL["index_stats"]).df()
+    assert rows(a) == rows(b)
+
+
 @pytest.mark.parametrize("name", ["graph_search", "pq_search_rerank"])
 def test_registered_searches_find_nine_in_ten(spark, name):
     assert registry.QUERIES[name](spark, str(SF)).first().recall_at_k >= 0.9

@@ -306,3 +306,41 @@ def test_reachable(spark):
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (5, 6)], "src bigint, dst bigint")
     assert {r.v for r in graph.reachable(edges, 0).collect()} == {0, 1, 2}
     assert graph.topology_similarity(edges, edges.where("src < 5")).first().similarity == 0.75
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "inner_product"])
+def test_whole_graph_is_one_of_all_rows(spark, metric):
+    x = uniform(1500, 12)
+    x[100:500] = x[7]  # a cell of more rows than a part
+    rows = table(spark, x)
+    p = graph.IndexParams(metric, 16, 60)
+    nodes = graph.build_whole(rows, p, 200).cache()
+    s = graph.graph_stats(nodes).first()
+    assert nodes.select("shard").distinct().count() == 1 and graph.entry_points(nodes).count() == 1
+    assert s.n_vertices == 1500 and 1 < s.avg_degree and s.max_degree <= 16
+    assert graph.edges(nodes).where("src = dst").count() == 0
+    ids, g = graph._kernel(nodes.toArrow(), p)
+    assert ids.tolist() == list(range(1500)) and not len(g.unreached())
+    asked = table(spark, x).where("id >= 500 and id % 20 = 0").withColumnRenamed("id", "query_id")
+    away = rows.where("id < 100 or id >= 500")  # the copies are ties
+    found = graph.search(asked, nodes, 500, p, beam=500).where("id < 100 or id >= 500")
+    found = knn.ranked(found.select("query_id", "id", "distance"), 10)
+    assert knn.recall(found, knn.topk_join(asked, away, 10, metric), 10).first().recall_at_k >= 0.9
+
+
+def test_whole_graph_holds_a_part_in_a_task(spark, tmp_path, monkeypatch):
+    made, stage = {}, graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, name: made.setdefault(name, stage(df, name)))
+    for x in (uniform(900, 6), np.ones((900, 6))):
+        made.clear()
+        rows = table(spark, x)
+        t = VectorTable(rows, graph.IndexParams(degree=16, beam=30)).with_graph(100, whole=True)
+        assert (t.stats().first().n_rows, t.stats().first().n_shards) == (900, 1)
+        assert made["lists"].groupBy("part").count().agg(F.max("count")).first()[0] < 150
+    asked = rows.where("id < 3").withColumnRenamed("id", "query_id")
+    assert t.shards is None and {r.id for r in t.search(asked, 2).collect()} == {0, 1}
+    less = t.delete(rows.where("id < 5").select("id"))
+    assert (less.stats().first().n_rows, less.stats().first().n_shards) == (895, 1)
+    less.save(f"file://{tmp_path}/index")
+    back = VectorTable.load(spark, f"file://{tmp_path}/index").insert(rows.where("id < 5"))
+    assert back.whole and (back.stats().first().n_rows, back.stats().first().n_shards) == (900, 1)
