@@ -182,8 +182,9 @@ class Graph:
 
     # -------------------------------------------------------- all vertices at once
 
-    def near(self, count: int, seed: int, block: int = 1024) -> np.ndarray:
-        """(n, count) candidates of each vertex: the nearest, by matrix products, and for a quarter of them any vertices, which make the long edges; -1 where there are fewer."""
+    def near(self, count: int, seed: int, tile: int = TILE) -> np.ndarray:
+        """(n, count) candidates of each vertex: the nearest, by matrix products of a tile of distances at a time, and for a quarter of them any vertices, which make the long edges; -1 where there are fewer."""
+        block = max(1, tile // max(1, self.n))
         far = min(count // 4, max(0, self.n - 1))
         close = min(count - far, self.n - 1)
         out = np.full((self.n, count), -1, np.int64)
@@ -280,7 +281,8 @@ class Graph:
             known = np.setdiff1d(np.arange(self.n), lost)
             for i in range(0, len(lost), 1024):
                 own = lost[i : i + 1024]
-                nearest = known[plain_distances("l2", self.x[own], self.x[known]).argmin(axis=1)]
+                step = max(1, TILE // len(known))
+                nearest = known[np.concatenate([plain_distances("l2", self.x[own[j : j + step]], self.x[known]).argmin(axis=1) for j in range(0, len(own), step)])]
                 order = np.argsort(nearest, kind="stable")
                 before = -1
                 for u, v in zip(nearest[order].tolist(), own[order].tolist()):

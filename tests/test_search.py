@@ -344,3 +344,17 @@ def test_whole_graph_holds_a_part_in_a_task(spark, tmp_path, monkeypatch):
     less.save(f"file://{tmp_path}/index")
     back = VectorTable.load(spark, f"file://{tmp_path}/index").insert(rows.where("id < 5"))
     assert back.whole and (back.stats().first().n_rows, back.stats().first().n_shards) == (900, 1)
+
+
+def test_building_a_graph_holds_a_tile_of_distances():
+    x = uniform(12000, 4)
+    x[3000:6000] = x[7]
+    g = graph.Graph(x, graph.IndexParams(degree=4, beam=8))
+    g._lead = lambda u, v: None  # all that is lost is looked for
+    g.unreached = lambda: np.arange(6000, 8000)
+    g.prune_all = lambda cand: [c[:2] for c in cand]
+    tracemalloc.start()
+    g.build()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
